@@ -57,14 +57,14 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
 
 def features(stats: DataFrame) -> DataFrame:
-    """The transformed statistics: log mean word length, and roots of the shares of symbols, repeated lines and repeated words, on scales where clean texts vary by less than one."""
+    """The transformed statistics: log mean word length, root of the share of symbols, log of repeated lines and share of repeated words, on scales where clean texts vary by less than one."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     return stats.withColumns(
         {
             "z_len": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
             "z_sym": 10 * F.sqrt(F.col("n_symbols") / n),
             "z_dup": F.log1p(F.col("n_dup_lines").cast("double")),
-            "z_rep": 10 * F.sqrt(F.col("n_repeat_words") / n),
+            "z_rep": 10 * F.col("n_repeat_words") / n,
         }
     )
 
