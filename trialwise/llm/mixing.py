@@ -41,8 +41,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, most:
 
 
 def unit_hash(key: Column, seed: int) -> Column:
-    """A number in [0, 1) that key and seed alone decide."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) that key and seed alone decide: 52 bits of an MD5, which other SQL engines have too."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:

@@ -13,7 +13,7 @@ from .bpe import Encoder, default_vocabulary, encoder, slices
 from .common import table, text_of
 
 #: Pre-tokens in a new leaf; a leaf of GROWN times as many makes the tree be laid out anew.
-LEAF, GROWN = 64, 4
+LEAF, GROWN = 32, 4
 #: Characters past its end that decide where a split ends.
 AHEAD = 2
 

@@ -106,4 +106,4 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "component", "inherited")
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "inherited")
