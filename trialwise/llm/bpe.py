@@ -10,18 +10,18 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
 
 NONE = np.int32(2**31 - 1)
-#: Pieces longer than this (in bytes) are merged by a heap: same result, no quadratic rounds. Pieces kept at most; characters worked on at once.
-LONGEST, KEPT, CHUNK = 512, 400_000, 1_000_000
+#: Pieces longer than this (in bytes) are merged by a heap: same result, no quadratic rounds. Pieces in each of two generations kept; characters worked on at once.
+LONGEST, KEPT, CHUNK = 512, 150_000, 1_000_000
 
 
 class Vocabulary:
@@ -34,6 +34,8 @@ class Vocabulary:
         self.bytes_of = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        lengths = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.joined, self.lengths, self.starts = np.frombuffer(b"".join(self.bytes_of), np.uint8), lengths, np.cumsum(lengths) - lengths
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a << 32 | b, rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         self._fill(np.array(pairs, np.int64))
@@ -67,13 +69,13 @@ class Vocabulary:
             at, slot = at[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out.reshape(left.shape)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each piece."""
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as the bytes of 32-bit integers."""
         out: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for n, p in enumerate(pieces):
             if (rank := self.ranks.get(p)) is not None:
-                out[n] = (rank,)
+                out[n] = rank.to_bytes(4, "little")
             elif len(p) > LONGEST:
                 out[n] = self._merge_long(p)
             else:
@@ -93,8 +95,9 @@ class Vocabulary:
             every = np.arange(len(rows))
             best = ranks[every, at]
             if (done := best == NONE).any():
-                for n, row in zip(rows[done], ids[done].tolist()):
-                    out[n] = tuple(row[: row.index(-1)] if row[-1] < 0 else row)
+                ends, raw = (ids[done] >= 0).sum(1).tolist(), ids[done].tobytes()
+                for i, (n, end) in enumerate(zip(rows[done].tolist(), ends)):
+                    out[n] = raw[4 * width * i : 4 * (width * i + end)]
                 ids, ranks, rows, at, best = ids[~done], ranks[~done], rows[~done], at[~done], best[~done]
                 every = np.arange(len(rows))
                 if not len(rows):
@@ -110,7 +113,7 @@ class Vocabulary:
             left = at > 0
             ranks[every[left], at[left] - 1] = self.pair_ranks(ids[every[left], at[left] - 1], ids[every[left], at[left]])
 
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def _merge_long(self, piece: bytes) -> bytes:
         ids = [int(x) for x in self.of_byte[np.frombuffer(piece, np.uint8)]]
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -136,35 +139,49 @@ class Vocabulary:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y >= 0 and (k := rank(ids[x], ids[y])) != NONE:
                     heapq.heappush(heap, (k, x, ids[x], ids[y]))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
 
 class Encoder:
-    """Encodes texts with one vocabulary; pieces seen before are remembered, up to KEPT of them."""
+    """Encodes texts with one vocabulary. Pieces seen lately are remembered in two generations: when the young one is full
+    it becomes the old one, whose pieces come back when met again."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.vocabulary, self.split, self.known = Vocabulary(path), regex.compile(pattern).findall, {}
+        self.vocabulary, self.split = Vocabulary(path), regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         """Makes sure that the pieces are known. Call before each use: what was known may go."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > KEPT:
-            self.known, new = {}, list(pieces)
-        self.known.update(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new])))
+            self.old, self.known, new = self.known, {}, list(pieces)
+        again = self.old
+        missing = []
+        for p in new:
+            if (ids := again.get(p)) is not None:
+                self.known[p] = ids
+            else:
+                missing.append(p)
+        self.known.update(zip(missing, self.vocabulary.encode_pieces([p.encode() for p in missing])))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         parts = [self.split(t) for t in texts]
         self.learn(set().union(*parts))
         get = self.known.__getitem__
-        ids = [list(chain.from_iterable(map(get, p))) for p in parts]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+        ids = [b"".join(map(get, p)) for p in parts]
+        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, one after another, and how many each id has."""
+        v = self.vocabulary
+        lengths = v.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(v.starts[ids] - (ends - lengths), lengths)
+        return v.joined[at + np.arange(len(at))], lengths
 
 
 @functools.lru_cache(2)
@@ -179,22 +196,23 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def slices(texts: list[str], most: int = CHUNK):
-    """Ranges of texts with about so many characters: bounds what is in memory, not what is done."""
+def slices(sizes: list[int], most: int = CHUNK):
+    """Ranges of rows with about so many characters: bounds what is in memory, not what is done."""
     start, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
+    for i, size in enumerate(sizes):
+        n += size
         if n >= most:
             yield start, i + 1
             start, n = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: tuple[str, str] | None = None, decoded: bool = False) -> DataFrame:
     """(key, ids array<int>): the ids of each whole text, one row per row of docs, without special tokens.
 
-    vocabulary: path of the rank file, which every worker can read, and split pattern. Null text is empty and has no ids. Empty table: no rows.
+    vocabulary: path of the rank file, which every worker can read, and split pattern. decoded adds the bytes that the ids decode to,
+    without a second pass. Null text is empty and has no ids. Empty table: no rows.
     """
     path, pattern = vocabulary or default_vocabulary()
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t"))
@@ -203,13 +221,20 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     def work(batches):
         coder = encoder(path, pattern)
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for a, b in slices(texts):
-                ids, counts = coder.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(a, b - a), lists], ["k", "ids"])
+            column = batch.column("t")
+            for a, b in slices(pc.utf8_length(column).to_pylist()):
+                ids, counts = coder.encode(column.slice(a, b - a).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                out = [batch.column("k").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+                yield pa.RecordBatch.from_arrays([*out, _decoded(coder, ids, ends)][: 3 if decoded else 2], ["k", "ids", "decoded"][: 3 if decoded else 2])
+
+    return rows.mapInArrow(work, f"k {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("k", key)
+
 
-    return rows.mapInArrow(work, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+def _decoded(coder: Encoder, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    raw, lengths = coder.decode(ids)
+    at = np.concatenate([[0], np.cumsum(lengths)])[ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -222,16 +247,18 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary
         coder = encoder(path, pattern)
         for batch in batches:
             column = batch.column("ids")
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            out = [coder.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), column, pa.array(out, pa.binary())], ["k", "ids", "decoded"])
+            sizes = column.value_lengths()
+            for a, b in slices(sizes.to_pylist()):
+                own = column.slice(a, b - a)
+                ends = np.concatenate([[0], np.cumsum(sizes.slice(a, b - a).to_numpy(zero_copy_only=False))])
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(a, b - a), own, _decoded(coder, own.flatten().to_numpy(zero_copy_only=False), ends)], ["k", "ids", "decoded"])
 
     return rows.mapInArrow(work, f"k {kind}, ids array<int>, decoded binary").withColumnsRenamed({"k": key, "ids": ids})
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary=None) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): digests of what encode and then decode give."""
-    out = decode(encode(docs, key, text, vocabulary), key, "ids", vocabulary)
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
+    out = encode(docs, key, text, vocabulary, decoded=True)
     return out.select(key, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

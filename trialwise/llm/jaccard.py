@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,9 +135,9 @@ def _shingled(rows: DataFrame, size: int, percent: int, with_sets: bool) -> Data
 
     def work(batches):
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for a, b in slices(texts):
-                sets = [shingle_set(t, size) for t in texts[a:b]]
+            column = batch.column("t")
+            for a, b in slices(pc.utf8_length(column).to_pylist()):
+                sets = [shingle_set(t, size) for t in column.slice(a, b - a).to_pylist()]
                 marks = [digest(h) for h in sets]
                 lists = [h.view(np.int64) if with_sets else group_keys(h, percent) if len(h) else np.empty(0, np.int64) for h in sets]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,11 +127,12 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> D
         import xxhash
 
         for batch in batches:
-            texts, marks = batch.column("t").to_pylist(), batch.column("c")
-            for a, b in slices(texts):
+            column, marks = batch.column("t"), batch.column("c")
+            for a, b in slices(pc.utf8_length(column).to_pylist()):
+                texts = column.slice(a, b - a).to_pylist()
                 of, number, h1, h2, length, keys = [], [], [], [], [], []
                 for d in range(a, b):
-                    for i, line in enumerate(texts[d].encode("utf-8", "surrogateescape").split(b"\n")):
+                    for i, line in enumerate(texts[d - a].encode("utf-8", "surrogateescape").split(b"\n")):
                         if judged(line, edits, least_words, least_chars):
                             h = xxhash.xxh3_128_intdigest(line)
                             own = line if line.isascii() else line.decode("utf-8", "surrogateescape")

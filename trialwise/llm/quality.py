@@ -129,7 +129,8 @@ def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int
     fits = scratch.write(fits.join(spread, "g").withColumns(zero).drop(*[f"s_{a}" for a in names]))
     for _ in range(steps):
         far = _with_distance(rows, fits, names)
-        near = far.join(_levels(far, core), "g").where(F.floor(32 * F.log2(F.col("d2") + 1e-6)) <= F.col("edge"))
+        # written, so that its size is known: some hundred groups are broadcast, and a source with a third of all rows is not dealt to one task
+        near = far.join(scratch.write(_levels(far, core)), "g").where(F.floor(32 * F.log2(F.col("d2") + 1e-6)) <= F.col("edge"))
         # 1.5: consistency of a core of three quarters of normal rows in four dimensions
         fits = scratch.write(_factor(near.groupBy("g").agg(*_moments(names)), names, 1.5))
     return _with_distance(rows, fits, names).select(key, "d2", (F.col("d2") > cutoff).alias("outlier"))

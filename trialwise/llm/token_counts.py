@@ -6,6 +6,7 @@ at, and what follows until splits fall on an old boundary again; sums change alo
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +22,18 @@ AHEAD = 2
 class TokenTree:
     """A document's runs of pre-tokens under a binary tree of (characters, tokens)."""
 
-    def __init__(self, coder: Encoder, text: str, leaf: int = LEAF):
+    def __init__(self, coder: Encoder, text: str, leaf: int = LEAF, pieces: list[str] | None = None):
         self.coder, self.leaf, self.encoded = coder, leaf, 0
-        self._lay_out(coder.split(text))
+        self._lay_out(coder.split(text) if pieces is None else pieces)
         self.encoded = 0  # what edits alone encode
 
     def _count(self, pieces: list[str]) -> int:
         self.encoded += sum(map(len, pieces))
         try:
-            return sum([len(self.coder.known[p]) for p in pieces])
+            return sum([len(self.coder.known[p]) for p in pieces]) // 4
         except KeyError:
             self.coder.learn(set(pieces))
-            return sum([len(self.coder.known[p]) for p in pieces])
+            return sum([len(self.coder.known[p]) for p in pieces]) // 4
 
     def _lay_out(self, pieces: list[str]) -> None:
         self.runs = [pieces[i : i + self.leaf] for i in range(0, len(pieces), self.leaf)] or [[]]
@@ -119,12 +120,13 @@ def count_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", edits
     def work(batches):
         coder = encoder(path, pattern)
         for batch in batches:
-            texts, edits = batch.column("t").to_pylist(), batch.column("e").to_pylist()
-            for a, b in slices(texts):
-                out = []
-                coder.learn(set().union(*map(coder.split, texts[a:b])))
-                for t, todo in zip(texts[a:b], edits[a:b]):
-                    tree = TokenTree(coder, t)
+            column, edits = batch.column("t"), batch.column("e")
+            for a, b in slices(pc.utf8_length(column).to_pylist()):
+                out, texts = [], column.slice(a, b - a).to_pylist()
+                parts = [coder.split(t) for t in texts]
+                coder.learn(set().union(*parts))
+                for t, pieces, todo in zip(texts, parts, edits.slice(a, b - a).to_pylist()):
+                    tree = TokenTree(coder, t, pieces=pieces)
                     before = tree.n_tokens
                     for e in todo:
                         tree.edit(e["at"], e["remove"], e["insert"])
