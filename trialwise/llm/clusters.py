@@ -9,22 +9,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import KeyFilter, Scratch, connected_components
 
 #: Rows of a tile, and clusters up to this size are packed together.
 TILE, SMALL = 2048, 256
 
 
+#: Bits of a key that the first count looks at: shorter rows, and a few chance hits that the exact count then drops.
+SHORT = 40
+
+
 def clusters_by_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, cluster) of rows (id, keys array<long>) that share a key with another, directly or over others.
 
-    Key counts are combined before the shuffle, and each member of a key is tied to the key's least id only: a key
-    of n rows gives n rows, not n^2.
+    A first count, of shortened keys and combined before the shuffle, finds those that occur twice; a bitmap of them then
+    passes over the keys of all other rows where they are read, so that only the rest is dealt by key, with its id. Each member of a key is
+    tied to the key's least id only: a key of n rows gives n rows, not n^2.
     """
-    flat = keyed.select("id", F.explode("keys").alias("key"))
+    short = keyed.select(F.explode("keys").alias("key")).select(F.col("key").bitwiseAND(F.lit((1 << SHORT) - 1)).alias("key"))
+    may = KeyFilter(short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")).has()
+    scratch.release()
+
+    def work(batches):
+        for batch in batches:
+            column = batch.column("keys")
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+            ids = np.repeat(batch.column("id").to_numpy(), sizes)
+            hit = may(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(flat[hit])], ["id", "key"])
+
+    flat = scratch.write(keyed.select("id", "keys").mapInArrow(work, "id long, key long"))
     shared = flat.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     edges = flat.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    return connected_components(scratch.write(edges), scratch).toDF("id", "cluster")
+    out = connected_components(scratch.write(edges), scratch).toDF("id", "cluster")
+    scratch.drop(flat)
+    return out
 
 
 def deal_tiles(members: DataFrame, scratch: Scratch, ratio: float = 0.0, slack: int = 0, tile: int = TILE, small: int = SMALL) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,48 @@ class Scratch:
                 jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+    def release(self) -> None:
+        """Lets go of shuffle files that no live DataFrame refers to, rather than when the driver's memory next fills."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+class KeyFilter:
+    """A bitmap of 64-bit hashes, of fixed size, for workers to pass over rows that cannot match.
+
+    It lets through some rows too many, never too few; with many more keys than bits it lets through all, so what follows
+    must be right without it.
+    """
+
+    BITS, CHUNK = 1 << 26, 1 << 16
+
+    def __init__(self, keys: DataFrame):
+        """keys: one long column."""
+        at = F.col(keys.columns[0]).bitwiseAND(F.lit(self.BITS - 1))
+        placed = keys.select(F.floor(at / self.CHUNK).alias("chunk"), at.bitwiseAND(F.lit(self.CHUNK - 1)).alias("at")).distinct()
+
+        def pack(t: pa.Table) -> pa.Table:
+            bits = np.zeros(KeyFilter.CHUNK, np.uint8)
+            bits[t.column("at").to_numpy()] = 1
+            return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        bitmap = np.zeros(self.BITS // 8, np.uint8)
+        # at most BITS / CHUNK rows of CHUNK bits: 8 MB
+        for r in placed.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect():
+            bitmap[r["chunk"] * self.CHUNK // 8 :][: self.CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def has(self):
+        """What tells, on a worker, which of an array of hashes may be among the keys."""
+        shared, last = self.shared, np.int64(self.BITS - 1)
+
+        def test(h: np.ndarray) -> np.ndarray:
+            at = h.view(np.int64) & last
+            return (np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+        return test
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import Scratch, connected_components, table, text_of
+from .common import KeyFilter, Scratch, connected_components, table, text_of
 
 #: Edits between copies, words and characters a line must have to be judged: shorter ones recur by chance.
 EDITS, LEAST_WORDS, LEAST_CHARS = 2, 5, 20
@@ -149,22 +149,23 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> D
     return rows.select("k", "c", "t").mapInArrow(work, f"k {kind}, c long, i int, h1 long, h2 long, n long, keys array<long>")
 
 
-def _wanted_lines(rows: DataFrame) -> DataFrame:
-    """(id, payload) of rows (t, ids): the lines whose first hash is among ids."""
+def _wanted_lines(rows: DataFrame, holders: KeyFilter, lines: KeyFilter) -> DataFrame:
+    """(id, payload) of rows (h, t): lines whose first hash may be wanted, of documents that may hold the first copy of one."""
+    may, line_may = holders.has(), lines.has()
 
     def work(batches):
         import xxhash
 
         for batch in batches:
-            ids, lines = [], []
-            for t, wanted in zip(batch.column("t").to_pylist(), batch.column("ids").to_pylist()):
-                wanted = {x & (1 << 64) - 1 for x in wanted}
-                for line in set(t.encode("utf-8", "surrogateescape").split(b"\n")):
-                    if (h := xxhash.xxh3_128_intdigest(line) >> 64) in wanted:
-                        ids.append(h), lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(lines, pa.binary())], ["id", "payload"])
+            batch = batch.filter(pa.array(may(batch.column("h").to_numpy())))
+            column = batch.column("t")
+            for a, b in slices(pc.utf8_length(column).to_pylist()):
+                found = list({x for t in column.slice(a, b - a).to_pylist() for x in t.encode("utf-8", "surrogateescape").split(b"\n")})
+                ids = np.array([xxhash.xxh3_128_intdigest(x) >> 64 for x in found], np.uint64).view(np.int64)
+                hit = line_may(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([x for x, y in zip(found, hit) if y], pa.binary())], ["id", "payload"])
 
-    return rows.select("t", "ids").mapInArrow(work, "id long, payload binary")
+    return rows.select("h", "t").mapInArrow(work, "id long, payload binary")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -183,18 +184,23 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     members = near.join(classes.select(F.col("h1").alias("id"), "n", "first"), "id")
     members = scratch.write(members)
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("n").alias("size")), scratch, slack=edits))
-    # a document's list of wanted lines is bounded by its lines
-    wanted = members.groupBy(F.col("first.k").alias("k2"), F.col("first.c").alias("c2")).agg(F.collect_set("id").alias("ids"))
-    texts = _wanted_lines(rows.join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("c") == F.col("c2"))))
+    # lines are fetched from the documents that hold their first copies; other texts are passed over where they are read
+    holders = KeyFilter(members.select(F.xxhash64("first.k", "first.c").alias("h")))
+    texts = _wanted_lines(rows.withColumn("h", F.xxhash64("k", "c")), holders, KeyFilter(members.select("id")))
     edges = scratch.write(compare(dealt.join(texts, "id"), link_lines(edits), "a long, b long"))
     component = scratch.write(connected_components(edges, scratch))
+    scratch.release()
     rooted = classes.join(component.select(F.col("node").alias("h1"), "component"), "h1", "left").where("copies > 1 or component is not null")
     rooted = scratch.write(rooted.select(*mark, "first", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "h1").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     judged_lines = lines.drop("keys").join(rooted.join(kept, "root").select(*mark, "keep"), mark)
     gone = judged_lines.where(~F.struct("k", "c", "i").eqNullSafe(F.col("keep")))
     # a document's dropped lines are bounded by its lines
-    return gone.groupBy("k", "c").agg(F.array_sort(F.collect_set("i")).alias("dropped"), F.array_sort(F.collect_set("keep.k")).alias("kept_in")).withColumnRenamed("k", key)
+    out = gone.groupBy("k", "c").agg(F.array_sort(F.collect_set("i")).alias("dropped"), F.array_sort(F.collect_set("keep.k")).alias("kept_in")).withColumnRenamed("k", key)
+    out = scratch.write(out)
+    scratch.drop(lines)
+    scratch.release()
+    return out
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
