@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import Scratch, connected_components, table, text_of
+from .common import KeyFilter, Scratch, connected_components, table, text_of
 
 #: Coordinates of a point, and entries of a tree's node.
 GROUPS, FAN = 32, 16
@@ -58,28 +58,34 @@ def most_apart(n: int, percent: int) -> int:
     return (100 - percent) * n // percent
 
 
-def level(n: int, percent: int) -> int:
-    """Bits of the number of hash groups for a set of n."""
-    return int(1.25 * (most_apart(n, percent) + 1) + 3).bit_length()
+def groups(n: int, percent: int) -> int:
+    """Number of hash groups for a set of n: from a row of numbers that grow by half, the first with room for d + 1 non-empty groups."""
+    need, m = 1.05 * (most_apart(n, percent) + 1) + 1, 2.0
+    while int(m) < need:
+        m *= 1.5
+    return int(m)
 
 
-def group_keys(h: np.ndarray, percent: int) -> list[int]:
+def group_keys(h: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the contents of hash groups: the first d + 1 that are not empty, in the order of groups.
 
     Of two linked sets, the one whose list ends first has d + 1 of its groups in there, at most d of them touched. Should groups not suffice, single
     shingles follow in order as groups of their own; a shingle then touches two, so 2 d + 1 are taken.
-    Sets near the edge of a level are in both, as a partner may be at most 100 / percent times as large.
+    Sets near the edge of a number of groups are in both, as a partner may be at most 100 / percent times as large. A
+    set that has no room for a difference is linked only to its equals, and needs no keys.
     """
     n, out = len(h), []
     d = most_apart(n, percent)
-    for bits in {level(n, percent), level(n * 100 // percent, percent)}:
-        group = h >> U(64 - bits)
+    if d == 0:
+        return np.empty(0, np.int64)
+    for m in {groups(n, percent), groups(n * 100 // percent, percent)}:
+        # the upper half of a hash says which group, so sorted hashes are sorted by group
+        group = (h >> U(32)) * U(m) >> U(32)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        content = np.add.reduceat(mix(h ^ U(bits)), starts)
-        keys = mix(content + (group[starts] << U(6)) + U(bits))[: d + 1]
-        out.append(keys)
+        content = np.add.reduceat(mix(h ^ U(m)), starts)
+        out.append(mix(content + (group[starts] << U(20)) + U(m))[: d + 1])
         if len(starts) <= d:
-            out.append(mix(np.sort(mix(h + U(bits)))[: 2 * d + 1 - len(starts)]))
+            out.append(mix(np.sort(mix(h + U(m)))[: 2 * d + 1 - len(starts)]))
     return np.concatenate(out).view(np.int64)
 
 
@@ -129,24 +135,27 @@ def link_sets(percent: int):
     return link
 
 
-def _shingled(rows: DataFrame, size: int, percent: int, with_sets: bool) -> DataFrame:
-    """rows (k, t, ...) to (k, n, d1, d2, keys) or (k, n, d1, d2, sets)."""
-    kind, last = dict(rows.dtypes)["k"], "sets" if with_sets else "keys"
+def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None = None) -> DataFrame:
+    """rows (k, h, t) to (k, n, d1, d2, keys); with wanted, those alone whose h may be wanted, to (k, h, n, d1, d2, sets)."""
+    kind = dict(rows.dtypes)["k"]
+    may = wanted and wanted.has()
 
     def work(batches):
         for batch in batches:
+            if may:
+                batch = batch.filter(pa.array(may(batch.column("h").to_numpy())))
             column = batch.column("t")
             for a, b in slices(pc.utf8_length(column).to_pylist()):
                 sets = [shingle_set(t, size) for t in column.slice(a, b - a).to_pylist()]
                 marks = [digest(h) for h in sets]
-                lists = [h.view(np.int64) if with_sets else group_keys(h, percent) if len(h) else np.empty(0, np.int64) for h in sets]
+                lists = [h.view(np.int64) if may else group_keys(h, percent) for h in sets]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), pa.int64()))],
-                    ["k", "n", "d1", "d2", last],
+                    [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), pa.int64()))],
+                    ["k", "h", "n", "d1", "d2", "sets" if may else "keys"],
                 )
 
-    return rows.select("k", "t").mapInArrow(work, f"k {kind}, n long, d1 long, d2 long, {last} array<long>")
+    return rows.select("k", "h", "t").mapInArrow(work, f"k {kind}, h long, n long, d1 long, d2 long, {'sets' if may else 'keys'} array<long>")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -157,19 +166,23 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     nothing: their ids are their own keys. Null keys are rows like others; a component of them alone has a null id.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t"))
-    marked = scratch.write(_shingled(rows, size, percent, False))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), text_of(text).alias("t"))
+    marked = scratch.write(_shingled(rows, size, percent).drop("h"))
     same = ["n", "d1", "d2"]
     marks = marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least"), F.min(F.struct(F.xxhash64("d1", "d2").alias("id"), "keys")).alias("x"))
     classes = scratch.write(marks.select(*same, "least", F.col("x.id").alias("id"), F.col("x.keys").alias("keys")))
     near = scratch.write(clusters_by_keys(classes.select("id", "keys"), scratch))
     members = near.join(classes.select("id", *same, "least"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("n").alias("size")), scratch, percent / 100))
-    # the sets of clustered classes alone are made again, each from the document with the least key
-    wanted = members.select(F.col("least").alias("k2"), "id", *[F.col(c).alias(f"{c}2") for c in same])
-    again = rows.join(members.select(F.col("least").alias("k2")).distinct(), F.col("k").eqNullSafe(F.col("k2"))).select("k", "t")
-    sets = _shingled(again, size, percent, True).join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("d12")) & (F.col("d2") == F.col("d22"))).select("id", F.col("sets").alias("payload"))
-    edges = scratch.write(compare(dealt.join(sets, "id"), link_sets(percent), "a long, b long"))
+    # the sets of clustered classes alone are made again, each from the document with the least key; texts are passed over where they are read
+    wanted = members.select(F.col("least").alias("k2"), F.xxhash64("least").alias("h2"), "id", *[F.col(c).alias(f"{c}2") for c in same])
+    again = _shingled(rows, size, percent, KeyFilter(wanted.select("h2")))
+    sets = again.join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("d12")) & (F.col("d2") == F.col("d22")))
+    # each class's place in the tiles goes with its set, so that sets are dealt twice at most
+    places = dealt.groupBy("id").agg(F.collect_list(F.struct("bin", "cluster", "pair", "side")).alias("places"))
+    sets = sets.select("id", F.col("sets").alias("payload")).join(places, "id").select("id", "payload", F.explode("places").alias("p"))
+    edges = scratch.write(compare(sets.select("p.*", "id", "payload"), link_sets(percent), "a long, b long"))
+    scratch.release()
     component = connected_components(edges, scratch)
     rooted = classes.join(component.select(F.col("node").alias("id"), "component"), "id", "left").select(*same, "least", F.coalesce("component", "id").alias("root"))
     rooted = scratch.write(rooted)
