@@ -1,4 +1,337 @@
-"""Queries over the test tables, and SQL for the same results."""
+"""Queries over the test tables, and SQL for the same results. Every query runs over whole tables; floats are rounded to 6 places on both sides."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import math as M
+from ..functions import windows
+from ..operators import gram, local, preprocessing, rsa, splits, tasks
+from ..sources import generators
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("trial"), F.col("embedding").cast("array<double>").alias("x"), "label")
+
+
+def _paired(spark, sf_dir) -> DataFrame:
+    """Each vector and the one that follows it."""
+    v = _vectors(spark, sf_dir)
+    nxt = v.select((F.col("trial") - 1).alias("trial"), F.col("x").alias("y"))
+    return v.select("trial", "x").join(nxt, "trial")
+
+
+def _r(c, places: int = 6):
+    """Rounded; minus zero becomes zero."""
+    return F.round(c, places) + F.lit(0.0)
+
+
+def _pairwise(f):
+    return lambda spark, sf_dir: _paired(spark, sf_dir).select("trial", _r(f("x", "y")).alias("value"))
+
+
+_PAIRS = """WITH v AS (SELECT vec_id AS trial, embedding::DOUBLE[] AS x FROM embeddings),
+p AS (SELECT a.trial, a.x, b.x AS y FROM v a JOIN v b ON b.trial = a.trial + 1),
+e AS (SELECT trial, unnest(x) AS a, unnest(y) AS b FROM p) """
+
+
+def _pair_sql(expr: str) -> str:
+    return f"{_PAIRS} SELECT trial, round({expr}, 6) + 0.0::DOUBLE AS value FROM e GROUP BY trial"
+
+
+_CORR = "sum((a - ma) * (b - mb)) / (sqrt(sum((a - ma) ** 2)) * sqrt(sum((b - mb) ** 2)))"
+
+
+def _corr_sql(minus: str, source: str = "e") -> str:
+    return f", m AS (SELECT *, avg(a) OVER (PARTITION BY trial) AS ma, avg(b) OVER (PARTITION BY trial) AS mb FROM {source}) SELECT trial, round({minus}{_CORR}, 6) + 0.0::DOUBLE AS value FROM m GROUP BY trial"
+
+
+_RANKS = ", k AS (SELECT trial, rank() OVER (PARTITION BY trial ORDER BY a) + (count(*) OVER (PARTITION BY trial, a) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY trial ORDER BY b) + (count(*) OVER (PARTITION BY trial, b) - 1) / 2.0::DOUBLE AS b FROM e)"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+for _name, _f, _sql in (
+    ("cosine", M.cosine, _pair_sql("sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))")),
+    ("cosine_d", M.cosine_d, _pair_sql("1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))")),
+    ("euclidean", M.euclidean, _pair_sql("sqrt(sum((a - b) ** 2))")),
+    ("pearsonr", M.pearsonr, _PAIRS + _corr_sql("")),
+    ("pearsonr_d", M.pearsonr_d, _PAIRS + _corr_sql("1 - ")),
+    ("spearmanr", M.spearmanr, _PAIRS + _RANKS + _corr_sql("", "k")),
+    ("spearmanr_d", M.spearmanr_d, _PAIRS + _RANKS + _corr_sql("1 - ", "k")),
+    ("r2", M.r2, _PAIRS + ", m AS (SELECT *, avg(a) OVER (PARTITION BY trial) AS ma FROM e) SELECT trial, round(CASE WHEN sum((a - ma) ** 2) = 0 THEN 0 ELSE 1 - sum((a - b) ** 2) / sum((a - ma) ** 2) END, 6) + 0.0::DOUBLE AS value FROM m GROUP BY trial"),
+    ("kernel_linear", M.kernel_linear, _pair_sql("sum(a * b)")),
+    ("kernel_poly", lambda x, y: M.kernel_poly(x, y, 1.0, 0.5, 2.0), _pair_sql("(0.5 + sum(a * b)) ** 2")),
+    ("kernel_rbf", lambda x, y: M.kernel_rbf(x, y, 0.5), _pair_sql("exp(-0.5 * greatest(0, sum(a * a) + sum(b * b) - 2 * sum(a * b)))")),
+    ("kernel_sigmoid", lambda x, y: M.kernel_sigmoid(x, y, 1.0, 0.1), _pair_sql("(exp(2 * (0.1 + sum(a * b))) - 1) / (exp(2 * (0.1 + sum(a * b))) + 1)")),
+    ("mahalanobis", lambda x, y: M.mahalanobis(x, y, (2 * np.eye(64)).tolist()), _pair_sql("sqrt(2 * sum((a - b) ** 2))")),
+):
+    QUERIES[_name], ORACLE_SQL[_name] = _pairwise(_f), _sql
+
+
+@query("""SELECT l_returnflag, round(avg((l_linestatus = 'F')::INT), 6) + 0.0::DOUBLE AS value FROM lineitem GROUP BY l_returnflag""")
+def accuracy(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.lit("F").alias("guess"))
+    return M.grouped(df, ["l_returnflag"], "l_linestatus", "guess", "accuracy").withColumn("value", _r("value"))
+
+
+@query("SELECT p_partkey, p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS rank FROM part")
+def rank(spark, sf_dir):
+    return M.ranked(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size").select("p_partkey", "p_brand", "rank")
+
+
+@query("""WITH j AS (SELECT d.lang, l.quality, d.n_chars FROM labels l JOIN documents d USING (doc_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS r FROM j)
+SELECT lang, round((sum(CASE WHEN quality = 1 THEN r ELSE 0 END) - sum(quality) * (sum(quality) + 1) / 2.0::DOUBLE) / (sum(quality) * (count(*) - sum(quality))), 6) + 0.0::DOUBLE AS value FROM r GROUP BY lang""")
+def roc_auc(spark, sf_dir):
+    df = _t(spark, sf_dir, "labels").select("doc_id", "quality").join(_t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return M.grouped(df, ["lang"], "quality", "n_chars", "roc_auc").withColumn("value", _r("value"))
+
+
+_TWO = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS trial FROM embeddings),
+d AS (SELECT a.label AS i, b.label AS j, a.trial, unnest(a.x) AS a, unnest(b.x) AS b, generate_subscripts(a.x, 1) AS k FROM v a JOIN v b ON a.trial = b.trial AND a.label < b.label),
+s AS (SELECT i, j, k, sum(a - b) AS s, sum((a - b) ** 2) AS q, count(*) AS n FROM d GROUP BY i, j, k) """
+
+
+def _grouped_trials(spark, sf_dir):
+    trial = F.row_number().over(Window.partitionBy("label").orderBy("trial"))
+    return _vectors(spark, sf_dir).select(trial.alias("rep"), F.col("label").alias("g"), "x").withColumnRenamed("rep", "trial")
+
+
+@query(_TWO + "SELECT i, j, round((sum(s * s) - sum(q)) / max(n) ** 2, 6) + 0.0::DOUBLE AS value FROM s GROUP BY i, j")
+def rsa_grouped_cv(spark, sf_dir):
+    return rsa.grouped_rsa(_grouped_trials(spark, sf_dir)).withColumn("value", _r("value"))
+
+
+QUERIES["cv_euclidean"], ORACLE_SQL["cv_euclidean"] = rsa_grouped_cv, ORACLE_SQL["rsa_grouped_cv"]
+
+
+@query(_TWO + "SELECT i, j, round(2 * (sum(s * s) - sum(q)) / max(n) ** 2, 6) + 0.0::DOUBLE AS value FROM s GROUP BY i, j")
+def cv_mahalanobis(spark, sf_dir):
+    return rsa.grouped_rsa(_grouped_trials(spark, sf_dir), precision=(2 * np.eye(64)).tolist()).withColumn("value", _r("value"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
+s AS (SELECT vec_id, k, (v - avg(v) OVER (PARTITION BY k)) / stddev_samp(v) OVER (PARTITION BY k) AS z FROM e),
+w AS (SELECT vec_id, list(z ORDER BY k) AS z FROM s GROUP BY vec_id)
+SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.z, b.z), 6) + 0.0::DOUBLE AS value FROM w a JOIN w b ON a.vec_id < b.vec_id""")
+def rsa_euclidean(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    return rsa.rsa(preprocessing.Scaler().fit_transform(df)).withColumn("value", _r("value"))
+
+
+def _prices(spark, sf_dir):
+    key = F.monotonically_increasing_id()
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice").alias("x"), "l_returnflag").withColumn("__id", key).drop("__id")
+
+
+_L = "WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS q, l_extendedprice AS p FROM lineitem), "
+
+
+def _out(df):
+    return df.select("l_orderkey", "l_linenumber", _r(F.col("x")[0]).alias("q"), _r(F.col("x")[1]).alias("p"))
+
+
+@query(_L + "s AS (SELECT l_returnflag, avg(q) mq, stddev_samp(q) sq, avg(p) mp, stddev_samp(p) sp FROM l GROUP BY 1) SELECT l_orderkey, l_linenumber, round((q - mq) / sq, 6) + 0.0::DOUBLE AS q, round((p - mp) / sp, 6) + 0.0::DOUBLE AS p FROM l JOIN s USING (l_returnflag)")
+def scaler(spark, sf_dir):
+    return _out(preprocessing.Scaler(by=["l_returnflag"]).fit_transform(_prices(spark, sf_dir)))
+
+
+def _robust(col):
+    def q(x):
+        return f"CASE WHEN count(*) % 2 = 1 THEN list_sort(list({col}))[1 + floor({x} * (count(*) - 1))::INT] ELSE quantile_cont({col}, {x}) END"
+
+    return f"{q(0.5)} AS m{col}, {q(0.75)} - {q(0.25)} AS s{col}"
+
+
+@query(_L + f"s AS (SELECT l_returnflag, {_robust('q')}, {_robust('p')} FROM l GROUP BY 1) SELECT l_orderkey, l_linenumber, round((q - mq) / CASE WHEN sq = 0 THEN 1 ELSE sq END, 6) + 0.0::DOUBLE AS q, round((p - mp) / CASE WHEN sp = 0 THEN 1 ELSE sp END, 6) + 0.0::DOUBLE AS p FROM l JOIN s USING (l_returnflag)")
+def robust_scaler(spark, sf_dir):
+    return _out(preprocessing.RobustScaler(by=["l_returnflag"]).fit_transform(_prices(spark, sf_dir)))
+
+
+_CLIP = " SELECT l_orderkey, l_linenumber, round(least(greatest(q, lq), hq), 6) + 0.0::DOUBLE AS q, round(least(greatest(p, lp), hp), 6) + 0.0::DOUBLE AS p FROM l, s"
+for _m, _sql in (
+    ("iqr", "s AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS l{c}, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS h{c}" for c in "qp") + " FROM l)"),
+    ("quantile", "s AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.05) AS l{c}, quantile_cont({c}, 0.95) AS h{c}" for c in "qp") + " FROM l)"),
+    ("mad", "m AS (SELECT median(q) AS mq, median(p) AS mp FROM l), s AS (SELECT " + ", ".join(f"max(m{c}) - 3 * median(abs({c} - m{c})) AS l{c}, max(m{c}) + 3 * median(abs({c} - m{c})) AS h{c}" for c in "qp") + " FROM l, m)"),
+):
+    QUERIES[f"clamp_{_m}"] = lambda spark, sf_dir, m=_m: _out(preprocessing.Clamp(method=m).fit_transform(_prices(spark, sf_dir)))
+    ORACLE_SQL[f"clamp_{_m}"] = _L + _sql + _CLIP
+
+
+@query("""SELECT o_orderkey, (o_orderstatus = 'F')::INT AS f, (o_orderstatus = 'O')::INT AS o, (o_orderstatus = 'P')::INT AS p, o_orderstatus AS back FROM orders""")
+def label_binarise(spark, sf_dir):
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", F.array("o_orderstatus").alias("y"))
+    m = preprocessing.LabelBinariser().fit(df)
+    coded = m.transform(df)
+    at = {k: i for i, k in enumerate(m.labels[0])}
+    back = m.inverse_transform(coded).select("o_orderkey", F.col("y")[0].alias("back"))
+    zero = F.lit(0)
+    return coded.select("o_orderkey", *[(F.col("y")[at[k]] if k in at else zero).alias(k.lower()) for k in "FOP"]).join(back, "o_orderkey")
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, (CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n % 7) * (n // 7 + 1)) // (n // 7) END)::INT AS fold FROM r""")
+def kfold(spark, sf_dir):
+    return splits.KFold(7).assign(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "fold")
+
+
+@query("""WITH c AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS c FROM embeddings GROUP BY label),
+r AS (SELECT vec_id, c, row_number() OVER (PARTITION BY c ORDER BY vec_id) - 1 AS m, row_number() OVER (ORDER BY c, vec_id) - 1 AS g FROM embeddings JOIN c USING (label)),
+a AS (SELECT c, g % 5 AS f, count(*) AS n FROM r GROUP BY 1, 2),
+u AS (SELECT c, f, sum(n) OVER (PARTITION BY c ORDER BY f) AS upto FROM a)
+SELECT vec_id, (SELECT min(f) FROM u WHERE u.c = r.c AND m < upto)::INT AS fold FROM r""")
+def stratified_kfold(spark, sf_dir):
+    df = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return splits.StratifiedKFold(5, y="label").assign(df, "vec_id").select("vec_id", "fold")
+
+
+@query()
+def repeated_kfold(spark, sf_dir):
+    return splits.RepeatedKFold(5, 2, 1).assign(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "repeat", "fold")
+
+
+@query()
+def repeated_stratified_kfold(spark, sf_dir):
+    df = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return splits.RepeatedStratifiedKFold(5, 2, 1, y="label").assign(df, "vec_id").select("vec_id", "repeat", "fold")
+
+
+@query()
+def leave_groups_out(spark, sf_dir):
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return splits.LeaveGroupsOut(5, groups="o_custkey").assign(df, "o_orderkey").select("o_orderkey", "o_custkey", "repeat", "fold")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_totalprice AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+f AS (SELECT *, (CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold, 100000.0::DOUBLE AS p FROM r),
+s AS (SELECT fold, sum(y) AS s, count(*) AS c FROM f GROUP BY 1), b AS (SELECT fold, ((SELECT sum(s) FROM s) - s) / ((SELECT sum(c) FROM s) - c) AS b FROM s)
+SELECT fold, round(1 - sum((y - p) ** 2) / sum((y - b) ** 2), 6) + 0.0::DOUBLE AS value FROM f JOIN b USING (fold) GROUP BY fold""")
+def r2_train_baseline(spark, sf_dir):
+    df = splits.KFold(5).assign(_t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("y")), "o_orderkey").withColumn("p", F.lit(100000.0))
+    sums = df.groupBy("fold").agg(F.sum("y").alias("s"), F.count("*").alias("c"))
+    all_rows = Window.partitionBy()
+    base = sums.select("fold", ((F.sum("s").over(all_rows) - F.col("s")) / (F.sum("c").over(all_rows) - F.col("c"))).alias("b"))
+    return M.grouped(df.join(F.broadcast(base), "fold"), ["fold"], "y", "p", "r2", y_b="b").withColumn("value", _r("value"))
+
+
+_COV = """WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+z AS (SELECT vec_id, k, v - avg(v) OVER (PARTITION BY k) AS z FROM e),
+s AS (SELECT a.k AS i, b.k AS j, avg(a.z * b.z) AS s, avg(a.z ** 2 * b.z ** 2) AS q, count(*) AS n FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2),
+m AS (SELECT sum(CASE WHEN i = j THEN s ELSE 0 END) AS tr, max(i) + 1.0::DOUBLE AS f, max(n) AS n, sum(s * s) AS ss, sum(q - s * s) AS phi FROM s),
+g AS (SELECT *, tr / f AS mu, (SELECT sum((s - CASE WHEN i = j THEN tr / f ELSE 0 END) ** 2) FROM s, m) AS ga FROM m), """
+for _m, _d in (("empirical", "0.0::DOUBLE"), ("ledoitwolf", "least(1, greatest(0, phi / ga / n))"), ("oas", "least(1, greatest(0, ((1 - 2 / f) * ss + tr * tr) / ((n + 1 - 2 / f) * (ss - tr * tr / f))))")):
+
+    def _cov(spark, sf_dir, m=_m):
+        C, _, _, shrink = rsa.covariance_fit(_vectors(spark, sf_dir), m)
+        rows = [(i, j, round(float(C[i, j]), 6) + 0.0, round(float(shrink), 6) + 0.0) for i in range(len(C)) for j in range(len(C))]
+        return spark.createDataFrame(rows, "i long, j long, value double, shrinkage double")
+
+    QUERIES[f"covariance_{_m}"] = _cov
+    ORACLE_SQL[f"covariance_{_m}"] = _COV + f"d AS (SELECT *, {_d} AS d FROM g) SELECT i, j, round(CASE WHEN i = j THEN d * mu ELSE 0 END + (1 - d) * s, 6) + 0.0::DOUBLE AS value, round(d, 6) + 0.0::DOUBLE AS shrinkage FROM s, d"
+
+
+@query("""WITH l AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+m AS (SELECT g, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM l GROUP BY g),
+c AS (SELECT l.g, n, mx, my, x - mx AS a, y - my AS b FROM l JOIN m USING (g)),
+s AS (SELECT g, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum(a * a) AS xx, sum(a * b) AS xy FROM c GROUP BY g),
+k AS (SELECT g, al, sum(((b - a * xy / (xx + al)) / (1 - 1.0::DOUBLE / s.n - a * a / (xx + al))) ** 2) AS loss FROM c JOIN s USING (g), (SELECT unnest([0.1::DOUBLE, 10, 1000, 100000]) AS al) GROUP BY g, al),
+b AS (SELECT g, arg_min(al, loss) AS al FROM k GROUP BY g)
+SELECT g AS l_returnflag, al AS alpha, round(xy / (xx + al), 4) + 0.0::DOUBLE AS coef, round(my - mx * xy / (xx + al), 3) + 0.0::DOUBLE AS intercept FROM s JOIN b USING (g)""")
+def ridge_cv_1d(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.array("l_quantity").alias("x"), F.array("l_extendedprice").alias("y"))
+    m = gram.ridge_cv(df, ["l_returnflag"], [0.1, 10.0, 1000.0, 100000.0])
+    return m.select("l_returnflag", F.col("alpha")[0].alias("alpha"), _r(F.col("coef")[0][0], 4).alias("coef"), _r(F.col("intercept")[0], 3).alias("intercept"))
+
+
+@query()
+def ridge_cv(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.array("l_extendedprice").alias("y"))
+    return gram.ridge_cv(df, ["l_returnflag"], np.logspace(-5, 5, 10).tolist())
+
+
+_DAYS = "WITH s AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS t, sum(value) AS v FROM events GROUP BY 1, 2), "
+
+
+@query(_DAYS + "w AS (SELECT user_id, t, coalesce(lag(v, 1) OVER o, first_value(v) OVER o) AS a, v AS b, coalesce(lead(v, 1) OVER o, v) AS c FROM s WINDOW o AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, t, round(a, 6) + 0.0::DOUBLE AS before, round(b, 6) + 0.0::DOUBLE AS now, round(c, 6) + 0.0::DOUBLE AS after FROM w")
+def time_delayed_design(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("t")).agg(F.sum("value").alias("v"))
+    out = rsa.lagged_design(ev.select("user_id", "t", F.array("v").alias("x")), [-1, 0, 1], ["user_id"])
+    return out.select("user_id", "t", *[_r(F.col("design")[i]).alias(n) for i, n in enumerate(("before", "now", "after"))])
+
+
+for _n, _f, _a in (("hann_window", windows.hann_window, "0.5"), ("hamming_window", windows.hamming_window, "25.0::DOUBLE / 46"), ("raised_cosine_window", lambda n: windows.raised_cosine_window(n, 0.6), "0.6")):
+    QUERIES[_n] = lambda spark, sf_dir, f=_f: spark.range(1).select(F.posexplode(f(129)).alias("i", "w")).select("i", _r("w").alias("w"))
+    ORACLE_SQL[_n] = f"SELECT i::INT AS i, round({_a} - (1 - {_a}) * cos(2 * pi() * i / 128), 6) + 0.0::DOUBLE AS w FROM range(129) t(i)"
+
+
+@query("""SELECT m AS mask, bit_count(m)::INT AS n FROM (SELECT unnest(generate_series(1, 31))::INT AS m)""")
+def hierarchical_sets(spark, sf_dir):
+    sets, _ = tasks.feature_sets(5)
+    return spark.createDataFrame([(sum(1 << g for g in s), len(s)) for s in sets], "mask int, n int")
+
+
+def _labelled(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("trial", "x", F.array(F.col("label").cast("double")).alias("y"))
+
+
+@query()
+def cross_validated_classifier(spark, sf_dir):
+    return tasks.cross_val_score(local.RidgeClassifier(np.logspace(-3, 3, 7)), _labelled(spark, sf_dir), 5, (tasks.accuracy, tasks.roc_auc))
+
+
+@query()
+def kernel_ridge(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", "label", F.slice("x", 2, 63).alias("x"), F.slice("x", 1, 1).alias("y"))
+    return tasks.cross_val_score(local.KernelRidgeCV([0.1, 1.0, 10.0], "rbf"), df, 3, (tasks.r2, tasks.pearsonr), keys=["label"])
+
+
+@query()
+def svc(spark, sf_dir):
+    return tasks.cross_val_score(local.SVC(max_iter=200), _labelled(spark, sf_dir), 3, tasks.accuracy)
+
+
+@query()
+def hierarchical(spark, sf_dir):
+    df = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double"), (F.col("s_suppkey") % 3).cast("double")).alias("x"), F.array("s_acctbal").alias("y"))
+    return tasks.hierarchical_score(local.RidgeCV([0.1, 10.0]), df, 3)[1]
+
+
+@query()
+def shapley(spark, sf_dir):
+    df = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double"), (F.col("s_suppkey") % 3).cast("double")).alias("x"), F.array("s_acctbal").alias("y"))
+    return tasks.shapley_score(local.RidgeCV([0.1, 10.0]), df, np.eye(3, dtype=bool), n_permutations=4)
+
+
+@query()
+def sliding_patterns(spark, sf_dir):
+    return tasks.Sliding(local.RidgeDecoder([0.1, 1.0, 10.0]), ["label"]).collect(_vectors(spark, sf_dir).select("trial", "label", F.slice("x", 3, 62).alias("x"), F.slice("x", 1, 2).alias("y")), ["coef_", "pattern_"])
+
+
+@query()
+def kernel_matrix(spark, sf_dir):
+    v = _vectors(spark, sf_dir).select(F.col("trial").alias("row"), "x")
+    return rsa.kernel_blocks(v, v, "rbf", 0.5)
+
+
+for _k in ("continuous", "discrete", "categorical"):
+    QUERIES[f"make_meeg_{_k}"] = lambda spark, sf_dir, k=_k: getattr(generators, f"make_meeg_{k}")(spark, n_trials=8, n_channels=16)
+QUERIES["make_meeg_layout"] = lambda spark, sf_dir: generators.make_layout(spark)
+QUERIES["make_meeg_colours"] = lambda spark, sf_dir: generators.make_colours(generators.make_layout(spark))

@@ -1,0 +1 @@
+"""The inventory has no streaming operators; fitted models apply to streams as they are, being column expressions."""
