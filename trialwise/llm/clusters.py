@@ -19,31 +19,53 @@ TILE, SMALL = 2048, 256
 SHORT = 40
 
 
-def clusters_by_keys(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+def clusters_by_keys(keyed: DataFrame, scratch: Scratch, meet=None) -> DataFrame:
     """(id, cluster) of rows (id, keys array<long>) that share a key with another, directly or over others.
 
     A first count, of shortened keys and combined before the shuffle, finds those that occur twice; a bitmap of them then
     passes over the keys of all other rows where they are read, so that only the rest is dealt by key, with its id. Each member of a key is
     tied to the key's least id only: a key of n rows gives n rows, not n^2.
+
+    With meet, keyed has a column mark (binary) as well, and members of a key are tied only as meet(keys, ids, marks) says: it
+    gets arrays sorted by key, without repeats, and yields pairs of ids that span what may be linked. Keys of more than TILE rows are tied
+    as before, so no task gathers more of one key.
     """
     short = keyed.select(F.explode("keys").alias("key")).select(F.col("key").bitwiseAND(F.lit((1 << SHORT) - 1)).alias("key"))
     may = KeyFilter(short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")).has()
     scratch.release()
+    more = ["mark"] if meet else []
 
     def work(batches):
         for batch in batches:
             column = batch.column("keys")
             flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
-            ids = np.repeat(batch.column("id").to_numpy(), sizes)
+            at = np.repeat(np.arange(len(sizes)), sizes)
             hit = may(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(flat[hit])], ["id", "key"])
-
-    flat = scratch.write(keyed.select("id", "keys").mapInArrow(work, "id long, key long"))
-    shared = flat.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    edges = flat.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    out = connected_components(scratch.write(edges), scratch).toDF("id", "cluster")
+            at = pa.array(at[hit])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(flat[hit]), *[batch.column(c).take(at) for c in more]], ["id", "key", *more])
+
+    flat = scratch.write(keyed.select("id", "keys", *more).mapInArrow(work, "id long, key long" + ", mark binary" * bool(meet)))
+    shared = flat.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z")
+    if meet:
+
+        def cells(t: pa.Table) -> pa.Table:
+            key, ids = t.column("key").to_numpy(), t.column("id").to_numpy()
+            order = np.lexsort((ids, key))
+            order = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]
+            a, b = meet(key[order], ids[order], t.column("mark").combine_chunks().take(pa.array(order)))
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        # few keys can have so many rows: a table of known size, broadcast below the session's threshold
+        hot = scratch.write(shared.where(F.col("n") > TILE).select("key", "a"))
+        tagged = flat.join(hot, "key", "left")
+        alike = tagged.where("a is null").select(F.pmod(F.xxhash64("key"), F.lit(BINS)).alias("bin"), "key", "id", "mark").groupBy("bin").applyInArrow(cells, "a long, b long")
+        edges = tagged.where("a <> id").select("a", F.col("id").alias("b")).union(alike).distinct()
+    else:
+        edges = flat.join(shared.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    edges = scratch.write(edges)
     scratch.drop(flat)
-    return out
+    scratch.release()
+    return connected_components(edges, scratch).toDF("id", "cluster")
 
 
 def deal_tiles(members: DataFrame, scratch: Scratch, ratio: float = 0.0, slack: int = 0, tile: int = TILE, small: int = SMALL) -> DataFrame:

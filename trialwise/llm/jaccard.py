@@ -2,9 +2,9 @@
 
 Shingles hash into groups. A document's group counts are a point; an R-tree over points bounds the overlap of a query
 with whatever lies in a node's box by the sum of coordinate minima, and pairs that survive are verified on the shingle
-sets. The trees stand in tiles of clusters: two sets within the threshold differ in at most d shingles, so of any d + 1
-non-empty hash groups of one, one at least has the same content in the other; documents that share such a
-group's content are in one cluster.
+sets. So that trees need not hold the corpus, they stand in cells: two sets within the threshold differ in at most d
+shingles, so of any d + 1 non-empty hash groups of one, one at least has the same content in the other, and
+documents that share a group's content are in one cell. Cells' surviving pairs form clusters, verified in tiles by trees again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .clusters import Sets, clusters_by_keys, compare, deal_tiles
 from .common import KeyFilter, Scratch, connected_components, table, text_of
 
 #: Coordinates of a point, and entries of a tree's node.
-GROUPS, FAN = 32, 16
+GROUPS, FAN = 16, 16
 U = np.uint64
 
 
@@ -59,17 +59,26 @@ def most_apart(n: int, percent: int) -> int:
 
 
 def groups(n: int, percent: int) -> int:
-    """Number of hash groups for a set of n: from a row of numbers that grow by half, the first with room for d + 1 non-empty groups."""
-    need, m = 1.05 * (most_apart(n, percent) + 1) + 1, 2.0
-    while int(m) < need:
-        m *= 1.5
+    """Number of hash groups for a set of n: from a row of numbers that grow by 1.3, the first that leaves few enough shingles in a group."""
+    most, m = (4.3 if percent >= 85 else 2.4), 4.0
+    while int(m) * most < n:
+        m *= 1.3
     return int(m)
 
 
+def least_in_group(m: int, percent: int) -> int:
+    """Shingles that a group's content needs to count, by number of groups. Contents of one shingle meet by chance; where groups
+    are many enough, d + 1 of two or three shingles are sure to be there but for rare sets, which fall back on single shingles."""
+    if m < 64:
+        return 1
+    return 3 if m >= 400 and percent >= 85 else 2
+
+
 def group_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the contents of hash groups: the first d + 1 that are not empty, in the order of groups.
+    """Hashes of the contents of hash groups: the first d + 1 that hold enough shingles, in the order of groups.
 
-    Of two linked sets, the one whose list ends first has d + 1 of its groups in there, at most d of them touched. Should groups not suffice, single
+    Of two linked sets, the one whose list ends first has d + 1 such groups in there, at most d of them touched; one that is not
+    touched has the same content, so the same size, in the other. Should groups not suffice, single
     shingles follow in order as groups of their own; a shingle then touches two, so 2 d + 1 are taken.
     Sets near the edge of a number of groups are in both, as a partner may be at most 100 / percent times as large. A
     set that has no room for a difference is linked only to its equals, and needs no keys.
@@ -83,9 +92,11 @@ def group_keys(h: np.ndarray, percent: int) -> np.ndarray:
         group = (h >> U(32)) * U(m) >> U(32)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         content = np.add.reduceat(mix(h ^ U(m)), starts)
-        out.append(mix(content + (group[starts] << U(20)) + U(m))[: d + 1])
-        if len(starts) <= d:
-            out.append(mix(np.sort(mix(h + U(m)))[: 2 * d + 1 - len(starts)]))
+        enough = np.diff(np.r_[starts, n]) >= least_in_group(m, percent)
+        keys = mix(content + (group[starts] << U(20)) + U(m))[enough][: d + 1]
+        out.append(keys)
+        if len(keys) <= d:
+            out.append(mix(np.sort(mix(h + U(m)))[: 2 * d + 1 - len(keys)]))
     return np.concatenate(out).view(np.int64)
 
 
@@ -114,11 +125,41 @@ class CountTree:
         return self.order[at]
 
 
+def count_vector(h: np.ndarray) -> np.ndarray:
+    return np.bincount(((h >> U(8)) & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+
+
+def meet_points(percent: int):
+    """Ties members of a key whose count vectors allow a link, in a tree per key; of pairs joined over others already, none."""
+
+    def meet(keys, ids, marks):
+        points = np.array([np.frombuffer(x, np.int32) for x in marks.to_pylist()], np.int64).reshape(len(ids), GROUPS)
+        sizes = points.sum(1)
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n = np.diff(np.r_[cut, len(keys)])
+        two = cut[n == 2]  # by far the most: a tree of one leaf each, searched all at once
+        bound = np.minimum(points[two], points[two + 1]).sum(1)
+        two = two[(100 + percent) * bound >= percent * (sizes[two] + sizes[two + 1])]
+        a, b = [ids[two]], [ids[two + 1]]
+        for start, m in zip(cut[n > 2], n[n > 2]):
+            own = slice(start, start + m)
+            tree, joined, x, y = CountTree(points[own], sizes[own]), Sets(m), [], []
+            for i in range(m):
+                for j in tree.search(points[start + i], sizes[start + i], percent):
+                    if joined.find(i) != joined.find(int(j)):
+                        joined.join(i, int(j))
+                        x.append(ids[start + i]), y.append(ids[start + j])
+            a.append(np.array(x, np.int64)), b.append(np.array(y, np.int64))
+        return np.concatenate(a), np.concatenate(b)
+
+    return meet
+
+
 def link_sets(percent: int):
     def link(ids, side, payload):
         sets = [np.asarray(x.values.to_numpy(zero_copy_only=False)).view(U) for x in payload]
         sizes = np.array([len(x) for x in sets])
-        points = np.stack([np.bincount(((x >> U(8)) & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for x in sets])
+        points = np.stack([count_vector(x) for x in sets])
         ask, among = (np.arange(len(ids)),) * 2 if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         tree, joined, out = CountTree(points[among], sizes[among]), Sets(len(ids)), []
         for i in ask:
@@ -136,7 +177,7 @@ def link_sets(percent: int):
 
 
 def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None = None) -> DataFrame:
-    """rows (k, h, t) to (k, n, d1, d2, keys); with wanted, those alone whose h may be wanted, to (k, h, n, d1, d2, sets)."""
+    """rows (k, h, t) to (k, h, n, d1, d2, keys, mark); with wanted, those alone whose h may be wanted, to (k, h, n, d1, d2, sets)."""
     kind = dict(rows.dtypes)["k"]
     may = wanted and wanted.has()
 
@@ -150,12 +191,13 @@ def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None
                 marks = [digest(h) for h in sets]
                 lists = [h.view(np.int64) if may else group_keys(h, percent) for h in sets]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                vectors = [] if may else [pa.array([count_vector(h).astype(np.int32).tobytes() for h in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), pa.int64()))],
-                    ["k", "h", "n", "d1", "d2", "sets" if may else "keys"],
+                    [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), pa.int64())), *vectors],
+                    ["k", "h", "n", "d1", "d2", *(["sets"] if may else ["keys", "mark"])],
                 )
 
-    return rows.select("k", "h", "t").mapInArrow(work, f"k {kind}, h long, n long, d1 long, d2 long, {'sets' if may else 'keys'} array<long>")
+    return rows.select("k", "h", "t").mapInArrow(work, f"k {kind}, h long, n long, d1 long, d2 long, {'sets array<long>' if may else 'keys array<long>, mark binary'}")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -169,9 +211,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), text_of(text).alias("t"))
     marked = scratch.write(_shingled(rows, size, percent).drop("h"))
     same = ["n", "d1", "d2"]
-    marks = marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least"), F.min(F.struct(F.xxhash64("d1", "d2").alias("id"), "keys")).alias("x"))
-    classes = scratch.write(marks.select(*same, "least", F.col("x.id").alias("id"), F.col("x.keys").alias("keys")))
-    near = scratch.write(clusters_by_keys(classes.select("id", "keys"), scratch))
+    marks = marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least"), F.min(F.struct(F.xxhash64("d1", "d2").alias("id"), "keys", "mark")).alias("x"))
+    classes = scratch.write(marks.select(*same, "least", F.col("x.id").alias("id"), F.col("x.keys").alias("keys"), F.col("x.mark").alias("mark")))
+    near = scratch.write(clusters_by_keys(classes.select("id", "keys", "mark"), scratch, meet_points(percent)))
     members = near.join(classes.select("id", *same, "least"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("n").alias("size")), scratch, percent / 100))
     # the sets of clustered classes alone are made again, each from the document with the least key; texts are passed over where they are read
