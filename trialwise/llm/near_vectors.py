@@ -100,7 +100,7 @@ def _best(found: DataFrame, size: DataFrame | None, keep: int) -> DataFrame:
     return found.withColumn("r", rank).where("r <= k").select("id", "other", "sim", "k")
 
 
-def _audit(classes: DataFrame, edges: DataFrame, component: DataFrame, threshold: float, audited: int) -> tuple[float, DataFrame]:
+def _audit(classes: DataFrame, component: DataFrame, threshold: float, audited: int) -> tuple[float, DataFrame]:
     """Share of true links, of a fixed number of vectors with all others, whose ends the edges join; and those links."""
     spark = classes.sparkSession
     asked = classes.orderBy(F.xxhash64("id")).limit(audited).select("id", "v").collect()
@@ -183,14 +183,21 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     n = classes.count()
     start = _tree_leaves(classes, n, LEAF, TREES, seed).withColumn("worst", F.lit(-2.0).cast("float"))
     graph = scratch.write(_best(_meet(start, threshold, neighbours), None, neighbours))
+
+    def close_ends(g: DataFrame) -> DataFrame:
+        return g.where(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("other").alias("b"))
+
     vectors, share, before = classes.select("id", "v"), 0.0, -1
     for step in range(rounds):
-        close = graph.where(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("other").alias("b"))
-        component = scratch.write(connected_components(close, scratch))
-        share, true = _audit(classes, close, component, threshold, AUDITED)
+        # the forest's graph is refined once at least, so nothing is to be audited before that
+        if step:
+            component = scratch.write(connected_components(close_ends(graph), scratch))
+            share, _ = _audit(classes, component, threshold, AUDITED)
         links = graph.where(F.col("sim") >= threshold - 1e-4).count()
         if step and share >= recall and links <= 1.01 * before:
             break
+        if step:
+            scratch.drop(component)
         before = links
         worst = graph.groupBy("id").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.min("sim").alias("worst"))
         # a list is saturated when it is full and all in it are within the threshold: it may then hold twice as many
@@ -201,11 +208,10 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         groups = ties.join(vectors, "id").join(worst.select("id", "worst"), "id", "left").select("g", "id", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "v")
         found = _meet(groups, threshold, neighbours).union(graph.select("id", "other", "sim"))
         after = scratch.write(_best(found, worst.select("id", "k"), neighbours))
-        scratch.drop(graph, component)
+        scratch.drop(graph)
         graph = after
     else:
-        close = graph.where(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("other").alias("b"))
-        component = scratch.write(connected_components(close, scratch))
+        component = scratch.write(connected_components(close_ends(graph), scratch))
     members = component.toDF("id", "cluster").join(classes.select("id", "unit", "w", "dim"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("dim").cast("long").alias("size")), scratch))
     payload = members.select("id", F.concat(F.array(F.col("w").cast("double")), "unit").alias("payload"))
