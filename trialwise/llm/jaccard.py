@@ -129,6 +129,21 @@ def count_vector(h: np.ndarray) -> np.ndarray:
     return np.bincount(((h >> U(8)) & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
 
 
+def spanning(m: int, joined: Sets):
+    """Positions to search from, of 0 to m - 1, so that whatever is linked gets joined.
+
+    A link is found from either end, so what has joined the component of one fixed position needs no search of its own: a link out of
+    it is found from outside. The fixed one is the member of the largest component among three that are searched first.
+    """
+    seeds = sorted({0, m // 2, m - 1})
+    yield from seeds
+    roots = np.array([joined.find(i) for i in range(m)])
+    fixed = max(seeds, key=lambda i: (roots == roots[i]).sum())
+    for i in range(m):
+        if i not in seeds and joined.find(i) != joined.find(fixed):
+            yield i
+
+
 def meet_points(percent: int):
     """Ties members of a key whose count vectors allow a link, in a tree per key; of pairs joined over others already, none."""
 
@@ -144,7 +159,7 @@ def meet_points(percent: int):
         for start, m in zip(cut[n > 2], n[n > 2]):
             own = slice(start, start + m)
             tree, joined, x, y = CountTree(points[own], sizes[own]), Sets(m), [], []
-            for i in range(m):
+            for i in spanning(m, joined):
                 for j in tree.search(points[start + i], sizes[start + i], percent):
                     if joined.find(i) != joined.find(int(j)):
                         joined.join(i, int(j))
@@ -162,7 +177,7 @@ def link_sets(percent: int):
         points = np.stack([count_vector(x) for x in sets])
         ask, among = (np.arange(len(ids)),) * 2 if side[0] == 2 else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         tree, joined, out = CountTree(points[among], sizes[among]), Sets(len(ids)), []
-        for i in ask:
+        for i in spanning(len(ids), joined) if side[0] == 2 else ask:
             near = among[tree.search(points[i], sizes[i], percent)]
             root = joined.find(i)
             for j in near[joined.roots()[near] != root]:
@@ -200,6 +215,17 @@ def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None
     return rows.select("k", "h", "t").mapInArrow(work, f"k {kind}, h long, n long, d1 long, d2 long, {'sets array<long>' if may else 'keys array<long>, mark binary'}")
 
 
+def _let_through(keyed: DataFrame, wanted: KeyFilter) -> DataFrame:
+    """Rows (h, id, keys, mark) whose h may be wanted, to (id, keys, mark)."""
+    may = wanted.has()
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may(batch.column("h").to_numpy()))).select(["id", "keys", "mark"])
+
+    return keyed.mapInArrow(work, "id long, keys array<long>, mark binary")
+
+
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """(key, n_shingles, class_id, component_id): one row per row of docs, linked where 100 * intersection >= percent * union.
 
@@ -209,20 +235,27 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), text_of(text).alias("t"))
-    marked = scratch.write(_shingled(rows, size, percent).drop("h"))
+    keyed = scratch.write(_shingled(rows, size, percent))
     same = ["n", "d1", "d2"]
-    marks = marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least"), F.min(F.struct(F.xxhash64("d1", "d2").alias("id"), "keys", "mark")).alias("x"))
-    classes = scratch.write(marks.select(*same, "least", F.col("x.id").alias("id"), F.col("x.keys").alias("keys"), F.col("x.mark").alias("mark")))
-    near = scratch.write(clusters_by_keys(classes.select("id", "keys", "mark"), scratch, meet_points(percent)))
+    marked = scratch.write(keyed.select("k", *same))
+    classes = marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least"))
+    classes = scratch.write(classes.select(*same, "least", F.xxhash64("d1", "d2").alias("id")))
+    # keys are long and stay where they are: a bitmap lets those of each class's least document through, and by chance a copy's
+    first = KeyFilter(classes.select(F.xxhash64("least").alias("h")))
+    firsts = _let_through(keyed.where("n > 0").select("h", F.xxhash64("d1", "d2").alias("id"), "keys", "mark"), first)
+    near = scratch.write(clusters_by_keys(firsts, scratch, meet_points(percent)))
+    scratch.drop(keyed)
+    scratch.release()
     members = near.join(classes.select("id", *same, "least"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("n").alias("size")), scratch, percent / 100))
+    # each class's places in the tiles go with its set, so that sets are dealt twice at most
+    places = dealt.groupBy("id").agg(F.collect_list(F.struct("bin", "cluster", "pair", "side")).alias("places"))
     # the sets of clustered classes alone are made again, each from the document with the least key; texts are passed over where they are read
-    wanted = members.select(F.col("least").alias("k2"), F.xxhash64("least").alias("h2"), "id", *[F.col(c).alias(f"{c}2") for c in same])
+    wanted = members.join(places, "id").select(F.col("least").alias("k2"), F.xxhash64("least").alias("h2"), "id", "places", *[F.col(c).alias(f"{c}2") for c in same])
+    wanted = scratch.write(wanted)
     again = _shingled(rows, size, percent, KeyFilter(wanted.select("h2")))
     sets = again.join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("d12")) & (F.col("d2") == F.col("d22")))
-    # each class's place in the tiles goes with its set, so that sets are dealt twice at most
-    places = dealt.groupBy("id").agg(F.collect_list(F.struct("bin", "cluster", "pair", "side")).alias("places"))
-    sets = sets.select("id", F.col("sets").alias("payload")).join(places, "id").select("id", "payload", F.explode("places").alias("p"))
+    sets = sets.select("id", F.col("sets").alias("payload"), F.explode("places").alias("p"))
     edges = scratch.write(compare(sets.select("p.*", "id", "payload"), link_sets(percent), "a long, b long"))
     scratch.release()
     component = connected_components(edges, scratch)
