@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from trialwise.llm import bpe, jaccard, license_scan, line_dedup, mixing, near_vectors, quality, sharding, token_counts, url_filter
+from trialwise.llm import bpe, common, jaccard, license_scan, line_dedup, mixing, near_vectors, quality, sharding, token_counts, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly juggle bright copper kettles behind an old stone barn near the river"
@@ -230,3 +230,16 @@ def test_near_vectors(spark):
     assert [got[i]["n_links"] for i in range(len(x))] == links.tolist()
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 905))
     assert near_vectors.near_vectors(df.where("false")).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [*rng.integers(0, 60, (35, 2)).tolist(), *[[i, i + 1] for i in range(60, 80)], *[[100, i] for i in range(101, 130)]]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in up:
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    df = spark.createDataFrame([*map(tuple, edges), (5, None), (None, None)], "a long, b long")
+    got = common.connected_components(df, common.Scratch(spark, "test")).collect()
+    assert sorted(map(tuple, got)) == sorted(up.items())
