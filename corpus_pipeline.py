@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialwise.llm import bpe, jaccard, line_dedup, mixing, quality
-from trialwise.llm.common import Scratch, table
+from trialwise.llm.common import WORD, Scratch, table
 
 KEY = "doc_id"
 
 
+def mark() -> Column:
+    """What tells rows apart that repeat a key: the key and a hash of the text."""
+    return F.struct(F.col(KEY), F.xxhash64("text").alias("h"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier test reject go. Rows that repeat a key stay or go by their own text's verdict."""
-    kept = quality.assess(docs.withColumn("__id", F.struct(F.col(KEY), F.xxhash64("text").alias("h"))), key="__id").where("kept").select(F.col("__id").alias("__kept")).distinct()
-    mark = F.struct(F.col(KEY), F.xxhash64("text").alias("h"))
-    return docs.join(kept, F.xxhash64(mark) == F.xxhash64("__kept"), "left_semi")
+    kept = quality.assess(docs.withColumn("__id", mark()), key="__id").where("kept").select(F.col("__id").alias("__kept")).distinct()
+    return docs.join(kept, F.xxhash64(mark()) == F.xxhash64("__kept"), "left_semi")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +29,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the least id stays; documents without words are linked with nothing and stay."""
+    """Of each component of linked documents the one with the least id stays, once; documents without words are linked with nothing and stay.
+
+    Rows that repeat an id with other texts are documents of their own.
+    """
     scratch = Scratch(spark, "pipeline")
-    links = scratch.write(jaccard.link_documents(docs, size=5, percent=80))
-    stay = links.where(F.col(KEY).eqNullSafe(F.col("component_id"))).select(F.col(KEY).alias("__stay")).distinct()
-    out = docs.join(stay, F.col(KEY).eqNullSafe(F.col("__stay")), "left_semi")
-    worded = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0
-    return out.where(worded).dropDuplicates([KEY]).unionByName(out.where(~worded))
+    links = scratch.write(jaccard.link_documents(docs.withColumn("__id", mark()), key="__id", size=5, percent=80))
+    stay = links.where(F.col("__id") == F.col("component_id")).select(F.col("__id").alias("__stay")).distinct()
+    out = docs.join(stay, F.xxhash64(mark()) == F.xxhash64("__stay"), "left_semi")
+    worded = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) > 0
+    return out.where(worded).dropDuplicates([KEY, "text"]).unionByName(out.where(~worded))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
