@@ -68,9 +68,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it, columns unchanged."""
-    plan, key = mix(docs, **options), options.get("key", "doc_id")
-    chosen = plan.where("copies > 0").groupBy(F.col(key).alias("__mix_key")).agg(F.max("copies").alias("__mix_copies"))
-    out = docs.join(chosen, F.col(key).eqNullSafe(F.col("__mix_key")))
+    plan, key, source = mix(docs, **options), options.get("key", "doc_id"), options.get("source", "source")
+    chosen = plan.where("copies > 0").groupBy(F.col(key).alias("__mix_key"), F.col(source).alias("__mix_source")).agg(F.max("copies").alias("__mix_copies"))
+    out = docs.join(chosen, F.col(key).eqNullSafe(F.col("__mix_key")) & F.col(source).eqNullSafe(F.col("__mix_source")))
     return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 
