@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import freed, table, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Pieces longer than this (in bytes) are merged by a heap: same result, no quadratic rounds. Pieces in each of two generations kept; characters worked on at once.
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 out = [batch.column("k").slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
                 yield pa.RecordBatch.from_arrays([*out, _decoded(coder, ids, ends)][: 3 if decoded else 2], ["k", "ids", "decoded"][: 3 if decoded else 2])
 
-    return rows.mapInArrow(work, f"k {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("k", key)
+    return rows.mapInArrow(freed(work), f"k {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("k", key)
 
 
 def _decoded(coder: Encoder, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary
                 ends = np.concatenate([[0], np.cumsum(sizes.slice(a, b - a).to_numpy(zero_copy_only=False))])
                 yield pa.RecordBatch.from_arrays([batch.column("k").slice(a, b - a), own, _decoded(coder, own.flatten().to_numpy(zero_copy_only=False), ends)], ["k", "ids", "decoded"])
 
-    return rows.mapInArrow(work, f"k {kind}, ids array<int>, decoded binary").withColumnsRenamed({"k": key, "ids": ids})
+    return rows.mapInArrow(freed(work), f"k {kind}, ids array<int>, decoded binary").withColumnsRenamed({"k": key, "ids": ids})
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary=None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Scratch, connected_components
+from .common import KeyFilter, Scratch, connected_components, freed, give_back
 
 #: Rows of a tile, and clusters up to this size are packed together.
 TILE, SMALL = 2048, 256
@@ -44,7 +44,7 @@ def clusters_by_keys(keyed: DataFrame, scratch: Scratch, meet=None) -> DataFrame
             at = pa.array(at[hit])
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(flat[hit]), *[batch.column(c).take(at) for c in more]], ["id", "key", *more])
 
-    flat = scratch.write(keyed.select("id", "keys", *more).mapInArrow(work, "id long, key long" + ", mark binary" * bool(meet)))
+    flat = scratch.write(keyed.select("id", "keys", *more).mapInArrow(freed(work), "id long, key long" + ", mark binary" * bool(meet)))
     shared = flat.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z")
     if meet:
 
@@ -53,6 +53,7 @@ def clusters_by_keys(keyed: DataFrame, scratch: Scratch, meet=None) -> DataFrame
             order = np.lexsort((ids, key))
             order = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]
             a, b = meet(key[order], ids[order], t.column("mark").combine_chunks().take(pa.array(order)))
+            give_back()
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         # few keys can have so many rows: a table of known size, broadcast below the session's threshold
@@ -121,6 +122,7 @@ def compare(dealt: DataFrame, link, schema: str) -> DataFrame:
             own = own[np.r_[True, (ids[own][1:] != ids[own][:-1]) | (side[own][1:] != side[own][:-1])]]
             if len(own) > 1:
                 out += link(ids[own], side[own], payload.take(pa.array(order[own])))
+        give_back()
         kinds = {"long": pa.int64(), "double": pa.float64()}
         return pa.table({n: pa.array([x[i] for x in out], kinds[s.split()[1]]) for i, (n, s) in enumerate(zip(names, schema.split(", ")))})
 

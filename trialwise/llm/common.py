@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -58,6 +59,25 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers live on for later steps, beside others in one executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def freed(work):
+    """work for mapInArrow, that gives back memory when a partition has ended."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 class KeyFilter:
     """A bitmap of 64-bit hashes, of fixed size, for workers to pass over rows that cannot match.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import KeyFilter, Scratch, connected_components, table, text_of
+from .common import KeyFilter, Scratch, connected_components, freed, table, text_of
 
 #: Coordinates of a point, and entries of a tree's node.
 GROUPS, FAN = 16, 16
@@ -212,7 +212,7 @@ def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None
                     ["k", "h", "n", "d1", "d2", *(["sets"] if may else ["keys", "mark"])],
                 )
 
-    return rows.select("k", "h", "t").mapInArrow(work, f"k {kind}, h long, n long, d1 long, d2 long, {'sets array<long>' if may else 'keys array<long>, mark binary'}")
+    return rows.select("k", "h", "t").mapInArrow(freed(work), f"k {kind}, h long, n long, d1 long, d2 long, {'sets array<long>' if may else 'keys array<long>, mark binary'}")
 
 
 def _let_through(keyed: DataFrame, wanted: KeyFilter) -> DataFrame:
@@ -223,7 +223,7 @@ def _let_through(keyed: DataFrame, wanted: KeyFilter) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(may(batch.column("h").to_numpy()))).select(["id", "keys", "mark"])
 
-    return keyed.mapInArrow(work, "id long, keys array<long>, mark binary")
+    return keyed.mapInArrow(freed(work), "id long, keys array<long>, mark binary")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:

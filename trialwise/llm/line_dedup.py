@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import KeyFilter, Scratch, connected_components, table, text_of
+from .common import KeyFilter, Scratch, connected_components, freed, table, text_of
 
 #: Edits between copies, words and characters a line must have to be judged: shorter ones recur by chance.
 EDITS, LEAST_WORDS, LEAST_CHARS = 2, 5, 20
@@ -146,7 +146,7 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> D
                     ["k", "c", "i", "h1", "h2", "n", "keys"],
                 )
 
-    return rows.select("k", "c", "t").mapInArrow(work, f"k {kind}, c long, i int, h1 long, h2 long, n long, keys array<long>")
+    return rows.select("k", "c", "t").mapInArrow(freed(work), f"k {kind}, c long, i int, h1 long, h2 long, n long, keys array<long>")
 
 
 def _wanted_lines(rows: DataFrame, holders: KeyFilter, lines: KeyFilter) -> DataFrame:
@@ -165,7 +165,7 @@ def _wanted_lines(rows: DataFrame, holders: KeyFilter, lines: KeyFilter) -> Data
                 hit = line_may(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([x for x, y in zip(found, hit) if y], pa.binary())], ["id", "payload"])
 
-    return rows.select("h", "t").mapInArrow(work, "id long, payload binary")
+    return rows.select("h", "t").mapInArrow(freed(work), "id long, payload binary")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
