@@ -232,6 +232,26 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def cone(n, pairs, dim=64, seed=4):
+    """Unit vectors around one direction with cosines of about 0.84; the last ones are each near one of the first."""
+    rng = np.random.default_rng(seed)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    axis = np.zeros(dim)
+    axis[0] = 1
+    x = unit(axis * 0.917 + 0.4 * unit(rng.standard_normal((n, dim))))
+    return np.concatenate([x, unit(x[:pairs] + 0.25 * unit(rng.standard_normal((pairs, dim))))])
+
+
+def test_near_vectors_in_a_crowd(spark):
+    x = cone(8000, 600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rows(near_vectors.near_vectors(df, rounds=2), "vec_id")
+    assert [got[i]["n_links"] for i in range(len(x))] == ((x @ x.T >= 0.95).sum(1) - 1).tolist()
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [*rng.integers(0, 60, (35, 2)).tolist(), *[[i, i + 1] for i in range(60, 80)], *[[100, i] for i in range(101, 130)]]

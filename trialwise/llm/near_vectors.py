@@ -1,8 +1,9 @@
 """Operator 8, embedding near-dedup by NN-descent.
 
 A neighbour graph starts in the leaves of random hyperplane trees; then each round compares neighbours of neighbours,
-keeps every vertex's nearest, and enlarges the lists of vertices all of whose neighbours are within the threshold. A fixed
-sample of vectors is compared with all to audit recall, and rounds go on while it is short. Edges within the threshold are
+keeps every vertex's nearest, and enlarges the lists of vertices all of whose neighbours are within the threshold. A
+sample of vectors is compared with all to audit recall, on enough vectors that have links; rounds go on, with fresh trees, while it is short,
+and where it stays short all pairs are compared. Edges within the threshold are
 kept; inside the components that they form, all pairs are computed exactly in tiles, for the links.
 """
 
@@ -10,14 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .clusters import compare, deal_tiles
 from .common import Scratch, connected_components, table
 
-#: Neighbours kept; trees; aimed-at leaf size and largest block compared at once; rounds at most; vectors audited; recall aimed at.
-NEIGHBOURS, TREES, LEAF, BLOCK, ROUNDS, AUDITED, RECALL = 8, 6, 48, 128, 6, 256, 0.99
+#: Neighbours kept; trees; aimed-at leaf size and largest block compared at once; rounds before all pairs are compared; recall aimed at.
+NEIGHBOURS, TREES, LEAF, BLOCK, ROUNDS, RECALL = 8, 6, 48, 128, 6, 0.99
+#: Vectors audited at first; how many of them must have links, or more are audited; components of vectors that an audit may hold (16 MB).
+AUDITED, LINKED, AUDIT_FLOATS = 4096, 100, 1 << 22
+#: Further planes for leaves above BLOCK, and how often these are split by planes through their own mean.
+PLANES, SPLITS = 12, 3
 #: Groups are packed into so many bins per round.
 BINS = 96
 
@@ -34,8 +40,31 @@ def prepare(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("k", F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm") + F.lit(0.0)).alias("unit"))
 
 
-def _tree_leaves(classes: DataFrame, n: int, leaf: int, trees: int, seed: int) -> DataFrame:
-    """(g, id, v): a group per leaf of each tree; the signs along fixed random directions say which. Leaves are salted where they are large."""
+def _centres(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each length."""
+
+    def work(batches):
+        for batch in batches:
+            column = batch.column("v")
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                at = np.flatnonzero(lengths == dim)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(dim, dim, np.int64)), pa.array(np.arange(dim, dtype=np.int64)), pa.array(x.sum(0, dtype=np.float64)), pa.array(np.full(dim, len(at), np.int64))], ["dim", "i", "s", "m"])
+
+    # one row per component of the vectors
+    sums = classes.select("v").mapInArrow(work, "dim long, i long, s double, m long").groupBy("dim", "i").agg((F.sum("s") / F.sum("m")).alias("mean")).orderBy("dim", "i").collect()
+    out: dict[int, list] = {}
+    for r in sums:
+        out.setdefault(r["dim"], []).append(r["mean"])
+    return {d: np.array(v, np.float32) for d, v in out.items()}
+
+
+def _tree_leaves(classes: DataFrame, centres: dict[int, np.ndarray], n: int, leaf: int, trees: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(g, id, v): a group per leaf of each tree; the signs along fixed random directions from the mean say which.
+
+    Leaves above BLOCK are split again by as many planes through their own mean as their size asks for.
+    """
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
 
     def work(batches):
@@ -44,15 +73,28 @@ def _tree_leaves(classes: DataFrame, n: int, leaf: int, trees: int, seed: int) -
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths):
                 at = np.flatnonzero(lengths == dim)
-                own = column.take(pa.array(at))
-                x = own.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim) - centres[int(dim)]
+                ids = batch.column("id").take(pa.array(at))
                 for t in range(trees):
-                    plane = np.random.default_rng(seed * 1000 + t).standard_normal((dim, max(bits, 1)))
-                    code = ((x @ plane > 0) * (1 << np.arange(max(bits, 1)))).sum(1) if bits else np.zeros(len(at), np.int64)
+                    along = x @ np.random.default_rng(seed * 1000 + t).standard_normal((dim, bits + PLANES)).astype(np.float32)
+                    code = ((along[:, :bits] > 0) * (1 << np.arange(bits))).sum(1) if bits else np.zeros(len(at), np.int64)
                     g = (code * trees + t) * 4096 + dim
-                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), batch.column("id").take(pa.array(at)), own], ["g", "id", "v"])
-
-    return classes.select("id", "v").mapInArrow(work, "g long, id long, v array<float>")
+                    p = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * PLANES, pa.int32()), pa.array(along[:, bits:].ravel(), pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), ids, p], ["g", "id", "p"])
+
+    rows = scratch.write(classes.select("id", "v").mapInArrow(work, "g long, id long, p array<float>"))
+    for _ in range(SPLITS):
+        means = F.array(*[F.avg(F.get("p", F.lit(j))) for j in range(PLANES)])
+        large = scratch.write(rows.groupBy("g").agg(F.count("*").alias("m"), means.alias("mean")).where(F.col("m") > BLOCK))
+        if large.isEmpty():
+            break
+        need = F.ceil(F.log2(F.col("m") / leaf))
+        side = F.transform("p", lambda x, j: (j < F.col("need")) & (x > F.get("mean", j)))
+        split = rows.join(large.withColumn("need", need), "g", "left")
+        after = scratch.write(split.select(F.when(F.col("m").isNotNull(), F.xxhash64("g", side)).otherwise(F.col("g")).alias("g"), "id", "p"))
+        scratch.drop(rows)
+        rows = after
+    return rows.select("g", "id").join(classes.select("id", "v"), "id").select("g", "id", "v")
 
 
 def _meet(groups: DataFrame, threshold: float, keep: int) -> DataFrame:
@@ -100,32 +142,40 @@ def _best(found: DataFrame, size: DataFrame | None, keep: int) -> DataFrame:
     return found.withColumn("r", rank).where("r <= k").select("id", "other", "sim", "k")
 
 
-def _audit(classes: DataFrame, component: DataFrame, threshold: float, audited: int) -> tuple[float, DataFrame]:
-    """Share of true links, of a fixed number of vectors with all others, whose ends the edges join; and those links."""
-    spark = classes.sparkSession
-    asked = classes.orderBy(F.xxhash64("id")).limit(audited).select("id", "v").collect()
-    by_dim: dict[int, tuple[list, list]] = {}
-    for r in asked:
-        ids, vs = by_dim.setdefault(len(r["v"]), ([], []))
-        ids.append(r["id"]), vs.append(r["v"])
-    blocks = {d: (np.array(ids), np.array(vs, np.float32)) for d, (ids, vs) in by_dim.items()}
+def _audit(classes: DataFrame, component: DataFrame, threshold: float, audited: int, seed: int, scratch: Scratch) -> tuple[float, int, DataFrame]:
+    """Of sampled vectors that have links, compared with all others: the mean share of links whose ends the edges join; how many have links; and what the edges do not join."""
+    own = classes.select("id", "v").join(component.toDF("id", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"), "v")
+    asked = own.orderBy(F.xxhash64("id", F.lit(seed))).limit(audited).toArrow().combine_chunks()
+    lengths = pa.compute.list_value_length(asked.column("v")).to_numpy()
+    blocks = {}
+    for d in np.unique(lengths):
+        part = asked.take(pa.array(np.flatnonzero(lengths == d))).combine_chunks()
+        blocks[int(d)] = part.column("id").to_numpy(), part.column("c").to_numpy(), part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
     def work(batches):
         for batch in batches:
-            column, ids = batch.column("v"), batch.column("id").to_numpy()
+            column, ids, c = batch.column("v"), batch.column("id").to_numpy(), batch.column("c").to_numpy()
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-            for d, (own, x) in blocks.items():
+            for d, (own, own_c, x) in blocks.items():
                 at = np.flatnonzero(lengths == d)
-                if len(at):
-                    y = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
-                    i, j = np.nonzero(x @ y.T >= threshold + 1e-6)
-                    a, b = own[i], ids[at[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
-
-    true = classes.select("id", "v").mapInArrow(work, "a long, b long")
-    ca, cb = component.toDF("a", "ca"), component.toDF("b", "cb")
-    seen = true.join(ca, "a", "left").join(cb, "b", "left").agg(F.count("*").alias("n"), F.sum(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))).alias("ok")).first()
-    return (seen["ok"] / seen["n"] if seen["n"] else 1.0), true
+                y = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+                for p in range(0, len(x) if len(at) else 0, 1024):
+                    s = x[p : p + 1024] @ y.T
+                    i, j = np.nonzero(s >= threshold - 1e-4)
+                    sure, i, j = s[i, j] >= threshold + 1e-6, i + p, at[j]
+                    other = own[i] != ids[j]
+                    sure, i, j = sure[other], i[other], j[other]
+                    joined = own_c[i] == c[j]
+                    n, ok = np.bincount(i[sure], minlength=len(x)), np.bincount(i[sure & joined], minlength=len(x))
+                    some, missed = np.flatnonzero(n), np.unique(np.stack([own_c[i], c[j]], 1)[~joined], axis=0)
+                    zero = np.zeros(len(missed), np.int64)
+                    cols = (own[some], missed[:, 0]), (own[some], missed[:, 1]), (n[some], zero), (ok[some], zero)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in cols], ["a", "b", "n", "ok"])
+
+    found = scratch.write(own.mapInArrow(work, "a long, b long, n long, ok long"))
+    each = found.where("n > 0").groupBy("a").agg((F.sum("ok") / F.sum("n")).alias("share"))
+    seen = each.agg(F.count("*").alias("n"), F.avg("share").alias("share")).first()
+    return seen["share"] or 0.0, seen["n"], found.where("n = 0").select("a", "b")
 
 
 def count_links(threshold: float):
@@ -169,7 +219,7 @@ def count_links(threshold: float):
     return link
 
 
-def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, seed: int = 8) -> DataFrame:
+def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, seed: int = 8, audited: int = AUDITED, linked: int = LINKED) -> DataFrame:
     """(key, n_links, component_id, kept): one row per row of rows.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors
@@ -180,24 +230,35 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     units = scratch.write(prepare(rows, key, vector).withColumn("id", F.when(F.col("unit").isNotNull(), F.xxhash64("unit"))))
     classes = units.where("unit is not null").groupBy("id").agg(F.count("*").alias("w"), F.min("k").alias("least"), F.min_by("unit", F.col("k")).alias("u0"), F.first("unit").alias("u1"), F.first("dim").alias("dim"))
     classes = scratch.write(classes.select("id", "w", "least", F.coalesce("u0", "u1").alias("unit"), "dim").withColumn("v", F.col("unit").cast("array<float>")))
-    n = classes.count()
-    start = _tree_leaves(classes, n, LEAF, TREES, seed).withColumn("worst", F.lit(-2.0).cast("float"))
+    n, centres = classes.count(), _centres(classes)
+    # an audit's vectors are held by the driver and each worker
+    most = max(audited, AUDIT_FLOATS // max(centres, default=1))
+    start = _tree_leaves(classes, centres, n, LEAF, TREES, seed, scratch).withColumn("worst", F.lit(-2.0).cast("float"))
     graph = scratch.write(_best(_meet(start, threshold, neighbours), None, neighbours))
 
     def close_ends(g: DataFrame) -> DataFrame:
         return g.where(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
-    vectors, share, before = classes.select("id", "v"), 0.0, -1
-    for step in range(rounds):
+    vectors, before = classes.select("id", "v"), -1
+    for step in range(rounds + 1):
+        links = graph.where(F.col("sim") >= threshold - 1e-4).count()
         # the forest's graph is refined once at least, so nothing is to be audited before that
         if step:
             component = scratch.write(connected_components(close_ends(graph), scratch))
-            share, _ = _audit(classes, component, threshold, AUDITED)
-        links = graph.where(F.col("sim") >= threshold - 1e-4).count()
-        if step and share >= recall and links <= 1.01 * before:
-            break
-        if step:
-            scratch.drop(component)
+            share, seen, missed = _audit(classes, component, threshold, audited, step, scratch)
+            while seen < linked and audited < min(n, most):
+                audited = min(4 * audited, most)
+                share, seen, missed = _audit(classes, component, threshold, audited, step, scratch)
+            enough = share >= recall and seen >= linked and (links <= 1.01 * before or step == rounds)
+            if enough or audited >= n:
+                # what the audit found belongs to the edges too; with all vectors audited these are whole
+                if not missed.isEmpty():
+                    component = scratch.write(connected_components(component.toDF("a", "b").union(missed), scratch))
+                break
+            if step == rounds or seen < linked:
+                # recall stays short, or links are too rare to tell: all pairs are compared
+                component = classes.select("id", F.lit(0).cast("long"))
+                break
         before = links
         worst = graph.groupBy("id").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.min("sim").alias("worst"))
         # a list is saturated when it is full and all in it are within the threshold: it may then hold twice as many
@@ -205,13 +266,14 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         worst = scratch.write(worst.select("id", F.when(saturated, 2 * F.col("k")).otherwise(F.col("k")).alias("k"), F.when(saturated | (F.col("m") < F.col("k")), F.lit(-2.0)).otherwise(F.col("worst")).cast("float").alias("worst")))
         # a vertex's group: itself, its neighbours, and those whose neighbour it is
         ties = graph.select(F.col("id").alias("g"), F.col("other").alias("id")).union(graph.select(F.col("other").alias("g"), "id")).union(graph.select(F.col("id").alias("g"), "id")).distinct()
-        groups = ties.join(vectors, "id").join(worst.select("id", "worst"), "id", "left").select("g", "id", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "v")
+        groups = ties.join(vectors, "id")
+        if step:
+            groups = groups.select("g", "id", "v").union(_tree_leaves(classes, centres, n, LEAF, TREES, seed + step, scratch))
+        groups = groups.join(worst.select("id", "worst"), "id", "left").select("g", "id", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "v")
         found = _meet(groups, threshold, neighbours).union(graph.select("id", "other", "sim"))
         after = scratch.write(_best(found, worst.select("id", "k"), neighbours))
         scratch.drop(graph)
         graph = after
-    else:
-        component = scratch.write(connected_components(close_ends(graph), scratch))
     members = component.toDF("id", "cluster").join(classes.select("id", "unit", "w", "dim"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("dim").cast("long").alias("size")), scratch))
     payload = members.select("id", F.concat(F.array(F.col("w").cast("double")), "unit").alias("payload"))
