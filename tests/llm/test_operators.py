@@ -252,6 +252,20 @@ def test_near_vectors_in_a_crowd(spark):
     assert [got[i]["n_links"] for i in range(len(x))] == ((x @ x.T >= 0.95).sum(1) - 1).tolist()
 
 
+def test_near_vectors_of_two_tight_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    turned = np.eye(64)[0] * 0.975 + np.eye(64)[1] * (1 - 0.975**2) ** 0.5
+    x = np.concatenate([np.tile(np.eye(64)[0], (700, 1)), np.tile(turned, (700, 1))]) + 0.003 * rng.standard_normal((1400, 64))
+    x = np.concatenate([x, rng.standard_normal((1500, 64))])
+    # the search stands alone: an audit would tie the groups by itself
+    monkeypatch.setattr(near_vectors, "_audit", lambda classes, *_: (1.0, 10**6, classes.where("false").select("id", "id").toDF("a", "b")))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rows(near_vectors.near_vectors(df, audited=8), "vec_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert [got[i]["n_links"] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+    assert {got[i]["component_id"] for i in range(1400)} == {0}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [*rng.integers(0, 60, (35, 2)).tolist(), *[[i, i + 1] for i in range(60, 80)], *[[100, i] for i in range(101, 130)]]

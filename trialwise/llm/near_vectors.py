@@ -63,7 +63,8 @@ def _centres(classes: DataFrame) -> dict[int, np.ndarray]:
 def _tree_leaves(classes: DataFrame, centres: dict[int, np.ndarray], n: int, leaf: int, trees: int, seed: int, scratch: Scratch) -> DataFrame:
     """(g, id, v): a group per leaf of each tree; the signs along fixed random directions from the mean say which.
 
-    Leaves above BLOCK are split again by as many planes through their own mean as their size asks for.
+    Leaves above BLOCK are split again by as many planes through their own mean as their size asks for; those of the first tree
+    stay, to be dealt into blocks at random, so that tight groups side by side meet too.
     """
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
 
@@ -80,28 +81,39 @@ def _tree_leaves(classes: DataFrame, centres: dict[int, np.ndarray], n: int, lea
                     code = ((along[:, :bits] > 0) * (1 << np.arange(bits))).sum(1) if bits else np.zeros(len(at), np.int64)
                     g = (code * trees + t) * 4096 + dim
                     p = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * PLANES, pa.int32()), pa.array(along[:, bits:].ravel(), pa.float32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), ids, p], ["g", "id", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), ids, p, pa.array(np.full(len(at), t == 0))], ["g", "id", "p", "first"])
 
-    rows = scratch.write(classes.select("id", "v").mapInArrow(work, "g long, id long, p array<float>"))
+    rows = scratch.write(classes.select("id", "v").mapInArrow(work, "g long, id long, p array<float>, first boolean"))
     for _ in range(SPLITS):
         means = F.array(*[F.avg(F.get("p", F.lit(j))) for j in range(PLANES)])
-        large = scratch.write(rows.groupBy("g").agg(F.count("*").alias("m"), means.alias("mean")).where(F.col("m") > BLOCK))
+        large = scratch.write(rows.where("not first").groupBy("g").agg(F.count("*").alias("m"), means.alias("mean")).where(F.col("m") > BLOCK))
         if large.isEmpty():
             break
         need = F.ceil(F.log2(F.col("m") / leaf))
         side = F.transform("p", lambda x, j: (j < F.col("need")) & (x > F.get("mean", j)))
         split = rows.join(large.withColumn("need", need), "g", "left")
-        after = scratch.write(split.select(F.when(F.col("m").isNotNull(), F.xxhash64("g", side)).otherwise(F.col("g")).alias("g"), "id", "p"))
+        after = scratch.write(split.select(F.when(F.col("m").isNotNull(), F.xxhash64("g", side)).otherwise(F.col("g")).alias("g"), "id", "p", "first"))
         scratch.drop(rows)
         rows = after
     return rows.select("g", "id").join(classes.select("id", "v"), "id").select("g", "id", "v")
 
 
 def _meet(groups: DataFrame, threshold: float, keep: int) -> DataFrame:
-    """(id, other, sim) of rows (g, id, worst, v): the best keep of each row in its group that beat its worst, and all within the threshold.
+    """(id, other, sim, tie) of rows (g, id, worst, v): the best keep of each row in its group that beat its worst, and all within the threshold.
+
+    Pairs with tie join what is linked inside a block, directly or over others of it.
 
     Groups larger than BLOCK are dealt into blocks by a hash of the row.
     """
+
+    def joined(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = np.arange(len(close))
+        while ((low := np.minimum(root, np.where(close, root, len(close)).min(1))) != root).any():
+            root = low
+        by = np.argsort(root, kind="stable")
+        same = root[by][1:] == root[by][:-1]
+        return by[:-1][same], by[1:][same]
+
     counted = groups.groupBy("g").agg(F.count("*").alias("m"))
     groups = groups.join(counted, "g").withColumn("g", F.xxhash64("g", F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("m") / BLOCK))))
 
@@ -123,23 +135,26 @@ def _meet(groups: DataFrame, threshold: float, keep: int) -> DataFrame:
             np.fill_diagonal(s, -2)
             k = min(keep, b - a - 1)
             bar = np.partition(s, -k, 1)[:, -k]
-            i, j = np.nonzero(((s >= bar[:, None]) & (s > worst[a:b, None])) | (s >= threshold - 1e-4))
-            out.append((ids[a + i], ids[a + j], s[i, j]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)]
-        return pa.table({"id": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2].astype(np.float32), pa.float32())})
+            close = s >= threshold - 1e-4
+            i, j = np.nonzero(((s >= bar[:, None]) & (s > worst[a:b, None])) | close)
+            p, q = joined(close) if close.any() else (i[:0], j[:0])
+            i, j, tie = np.r_[i, p], np.r_[j, q], np.r_[np.zeros(len(i), bool), np.ones(len(p), bool)]
+            out.append((ids[a + i], ids[a + j], s[i, j], tie))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, bool)]
+        return pa.table({"id": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2].astype(np.float32), pa.float32()), "tie": pa.array(cols[3])})
 
-    return groups.withColumn("bin", F.pmod(F.xxhash64("g"), F.lit(BINS))).select("bin", "g", "id", "worst", "v").groupBy("bin").applyInArrow(work, "id long, other long, sim float")
+    return groups.withColumn("bin", F.pmod(F.xxhash64("g"), F.lit(BINS))).select("bin", "g", "id", "worst", "v").groupBy("bin").applyInArrow(work, "id long, other long, sim float, tie boolean")
 
 
 def _best(found: DataFrame, size: DataFrame | None, keep: int) -> DataFrame:
-    """The nearest of each id, as many as its list may hold."""
-    found = found.groupBy("id", "other").agg(F.max("sim").alias("sim"))
+    """The nearest of each id, as many as its list may hold (r <= k), and whatever ties."""
+    found = found.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.max("tie").alias("tie"))
     if size is not None:
         found = found.join(size, "id", "left").withColumn("k", F.coalesce("k", F.lit(keep)))
     else:
         found = found.withColumn("k", F.lit(keep))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
-    return found.withColumn("r", rank).where("r <= k").select("id", "other", "sim", "k")
+    return found.withColumn("r", rank).where("r <= k or tie").select("id", "other", "sim", "k", "r", "tie")
 
 
 def _audit(classes: DataFrame, component: DataFrame, threshold: float, audited: int, seed: int, scratch: Scratch) -> tuple[float, int, DataFrame]:
@@ -234,17 +249,20 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     # an audit's vectors are held by the driver and each worker
     most = max(audited, AUDIT_FLOATS // max(centres, default=1))
     start = _tree_leaves(classes, centres, n, LEAF, TREES, seed, scratch).withColumn("worst", F.lit(-2.0).cast("float"))
-    graph = scratch.write(_best(_meet(start, threshold, neighbours), None, neighbours))
+    pairs = scratch.write(_best(_meet(start, threshold, neighbours), None, neighbours))
 
     def close_ends(g: DataFrame) -> DataFrame:
-        return g.where(F.col("sim") >= threshold - 1e-4).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        return g.where((F.col("sim") >= threshold - 1e-4) | F.col("tie")).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
+    # lists steer the search; what was linked in any round stays linked
+    edges = close_ends(pairs)
     vectors, before = classes.select("id", "v"), -1
     for step in range(rounds + 1):
+        graph = pairs.where("r <= k")
         links = graph.where(F.col("sim") >= threshold - 1e-4).count()
         # the forest's graph is refined once at least, so nothing is to be audited before that
         if step:
-            component = scratch.write(connected_components(close_ends(graph), scratch))
+            component = scratch.write(connected_components(edges.union(close_ends(pairs)), scratch))
             share, seen, missed = _audit(classes, component, threshold, audited, step, scratch)
             while seen < linked and audited < min(n, most):
                 audited = min(4 * audited, most)
@@ -259,6 +277,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
                 # recall stays short, or links are too rare to tell: all pairs are compared
                 component = classes.select("id", F.lit(0).cast("long"))
                 break
+            edges = component.toDF("a", "b").union(missed)
         before = links
         worst = graph.groupBy("id").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.min("sim").alias("worst"))
         # a list is saturated when it is full and all in it are within the threshold: it may then hold twice as many
@@ -270,10 +289,11 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         if step:
             groups = groups.select("g", "id", "v").union(_tree_leaves(classes, centres, n, LEAF, TREES, seed + step, scratch))
         groups = groups.join(worst.select("id", "worst"), "id", "left").select("g", "id", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"), "v")
-        found = _meet(groups, threshold, neighbours).union(graph.select("id", "other", "sim"))
+        found = _meet(groups, threshold, neighbours).union(graph.select("id", "other", "sim", F.lit(False)))
         after = scratch.write(_best(found, worst.select("id", "k"), neighbours))
-        scratch.drop(graph)
-        graph = after
+        if step:
+            scratch.drop(pairs)
+        pairs = after
     members = component.toDF("id", "cluster").join(classes.select("id", "unit", "w", "dim"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("dim").cast("long").alias("size")), scratch))
     payload = members.select("id", F.concat(F.array(F.col("w").cast("double")), "unit").alias("payload"))
