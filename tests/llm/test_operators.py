@@ -266,6 +266,16 @@ def test_near_vectors_of_two_tight_groups(spark, monkeypatch):
     assert {got[i]["component_id"] for i in range(1400)} == {0}
 
 
+def test_license_scan_of_several_notices(spark):
+    notices = {label: notice for label, notice, _ in license_scan.TEMPLATES}
+    bsd, gpl, apache = (notices[x] for x in ("bsd", "gpl-3.0", "apache-2.0"))
+    texts = [f"{bsd} released under the mit license", f"{bsd} {gpl}", f"{license_scan.TEMPLATES[-1][1]} {apache}", " ".join(notices.values())]
+    df = spark.createDataFrame([*enumerate(texts), *[(10 + i, "permission software licensed version released gnu mit apache general public license") for i in range(30)]], "doc_id long, text string")
+    got = rows(license_scan.scan(df))
+    assert [got[i]["labels"] for i in range(3)] == ["bsd,mit", "bsd,gpl,gpl-3.0", "apache-2.0,mit"]
+    assert set(got[3]["labels"].split(",")) == {*notices, "cc-by", "gpl"} and got[10]["labels"] == "gpl"
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [*rng.integers(0, 60, (35, 2)).tolist(), *[[i, i + 1] for i in range(60, 80)], *[[100, i] for i in range(101, 130)]]

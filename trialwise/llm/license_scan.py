@@ -1,7 +1,7 @@
 """Operator 3, licence scans. DataFrame functions only.
 
-A positional index of rare licence words: each file's licence words with the highest inverse document frequency
-over the corpus are looked up in the templates' postings; postings that agree on the relative position of file
+A positional index of rare licence words: of each template's mandatory words those with the highest inverse document
+frequency over the corpus are looked up; postings that agree on the relative position of file
 and template are intersected, and an alignment counts once the template's mandatory phrase stands in place.
 """
 
@@ -33,7 +33,7 @@ TEMPLATES = (
 )
 #: Words of the notices that carry no evidence and are not indexed unless a phrase needs them.
 FUNCTION_WORDS = frozenset("a and any are in is of or that the this to under use with".split())
-#: Words looked up per file, and the share of a template's indexed words that must stand in place.
+#: Mandatory words looked up per template (the rarest alone is enough to miss nothing), and the share of a template's indexed words that must stand in place.
 LOOKED_UP, ALIGNED = 8, 0.5
 
 
@@ -83,19 +83,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     total = max(files.count(), 1)
     idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) for w in vocabulary}
     by_rank = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    place = F.create_map(*[F.lit(x) for n, w in enumerate(by_rank) for x in (w, n)])
-    ranks = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.element_at(place, x["w"]))))
     postings: dict[str, list] = {}
-    for n, _, indexed, _ in index:
+    for n, _, indexed, must in index:
+        # an accepted alignment has all mandatory words, so the rarest of them finds it
+        top = set(sorted({indexed[i] for i in must}, key=by_rank.index)[: max(looked_up, 1)])
         for i, w in indexed.items():
-            postings.setdefault(w, []).append((n, i))
-    post = spark.createDataFrame([(w, by_rank.index(w), n, i) for w, v in postings.items() for n, i in v], "w string, r int, template int, at int")
+            postings.setdefault(w, []).append((n, i, w in top))
+    post = spark.createDataFrame([(w, *x) for w, v in postings.items() for x in v], "w string, template int, at int, rare boolean")
 
-    # every file's rarest words say which templates and offsets to look at ...
-    looked = files.where(F.size("hits") >= 2).select("row", "hits", F.slice(ranks, 1, looked_up).alias("top"))
-    probe = looked.select("row", "top", F.explode("hits").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.i").alias("i"), "top")
+    # every template's rarest mandatory words say which files and offsets to look at ...
+    probe = files.where(F.size("hits") >= 2).select("row", F.explode("hits").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.i").alias("i"))
     # one row per indexed word of the fixed templates: a proven bound
-    met = probe.join(F.broadcast(post), "w").select("row", "template", (F.col("i") - F.col("at")).alias("offset"), "at", F.array_contains("top", F.col("r")).alias("rare"))
+    met = probe.join(F.broadcast(post), "w").select("row", "template", (F.col("i") - F.col("at")).alias("offset"), "at", "rare")
     # ... and at such a place all indexed words count; a set of template positions is bounded by the template
     lines = met.groupBy("row", "template", "offset").agg(F.collect_set("at").alias("at"), F.max("rare").alias("rare"))
     accept, share, label = F.lit(False), F.lit(0.0), F.lit("")
