@@ -276,6 +276,19 @@ def test_license_scan_of_several_notices(spark):
     assert set(got[3]["labels"].split(",")) == {*notices, "cc-by", "gpl"} and got[10]["labels"] == "gpl"
 
 
+def test_quality_of_small_groups(spark):
+    rng = np.random.default_rng(9)
+
+    def words(mark, n=60):
+        return " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) + mark for _ in range(n))
+
+    data = [(i, words(""), "en", "large") for i in range(300)] + [(300 + i, words("####"), "en", "junk") for i in range(10)]
+    data += [(400 + i, words("####"), "eo", "rare") for i in range(3)] + [(500 + i, words(""), "eo", "good") for i in range(3)]
+    got = rows(quality.assess(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")))
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {*range(300, 310), *range(400, 403)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [*rng.integers(0, 60, (35, 2)).tolist(), *[[i, i + 1] for i in range(60, 80)], *[[100, i] for i in range(101, 130)]]

@@ -112,16 +112,25 @@ def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int
     The first core is the rows nearest to the group's mean in floor-scaled units after half of them nearest
     to its trimmed start are taken; each concentration step refits mean and covariance on the nearest share of rows. Groups
     below least rows are judged by the estimate of their language, and that by the whole table's where it is too
-    small as well. Statistics cover every row that passed the base rules; rows that failed them are not judged (d2 null).
+    small as well; these are made from all judged rows of the language or table. Statistics cover every row that passed the base rules; rows that failed them are not judged (d2 null).
     """
     names = list(FLOORS)
     judged = features(stats).where("not base_failed")
     sizes = judged.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang")))
-    group = F.when(F.col("n") >= least, F.xxhash64(F.lit("both"), "lang", F.col("lang").isNull(), "source", F.col("source").isNull())).when(F.col("n_lang") >= least, F.xxhash64(F.lit("lang"), "lang", F.col("lang").isNull())).otherwise(F.lit(0).cast("long"))
-    groups = scratch.write(sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), group.alias("g")))
+    of_lang = Window.partitionBy("lang")
+    sizes = scratch.write(sizes.withColumns({"n_lang": F.sum("n").over(of_lang), "n_least": F.min("n").over(of_lang)}))
+    both, by_lang, whole = F.xxhash64(F.lit("both"), "lang", F.col("lang").isNull(), "source", F.col("source").isNull()), F.xxhash64(F.lit("lang"), "lang", F.col("lang").isNull()), F.lit(0).cast("long")
+    group = F.when(F.col("n") >= least, both).when(F.col("n_lang") >= least, by_lang).otherwise(whole)
+    # the estimates that a row goes into: its own group's, and the wider ones that a small group asks for
+    asked = F.array(
+        F.when(F.col("n") >= least, both),
+        F.when((F.col("n_lang") >= least) & (F.col("n_least") < least), by_lang),
+        F.when(F.lit(not sizes.where(F.col("n_lang") < least).isEmpty()), whole),
+    )
+    groups = scratch.write(sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), group.alias("g"), F.array_compact(asked).alias("into")))
     rows = judged.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
-    rows = scratch.write(rows.select(key, "g", *names))
+    own = scratch.write(rows.select(key, "g", "into", *names))
+    rows = own.select(F.explode("into").alias("g"), *names)
     # start: medians by histogram of each feature, unit scales by the floors
     fits = rows.groupBy("g").agg(*[F.percentile_approx(a, 0.5, 2000).alias(f"mu_{a}") for a in names])
     spread = rows.join(fits, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"mu_{a}")), 0.5, 2000).alias(f"s_{a}") for a in names])
@@ -133,7 +142,7 @@ def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int
         near = far.join(scratch.write(_levels(far, core)), "g").where(F.floor(32 * F.log2(F.col("d2") + 1e-6)) <= F.col("edge"))
         # 1.5: consistency of a core of three quarters of normal rows in four dimensions
         fits = scratch.write(_factor(near.groupBy("g").agg(*_moments(names)), names, 1.5))
-    return _with_distance(rows, fits, names).select(key, "d2", (F.col("d2") > cutoff).alias("outlier"))
+    return _with_distance(own, fits, names).select(key, "d2", (F.col("d2") > cutoff).alias("outlier"))
 
 
 def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
