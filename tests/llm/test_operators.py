@@ -289,6 +289,13 @@ def test_quality_of_small_groups(spark):
     assert {i for i, r in got.items() if not r["kept"]} == {*range(300, 310), *range(400, 403)}
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    long = "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ"
+    data = [(1, f"All rights reserved.\n\n{long}\nok"), (2, f"All rights reserved.\n\n{long[:-1]}う\nOk"), (3, "ok\n短い行\nnew"), (4, "短い行\n \n \n短い字")]
+    out = rows(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")))
+    assert [out[i]["text"] for i in range(1, 5)] == [data[0][1], "\nOk", "短い行\nnew", " \n \n短い字"]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [*rng.integers(0, 60, (35, 2)).tolist(), *[[i, i + 1] for i in range(60, 80)], *[[100, i] for i in range(101, 130)]]

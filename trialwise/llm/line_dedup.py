@@ -18,7 +18,7 @@ from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
 from .common import KeyFilter, Scratch, connected_components, freed, table, text_of
 
-#: Edits between copies, words and characters a line must have to be judged: shorter ones recur by chance.
+#: Edits between copies; characters, or words and bytes, a line must have for copies with edits: shorter ones are near each other by chance, and only equal ones count.
 EDITS, LEAST_WORDS, LEAST_CHARS = 2, 5, 20
 
 
@@ -115,12 +115,15 @@ def link_lines(edits: int):
     return link
 
 
-def judged(line: bytes, edits: int, least_words: int, least_chars: int) -> bool:
-    return len(line) >= max(least_chars, edits + 1) and len(line.split(None, least_words)) >= least_words
+def judged(line: bytes, own, edits: int, least_words: int, least_chars: int) -> bool:
+    """Whether copies with edits of a line count; own is the line as text where it is not ASCII, else the line."""
+    least = max(least_chars, edits + 1)
+    # many scripts have no spaces, so words are not asked of a line that is long enough
+    return len(own) >= least or len(line) >= least and len(line.split(None, least_words)) >= least_words
 
 
 def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> DataFrame:
-    """(k, c, i, h1, h2, n, keys) of every line judged."""
+    """(k, c, i, h1, h2, n, keys) of every line that is not blank; those whose equal copies alone count have no keys."""
     kind = dict(rows.dtypes)["k"]
 
     def work(batches):
@@ -133,10 +136,11 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> D
                 of, number, h1, h2, length, keys = [], [], [], [], [], []
                 for d in range(a, b):
                     for i, line in enumerate(texts[d - a].encode("utf-8", "surrogateescape").split(b"\n")):
-                        if judged(line, edits, least_words, least_chars):
+                        own = line if line.isascii() else line.decode("utf-8", "surrogateescape")
+                        if own.strip():
                             h = xxhash.xxh3_128_intdigest(line)
-                            own = line if line.isascii() else line.decode("utf-8", "surrogateescape")
-                            of.append(d), number.append(i), length.append(len(own)), keys.append(line_keys(own, edits))
+                            near = judged(line, own, edits, least_words, least_chars)
+                            of.append(d), number.append(i), length.append(len(own)), keys.append(line_keys(own, edits) if near else [])
                             h1.append(h >> 64), h2.append(h & (1 << 64) - 1)
                 flat = np.array([k for own in keys for k in own], np.uint64).view(np.int64)
                 ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
@@ -173,7 +177,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
 
     One row per document that loses any; c is the hash of its text. A line goes if an earlier one is linked to it, directly or over
     others, by at most so many edits; earlier is by key (null first), then hash of the text, then number. Rows equal in key
-    and text are one document. Lines of fewer words or characters are never dropped, nor counted as first.
+    and text are one document. Of lines too short for edits equal ones are linked; blank lines are
+    never dropped.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("c", F.xxhash64("t"))
