@@ -11,40 +11,49 @@ from pyspark.sql import functions as F
 
 from .common import KeyFilter, Scratch, connected_components, freed, give_back
 
-#: Rows of a tile, and clusters up to this size are packed together.
-TILE, SMALL = 2048, 256
-
-
+#: Cost of a tile, and of clusters that are packed into one bin; a row costs 1 and one more for every WEIGHT of its size, so that tiles of large rows have fewer.
+TILE, SMALL, WEIGHT = 2048, 256, 1024
 #: Bits of a key that the first count looks at: shorter rows, and a few chance hits that the exact count then drops.
 SHORT = 40
 
 
+def bins_for(cost: int, of: int = TILE) -> int:
+    """Number of bins for so much cost: a bin's share stays that of a tile or two, whatever the input."""
+    return max(64, -(-int(cost or 0) // of))
+
+
 def clusters_by_keys(keyed: DataFrame, scratch: Scratch, meet=None) -> DataFrame:
     """(id, cluster) of rows (id, keys array<long>) that share a key with another, directly or over others.
 
-    A first count, of shortened keys and combined before the shuffle, finds those that occur twice; a bitmap of them then
-    passes over the keys of all other rows where they are read, so that only the rest is dealt by key, with its id. Each member of a key is
+    A first count, of shortened keys and combined before the shuffle, finds those that occur twice; only these are then dealt by key, with
+    the ids: passed over by a bitmap where the keys are read, or beyond the bitmap's bound picked by a join. Each member of a key is
     tied to the key's least id only: a key of n rows gives n rows, not n^2.
 
     With meet, keyed has a column mark (binary) as well, and members of a key are tied only as meet(keys, ids, marks) says: it
     gets arrays sorted by key, without repeats, and yields pairs of ids that span what may be linked. Keys of more than TILE rows are tied
     as before, so no task gathers more of one key.
     """
-    short = keyed.select(F.explode("keys").alias("key")).select(F.col("key").bitwiseAND(F.lit((1 << SHORT) - 1)).alias("key"))
-    may = KeyFilter(short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")).has()
-    scratch.release()
-    more = ["mark"] if meet else []
-
-    def work(batches):
-        for batch in batches:
-            column = batch.column("keys")
-            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
-            at = np.repeat(np.arange(len(sizes)), sizes)
-            hit = may(flat)
-            at = pa.array(at[hit])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(flat[hit]), *[batch.column(c).take(at) for c in more]], ["id", "key", *more])
-
-    flat = scratch.write(keyed.select("id", "keys", *more).mapInArrow(freed(work), "id long, key long" + ", mark binary" * bool(meet)))
+    low = F.lit((1 << SHORT) - 1)
+    short = keyed.select(F.explode("keys").alias("key")).select(F.col("key").bitwiseAND(low).alias("key"))
+    repeated = scratch.write(short.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    wanted = KeyFilter(repeated)
+    more = ["mark"] if meet and wanted.fits else []
+    if wanted.fits:
+        may = wanted.has()
+
+        def work(batches):
+            for batch in batches:
+                column = batch.column("keys")
+                flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                hit = may(flat & ((1 << SHORT) - 1))
+                at = pa.array(at[hit])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(flat[hit]), *[batch.column(c).take(at) for c in more]], ["id", "key", *more])
+
+        flat = keyed.select("id", "keys", *more).mapInArrow(freed(work), "id long, key long" + ", mark binary" * bool(more))
+    else:
+        flat = wanted.joined(keyed.select("id", F.explode("keys").alias("key")).withColumn("__short", F.col("key").bitwiseAND(low)), "__short").select("id", "key").distinct()
+    flat = scratch.write(flat)
     shared = flat.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z")
     if meet:
 
@@ -59,28 +68,36 @@ def clusters_by_keys(keyed: DataFrame, scratch: Scratch, meet=None) -> DataFrame
         # few keys can have so many rows: a table of known size, broadcast below the session's threshold
         hot = scratch.write(shared.where(F.col("n") > TILE).select("key", "a"))
         tagged = flat.join(hot, "key", "left")
-        alike = tagged.where("a is null").select(F.pmod(F.xxhash64("key"), F.lit(BINS)).alias("bin"), "key", "id", "mark").groupBy("bin").applyInArrow(cells, "a long, b long")
+        some = tagged.where("a is null").drop("a")
+        if not more:
+            # marks were not carried along: keys of one row go first, then each id's mark is fetched
+            some = scratch.write(some.join(shared.where(F.col("n") <= TILE).select("key"), "key"))
+            some = some.join(keyed.select("id", "mark").dropDuplicates(["id"]), "id")
+        n = bins_for(flat.count(), 4 * TILE)
+        alike = some.select(F.pmod(F.xxhash64("key"), F.lit(n)).alias("bin"), "key", "id", "mark").groupBy("bin").applyInArrow(cells, "a long, b long")
         edges = tagged.where("a <> id").select("a", F.col("id").alias("b")).union(alike).distinct()
     else:
         edges = flat.join(shared.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     edges = scratch.write(edges)
-    scratch.drop(flat)
-    scratch.release()
+    scratch.drop(flat, repeated)
     return connected_components(edges, scratch).toDF("id", "cluster")
 
 
-def deal_tiles(members: DataFrame, scratch: Scratch, ratio: float = 0.0, slack: int = 0, tile: int = TILE, small: int = SMALL) -> DataFrame:
+def deal_tiles(members: DataFrame, scratch: Scratch, ratio: float = 0.0, slack: int = 0, tile: int | None = None, small: int | None = None) -> DataFrame:
     """(bin, cluster, pair, side, id): which task compares which rows, for members (cluster, id, size).
 
     A cluster is cut into tiles along size; two tiles meet where their sizes allow a link, that is where the smaller is at least
     ratio times the larger and at most slack below it (0: no such bound). side 0 rows are compared with side 1
-    rows, side 2 rows (a tile with itself) with each other. Small clusters share a bin.
+    rows, side 2 rows (a tile with itself) with each other. Small clusters share a bin; there are as many bins as their cost asks for.
     """
-    sizes = members.groupBy("cluster", "size").agg(F.count("*").alias("n"))
+    tile, small = tile or TILE, small or SMALL
+    cost = (1 + F.floor(F.col("size") / WEIGHT)) * F.col("n")
+    sizes = members.groupBy("cluster", "size").agg(F.count("*").alias("n")).withColumn("cost", cost)
     upto = Window.partitionBy("cluster").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("cluster")
-    sizes = sizes.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)), "all": F.sum("n").over(whole), "parts": F.ceil(F.col("n") / tile)})
+    sizes = sizes.withColumns({"before": F.coalesce(F.sum("cost").over(upto), F.lit(0)), "all": F.sum("cost").over(whole), "parts": F.ceil(F.col("cost") / tile)})
     sizes = scratch.write(sizes.withColumn("t", F.when(F.col("all") <= tile, 0).otherwise(F.floor(F.col("before") / tile)).cast("long")))
+    bins = bins_for(sizes.agg(F.sum("cost")).first()[0])
     placed = members.join(sizes, ["cluster", "size"]).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), "parts")).otherwise(0))
     # sizes that fill tiles of their own must not share a number with the next ones
     placed = scratch.write(placed.select("cluster", "id", "size", "all", F.concat_ws(":", "t", F.when(F.col("parts") > 1, F.col("size")), F.when(F.col("parts") > 1, F.col("part"))).alias("tile")))
@@ -90,17 +107,13 @@ def deal_tiles(members: DataFrame, scratch: Scratch, ratio: float = 0.0, slack:
     if slack:
         meet = meet & (F.col("ha") + slack >= F.col("lb")) & (F.col("hb") + slack >= F.col("la"))
     pairs = a.join(b, "cluster").where(meet)
-    bins = F.when(F.col("all") <= small, F.pmod(F.xxhash64("cluster"), F.lit(BINS))).otherwise(F.xxhash64("cluster", "ta", "tb"))
-    pairs = pairs.select("cluster", "ta", "tb", bins.alias("bin"), F.xxhash64("ta", "tb").alias("pair"))
+    into = F.when(F.col("all") <= small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "ta", "tb"))
+    pairs = pairs.select("cluster", "ta", "tb", into.alias("bin"), F.xxhash64("ta", "tb").alias("pair"))
     ends = F.when(F.col("ta") == F.col("tb"), F.array(F.struct(F.col("ta").alias("tile"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("ta").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("tb").alias("tile"), F.lit(1).alias("side"))))
     dealt = pairs.select("cluster", "bin", "pair", F.explode(ends).alias("e")).select("cluster", "bin", "pair", F.col("e.tile").alias("tile"), F.col("e.side").alias("side"))
     return dealt.join(placed, ["cluster", "tile"]).select("bin", "cluster", "pair", "side", "id")
 
 
-#: Bins of small clusters: a task handles many, one after another.
-BINS = 512
-
-
 def compare(dealt: DataFrame, link, schema: str) -> DataFrame:
     """Runs link(ids, side, payload) on every (cluster, pair) and gathers what it yields: tuples of the schema.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import gc
+import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, as in tests, a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where unset, a local session, which has one machine, gets a
+    folder of its own; on a cluster that is an error, since executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="trialwise-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Spark's own switch: an execution's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Executions inside leave no shuffle files behind: what they made is in a table or with the driver."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables in the shared folder. They cut lineage, so that a lost executor costs one step and not the whole job."""
 
+    #: Folders made in this process and not yet deleted.
+    made: ClassVar[dict[str, SparkSession]] = {}
+
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        Scratch.made[self.root] = spark
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        with tidy(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]  # so that ids stay unique
@@ -49,14 +74,21 @@ class Scratch:
         """Deletes tables that no later step reads."""
         for df in tables:
             if path := self.paths.get(id(df)):
-                jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+                _delete(self.spark, path)
+
+    @classmethod
+    def clear(cls, keep: tuple[str, ...] = ()) -> None:
+        """Deletes all tables of all operators so far, but those below the folders to keep. For callers that have written what they need:
+        results that were not written yet read from them."""
+        for root, spark in list(cls.made.items()):
+            if root not in keep:
+                _delete(spark, root)
+                del cls.made[root]
 
 
-    def release(self) -> None:
-        """Lets go of shuffle files that no live DataFrame refers to, rather than when the driver's memory next fills."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def give_back() -> None:
@@ -79,33 +111,42 @@ def freed(work):
 
 
 class KeyFilter:
-    """A bitmap of 64-bit hashes, of fixed size, for workers to pass over rows that cannot match.
+    """A bitmap of 64-bit hashes for workers to pass over rows that cannot match. It lets through some rows too many, never too few.
 
-    It lets through some rows too many, never too few; with many more keys than bits it lets through all, so what follows
-    must be right without it.
+    It has BITS_A_KEY bits for each counted key, so that about one in so many other rows gets through, and is broadcast: 2^MOST_BITS bits,
+    32 MB, are the bound. With more keys there is none (fits is False), and callers join by key instead.
     """
 
-    BITS, CHUNK = 1 << 26, 1 << 16
+    BITS_A_KEY, LEAST_BITS, MOST_BITS, CHUNK = 8, 20, 28, 1 << 16
 
     def __init__(self, keys: DataFrame):
-        """keys: one long column."""
-        at = F.col(keys.columns[0]).bitwiseAND(F.lit(self.BITS - 1))
+        """keys: one long column, of a written table, as it is read twice."""
+        n, self.keys = keys.count(), keys
+        bits = max(self.LEAST_BITS, (n * self.BITS_A_KEY - 1).bit_length() if n else 0)
+        self.fits = bits <= self.MOST_BITS
+        if not self.fits:
+            return
+        self.bits = 1 << bits
+        at = F.col(keys.columns[0]).bitwiseAND(F.lit(self.bits - 1))
         placed = keys.select(F.floor(at / self.CHUNK).alias("chunk"), at.bitwiseAND(F.lit(self.CHUNK - 1)).alias("at")).distinct()
+        chunk = self.CHUNK
 
         def pack(t: pa.Table) -> pa.Table:
-            bits = np.zeros(KeyFilter.CHUNK, np.uint8)
+            bits = np.zeros(chunk, np.uint8)
             bits[t.column("at").to_numpy()] = 1
             return pa.table({"chunk": t.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-        bitmap = np.zeros(self.BITS // 8, np.uint8)
-        # at most BITS / CHUNK rows of CHUNK bits: 8 MB
-        for r in placed.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect():
+        bitmap = np.zeros(self.bits // 8, np.uint8)
+        with tidy(keys.sparkSession):
+            packed = placed.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect()
+        # at most bits / CHUNK rows of CHUNK bits: 32 MB
+        for r in packed:
             bitmap[r["chunk"] * self.CHUNK // 8 :][: self.CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def has(self):
         """What tells, on a worker, which of an array of hashes may be among the keys."""
-        shared, last = self.shared, np.int64(self.BITS - 1)
+        shared, last = self.shared, np.int64(self.bits - 1)
 
         def test(h: np.ndarray) -> np.ndarray:
             at = h.view(np.int64) & last
@@ -113,6 +154,28 @@ class KeyFilter:
 
         return test
 
+    def joined(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows whose column is among the keys, by a join: the way where no bitmap fits. Skewed keys are split by adaptive execution."""
+        return rows.join(self.keys.toDF("__key").distinct(), F.col(name) == F.col("__key"), "left_semi")
+
+
+def among(rows: DataFrame, name: str, keys: KeyFilter) -> DataFrame:
+    """Rows whose long column may be among the keys, passed over where they are read if a bitmap fits."""
+    if not keys.fits:
+        return keys.joined(rows, name)
+    may, names = keys.has(), rows.columns
+
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may(batch.column(name).to_numpy()))).select(names)
+
+    return rows.mapInArrow(freed(work), rows.schema)
+
+
+def distinct_ids(classes: DataFrame, name: str) -> bool:
+    """Whether a hash that stands for a class stands for one alone. Classes are as many as rows at most, and one number of each is dealt."""
+    return classes.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import KeyFilter, Scratch, connected_components, freed, table, text_of
+from .common import KeyFilter, Scratch, among, connected_components, distinct_ids, freed, table, text_of
 
 #: Coordinates of a point, and entries of a tree's node.
 GROUPS, FAN = 16, 16
@@ -58,12 +58,17 @@ def most_apart(n: int, percent: int) -> int:
     return (100 - percent) * n // percent
 
 
-def groups(n: int, percent: int) -> int:
-    """Number of hash groups for a set of n: from a row of numbers that grow by 1.3, the first that leaves few enough shingles in a group."""
+def groups(n: int, percent: int) -> list[int]:
+    """Numbers of hash groups for a set of n: from a row of numbers that grow by 1.3, the first that leaves few enough shingles in a group,
+    and those on to the one of the largest set that a link allows. So the number of the larger of two linked sets is among the smaller one's."""
     most, m = (4.3 if percent >= 85 else 2.4), 4.0
     while int(m) * most < n:
         m *= 1.3
-    return int(m)
+    out = [int(m)]
+    while out[-1] * most < n * 100 // percent:
+        m *= 1.3
+        out.append(int(m))
+    return out
 
 
 def least_in_group(m: int, percent: int) -> int:
@@ -80,14 +85,14 @@ def group_keys(h: np.ndarray, percent: int) -> np.ndarray:
     Of two linked sets, the one whose list ends first has d + 1 such groups in there, at most d of them touched; one that is not
     touched has the same content, so the same size, in the other. Should groups not suffice, single
     shingles follow in order as groups of their own; a shingle then touches two, so 2 d + 1 are taken.
-    Sets near the edge of a number of groups are in both, as a partner may be at most 100 / percent times as large. A
+    A set takes part in every number of groups that a partner, at most 100 / percent times as large, may have. A
     set that has no room for a difference is linked only to its equals, and needs no keys.
     """
     n, out = len(h), []
     d = most_apart(n, percent)
     if d == 0:
         return np.empty(0, np.int64)
-    for m in {groups(n, percent), groups(n * 100 // percent, percent)}:
+    for m in groups(n, percent):
         # the upper half of a hash says which group, so sorted hashes are sorted by group
         group = (h >> U(32)) * U(m) >> U(32)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -193,8 +198,10 @@ def link_sets(percent: int):
 
 def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None = None) -> DataFrame:
     """rows (k, h, t) to (k, h, n, d1, d2, keys, mark); with wanted, those alone whose h may be wanted, to (k, h, n, d1, d2, sets)."""
-    kind = dict(rows.dtypes)["k"]
-    may = wanted and wanted.has()
+    kind, sets_only = dict(rows.dtypes)["k"], wanted is not None
+    may = wanted.has() if sets_only and wanted.fits else None
+    if sets_only and not wanted.fits:
+        rows = wanted.joined(rows, "h")
 
     def work(batches):
         for batch in batches:
@@ -204,26 +211,15 @@ def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None
             for a, b in slices(pc.utf8_length(column).to_pylist()):
                 sets = [shingle_set(t, size) for t in column.slice(a, b - a).to_pylist()]
                 marks = [digest(h) for h in sets]
-                lists = [h.view(np.int64) if may else group_keys(h, percent) for h in sets]
+                lists = [h.view(np.int64) if sets_only else group_keys(h, percent) for h in sets]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-                vectors = [] if may else [pa.array([count_vector(h).astype(np.int32).tobytes() for h in sets], pa.binary())]
+                vectors = [] if sets_only else [pa.array([count_vector(h).astype(np.int32).tobytes() for h in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), pa.int64())), *vectors],
-                    ["k", "h", "n", "d1", "d2", *(["sets"] if may else ["keys", "mark"])],
+                    ["k", "h", "n", "d1", "d2", *(["sets"] if sets_only else ["keys", "mark"])],
                 )
 
-    return rows.select("k", "h", "t").mapInArrow(freed(work), f"k {kind}, h long, n long, d1 long, d2 long, {'sets array<long>' if may else 'keys array<long>, mark binary'}")
-
-
-def _let_through(keyed: DataFrame, wanted: KeyFilter) -> DataFrame:
-    """Rows (h, id, keys, mark) whose h may be wanted, to (id, keys, mark)."""
-    may = wanted.has()
-
-    def work(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(may(batch.column("h").to_numpy()))).select(["id", "keys", "mark"])
-
-    return keyed.mapInArrow(freed(work), "id long, keys array<long>, mark binary")
+    return rows.select("k", "h", "t").mapInArrow(freed(work), f"k {kind}, h long, n long, d1 long, d2 long, {'sets array<long>' if sets_only else 'keys array<long>, mark binary'}")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -231,21 +227,28 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     Sets are compared once, whatever the number of documents that have them; class_id is the least key of those, and
     component_id the least key reachable by links. Documents without words, and null texts, are linked with
-    nothing: their ids are their own keys. Null keys are rows like others; a component of them alone has a null id.
+    nothing: their ids are their own keys. Null keys are rows like others; a component of them alone has a null id. Rows that
+    repeat a key are judged each by its own text. Other columns are not read. Empty table: no rows. percent is 50 to 100.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), text_of(text).alias("t"))
     keyed = scratch.write(_shingled(rows, size, percent))
     same = ["n", "d1", "d2"]
     marked = scratch.write(keyed.select("k", *same))
-    classes = marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least"))
-    classes = scratch.write(classes.select(*same, "least", F.xxhash64("d1", "d2").alias("id")))
+    classes = scratch.write(marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least")))
+    # 64 bits stand for the 128 of a class in what follows: with a seed that keeps all classes apart
+    for seed in range(8):
+        number = F.xxhash64("d1", "d2", "n", F.lit(seed)).alias("id")
+        if distinct_ids(classes.select(number), "id"):
+            break
+    classes = classes.select(*same, "least", number)
     # keys are long and stay where they are: a bitmap lets those of each class's least document through, and by chance a copy's
     first = KeyFilter(classes.select(F.xxhash64("least").alias("h")))
-    firsts = _let_through(keyed.where("n > 0").select("h", F.xxhash64("d1", "d2").alias("id"), "keys", "mark"), first)
+    firsts = among(keyed.where("n > 0").select("h", number, "keys", "mark"), "h", first).drop("h")
     near = scratch.write(clusters_by_keys(firsts, scratch, meet_points(percent)))
     scratch.drop(keyed)
-    scratch.release()
     members = near.join(classes.select("id", *same, "least"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("n").alias("size")), scratch, percent / 100))
     # each class's places in the tiles go with its set, so that sets are dealt twice at most
@@ -257,7 +260,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     sets = again.join(wanted, F.col("k").eqNullSafe(F.col("k2")) & (F.col("n") == F.col("n2")) & (F.col("d1") == F.col("d12")) & (F.col("d2") == F.col("d22")))
     sets = sets.select("id", F.col("sets").alias("payload"), F.explode("places").alias("p"))
     edges = scratch.write(compare(sets.select("p.*", "id", "payload"), link_sets(percent), "a long, b long"))
-    scratch.release()
+    scratch.drop(dealt, wanted)
     component = connected_components(edges, scratch)
     rooted = classes.join(component.select(F.col("node").alias("id"), "component"), "id", "left").select(*same, "least", F.coalesce("component", "id").alias("root"))
     rooted = scratch.write(rooted)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import KeyFilter, Scratch, connected_components, freed, table, text_of
+from .common import KeyFilter, Scratch, connected_components, distinct_ids, freed, table, text_of
 
 #: Edits between copies; characters, or words and bytes, a line must have for copies with edits: shorter ones are near each other by chance, and only equal ones count.
 EDITS, LEAST_WORDS, LEAST_CHARS = 2, 5, 20
@@ -122,7 +122,7 @@ def judged(line: bytes, own, edits: int, least_words: int, least_chars: int) ->
     return len(own) >= least or len(line) >= least and len(line.split(None, least_words)) >= least_words
 
 
-def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> DataFrame:
+def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int, seed: int = 0) -> DataFrame:
     """(k, c, i, h1, h2, n, keys) of every line that is not blank; those whose equal copies alone count have no keys."""
     kind = dict(rows.dtypes)["k"]
 
@@ -138,7 +138,7 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> D
                     for i, line in enumerate(texts[d - a].encode("utf-8", "surrogateescape").split(b"\n")):
                         own = line if line.isascii() else line.decode("utf-8", "surrogateescape")
                         if own.strip():
-                            h = xxhash.xxh3_128_intdigest(line)
+                            h = xxhash.xxh3_128_intdigest(line, seed)
                             near = judged(line, own, edits, least_words, least_chars)
                             of.append(d), number.append(i), length.append(len(own)), keys.append(line_keys(own, edits) if near else [])
                             h1.append(h >> 64), h2.append(h & (1 << 64) - 1)
@@ -153,23 +153,27 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int) -> D
     return rows.select("k", "c", "t").mapInArrow(freed(work), f"k {kind}, c long, i int, h1 long, h2 long, n long, keys array<long>")
 
 
-def _wanted_lines(rows: DataFrame, holders: KeyFilter, lines: KeyFilter) -> DataFrame:
+def _wanted_lines(rows: DataFrame, holders: KeyFilter, lines: KeyFilter, seed: int = 0) -> DataFrame:
     """(id, payload) of rows (h, t): lines whose first hash may be wanted, of documents that may hold the first copy of one."""
-    may, line_may = holders.has(), lines.has()
+    may, line_may = holders.has() if holders.fits else None, lines.has() if lines.fits else None
+    if not holders.fits:
+        rows = holders.joined(rows, "h")
 
     def work(batches):
         import xxhash
 
         for batch in batches:
-            batch = batch.filter(pa.array(may(batch.column("h").to_numpy())))
+            if may:
+                batch = batch.filter(pa.array(may(batch.column("h").to_numpy())))
             column = batch.column("t")
             for a, b in slices(pc.utf8_length(column).to_pylist()):
                 found = list({x for t in column.slice(a, b - a).to_pylist() for x in t.encode("utf-8", "surrogateescape").split(b"\n")})
-                ids = np.array([xxhash.xxh3_128_intdigest(x) >> 64 for x in found], np.uint64).view(np.int64)
-                hit = line_may(ids)
+                ids = np.array([xxhash.xxh3_128_intdigest(x, seed) >> 64 for x in found], np.uint64).view(np.int64)
+                hit = line_may(ids) if line_may else np.ones(len(ids), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([x for x, y in zip(found, hit) if y], pa.binary())], ["id", "payload"])
 
-    return rows.select("h", "t").mapInArrow(freed(work), "id long, payload binary")
+    found = rows.select("h", "t").mapInArrow(freed(work), "id long, payload binary")
+    return found if lines.fits else lines.joined(found, "id")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -182,19 +186,23 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("c", F.xxhash64("t"))
-    lines = scratch.write(_lines(rows, edits, least_words, least_chars))
     mark, first = ["h1", "h2", "n"], F.min(F.struct("k", "c", "i")).alias("first")
-    classes = scratch.write(lines.groupBy(*mark).agg(first, F.count("*").alias("copies")))
+    # 64 of 128 bits stand for a line's class in what follows: with a seed that keeps all classes apart
+    for seed in range(8):
+        lines = scratch.write(_lines(rows, edits, least_words, least_chars, seed))
+        classes = scratch.write(lines.groupBy(*mark).agg(first, F.count("*").alias("copies")))
+        if distinct_ids(classes, "h1"):
+            break
+        scratch.drop(lines, classes)
     near = scratch.write(clusters_by_keys(lines.select(F.col("h1").alias("id"), "keys"), scratch))
     members = near.join(classes.select(F.col("h1").alias("id"), "n", "first"), "id")
     members = scratch.write(members)
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("n").alias("size")), scratch, slack=edits))
     # lines are fetched from the documents that hold their first copies; other texts are passed over where they are read
     holders = KeyFilter(members.select(F.xxhash64("first.k", "first.c").alias("h")))
-    texts = _wanted_lines(rows.withColumn("h", F.xxhash64("k", "c")), holders, KeyFilter(members.select("id")))
+    texts = _wanted_lines(rows.withColumn("h", F.xxhash64("k", "c")), holders, KeyFilter(members.select("id")), seed)
     edges = scratch.write(compare(dealt.join(texts, "id"), link_lines(edits), "a long, b long"))
     component = scratch.write(connected_components(edges, scratch))
-    scratch.release()
     rooted = classes.join(component.select(F.col("node").alias("h1"), "component"), "h1", "left").where("copies > 1 or component is not null")
     rooted = scratch.write(rooted.select(*mark, "first", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "h1").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("keep"))
@@ -203,25 +211,28 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     # a document's dropped lines are bounded by its lines
     out = gone.groupBy("k", "c").agg(F.array_sort(F.collect_set("i")).alias("dropped"), F.array_sort(F.collect_set("keep.k")).alias("kept_in")).withColumnRenamed("k", key)
     out = scratch.write(out)
-    scratch.drop(lines)
-    scratch.release()
+    scratch.drop(lines, classes, members, dealt, edges, rooted)
     return out
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows and columns of docs, text without the lines that repeat an earlier one, plus __lines, __dropped and __kept_in.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, str, str] = ("__lines", "__dropped", "__kept_in"), **options) -> DataFrame:
+    """The rows and columns of docs, text without the lines that repeat an earlier one, plus three columns: how many lines the text had,
+    the numbers of those that it lost, and the keys of the documents that keep them (null where it lost none).
 
+    names says what those three are called: docs must not have columns of these names. Other columns may have any name.
     Texts that lose nothing are unchanged, null stays null; a text that loses all its lines is empty. Empty table: no rows.
     """
-    gone = repeated_lines(docs, key, text, **options)
-    gone = gone.select(F.col(key).alias("__k"), F.col("c").alias("__c"), F.col("dropped").alias("__dropped"), F.col("kept_in").alias("__kept_in"))
-    out = docs.withColumn("__hash", F.xxhash64(text_of(text)))
-    out = out.join(gone, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__c")), "left")
-    lines = F.split(F.col(text), "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i)), "\n")
+    if clash := {x.lower() for x in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns {sorted(clash)}: give other names")
+    gone = repeated_lines(docs, key, text, **options).select(F.col(key).alias("k"), "c", F.struct("dropped", "kept_in").alias("gone"))
+    # all of docs in one column, so that no name can clash
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(text_of(text)).alias("h"), F.col(key).alias("key"))
+    out = out.join(gone, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("c")), "left")
+    own = F.col("row").getField(text)
+    rest = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("gone.dropped", i)), "\n")
     return out.select(
-        *[F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else docs[c] for c in docs.columns],
-        (F.regexp_count(text_of(text), F.lit("\n")) + 1).cast("long").alias("__lines"), "__dropped", "__kept_in",
+        *[F.when(F.col("gone").isNull(), own).otherwise(rest).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns],
+        (F.regexp_count(F.coalesce(own, F.lit("")), F.lit("\n")) + 1).cast("long").alias(names[0]), F.col("gone.dropped").alias(names[1]), F.col("gone.kept_in").alias(names[2]),
     )
 
 
