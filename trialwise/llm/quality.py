@@ -2,11 +2,15 @@
 
 Base rules reject texts with too few words or too many repeated windows. Of the others, robust multivariate
 outliers are rejected: per language and source, minimum-covariance-determinant estimates of transformed
-statistics, by concentration steps, and a bound on the Mahalanobis distance.
+statistics, and a bound on the Mahalanobis distance. Concentration steps run from several deterministic starts until no group's
+determinant falls, and each group takes the estimate of least determinant that any start came by.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,8 @@ from .common import SPACE, WORD, Scratch, table, text_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Concentration steps; share of rows in the core; squared distance beyond which a row is an outlier (chi-square, 4 degrees, at about 1 - 1e-9); rows a group needs for estimates of its own.
-STEPS, CORE, CUTOFF, LEAST = 3, 0.75, 46.0, 50
+#: Concentration steps at most, and the fall of a log determinant below which a group counts as settled; share of rows in the core; squared distance beyond which a row is an outlier (chi-square, 4 degrees, at about 1 - 1e-9); rows a group needs for estimates of its own.
+STEPS, SETTLED, CORE, CUTOFF, LEAST = 8, 1e-3, 0.75, 46.0, 50
 #: Features and the least standard deviation each is given, so that a core of equal values does not make every other value an outlier.
 FLOORS = {"z_len": 0.12, "z_sym": 0.5, "z_dup": 0.6, "z_rep": 0.6}
 
@@ -69,13 +73,31 @@ def features(stats: DataFrame) -> DataFrame:
     )
 
 
+def chi_square(x: float, degrees: int) -> float:
+    """P(chi-square <= x) for an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(degrees // 2))
+
+
+def consistency(core: float, degrees: int) -> float:
+    """What the covariance of the core's share of normal rows is to be multiplied by: core over the chi-square, of two degrees more, of its quantile."""
+    low, high = 0.0, 1e3
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, degrees) < core else (low, mid)
+    return core / chi_square(low, degrees + 2) if core < 1 else 1.0
+
+
+def _triangle(names: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+
+
 def _moments(names: list[str]) -> list[Column]:
-    out = [F.count("*").alias("m")] + [F.avg(a).alias(f"mu_{a}") for a in names]
-    return out + [F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
+    return [F.avg(a).alias(f"mu_{a}") for a in names] + [F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in _triangle(names)]
 
 
 def _factor(fits: DataFrame, names: list[str], scale: float) -> DataFrame:
-    """Adds the Cholesky factor, column by column: one row per group, so that rows of the corpus only substitute."""
+    """(g, start, mu_, l_, logdet): the Cholesky factor, column by column, of the floored covariance and its log determinant; one row
+    per group and start, so that rows of the corpus only substitute."""
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
             s = F.coalesce(F.col(f"c_{a}_{b}"), F.lit(0.0)) * scale
@@ -84,34 +106,80 @@ def _factor(fits: DataFrame, names: list[str], scale: float) -> DataFrame:
             for k in names[:j]:
                 s = s - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
             fits = fits.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(s, F.lit(FLOORS[a] ** 2 / 100))) if i == j else s / F.col(f"l_{b}_{b}"))
-    return fits.select("g", *[f"mu_{a}" for a in names], *[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
+    return fits.select("g", "start", *[f"mu_{a}" for a in names], *[f"l_{a}_{b}" for a, b in _triangle(names)], _logdet(names).alias("logdet"))
+
+
+def _logdet(names: list[str]) -> Column:
+    return 2 * reduce(lambda x, y: x + y, [F.log(f"l_{a}_{a}") for a in names])
 
 
 def _with_distance(rows: DataFrame, fits: DataFrame, names: list[str]) -> DataFrame:
-    kept, out = rows.columns, rows.join(fits, "g")
+    """rows (g, ...) by every start of their group's fits, with d2. fits is a written table: some rows per group, broadcast below the session's threshold."""
+    out = rows.join(fits.drop("logdet"), "g")
     for i, a in enumerate(names):
         s = F.col(a) - F.col(f"mu_{a}")
         for b in names[:i]:
             s = s - F.col(f"l_{a}_{b}") * F.col(f"y_{b}")
         out = out.withColumn(f"y_{a}", s / F.col(f"l_{a}_{a}"))
     d2 = sum((F.col(f"y_{a}") * F.col(f"y_{a}") for a in names), F.lit(0.0))
-    return out.select(*kept, d2.alias("d2"))
+    return out.select(*rows.columns, "start", d2.alias("d2"))
+
+
+def _bin(d2: Column) -> Column:
+    return F.floor(32 * F.log2(d2 + 1e-6))
 
 
 def _levels(rows: DataFrame, share: float) -> DataFrame:
-    """(g, edge): the upper edge of the histogram bin of d2 in which a group's share of rows is reached. Bins are 1/32 of a doubling: some hundred counts per group, whatever its size."""
-    bins = rows.groupBy("g", F.floor(32 * F.log2(F.col("d2") + 1e-6)).alias("b")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("g").orderBy("b")
-    bins = bins.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("g"))})
-    return bins.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g").agg(F.min("b").alias("edge"))
+    """(g, start, edge): the upper edge of the histogram bin of d2 in which a group's share of rows is reached. Bins are 1/32 of a doubling: some hundred counts per group, whatever its size."""
+    bins = rows.groupBy("g", "start", _bin(F.col("d2")).alias("b")).agg(F.count("*").alias("n"))
+    each = Window.partitionBy("g", "start")
+    bins = bins.withColumns({"upto": F.sum("n").over(each.orderBy("b")), "all": F.sum("n").over(each)})
+    return bins.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy("g", "start").agg(F.min("b").alias("edge"))
+
+
+def _starts(rows: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+    """Fits (g, start, mu_, l_, logdet) to set out from: 0, medians and median deviations; 1, means and covariance of all rows; 2, those of rows
+    drawn in to within two deviations of the median on each axis, which leaves correlation to the bulk of the rows."""
+    at = [F.percentile_approx(a, 0.5, 2000).alias(f"mu_{a}") for a in names]
+    # written, so that their size is known: some hundred groups are broadcast, and a source with a third of all rows is not dealt to one task
+    mid = scratch.write(rows.groupBy("g").agg(*at))
+    spread = rows.join(mid, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"mu_{a}")), 0.5, 2000).alias(f"s_{a}") for a in names])
+    mid = scratch.write(mid.join(spread, "g").withColumns({f"s_{a}": F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(FLOORS[a])) for a in names}))
+    first = mid.select("g", F.lit(0).alias("start"), *[f"mu_{a}" for a in names], *[(F.col(f"s_{a}") if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for a, b in _triangle(names)])
+    near = mid.select("g", *[F.col(f"mu_{a}").alias(f"at_{a}") for a in names], *[f"s_{a}" for a in names])
+    inside = [F.greatest(F.least(F.col(a), F.col(f"at_{a}") + 2 * F.col(f"s_{a}")), F.col(f"at_{a}") - 2 * F.col(f"s_{a}")).alias(a) for a in names]
+    both = rows.join(near, "g").select("g", F.explode(F.array(F.struct(F.lit(1).alias("start"), *names), F.struct(F.lit(2).alias("start"), *inside))).alias("e")).select("g", "e.*")
+    others = _factor(both.groupBy("g", "start").agg(*_moments(names)), names, 1.0)
+    return scratch.write(first.withColumn("logdet", _logdet(names)).unionByName(others))
+
+
+def least_determinant(rows: DataFrame, scratch: Scratch, names: list[str], core: float = CORE, steps: int = STEPS) -> DataFrame:
+    """(g, start, mu_, l_, logdet): each group's estimate of least determinant, of rows (g, names).
+
+    A concentration step refits mean and covariance on the core nearest to the last fit; it can't raise the determinant (but for the
+    histogram's bins). Steps go on until no start of any group falls by more than SETTLED, or steps are done; then each group takes its start of least determinant,
+    the first of equals.
+    """
+    scale, fits = consistency(core, len(names)), _starts(rows, names, scratch)
+    for step in range(steps):
+        far = _with_distance(rows, fits, names)
+        near = far.join(scratch.write(_levels(far, core)), ["g", "start"]).where(_bin(F.col("d2")) <= F.col("edge"))
+        after = scratch.write(_factor(near.groupBy("g", "start").agg(*_moments(names)), names, scale))
+        if step:
+            fall = fits.select("g", "start", F.col("logdet").alias("was")).join(after, ["g", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        else:
+            fall = math.inf  # starts are no cores
+        fits = after
+        if fall is None or fall <= SETTLED:
+            break
+    best = fits.groupBy("g").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "g"]), F.struct("logdet", "start")).alias("e"))
+    return scratch.write(best.select("g", "e.*"))
 
 
 def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int = STEPS, core: float = CORE, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
     """stats with d2, the squared robust distance, and outlier. Groups are languages in sources (nulls are values).
 
-    The first core is the rows nearest to the group's mean in floor-scaled units after half of them nearest
-    to its trimmed start are taken; each concentration step refits mean and covariance on the nearest share of rows. Groups
-    below least rows are judged by the estimate of their language, and that by the whole table's where it is too
+    Groups below least rows are judged by the estimate of their language, and that by the whole table's where it is too
     small as well; these are made from all judged rows of the language or table. Statistics cover every row that passed the base rules; rows that failed them are not judged (d2 null).
     """
     names = list(FLOORS)
@@ -130,18 +198,7 @@ def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int
     groups = scratch.write(sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), group.alias("g"), F.array_compact(asked).alias("into")))
     rows = judged.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
     own = scratch.write(rows.select(key, "g", "into", *names))
-    rows = own.select(F.explode("into").alias("g"), *names)
-    # start: medians by histogram of each feature, unit scales by the floors
-    fits = rows.groupBy("g").agg(*[F.percentile_approx(a, 0.5, 2000).alias(f"mu_{a}") for a in names])
-    spread = rows.join(fits, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"mu_{a}")), 0.5, 2000).alias(f"s_{a}") for a in names])
-    zero = {f"l_{a}_{b}": F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(FLOORS[a])) if a == b else F.lit(0.0) for i, a in enumerate(names) for b in names[: i + 1]}
-    fits = scratch.write(fits.join(spread, "g").withColumns(zero).drop(*[f"s_{a}" for a in names]))
-    for _ in range(steps):
-        far = _with_distance(rows, fits, names)
-        # written, so that its size is known: some hundred groups are broadcast, and a source with a third of all rows is not dealt to one task
-        near = far.join(scratch.write(_levels(far, core)), "g").where(F.floor(32 * F.log2(F.col("d2") + 1e-6)) <= F.col("edge"))
-        # 1.5: consistency of a core of three quarters of normal rows in four dimensions
-        fits = scratch.write(_factor(near.groupBy("g").agg(*_moments(names)), names, 1.5))
+    fits = least_determinant(own.select(F.explode("into").alias("g"), *names), scratch, names, core, steps)
     return _with_distance(own, fits, names).select(key, "d2", (F.col("d2") > cutoff).alias("outlier"))
 
 
