@@ -46,32 +46,38 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _rated(docs: DataFrame, key: str, source: str, text: str, weights, budget: float, most: float, seed: int) -> tuple[DataFrame, Column]:
+    """Targets (source, source_size, target), written, and the copies of a row whose key, source and target are columns k, s and target."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sums = docs.select(F.col(source).alias("source"), n_words(text_of(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    # A written table has a size that the planner knows: it is broadcast below the session's threshold and merge-joined above it, where skewed sources are split.
+    targets = scratch.write(source_targets(sums, weights, budget, most))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + F.when(unit_hash(F.col("k"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    return targets, copies.cast("long")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
     """(key, source, size, source_size, target, copies): one row per row of docs.
 
     Null text has size 0; null source is a source of its own; a null or repeated key gets the same draw each time; a
     source without words takes none; an empty table gives no rows. Other columns of docs are not read.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    targets, copies = _rated(docs, key, source, text, weights, budget, most, seed)
     sized = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), n_words(text_of(text)).alias("size"))
-    sums = sized.groupBy(F.col("s").alias("source")).agg(F.sum("size").alias("source_size"))
-    # A written table has a size that the planner knows: it is broadcast below the session's threshold and merge-joined above it, where skewed sources are split.
-    targets = scratch.write(source_targets(sums, weights, budget, most))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + F.when(unit_hash(F.col("k"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return (
-        sized.join(targets, F.col("s").eqNullSafe(F.col("source")))
-        .withColumn("rate", rate)
-        .select(F.col("k").alias(key), F.col("s").alias("source"), "size", "source_size", "target", copies.cast("long").alias("copies"))
-    )
+    return sized.join(targets, F.col("s").eqNullSafe(F.col("source"))).select(F.col("k").alias(key), F.col("s").alias("source"), "size", "source_size", "target", copies.alias("copies"))
+
 
+def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as the mix takes it, columns unchanged. Odd cases are those of mix().
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mix takes it, columns unchanged."""
-    plan, key, source = mix(docs, **options), options.get("key", "doc_id"), options.get("source", "source")
-    chosen = plan.where("copies > 0").groupBy(F.col(key).alias("__mix_key"), F.col(source).alias("__mix_source")).agg(F.max("copies").alias("__mix_copies"))
-    out = docs.join(chosen, F.col(key).eqNullSafe(F.col("__mix_key")) & F.col(source).eqNullSafe(F.col("__mix_source")))
-    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[docs[c] for c in docs.columns])
+    A row's copies follow from its key and its source's rate, so rows stay where they are but for the join with the targets.
+    """
+    targets, copies = _rated(docs, key, source, text, weights, budget, most, seed)
+    # all of docs in one column, so that no name can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(key).alias("k"), F.col(source).alias("s"))
+    rows = rows.join(targets, F.col("s").eqNullSafe(F.col("source"))).withColumn("n", copies).where("n > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
