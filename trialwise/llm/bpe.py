@@ -2,14 +2,14 @@
 
 Texts are split by the vocabulary's pattern; what is new among a batch's pieces becomes rows of padded matrices, bucketed
 by length. In each round every row merges its leftmost pair of least rank, found in a hash table of pairs; rows are
-compacted in place and leave the matrix when no pair is left.
+compacted in place and leave the matrix when no pair is left. A very long piece is a matrix of its own, whose rows are its stretches: each
+round merges the leftmost least pair of all rows and compacts one row, so that rounds cost a row's width, not the piece's.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import freed, table, text_of
 
 NONE = np.int32(2**31 - 1)
-#: Pieces longer than this (in bytes) are merged by a heap: same result, no quadratic rounds. Pieces in each of two generations kept; characters worked on at once.
+#: Pieces longer than this (in bytes) are matrices of their own, with rows of this width. Pieces in each of two generations kept; characters worked on at once.
 LONGEST, KEPT, CHUNK = 512, 150_000, 1_000_000
 
 
@@ -114,32 +114,39 @@ class Vocabulary:
             ranks[every[left], at[left] - 1] = self.pair_ranks(ids[every[left], at[left] - 1], ids[every[left], at[left]])
 
     def _merge_long(self, piece: bytes) -> bytes:
-        ids = [int(x) for x in self.of_byte[np.frombuffer(piece, np.uint8)]]
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.pair_ranks(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        pair = {}
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-
-        def rank(a, b):
-            if (a, b) not in pair:
-                pair[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], NONE)
-            return pair[a, b]
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (k := rank(ids[x], ids[y])) != NONE:
-                    heapq.heappush(heap, (k, x, ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
+        flat = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n, width = len(flat), LONGEST
+        ids, ranks = np.full(-(-n // width) * width, -1, np.int32), np.full(-(-n // width) * width, NONE, np.int32)
+        ids[:n], ranks[: n - 1] = flat, self.pair_ranks(flat[:-1], flat[1:])
+        # ranks[r, j] is that of the pair that starts there; a row's last pair ends in the next row that is not empty
+        ids, ranks = ids.reshape(-1, width), ranks.reshape(-1, width)
+        size = [min(width, n - r * width) for r in range(len(ids))]
+        before, after, best, known = [*range(-1, len(ids) - 1)], [*range(1, len(ids)), -1], ranks.min(1), {}
+
+        def rank(a: int, b: int) -> int:
+            if (a, b) not in known:
+                known[a, b] = int(self.pair_ranks(np.array([a], np.int32), np.array([b], np.int32))[0])
+            return known[a, b]
+
+        while (least := best[r := int(best.argmin())]) != NONE:  # the first of equals: leftmost
+            j = int(ranks[r].argmin())
+            row, at = (r, j + 1) if j + 1 < size[r] else (after[r], 0)
+            ids[r, j] = least
+            ids[row, at : size[row] - 1], ranks[row, at : size[row] - 1] = ids[row, at + 1 : size[row]], ranks[row, at + 1 : size[row]]
+            size[row] -= 1
+            ids[row, size[row]], ranks[row, size[row]] = -1, NONE
+            if not size[row]:
+                after[before[row]], best[row] = after[row], NONE
+                if after[row] >= 0:
+                    before[after[row]] = before[row]
+            follow = (r, j + 1) if j + 1 < size[r] else (after[r], 0)
+            ranks[r, j] = rank(int(least), int(ids[follow])) if follow[0] >= 0 else NONE
+            lead = (r, j - 1) if j else (before[r], size[before[r]] - 1)
+            if lead[0] >= 0:
+                ranks[lead] = rank(int(ids[lead]), int(least))
+            for x in {r, row, lead[0]} - {-1}:
+                best[x] = ranks[x].min()
+        return ids[ids >= 0].tobytes()
 
 
 class Encoder:
@@ -209,7 +216,8 @@ def slices(sizes: list[int], most: int = CHUNK):
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: tuple[str, str] | None = None, decoded: bool = False) -> DataFrame:
-    """(key, ids array<int>): the ids of each whole text, one row per row of docs, without special tokens.
+    """(key, ids array<int>): the ids of each whole text, one row per row of docs, without special tokens. Rows that repeat a key are encoded each.
+    Other columns are not read, whatever their names.
 
     vocabulary: path of the rank file, which every worker can read, and split pattern. decoded adds the bytes that the ids decode to,
     without a second pass. Null text is empty and has no ids. Empty table: no rows.
