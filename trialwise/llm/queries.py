@@ -43,34 +43,64 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source FROM taken
 """
 
-# Pages declare no links in these tables, so components are what shares a canonical form.
-_URLS = r"""
-WITH cut AS (
-  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
-), parts AS (
-  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-    regexp_replace(rest, '#[\s\S]*$', '') AS bare
-  FROM cut
-), judged AS (
-  SELECT *, CASE
-      WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+_HOST = "translate(regexp_extract({0}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REST = "CASE WHEN strpos({0}, '://') > 0 THEN substr({0}, strpos({0}, '://') + 3) ELSE '' END"
+_RULE = """CASE WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
       WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
       WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-      WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '(/|/index\.html?|\.html?)$', '') AS page,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?([\s\S]*)$', 1), '&'),
-      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=') AND NOT regexp_matches(x, '^page='))), '&') AS query
+      WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END"""
+_VERDICT = "CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END"
+
+
+def _attr(name: str) -> str:
+    value = rf"""(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return "trim(regexp_replace(" + " || ".join(f"regexp_extract(tag, '{value}', {i})" for i in (1, 2, 3)) + ", '&(amp|#38|#[xX]26);', '&', 'g'))"
+
+
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
+_URLS = rf"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^<>]*>')) AS tag FROM pages WHERE strpos(url, '://') > 0
+), parts AS (
+  SELECT url, tag, regexp_matches(tag, '(?i)^<link') AS link, {_attr("rel")} AS rel, {_attr("href")} AS href, lower({_attr("http-equiv")}) AS equiv,
+    lower({_attr("property")}) AS property, {_attr("content")} AS content
+  FROM tags
+), targets AS (
+  SELECT url, CASE WHEN link AND regexp_matches(rel, '(?i)(^|\s)canonical(\s|$)') THEN href WHEN NOT link AND equiv = 'refresh' THEN trim(regexp_extract(content, '(?i)url\s*=\s*[''"]?([^''"]*)', 1))
+    WHEN NOT link AND property = 'og:url' THEN content ELSE '' END AS t,
+    regexp_extract(url, '^({_SCHEME})://', 1) AS scheme, regexp_extract(url, '^({_SCHEME}://[^/?#]*)', 1) AS origin, regexp_extract(url, '^([^?#]*)', 1) AS page,
+    regexp_extract(url, '^({_SCHEME}://[^?#]*/)', 1) AS folder
   FROM parts
+), links AS (
+  SELECT regexp_extract(url, '^([^#]*)', 1) AS a, regexp_extract(CASE WHEN regexp_matches(t, '^{_SCHEME}://') THEN t WHEN regexp_matches(t, '^(#|$|{_SCHEME}:)') OR scheme = '' THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN page || t
+    WHEN length(folder) > length(origin) THEN folder || t ELSE origin || '/' || t END, '^([^#]*)', 1) AS b
+  FROM targets WHERE t <> ''
+), edges AS (
+  SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b
+), reach AS (
+  SELECT a AS u, a AS v FROM edges UNION SELECT r.u, e.b FROM reach r JOIN edges e ON r.v = e.a
+), ends AS (
+  SELECT u, v, {_REST.format("v")} AS rest FROM reach
+), ends_judged AS (
+  SELECT u, v, {_HOST.format("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM ends
+), ends_ruled AS (
+  SELECT u, v, {_RULE} AS rule FROM ends_judged
+), known AS (
+  SELECT u, min(v) AS component, bool_or(coalesce({_VERDICT} = 'block', FALSE)) AS blocked FROM ends_ruled GROUP BY u
+), cut AS (
+  SELECT page_id, coalesce(url, '') AS url, {_REST.format("coalesce(url, '')")} AS rest FROM pages
+), judged AS (
+  SELECT page_id, url, {_HOST.format("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ), ruled AS (
-  SELECT *, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS verdict_of_rule,
-    page || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canon
-  FROM judged
-), spread AS (
-  SELECT *, bool_or(verdict_of_rule IS NOT DISTINCT FROM 'block') OVER (PARTITION BY canon) AND strpos(coalesce(url, ''), '://') > 0 AS inherited FROM ruled
+  SELECT *, {_RULE} AS rule FROM judged
+), given AS (
+  SELECT *, {_VERDICT} AS verdict_of_rule FROM ruled
 )
-SELECT page_id, host, path, rule, coalesce(verdict_of_rule, CASE WHEN inherited THEN 'block' ELSE 'allow' END) AS verdict, inherited FROM spread
+SELECT page_id, host, path, rule, coalesce(verdict_of_rule, CASE WHEN coalesce(blocked, FALSE) THEN 'block' ELSE 'allow' END) AS verdict,
+  verdict_of_rule IS NULL AND coalesce(blocked, FALSE) AS inherited
+FROM given LEFT JOIN known ON strpos(given.url, '://') > 0 AND regexp_extract(given.url, '^([^#]*)', 1) = known.u
 """
 
 ORACLE_SQL = {"op5_mixing": _MIX, "op9_url_filters": _URLS}

@@ -20,9 +20,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Prefixes of hosts that serve the same pages, and query parameters that only track.
-ALIAS_HOSTS = r"^(www|m)\."
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
+#: Tags that may declare where a page lives, and an url's scheme.
+TAG, SCHEME = r"(?is)<(?:link|meta)\b[^<>]*>", r"[A-Za-z][A-Za-z0-9+.\-]*"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -42,67 +41,76 @@ def judge(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def canonical(url: Column) -> Column:
-    """The form that aliases of a page share: no scheme, no www. or m., no fragment, no tracking parameter, no closing slash or .html."""
-    rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"#[\s\S]*$", "")
-    host = F.regexp_replace(F.translate(F.regexp_extract(rest, r"^([^/?]*)", 1), UPPER, LOWER), ALIAS_HOSTS, "")
-    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"(/|/index\.html?|\.html?)$", "")
-    kept = F.filter(F.split(F.regexp_extract(rest, r"\?([\s\S]*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(TRACKING) & ~x.rlike(r"^page="))
-    query = F.array_join(F.array_sort(kept), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in either quotes or none; empty if there is none."""
+    value = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.regexp_replace(F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)]), r"&(amp|#38|#[xX]26);", "&"))
 
 
 def declared_links(html: Column) -> Column:
-    """Array of the urls that a page declares as its own: canonical links, refreshes and og:url."""
-    attr = r"""[^<>]*?"""
-    patterns = (
-        rf"""(?is)<link{attr}rel\s*=\s*["']?canonical["']?{attr}href\s*=\s*["']([^"'<>]+)["']""",
-        rf"""(?is)<link{attr}href\s*=\s*["']([^"'<>]+)["']{attr}rel\s*=\s*["']?canonical""",
-        r"""(?is)<meta[^<>]*?http-equiv\s*=\s*["']?refresh["']?[^<>]*?url\s*=\s*["']?([^"'<>\s]+)""",
-        r"""(?is)<meta[^<>]*?property\s*=\s*["']og:url["'][^<>]*?content\s*=\s*["']([^"'<>]+)["']""",
+    """Array of the targets that a page declares as its own place, as written: canonical links, refreshes and og:url, every one."""
+
+    def target(tag):
+        link = F.rlike(tag, F.lit(r"(?i)^<link"))
+        canonical = link & F.rlike(_attribute(tag, "rel"), F.lit(r"(?i)(^|\s)canonical(\s|$)"))
+        refresh = ~link & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+        og = ~link & (F.lower(_attribute(tag, "property")) == "og:url")
+        later = F.trim(F.regexp_extract(_attribute(tag, "content"), r"""(?i)url\s*=\s*['"]?([^'"]*)""", 1))
+        return F.when(canonical, _attribute(tag, "href")).when(refresh, later).when(og, _attribute(tag, "content")).otherwise(F.lit(""))
+
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(TAG), 0), target), lambda x: x != "")
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """The whole url that a target means on a page: absolute, //host, /path, ?query and relative ones (dot segments stay). Fragments, other schemes and
+    pages without scheme: null."""
+    scheme, origin = F.regexp_extract(url, f"^({SCHEME})://", 1), F.regexp_extract(url, f"^({SCHEME}://[^/?#]*)", 1)
+    page, folder = F.regexp_extract(url, "^([^?#]*)", 1), F.regexp_extract(url, f"^({SCHEME}://[^?#]*/)", 1)
+    folder = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
+    whole = (
+        F.when(F.rlike(target, F.lit(f"^{SCHEME}://")), target)
+        .when(F.rlike(target, F.lit(f"^(#|$|{SCHEME}:)")) | (scheme == ""), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(page, target))
+        .otherwise(F.concat(folder, target))
     )
-    found = F.array(*[F.when(F.contains(html, F.lit(hint)), F.regexp_extract(html, p, 1)).otherwise(F.lit("")) for p, hint in zip(patterns, ("anonical", "anonical", "efresh", "og:url"))])
-    return F.filter(found, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"))
+    return node(whole)
+
+
+def node(url: Column) -> Column:
+    """What stands for an url among aliases: the url without its fragment."""
+    return F.regexp_extract(url, "^([^#]*)", 1)
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """(key, host, path, rule, verdict, component, inherited): one row per row of pages.
 
-    redirects (from_url, to_url) adds edges; pages add their canonical form and declared links. verdict is the rule's;
-    without a rule, block if a url of its component is blocked by rule, else allow. Null urls, and urls without
-    ://, have empty host and path, fit no rule and are alone: allow. Equal urls get equal verdicts. A
-    redirect's urls need not be pages; they carry decisions of their own rules. Empty table: no rows.
+    Edges are redirects (from_url, to_url) and the links that pages declare: canonical, refresh, og:url. Nothing else joins urls. verdict is the rule's;
+    without a rule, block if a url of its component is blocked by rule (inherited), else allow: an allow rule always stands. component is
+    the least url of those joined, null for an url that nothing joins. Null urls, and urls without
+    ://, have empty host and path, fit no rule and are alone: allow. Equal urls get equal verdicts, whatever keys repeat. A
+    redirect's urls need not be pages; they carry decisions of their own rules. Null html declares nothing. Empty table: no rows. Other columns are not read.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "urls")
+    scratch = Scratch(pages.sparkSession, "urls")
     base = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), *([F.col(html).alias("h")] if html and html in pages.columns else [F.lit("").alias("h")]))
-    links = F.array_union(F.array(F.concat(F.lit("~"), canonical(F.col("u")))), F.transform(declared_links(F.coalesce("h", F.lit(""))), lambda x: x))
-    seen = scratch.write(base.select("k", "u", F.when(F.locate("://", F.col("u")) > 0, links).alias("links")))
-    # nodes are urls, and "~" + canonical form; ids are 64-bit hashes of them
-    pairs = seen.select("u", F.explode("links").alias("v")).where("u is not null")
-    declared = pairs.where("not startswith(v, '~')").select(F.col("v").alias("u"), F.concat(F.lit("~"), canonical(F.col("v"))).alias("v"))
-    pairs = pairs.union(declared)
+    seen = base.where(F.locate("://", F.col("u")) > 0).select("u", F.explode(declared_links(F.coalesce("h", F.lit("")))).alias("to"))
+    pairs = seen.select(node(F.col("u")).alias("a"), resolve(F.col("to"), F.col("u")).alias("b"))
     if redirects is not None:
-        r = redirects.select(F.col("from_url").alias("u"), F.col("to_url").alias("v")).where("u is not null and v is not null")
-        ends = r.select("u").union(r.select("v")).distinct()
-        pairs = pairs.union(r).union(ends.select("u", F.concat(F.lit("~"), canonical(F.col("u")))))
-    pairs = pairs.distinct()
-    edges = scratch.write(pairs.select(F.xxhash64("u").alias("a"), F.xxhash64("v").alias("b"), "u", "v"))
-    # one row per node; a third of all pages may be one url, but here it is one row
-    component = scratch.write(connected_components(edges.select("a", "b"), scratch))
-
-    nodes = edges.select(F.col("a").alias("node"), "u").union(edges.where("not startswith(v, '~')").select("b", F.col("v"))).distinct()
+        pairs = pairs.union(redirects.select(node(F.col("from_url")), node(F.col("to_url"))))
+    edges = scratch.write(pairs.where("a is not null and b is not null and a <> b").distinct())
+    # urls themselves are the nodes: no hash that two might share
+    component = scratch.write(connected_components(edges, scratch))
     host, path = split_url(F.col("u"))
-    _, ruled = judge(host, path, rules)
-    blocked = nodes.where(ruled == "block").join(component, "node").select("component").distinct().withColumn("blocked", F.lit(True))
-    by_url = scratch.write(component.join(blocked, "component", "left").select("node", "component", F.coalesce("blocked", F.lit(False)).alias("blocked")))
     rule, verdict = judge(host, path, rules)
-    return (
-        seen.select("k", "u", F.when(F.locate("://", F.col("u")) > 0, F.xxhash64("u")).alias("node"))
-        .join(by_url, "node", "left")
-        .withColumns({"u": F.coalesce("u", F.lit("")), "inherited": F.coalesce("blocked", F.lit(False))})
-        .select(F.col("k").alias(key), host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, F.when(F.col("inherited"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "component", "inherited")
-    )
+    ruled = component.withColumn("u", F.col("node")).withColumn("ruled", verdict)
+    blocked = ruled.groupBy("component").agg(F.max(F.coalesce(F.col("ruled") == "block", F.lit(False))).alias("blocked"))
+    # one row per url that something joins
+    known = scratch.write(component.join(blocked, "component").select(F.col("node").alias("at"), "component", "blocked"))
+    out = base.select("k", F.coalesce("u", F.lit("")).alias("u"), F.when(F.locate("://", F.col("u")) > 0, node(F.col("u"))).alias("own"))
+    out = out.join(known, F.col("own") == F.col("at"), "left").withColumn("rule", rule).withColumn("ruled", verdict)
+    inherited = F.col("ruled").isNull() & F.coalesce("blocked", F.lit(False))
+    return out.select(F.col("k").alias(key), host.alias("host"), path.alias("path"), "rule", F.coalesce("ruled", F.when(inherited, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "component", inherited.alias("inherited"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
