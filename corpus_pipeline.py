@@ -11,45 +11,64 @@ from trialwise.llm.common import WORD, Scratch, table
 KEY = "doc_id"
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text")
+
+
 def mark() -> Column:
     """What tells rows apart that repeat a key: the key and a hash of the text."""
-    return F.struct(F.col(KEY), F.xxhash64("text").alias("h"))
+    return F.struct(F.col(KEY), text_hash().alias("h"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(id, text, lang, source): what the operators read, by key and hash of the text."""
+    return docs.select(mark().alias("id"), *[c for c in docs.columns if c in ("text", "lang", "source")])
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose key and hash are those of an id (a struct column id)."""
+    keys = ids.select(F.col(f"id.{KEY}").alias("__key"), F.col("id.h").alias("__hash")).distinct()
+    return docs.join(keys, F.col(KEY).eqNullSafe(F.col("__key")) & text_hash().eqNullSafe(F.col("__hash")), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go. Rows that repeat a key stay or go by their own text's verdict."""
-    kept = quality.assess(docs.withColumn("__id", mark()), key="__id").where("kept").select(F.col("__id").alias("__kept")).distinct()
-    return docs.join(kept, F.xxhash64(mark()) == F.xxhash64("__kept"), "left_semi")
+    """Documents that the base rules or the outlier test reject go. Rows that repeat a key stay or go by their own text's verdict; null texts
+    have no words and go. Empty table: no rows."""
+    return picked(docs, quality.assess(marked(docs), key="id").where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that repeat an earlier one of the corpus, and n_chars follows; every document stays."""
-    out = line_dedup.dedup_lines(docs)
-    return out.select(*[F.when(F.col("__dropped").isNull(), F.col(c)).otherwise(F.length("text")).cast("long").alias(c) if c == "n_chars" else out[c] for c in docs.columns])
+    """Texts lose the lines that repeat an earlier one of the corpus, and n_chars follows; every document stays, null texts as they are. Empty table: no rows."""
+    free, names = {c.lower() for c in docs.columns}, []
+    for name in ("lines", "dropped", "kept_in"):
+        while name in free:
+            name += "_"
+        names.append(name)
+    out = line_dedup.dedup_lines(docs, names=tuple(names))
+    return out.select(*[F.when(F.col(names[1]).isNull(), F.col(c)).otherwise(F.length("text")).cast("long").alias(c) if c == "n_chars" else out[c] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the least id stays, once; documents without words are linked with nothing and stay.
 
-    Rows that repeat an id with other texts are documents of their own.
+    Rows that repeat an id with other texts are documents of their own. Empty table: no rows.
     """
     scratch = Scratch(spark, "pipeline")
-    links = scratch.write(jaccard.link_documents(docs.withColumn("__id", mark()), key="__id", size=5, percent=80))
-    stay = links.where(F.col("__id") == F.col("component_id")).select(F.col("__id").alias("__stay")).distinct()
-    out = docs.join(stay, F.xxhash64(mark()) == F.xxhash64("__stay"), "left_semi")
+    links = scratch.write(jaccard.link_documents(marked(docs), key="id", size=5, percent=80))
+    out = picked(docs, links.where(F.col("id") == F.col("component_id")))
     worded = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) > 0
     return out.where(worded).dropDuplicates([KEY, "text"]).unionByName(out.where(~worded))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; null texts have no words, and are taken as often as their source's others. Empty table: no rows."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids): each document's token ids."""
-    out = bpe.encode(docs.withColumn("__key", F.struct(KEY, "source")), key="__key")
-    return out.select(F.col(f"__key.{KEY}").alias(KEY), F.col("__key.source").alias("source"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, source, n_tokens, ids): each document's token ids, a row per row of docs; null texts have none. Empty table: no rows."""
+    out = bpe.encode(docs.select(F.struct(KEY, "source").alias("id"), "text"), key="id")
+    return out.select(F.col(f"id.{KEY}").alias(KEY), F.col("id.source").alias("source"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -70,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = scratch.write(docs)
+            # what a stage made on its way is not read again
+            Scratch.clear(keep=(scratch.root,))
     return docs
