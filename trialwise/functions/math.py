@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import ranked
+
 NAN = float("nan")
 
 
@@ -146,11 +148,6 @@ def kernel_sigmoid(x, y, gamma: float, coef0: float) -> Column:
 # Long form: one pair of numbers a row, reduced over keys.
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    part = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(part.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0))
-
-
 def grouped(df: DataFrame, keys: list[str], x: str, y: str, name: str, out: str = "value", y_b: str | None = None) -> DataFrame:
     """(keys, out): the named measure of columns x and y over each key, by partial aggregates; ranks need a window."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
@@ -161,10 +158,12 @@ def grouped(df: DataFrame, keys: list[str], x: str, y: str, name: str, out: str
         return grouped(df, keys, "__rx", "__ry", "pearsonr", out)
     if name == "roc_auc":
         # x: truth, its larger value positive; y: score
-        df = ranked(df, keys, y, "__r").withColumns({"__hi": F.max(x).over(Window.partitionBy(*keys)), "__lo": F.min(x).over(Window.partitionBy(*keys))})
-        pos = (F.col(x) == F.col("__hi")) & (F.col("__hi") > F.col("__lo"))
-        n1, n = F.sum(pos.cast("double")), F.count("*")
-        return df.groupBy(*keys).agg(safe_div(F.sum(F.when(pos, F.col("__r")).otherwise(0.0)) - n1 * (n1 + 1) / 2, n1 * (n - n1)).alias(out))
+        # one row per key and label: sums of ranks, of which the larger label's count
+        each = ranked(df, keys, y, "__r").groupBy(*keys, F.col(x).alias("__label")).agg(F.sum("__r").alias("__s"), F.count("*").cast("double").alias("__n"))
+        top = F.max_by(F.struct("__s", "__n"), "__label")
+        both = each.groupBy(*keys).agg(top.alias("__top"), F.sum("__n").alias("__all"))
+        n1 = F.col("__top.__n")
+        return both.select(*keys, safe_div(F.col("__top.__s") - n1 * (n1 + 1) / 2, n1 * (F.col("__all") - n1)).alias(out))
     pearson = safe_div(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
     if name == "r2":
         base = F.sum((a - F.col(y_b)) * (a - F.col(y_b))) if y_b else F.var_pop(a) * F.count("*")
@@ -179,6 +178,15 @@ def grouped(df: DataFrame, keys: list[str], x: str, y: str, name: str, out: str
     return df.groupBy(*keys).agg(value.alias(out))
 
 
+def roc_auc_one_vs_rest(df: DataFrame, keys: list[str], truth: str, label: str, score: str, out: str = "value") -> DataFrame:
+    """(keys, out): mean over labels of the area for one label against the rest, from rows of a sample's truth, a label, and the score for that label.
+    A label that all or none of a key's samples have counts in no mean; NaN if there is no other."""
+    each = df.withColumn("__hit", (F.col(truth) == F.col(label)).cast("int"))
+    both = F.max("__hit") > F.min("__hit")
+    area = grouped(each, [*keys, label], "__hit", score, "roc_auc", "__a").join(each.groupBy(*keys, label).agg(both.alias("__both")), [*keys, label])
+    return area.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("__both"), F.col("__a"))), F.lit(NAN)).alias(out))
+
+
 def cross_validated(df: DataFrame, keys: list[str], x: str, y: str, precision: list[list[float]] | None = None, out: str = "value") -> DataFrame:
     """Cross-validated squared distance of arrays x and y over the rows of each key: (s P s' - sum d P d') / N^2 with d = x - y and s its sum.
 

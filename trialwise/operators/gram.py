@@ -20,10 +20,17 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def whole(df: DataFrame, *names: str) -> DataFrame:
+    """Rows whose arrays are there and hold no null: a trial that lacks a number has no place in sums."""
+    for n in names:
+        df = df.where(F.col(n).isNotNull() & ~F.exists(n, lambda v: v.isNull()))
+    return df
+
+
 def moments(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> dict[tuple, tuple]:
-    """{key: (n, sum x, sum y, x'x, x'y)} by partial sums in each task; one row per key and task is shuffled."""
+    """{key: (n, sum x, sum y, x'x, x'y)} by partial sums in each task; one row per key and task is shuffled. Rows with nulls are left out."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
+    rows = whole(df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
 
     def part(batches):
         sums: dict = {}
@@ -47,9 +54,9 @@ def moments(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> dict[
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "i array<int>, v array<double>, p int, d int"])
     parts = rows.mapInArrow(part, schema)
     summed = parts.select(*keys, "p", "d", F.explode(F.arrays_zip("i", "v")).alias("e")).groupBy(*keys, "p", "d", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
-    whole = summed.groupBy(*keys, "p", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
+    gathered = summed.groupBy(*keys, "p", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
     out = {}
-    for r in whole.collect():
+    for r in gathered.collect():
         p, d, v = r["p"], r["d"], np.array(r["v"])
         if p > MOST_FEATURES:
             raise ValueError("too many features for a driver's matrix")
@@ -81,7 +88,7 @@ def loo_losses(df: DataFrame, tasks: dict[tuple, tuple], keys: list[str], alphas
         solved[k] = (n, mx, my, np.maximum(w, 0), q, q.T @ (xy - n * np.outer(mx, my)))
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(solved)
-    rows = df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
+    rows = whole(df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
 
     def part(batches):
         sums: dict = {}
@@ -114,7 +121,8 @@ def loo_losses(df: DataFrame, tasks: dict[tuple, tuple], keys: list[str], alphas
 
 
 def ridge_cv(df: DataFrame, keys: list[str] = (), alphas=1.0, fit_intercept: bool = True, alpha_per_target: bool = False, x: str = "x", y: str = "y") -> DataFrame:
-    """(keys, coef array<array<double>>, intercept, alpha): a ridge model per key, alpha by leave-one-out error, without gathering trials."""
+    """(keys, coef array<array<double>>, intercept, alpha): a ridge model per key, alpha by leave-one-out error, without gathering trials. Rows with
+    nulls are left out; a key of which none is left has no model, so an empty table gives no rows."""
     keys, al = list(keys), np.atleast_1d(np.asarray(alphas, float))
     sums = moments(df, keys, x, y)
     loss = loo_losses(df, sums, keys, al, fit_intercept, x, y) if len(al) > 1 else {k: np.zeros((1, len(m[2]))) for k, m in sums.items()}
@@ -126,6 +134,160 @@ def ridge_cv(df: DataFrame, keys: list[str] = (), alphas=1.0, fit_intercept: boo
     return df.sparkSession.createDataFrame(rows, kinds)
 
 
+def _summed(rows: DataFrame, work) -> dict[int, np.ndarray]:
+    """{id: array}: the arrays that work yields as {id: array} for its batches, added up over all tasks."""
+
+    def part(batches):
+        for k, v in work(batches).items():
+            yield pa.RecordBatch.from_pydict({"id": pa.array([k], pa.int64()), "v": pa.array([np.asarray(v, float).ravel().tolist()], pa.list_(pa.float64()))})
+
+    parts = rows.mapInArrow(part, "id long, v array<double>").select("id", F.posexplode("v").alias("i", "v")).groupBy("id", "i").agg(F.sum("v").alias("v"))
+    gathered = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
+    return {r["id"]: np.array([e["v"] for e in r["v"]]) for r in gathered.collect()}
+
+
+def _blocks(batches, names: list[str]):
+    """(key, X, Y) of each key in each batch."""
+    for b in batches:
+        if b.num_rows:
+            X, Y, found = _matrix(b.column("x")), _matrix(b.column("y")), list(zip(*[b.column(c).to_pylist() for c in names]))
+            number = {k: i for i, k in enumerate(dict.fromkeys(found))}
+            at = np.array([number[k] for k in found])
+            for k, i in number.items():
+                yield k, X[at == i], Y[at == i]
+
+
+#: Numbers that a driver holds for the models of a validation (512 MB).
+MOST_NUMBERS = 1 << 26
+
+
+def fits_driver(df: DataFrame, names: list[str], n_masks: int, x: str = "x") -> bool:
+    """Whether the sums of all keys and folds, and the models of all masks, are small enough for validate()."""
+    p = df.agg(F.max(F.size(x))).first()[0] or 0
+    groups = df.select(*names).distinct().limit(MOST_NUMBERS).count()
+    return p <= MOST_FEATURES and groups * p * p * (1 + n_masks) <= MOST_NUMBERS
+
+
+def validate(rows: DataFrame, keys: list[str], own: str, model, names: list[str], masks: list | None = None, x: str = "x", y: str = "y") -> list[tuple]:
+    """[(key, mask, repeat, fold, metric, target, score)] of a ridge model, by sums: no trial is gathered.
+
+    rows have keys, repeat and own, the fold that tests them. One pass sums moments per fold: training sums are all folds' less one's,
+    a mask's are submatrices. With several alphas a second pass adds up leave-one-out errors, and the last adds up what r2 (against the training mean) and pearsonr need.
+    """
+    groups = [*keys, "repeat", own]
+    rows = whole(rows.select(*groups, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
+    sums, al = moments(rows, groups), np.atleast_1d(np.asarray(model.alphas, float))
+    everything: dict = {}
+    for k, m in sums.items():
+        everything[k[:-1]] = tuple(a + b for a, b in zip(everything[k[:-1]], m)) if k[:-1] in everything else m
+    p, d = next(iter(sums.values()))[4].shape if sums else (0, 0)
+    chosen = [np.ones(p, bool)] if masks is None else [np.asarray(m, bool) for m in masks]
+    tasks = [(k, n, minus(everything[k[:-1]], m)) for k, m in sums.items() for n in range(len(chosen))]
+    by_set: dict = {}
+    for i, (k, _, _) in enumerate(tasks):
+        by_set.setdefault(k[:-1], []).append(i)
+    solved, intercept = [], model.fit_intercept
+    for _, n, train in tasks:
+        count, sx, sy, xx, xy = subset(train, chosen[n])
+        mx, my = (sx / count, sy / count) if intercept else (np.zeros_like(sx), np.zeros_like(sy))
+        w, q = np.linalg.eigh(xx - count * np.outer(mx, mx))
+        solved.append((count, mx, my, np.maximum(w, 0), q, q.T @ (xy - count * np.outer(mx, my))))
+    losses = {i: np.zeros(len(al) * d) for i in range(len(tasks))}
+    if len(al) > 1 and tasks:
+        shared = rows.sparkSession.sparkContext.broadcast(([(k[-1], n) for k, n, _ in tasks], by_set, solved, chosen))
+
+        def errors(batches):
+            (of, sets, models, mask), out = shared.value, {}
+            for k, X, Y in _blocks(batches, groups):
+                for i in sets[k[:-1]]:
+                    fold, n = of[i]
+                    if fold != k[-1]:
+                        count, mx, my, w, q, z = models[i]
+                        A, B = (X[:, mask[n]] - mx) @ q, Y - my
+                        own_ = out.setdefault(i, np.zeros((len(al), d)))
+                        for j, a in enumerate(al):
+                            g = 1 / np.where(w + a > 0, w + a, np.inf)
+                            e = (B - A @ (g[:, None] * z)) / (1 - (1 / count if intercept else 0) - (A * A) @ g)[:, None]
+                            own_[j] += (e * e).sum(0)
+            return out
+
+        losses |= _summed(rows, errors)
+    fitted = []
+    for i, (_, n, train) in enumerate(tasks):
+        coef, icpt, _ = ridge_from_moments(*subset(train, chosen[n]), al, losses[i].reshape(len(al), d), intercept, model.alpha_per_target)
+        full = np.zeros((d, p))
+        full[:, chosen[n]] = coef
+        fitted.append((full, icpt, train[2] / train[0]))
+    if not tasks:
+        return []
+    models_of = {}
+    for i, (k, _, _) in enumerate(tasks):
+        models_of.setdefault(k, []).append(i)
+    sent = rows.sparkSession.sparkContext.broadcast((models_of, fitted))
+
+    def squares(batches):
+        (of, models), out = sent.value, {}
+        for k, X, Y in _blocks(batches, groups):
+            for i in of[k]:
+                coef, icpt, mean = models[i]
+                b, q = Y - mean, X @ coef.T + icpt - mean
+                out[i] = out.get(i, 0) + np.stack([np.full(d, len(X)), b.sum(0), q.sum(0), (b * b).sum(0), (q * q).sum(0), (b * q).sum(0), ((b - q) ** 2).sum(0)])
+        return out
+
+    out = []
+    for i, v in sorted(_summed(rows, squares).items()):
+        k, n, _ = tasks[i]
+        count, b, q, bb, qq, bq, rest = v.reshape(7, d)
+        with np.errstate(all="ignore"):
+            scores = {"r2": np.where(bb != 0, 1 - rest / np.where(bb != 0, bb, 1), 0.0), "pearsonr": (bq - b * q / count) / np.sqrt((bb - b * b / count) * (qq - q * q / count))}
+        out += [(k[:-2], n, k[-2], k[-1], name, t, float(scores[name][t])) for name in names for t in range(d)]
+    return out
+
+
+def ridge_encoder(df: DataFrame, time: str = "t", alphas=1.0, fit_intercept: bool = True, alpha_per_target: bool = False, x: str = "x", y: str = "y") -> DataFrame:
+    """(time, coef array<array<double>>, intercept, alpha): a ridge model with coefficients of its own at each time, one intercept and one alpha for all.
+
+    The design holds a row's features in its time's columns and zeros elsewhere; it is never made. Its products are a block per time, which
+    moments() gives, less the outer product of its column means: solved by blocks and a rank-one correction. A second pass adds up leave-one-out
+    errors. Null time is a time. Empty table: no rows.
+    """
+    al, sums = np.atleast_1d(np.asarray(alphas, float)), moments(df, [time], x, y)
+    if not sums:
+        return df.sparkSession.createDataFrame([], f"`{time}` {df.schema[time].dataType.simpleString()}, coef array<array<double>>, intercept array<double>, alpha array<double>")
+    times, N = list(sums), sum(m[0] for m in sums.values())
+    my = sum(m[2] for m in sums.values()) / N if fit_intercept else np.zeros(len(sums[times[0]][2]))
+    # of the design's columns: mean, products, products with centred y
+    m = {k: v[1] / N if fit_intercept else np.zeros_like(v[1]) for k, v in sums.items()}
+    c = {k: v[4] - np.outer(v[1], my) for k, v in sums.items()}
+    eigen, solved = {k: np.linalg.eigh(v[3]) for k, v in sums.items()}, []
+    for a in al:
+        inv = {k: (q / np.where(w + a > 1e-12, w + a, np.inf)) @ q.T for k, (w, q) in eigen.items()}
+        u = {k: inv[k] @ m[k] for k in times}
+        s = sum(m[k] @ u[k] for k in times)
+        du = sum(c[k].T @ u[k] for k in times)
+        beta = {k: inv[k] @ c[k] + np.outer(u[k], du) * N / (1 - N * s) if fit_intercept else inv[k] @ c[k] for k in times}
+        solved.append((inv, u, s, beta, sum(beta[k].T @ m[k] for k in times)))
+    shared = df.sparkSession.sparkContext.broadcast((solved, my))
+    rows = whole(df.select(F.col(time).alias("k"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
+
+    def errors(batches):
+        (models, mean), out = shared.value, {}
+        for k, X, Y in _blocks(batches, ["k"]):
+            for i, (inv, u, s, beta, shift) in enumerate(models):
+                p, q = ((X @ inv[k]) * X).sum(1), X @ u[k]
+                h = (p - 2 * q + s + N * (q - s) ** 2 / (1 - N * s) + 1 / N) if fit_intercept else p
+                e = (Y - mean - X @ beta[k] + shift) / (1 - h)[:, None]
+                out[i] = out.get(i, 0) + (e * e).sum(0)
+        return out
+
+    loss = _summed(rows, errors) if len(al) > 1 else {0: np.zeros(len(my))}
+    loss = np.stack([loss[i] for i in range(len(al))])
+    pick = loss.argmin(0) if alpha_per_target else np.full(loss.shape[1], loss.mean(1).argmin())
+    icpt = [float(my[t] - solved[a][4][t]) for t, a in enumerate(pick)]
+    out = [(*k, [solved[a][3][k][:, t].tolist() for t, a in enumerate(pick)], icpt, al[pick].tolist()) for k in times]
+    return df.sparkSession.createDataFrame(out, f"`{time}` {df.schema[time].dataType.simpleString()}, coef array<array<double>>, intercept array<double>, alpha array<double>")
+
+
 def predict(df: DataFrame, model: DataFrame, keys: list[str] = (), x: str = "x", out: str = "prediction") -> DataFrame:
     """df with x . coef + intercept, by expression; models are one row per key."""
     from ..functions.math import dot

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import copy
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -18,6 +18,12 @@ class Local:
         if not hasattr(self, name):
             raise ValueError(f"{type(self).__name__} is not fitted")
 
+    def score(self, X, y, metric=None):
+        """What the metrics, by default the estimator's own, give for its answers on X."""
+        from .tasks import accuracy, r2, score
+
+        return score(self, metric or (accuracy if isinstance(self, Labelled) else r2), X, y)
+
     def params(self) -> dict[str, np.ndarray]:
         return {k: np.asarray(v, float) for k, v in self.__dict__.items() if k.endswith("_") and isinstance(v, (int, float, np.ndarray))}
 
@@ -85,14 +91,39 @@ class RidgeDecoder(RidgeCV):
     def fit(self, X, y):
         super().fit(X, y)
         X, y = checked(X, y)
-        cx = np.atleast_2d(np.cov(X.T))
-        self.pattern_ = cx @ self.coef_.T @ np.linalg.pinv(np.cov(y.T)) if y.shape[1] > 1 else cx @ self.coef_.T / (len(X) - 1)
+        self.pattern_ = pattern(X, y, self.coef_)
         return self
 
 
 @dataclass
 class RidgeEncoder(RidgeCV):
-    """RidgeCV from features to channels; over time, see gram.ridge_encoder."""
+    """RidgeCV from features to channels. X (trials, features, time) with y (trials, channels, time) has coefficients (channels, features, time) of its
+    own at each time, one intercept and one alpha: ridge on the expanded design, whose products are a block per time. gram.ridge_encoder does it without gathering trials."""
+
+    def fit(self, X, y):
+        X, y = np.asarray(X, float), np.asarray(y, float)
+        if X.ndim != 3 or y.ndim != 3:
+            return super().fit(X, y)
+        if X.shape[::2] != y.shape[::2]:
+            raise ValueError("X and y must have the same trials and times")
+        (n, f, T), d = X.shape, y.shape[1]
+        D = np.zeros((n, T, T, f))
+        D[:, np.arange(T), np.arange(T)] = X.transpose(0, 2, 1)
+        super().fit(D.reshape(n * T, T * f), y.transpose(0, 2, 1).reshape(n * T, d))
+        self.coef_ = self.coef_.reshape(d, T, f).transpose(0, 2, 1)
+        self.intercept_ = np.asarray(self.intercept_)
+        return self
+
+    def predict(self, X):
+        self._fitted()
+        X = np.asarray(X, float)
+        return super().predict(X) if self.coef_.ndim == 2 else np.einsum("nft,dft->ndt", X, self.coef_) + self.intercept_[:, None]
+
+
+def pattern(X: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """(features, targets): cov(X) coef' pinv(cov(y)); with one target the factor is 1 / (n - 1)."""
+    cx = np.atleast_2d(np.cov(X.T))
+    return cx @ coef.T @ np.linalg.pinv(np.cov(y.T)) if y.shape[1] > 1 else cx @ coef.T / (len(X) - 1)
 
 
 def codes(y, labels=None):
@@ -117,19 +148,54 @@ class Labelled(Local):
         return np.concatenate([p / p.sum(1, keepdims=True) for p in s], 1)
 
 
+class OneOrPairs(Labelled):
+    """An estimator of its own classes with method 'OvR'; with 'OvO' a model per pair of classes, held by a Classifier."""
+
+    def fit(self, X, y):
+        if self.method not in ("OvR", "OvO"):
+            raise ValueError(f"no method {self.method}")
+        if self.method == "OvR":
+            return self._fit(X, y)
+        own = self.clone()
+        own.method = "OvR"
+        self.pairs_ = Classifier(own, "OvO").fit(X, y)
+        self.labels_ = self.pairs_.labels_
+        for name in ("coef_", "intercept_", "pattern_"):
+            parts = [getattr(m, name) for *_, m in self.pairs_.models_ if hasattr(m, name)]
+            if parts:
+                setattr(self, name, np.concatenate(parts, 1 if name == "pattern_" else 0))
+        return self
+
+    def decision_function(self, X):
+        return self.pairs_.decision_function(X) if self.method == "OvO" else self._decide(X)
+
+    def predict(self, X):
+        return self.pairs_.predict(X) if self.method == "OvO" else super().predict(X)
+
+    def predict_proba(self, X):
+        return self.pairs_.predict_proba(X) if self.method == "OvO" else super().predict_proba(X)
+
+
 @dataclass
-class RidgeClassifier(Labelled):
+class RidgeClassifier(OneOrPairs):
+    """normalise: features are scaled to unit deviation for the fit; coefficients and patterns are those of the features as given."""
+
     alphas: object = 1.0
     fit_intercept: bool = True
     alpha_per_target: bool = False
+    method: str = "OvR"
+    normalise: bool = False
 
-    def fit(self, X, y):
+    def _fit(self, X, y):
+        X = np.asarray(X, float)
         self.labels_, c = codes(y)
-        m = RidgeDecoder(self.alphas, self.fit_intercept, self.alpha_per_target).fit(X, c)
-        self.coef_, self.intercept_, self.pattern_, self.alpha_ = m.coef_, m.intercept_, m.pattern_, m.alpha_
+        scale = X.std(0, ddof=1) if self.normalise and len(X) > 1 else np.ones(X.shape[1])
+        scale = np.where((scale == 0) | np.isnan(scale), 1.0, scale)
+        m = RidgeDecoder(self.alphas, self.fit_intercept, self.alpha_per_target).fit(X / scale, c)
+        self.coef_, self.intercept_, self.pattern_, self.alpha_ = m.coef_ / scale, m.intercept_, m.pattern_ * scale[:, None], m.alpha_
         return self
 
-    def decision_function(self, X):
+    def _decide(self, X):
         self._fitted()
         return np.asarray(X, float) @ self.coef_.T + self.intercept_
 
@@ -190,7 +256,7 @@ class KernelRidgeCV(Local):
 
 
 @dataclass
-class SVC(Labelled):
+class SVC(OneOrPairs):
     """One-versus-rest support vectors by projected gradient ascent on the dual, from a seeded start, on scaled data."""
 
     C: float = 1.0
@@ -202,8 +268,9 @@ class SVC(Labelled):
     lr: float = 1e-3
     max_iter: int = 1000
     seed: int = 0
+    method: str = "OvR"
 
-    def fit(self, X, y):
+    def _fit(self, X, y):
         X = np.asarray(X, float)
         self.labels_, L = codes(y)
         self.mean_, s = X.mean(0), X.std(0, ddof=1) if len(X) > 1 else np.ones(X.shape[1])
@@ -228,7 +295,7 @@ class SVC(Labelled):
             self.pattern_ = np.atleast_2d(np.cov(X.T)) @ self.coef_.T @ np.linalg.pinv(np.cov(L.T))
         return self
 
-    def decision_function(self, X):
+    def _decide(self, X):
         self._fitted("A_")
         Z = (np.asarray(X, float) - self.mean_) / self.scale_
         return self.intercept_ + gram(self.kernel, Z, self.X_train_, self.gamma_, self.coef0, self.degree) @ self.A_
@@ -260,18 +327,24 @@ def couple(P: np.ndarray, max_iter: int | None = None) -> np.ndarray:
 
 @dataclass
 class Classifier(Labelled):
-    """Multi-class by 'OvR' (the estimator itself) or 'OvO' (a model per pair of classes; votes, ties to the lowest class)."""
+    """Multi-class by 'OvR' (the estimator itself) or 'OvO' (a model per pair of classes; votes, ties to the lowest class). estimator is an
+    estimator, or a class that is called with arguments and kwarguments."""
 
     estimator: object = None
     method: str = "OvR"
+    arguments: tuple = ()
+    kwarguments: dict = field(default_factory=dict)
+
+    def _new(self):
+        return self.estimator(*self.arguments, **self.kwarguments) if isinstance(self.estimator, type) else self.estimator.clone()
 
     def fit(self, X, y):
         X, y = np.asarray(X, float), two_d(np.asarray(y))
         self.labels_ = [np.unique(c) for c in y.T]
         if self.method == "OvR":
-            self.models_ = [self.estimator.clone().fit(X, y)]
+            self.models_ = [self._new().fit(X, y)]
         elif self.method == "OvO":
-            self.models_ = [(f, j, k, self.estimator.clone().fit(X[m], y[m, f])) for f, own in enumerate(self.labels_) for j in range(len(own)) for k in range(j) if (m := np.isin(y[:, f], (own[j], own[k]))).any()]
+            self.models_ = [(f, j, k, self._new().fit(X[m], y[m, f])) for f, own in enumerate(self.labels_) for j in range(len(own)) for k in range(j) if (m := np.isin(y[:, f], (own[j], own[k]))).any()]
         else:
             raise ValueError(f"no method {self.method}")
         return self
@@ -372,18 +445,24 @@ class TimeDelayed(Local):
     fs: float = 1.0
     alphas: object = 1.0
     edge: str = "replicate"
+    patterns: bool = False
 
     def fit(self, X, y):
         X, y = np.asarray(X, float), np.asarray(y, float)
         self.window_ = lag_window(self.t_min, self.t_max, self.fs)
-        m = RidgeCV(self.alphas).fit(np.concatenate([lagged(x, self.window_, self.edge) for x in X]), np.concatenate([v.T for v in y]))
+        D, Y = np.concatenate([lagged(x, self.window_, self.edge) for x in X]), np.concatenate([v.T for v in y])
+        m = RidgeCV(self.alphas).fit(D, Y)
         self.flat_, self.intercept_, self.alpha_ = m.coef_, m.intercept_, m.alpha_
         self.coef_ = m.coef_.reshape(len(m.coef_), X.shape[1], -1)[:, :, ::-1]
+        if self.patterns:
+            self.pattern_ = pattern(D, Y, m.coef_).T.reshape(self.coef_.shape)[:, :, ::-1]
         return self
 
-    def predict(self, X):
+    def predict(self, X, reshape: bool = True):
+        """(trials, channels, time), or without reshape (trials * time, channels)."""
         self._fitted()
-        return np.stack([(lagged(x, self.window_, self.edge) @ self.flat_.T + self.intercept_).T for x in np.asarray(X, float)])
+        out = [lagged(x, self.window_, self.edge) @ self.flat_.T + self.intercept_ for x in np.asarray(X, float)]
+        return np.stack([v.T for v in out]) if reshape else np.concatenate(out)
 
 
 @dataclass
@@ -398,8 +477,21 @@ class ReceptiveField(Local):
     fs: float = 1.0
     alpha: object = 1.0
     reg_type: str = "ridge"
-    reg_cv: int = 5
+    reg_cv: object = 5
     fit_intercept: bool = True
+    patterns: bool = False
+    edge_correction: bool = True
+
+    def _design(self, x):
+        """Lagged copies within the recording; without edge correction products run over the padded lags as well, as correlations by Fourier transforms do."""
+        if self.edge_correction:
+            return lagged(x, -self.window_, "zero")
+        low, high = max(0, -int(self.window_.min())), max(0, int(self.window_.max()))
+        return lagged(np.pad(x, ((0, 0), (low, high))), -self.window_, "zero")
+
+    def _target(self, v):
+        low, high = (0, 0) if self.edge_correction else (max(0, -int(self.window_.min())), max(0, int(self.window_.max())))
+        return np.pad(v, ((0, 0), (low, high))).T
 
     def _penalty(self, f, w):
         if self.reg_type == "ridge":
@@ -414,14 +506,24 @@ class ReceptiveField(Local):
         n, f, w = len(X), X.shape[1], len(self.window_)
         mx, my = (X.mean((0, 2)), y.mean((0, 2))) if self.fit_intercept else (np.zeros(f), np.zeros(y.shape[1]))
         D = [lagged(x - mx[:, None], -self.window_, "zero") for x in X]
-        XX, XY = np.stack([d.T @ d for d in D]), np.stack([d.T @ (v - my[:, None]).T for d, v in zip(D, y)])
+        wide = [self._design(x - mx[:, None]) for x in X]
+        XX, XY = np.stack([d.T @ d for d in wide]), np.stack([d.T @ self._target(v - my[:, None]) for d, v in zip(wide, y)])
         R, al = self._penalty(f, w), np.atleast_1d(np.asarray(self.alpha, float))
 
         def solve(rows, a):
             M = XX[rows].sum(0) + a * R
             return np.linalg.lstsq(M, XY[rows].sum(0), rcond=None)[0]
 
-        if len(al) > 1:
+        if len(al) > 1 and self.reg_cv == "LOO":
+            # closed-form leave-one-out error over time points; no intercept is fitted on centred data
+            A, B = np.concatenate(D), np.concatenate([(v - my[:, None]).T for v in y])
+            loss = []
+            for a in al:
+                inv = np.linalg.pinv(XX.sum(0) + a * R)
+                h = ((A @ inv) * A).sum(1)
+                loss.append((((B - A @ (inv @ XY.sum(0))) / (1 - h)[:, None]) ** 2).mean())
+            self.alpha_ = float(al[int(np.argmin(loss))])
+        elif len(al) > 1:
             folds, k = np.arange(n), min(self.reg_cv, n)
             parts = np.array_split(folds, k)
             score = np.zeros(len(al))
@@ -439,9 +541,141 @@ class ReceptiveField(Local):
         b = solve(np.arange(n), self.alpha_)
         self.coef_ = b.T.reshape(y.shape[1], f, w)
         self.intercept_ = my - np.einsum("cfw,f->c", self.coef_, mx) if self.fit_intercept else np.zeros(y.shape[1])
+        if self.patterns:
+            # covariances of lagged copies and of targets, over all time points
+            N, A, B = n * X.shape[2], XX.sum(0), np.concatenate([(v - my[:, None]).T for v in y])
+            by = np.linalg.pinv(B.T @ B / (N - 1)) if y.shape[1] > 1 else np.ones((1, 1)) / (N - 1)
+            self.pattern_ = (A / (N - 1) @ b @ by).T.reshape(self.coef_.shape)
         return self
 
     def predict(self, X):
         self._fitted()
         flat = self.coef_.reshape(len(self.coef_), -1)
         return np.stack([(lagged(x, -self.window_, "zero") @ flat.T + self.intercept_).T for x in np.asarray(X, float)])
+
+
+@dataclass
+class BlockScaler(Local):
+    """Scaler of one block: (x - mean) / deviation with n - 1; a scale of 0 or undefined is 1."""
+
+    with_mean: bool = True
+    with_std: bool = True
+
+    def fit(self, X, y=None):
+        X = np.asarray(X, float)
+        s = X.std(0, ddof=1) if len(X) > 1 else np.zeros(X.shape[1:])
+        self.mean_, self.scale_ = X.mean(0) * self.with_mean, np.where((s == 0) | np.isnan(s), 1.0, s) if self.with_std else np.ones(X.shape[1:])
+        return self
+
+    def transform(self, X):
+        self._fitted("mean_")
+        return (np.asarray(X, float) - self.mean_) / self.scale_
+
+    def inverse_transform(self, X):
+        self._fitted("mean_")
+        return np.asarray(X, float) * self.scale_ + self.mean_
+
+
+@dataclass
+class BlockRobustScaler(BlockScaler):
+    """RobustScaler of one block: (x - median) / quantile range; of an odd count quantiles are the element floor(q (n - 1)), of an even one interpolated."""
+
+    with_mean: bool = True
+    with_std: bool = True
+    quantile_range: tuple = (25.0, 75.0)
+
+    def fit(self, X, y=None):
+        X = np.asarray(X, float)
+        low, mid, high = (np.quantile(X, q, axis=0, method="lower" if len(X) % 2 else "linear") for q in (self.quantile_range[0] / 100, 0.5, self.quantile_range[1] / 100))
+        s = high - low
+        self.mean_, self.scale_ = mid * self.with_mean, np.where(s == 0, 1.0, s) if self.with_std else np.ones(X.shape[1:])
+        return self
+
+
+@dataclass
+class BlockClamp(Local):
+    """Clamp of one block, by quartiles ('iqr'), quantiles ('quantile') or median deviations ('mad')."""
+
+    method: str = "iqr"
+    k: float | None = None
+
+    def fit(self, X, y=None):
+        X, k = np.asarray(X, float), self.k if self.k is not None else {"iqr": 1.5, "quantile": 0.05, "mad": 3.0}[self.method]
+        if self.method == "mad":
+            mid = np.median(X, 0)
+            wide = k * np.median(np.abs(X - mid), 0)
+            self.lower_, self.upper_ = mid - wide, mid + wide
+        else:
+            low, high = np.quantile(X, [0.25, 0.75] if self.method == "iqr" else [k, 1 - k], axis=0)
+            wide = k * (high - low) if self.method == "iqr" else 0.0
+            self.lower_, self.upper_ = low - wide, high + wide
+        return self
+
+    def transform(self, X):
+        self._fitted("lower_")
+        return np.clip(np.asarray(X, float), self.lower_, self.upper_)
+
+    def inverse_transform(self, X):
+        return np.asarray(X, float)
+
+
+@dataclass
+class BlockWhitener(Local):
+    """Covariance of one block, and whitening by it."""
+
+    method: str = "ledoitwolf"
+
+    def fit(self, X, y=None):
+        X = np.asarray(X, float)
+        self.mean_ = X.mean(0)
+        Z = X - self.mean_
+        self.covariance_, self.shrinkage_ = covariance(Z.T @ Z / len(Z), len(Z), self.method, ((Z**2).T @ Z**2).sum() / len(Z))
+        self.precision_, self.whitener_ = np.linalg.pinv(self.covariance_), whitener(self.covariance_)
+        return self
+
+    def transform(self, X):
+        self._fitted("whitener_")
+        return (np.asarray(X, float) - self.mean_) @ self.whitener_
+
+
+class Pipeline(Local):
+    """Transformers and a last estimator, in a row. What is asked of the pipeline is asked of the last step, on transformed X."""
+
+    def __init__(self, *steps):
+        self.steps = list(steps)
+
+    def clone(self):
+        return Pipeline(*[s.clone() for s in self.steps])
+
+    def __getitem__(self, i):
+        return self.steps[i]
+
+    def __len__(self):
+        return len(self.steps)
+
+    def _through(self, X):
+        for s in self.steps[:-1]:
+            X = s.transform(X)
+        return X
+
+    def fit(self, X, y=None):
+        for s in self.steps[:-1]:
+            X = s.fit(X, y).transform(X)
+        self.steps[-1].fit(X, y)
+        return self
+
+    def __getattr__(self, name):
+        if name.startswith("__") or name == "steps":
+            raise AttributeError(name)
+        own = getattr(self.steps[-1], name)
+        return (lambda X, *a, **k: own(self._through(X), *a, **k)) if name in ("predict", "predict_proba", "decision_function", "transform") else own
+
+    def score(self, X, y, metric=None):
+        return self.steps[-1].score(self._through(X), y, metric)
+
+    def params(self):
+        return self.steps[-1].params()
+
+
+def make_pipeline(*steps) -> Pipeline:
+    return Pipeline(*steps)

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
+
 
 def _exploded(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     return df.select(*by, F.posexplode(x).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
@@ -125,15 +127,8 @@ class RobustScaler(_Transformer):
     def fit(self, df: DataFrame) -> Fitted:
         keys = [*self.by, "i"] if self.per_feature else self.by
         qs = [self.quantile_range[0] / 100, 0.5, self.quantile_range[1] / 100]
-        e = _exploded(df, self.x, self.by).groupBy(*keys).agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, qs))).alias("even"))
-        counts = e.select(*keys, "n", "even")
-        v = _exploded(df, self.x, self.by)
-        v = v.join(counts, keys) if keys else v.crossJoin(F.broadcast(counts))
-        v = v.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1)
-        odd = [F.max(F.when(F.col("r") == F.floor(q * (F.col("n") - 1)), F.col("v"))).alias(f"q{k}") for k, q in enumerate(qs)]
-        stats = v.groupBy(*keys).agg(F.first("n").alias("n"), F.first("even").alias("even"), *odd)
-        pick = [F.when(F.col("n") % 2 == 1, F.col(f"q{k}")).otherwise(F.col("even")[k]) for k in range(3)]
-        stats = stats.select(*keys, pick[1].alias("centre"), _one(pick[2] - pick[0]).alias("scale"))
+        stats = quantiles(_exploded(df, self.x, self.by), keys, "v", qs, odd_lower=True)
+        stats = stats.select(*keys, F.col("q")[1].alias("centre"), _one(F.col("q")[2] - F.col("q")[0]).alias("scale"))
         m, s = self.with_centering, self.with_scaling
 
         def forward(v, p):
@@ -166,13 +161,13 @@ class Clamp(_Transformer):
         keys = [*self.by, "i"] if self.per_feature else self.by
         e = _exploded(df, self.x, self.by)
         if self.method == "mad":
-            mid = e.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("m"))
-            e = e.join(mid, keys) if keys else e.crossJoin(F.broadcast(mid))
-            stats = e.groupBy(*keys).agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("v") - F.col("m")), F.lit(0.5)).alias("d"))
+            mid = quantiles(e, keys, "v", [0.5]).select(*keys, F.col("q")[0].alias("m"))
+            e = e.join(mid, keys) if keys else e.join(F.broadcast(mid))  # without keys one row
+            off = quantiles(e.withColumn("v", F.abs(F.col("v") - F.col("m"))), [*keys, "m"], "v", [0.5])
+            stats = off.select(*keys, "m", F.col("q")[0].alias("d"))
             low, high = F.col("m") - k * F.col("d"), F.col("m") + k * F.col("d")
         else:
-            qs = (0.25, 0.75) if self.method == "iqr" else (k, 1 - k)
-            stats = e.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q"))
+            stats = quantiles(e, keys, "v", [0.25, 0.75] if self.method == "iqr" else [k, 1 - k])
             wide = k * (F.col("q")[1] - F.col("q")[0]) if self.method == "iqr" else F.lit(0.0)
             low, high = F.col("q")[0] - wide, F.col("q")[1] + wide
         low = F.lit(float(self.lower)) if self.lower is not None else low
@@ -189,11 +184,16 @@ class LabelBinariser(_Transformer):
     neg_label: int = 0
     pos_label: int = 1
     y: str = "y"
+    #: One-hot codes are as long as there are labels, and labels are constants of the plan: more are an error.
+    most_labels: int = 10_000
 
     def fit(self, df: DataFrame) -> "FittedLabels":
         if self.pos_label <= self.neg_label:
             raise ValueError("pos_label must exceed neg_label")
-        found = df.select(F.posexplode(self.y).alias("i", "v")).groupBy("i").agg(F.array_sort(F.collect_set("v")).alias("l")).orderBy("i").collect()
+        labels = df.select(F.posexplode(self.y).alias("i", "v")).where("v is not null").distinct()
+        if labels.limit(self.most_labels + 1).count() > self.most_labels:
+            raise ValueError(f"more than {self.most_labels} labels: y is no label")
+        found = labels.groupBy("i").agg(F.array_sort(F.collect_set("v")).alias("l")).orderBy("i").collect()
         return FittedLabels([r["l"] for r in found], self.neg_label, self.pos_label, self.y)
 
 

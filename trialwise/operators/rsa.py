@@ -12,15 +12,72 @@ from .gram import _matrix
 from .local import gram as kernel_matrix
 
 ESTIMATORS = {"euclidean": M.euclidean, "cosine": M.cosine, "cosine_d": M.cosine_d, "pearsonr": M.pearsonr, "pearsonr_d": M.pearsonr_d, "spearmanr": M.spearmanr, "spearmanr_d": M.spearmanr_d}
-
-
-def rsa(df: DataFrame, estimator="euclidean", keys: list[str] = (), trial: str = "trial", x: str = "x") -> DataFrame:
-    """(keys, i, j, value) for all pairs of trials i < j of each key; estimator is a name or a function of two array columns."""
-    f, keys = ESTIMATORS[estimator] if isinstance(estimator, str) else estimator, list(keys)
-    a = df.select(*keys, F.col(trial).alias("i"), F.col(x).alias("__a"))
-    b = df.select(*keys, F.col(trial).alias("j"), F.col(x).alias("__b"))
-    pairs = a.join(b, keys).where("i < j") if keys else a.join(b, F.col("i") < F.col("j"))
-    return pairs.select(*keys, "i", "j", f("__a", "__b").alias("value"))
+#: Trials of a tile's side.
+TILE = 256
+
+
+def _ready(X: np.ndarray, name: str) -> np.ndarray:
+    """Rows whose products are the named similarity: centred, ranked and scaled as it asks."""
+    if name.startswith("spearmanr"):
+        from .tasks import _ranks
+
+        X = _ranks(X)
+    if name[0] in "ps":
+        X = X - X.mean(1, keepdims=True)
+    with np.errstate(all="ignore"):
+        return X if name == "euclidean" else X / np.sqrt((X * X).sum(1))[:, None]
+
+
+def _distances(A: np.ndarray, B: np.ndarray, name: str) -> np.ndarray:
+    if name == "euclidean":
+        return np.sqrt(np.maximum(0, (A * A).sum(1)[:, None] + (B * B).sum(1) - 2 * A @ B.T))
+    return 1 - A @ B.T if name.endswith("_d") else A @ B.T
+
+
+def rsa(df: DataFrame, estimator="euclidean", keys: list[str] = (), trial: str = "trial", x: str = "x", tile: int | None = None) -> DataFrame:
+    """(keys, i, j, value) for all pairs of trials i < j of each key; estimator is a name or a function of two array columns.
+
+    Named ones are matrix products of tiles: each key's trials are dealt into tiles by a hash, and a task compares two tiles. A function's
+    pairs are a join on the key, or on tiles where there is none.
+    """
+    keys, tile = list(keys), tile or TILE
+    rows = df.select(*keys, F.col(trial).alias("i"), F.col(x).cast("array<double>").alias("x"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    if keys:
+        sizes = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "tiles")
+        on = None
+        for k in keys:
+            eq = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+            on = eq if on is None else on & eq
+        rows = rows.join(sizes, on).drop(*[f"__k_{k}" for k in keys])
+    else:
+        rows = rows.join(F.broadcast(sizes))  # one row
+    own = F.pmod(F.xxhash64("i"), F.greatest("tiles", F.lit(1))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).select(*keys, "a", "b", "own", "i", "x")
+    if not isinstance(estimator, str):
+        left, right = rows.where("own = a").select(*keys, "a", "b", "i", F.col("x").alias("__a")), rows.where("own = b").select(*keys, "a", "b", F.col("i").alias("j"), F.col("x").alias("__b"))
+        # a tile with itself gives each pair once; two tiles give all pairs, in the order of trials
+        pairs = left.join(right, [*keys, "a", "b"]).where("a < b or i < j")
+        first = F.col("i") < F.col("j")
+        pairs = pairs.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(first, F.col("__a")).otherwise(F.col("__b")).alias("__a"), F.when(first, F.col("__b")).otherwise(F.col("__a")).alias("__b"))
+        return pairs.select(*keys, "i", "j", estimator("__a", "__b").alias("value"))
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"no estimator {estimator}")
+
+    def work(key, t):
+        ids, mine, (a, b) = t.column("i"), t.column("own").to_numpy(), [k.as_py() for k in key[-2:]]
+        left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
+        X = _ready(_matrix(t.column("x")), estimator)
+        D = _distances(X[left], X[right], estimator)
+        number = ids.to_numpy()
+        p, q = np.nonzero(number[left][:, None] < number[right]) if a == b else np.indices(D.shape).reshape(2, -1)
+        one, two = number[left][p], number[right][q]
+        return pa.table({**{k: pa.array([v.as_py()] * len(p), v.type) for k, v in zip(keys, key)}, "i": np.minimum(one, two), "j": np.maximum(one, two), "value": D[p, q]})
+
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    number = df.schema[trial].dataType.simpleString()
+    return rows.groupBy(*keys, "a", "b").applyInArrow(work, kinds + f"i {number}, j {number}, value double")
 
 
 def full_rdm(rdm: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -40,8 +97,8 @@ def grouped_rsa(df: DataFrame, keys: list[str] = (), trial: str = "trial", group
 
 
 def kernel_blocks(left: DataFrame, right: DataFrame, kind: str = "linear", gamma: float = 1.0, coef0: float = 0.0, degree: float = 2.0, block: int = 512, row: str = "row", x: str = "x") -> DataFrame:
-    """(row, values array<double>): for each left row its kernel with all right rows in order of row. Both sides are dealt into blocks, and a
-    task multiplies one block by another; a row's parts are put in order by block."""
+    """(row, part, cols array<long>, values array<double>): the kernel of each left row with each block of right rows. Both sides are dealt into
+    blocks, and a task multiplies one block by another; no row of the matrix is gathered."""
 
     def dealt(df, name):
         n = max(1, -(-df.count() // block))
@@ -52,16 +109,14 @@ def kernel_blocks(left: DataFrame, right: DataFrame, kind: str = "linear", gamma
     a = a.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit(0))
     b = b.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).withColumn("side", F.lit(1)).select(*a.columns)
 
-    def work(t: pa.Table) -> pa.Table:
+    def work(key, t):
         t = t.sort_by("row")
         side, rows, X = t.column("side").to_numpy(), t.column("row").to_numpy(), _matrix(t.column("x"))
-        K = kernel_matrix(kind, X[side == 0], X[side == 1], gamma, coef0, degree)
-        own = rows[side == 1].tolist()
-        return pa.table({"row": rows[side == 0], "cols": pa.array([own] * len(K), pa.list_(pa.int64())), "part": pa.array(K.tolist(), pa.list_(pa.float64()))})
+        K, own = kernel_matrix(kind, X[side == 0], X[side == 1], gamma, coef0, degree), rows[side == 1]
+        ends = pa.array(np.arange(len(K) + 1, dtype=np.int32) * len(own))
+        return pa.table({"row": rows[side == 0], "part": pa.array([key[1].as_py()] * len(K), pa.int64()), "cols": pa.ListArray.from_arrays(ends, pa.array(np.tile(own, len(K)), pa.int64())), "values": pa.ListArray.from_arrays(ends, pa.array(K.ravel(), pa.float64()))})
 
-    parts = a.unionByName(b).groupBy("a", "b").applyInArrow(work, "row long, cols array<long>, part array<double>")
-    pairs = parts.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("cols", "part")))).alias("p"))
-    return pairs.select("row", F.transform("p", lambda p: p["part"]).alias("values"))
+    return a.unionByName(b).groupBy("a", F.col("b").cast("long").alias("b")).applyInArrow(work, "row long, part long, cols array<long>, values array<double>")
 
 
 def lagged_design(df: DataFrame, window: list[int], keys: list[str], t: str = "t", x: str = "x", edge: str = "replicate") -> DataFrame:
@@ -81,13 +136,16 @@ def lagged_design(df: DataFrame, window: list[int], keys: list[str], t: str = "t
 
 
 def covariance_fit(df: DataFrame, method: str = "ledoitwolf", x: str = "x", s_min: int | None = None, s_max: int | None = None, t: str = "t"):
-    """(covariance, precision, whitener, shrinkage) in numpy from two passes of sums: means, then products of centred rows and of their squares."""
+    """(covariance, precision, whitener, shrinkage) in numpy from two passes of sums: means, then products of centred rows and of their squares. Rows with nulls are left out; no rows are an error."""
+    from .gram import whole
     from .local import covariance, whitener
 
     if s_min is not None or s_max is not None:
         df = df.where((F.col(t) >= (s_min or 0)) & (F.col(t) < (s_max if s_max is not None else 2**31 - 1)))
-    rows = df.select(F.col(x).cast("array<double>").alias("x"))
+    rows = whole(df.select(F.col(x).cast("array<double>").alias("x")), "x")
     e = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.count("*").alias("n")).orderBy("i").collect()
+    if not e:
+        raise ValueError("no rows to estimate a covariance from")
     mean, n = np.array([r["m"] for r in e]), e[0]["n"]
 
     def part(batches):
@@ -111,3 +169,36 @@ def whiten(df: DataFrame, W: np.ndarray, mean: np.ndarray | None = None, x: str
     rows = F.array(*[F.array(*map(F.lit, map(float, r))) for r in np.asarray(W)])
     v = F.col(x) if mean is None else F.zip_with(x, F.array(*map(F.lit, map(float, mean))), lambda a, b: a - b)
     return df.withColumn("__v", v).withColumn(x, F.transform(rows, lambda r: M.dot(r, F.col("__v")))).drop("__v")
+
+
+class Covariance:
+    """Covariance of rows (time points of trials are rows), its inverse and its whitener. Whitening is of each row, so of each time point.
+
+    s_min and s_max cut the time axis for the estimate alone. center takes the estimate's mean off before whitening.
+    """
+
+    METHODS = ("empirical", "ledoitwolf", "oas")
+
+    def __init__(self, method: str = "ledoitwolf", s_min: int | None = None, s_max: int | None = None, x: str = "x", t: str = "t", center: bool = False):
+        if method not in self.METHODS:
+            raise ValueError(f"no method {method}")
+        self.method, self.s_min, self.s_max, self.x, self.t, self.center = method, s_min, s_max, x, t, center
+
+    def fit(self, df: DataFrame) -> "Covariance":
+        out = self.clone()
+        out.covariance_, out.precision_, out.whitener_, out.shrinkage_ = covariance_fit(df, self.method, self.x, self.s_min, self.s_max, self.t)
+        if self.center:
+            e = df.select(F.posexplode(F.col(self.x).cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()
+            out.mean_ = np.array([r["m"] for r in e])
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if not hasattr(self, "whitener_"):
+            raise ValueError("Covariance is not fitted: use what fit() returns")
+        return whiten(df, self.whitener_, getattr(self, "mean_", None), self.x)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
+    def clone(self) -> "Covariance":
+        return Covariance(self.method, self.s_min, self.s_max, self.x, self.t, self.center)

@@ -1,24 +1,15 @@
 """Splitters. assign(df) adds fold (and repeat) to a table with one row per trial: the fold that tests it. Positions come from
-ranges of the trial id, so no task sees all rows unless all are one range; shuffled orders are hashes of trial, repeat and seed.
+ranges of the order, so no task sees all rows of a table or class unless they are few; shuffled orders are hashes of trial, repeat and seed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def positions(df: DataFrame, keys: list[str], order: list[str | Column], out: str) -> DataFrame:
-    """Adds the 0-based position of each row in the order, within keys. Rows are numbered inside ranges of the first order column and offset by the ranges before."""
-    if keys:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn("__i", inside).join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(out, F.col("__before") + F.col("__i")).drop("__p", "__q", "__i", "__before")
+from ..functions.order import before as positions
 
 
 def contiguous(i: Column, n: Column, k: int) -> Column:
@@ -27,8 +18,10 @@ def contiguous(i: Column, n: Column, k: int) -> Column:
     return F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / F.greatest(q, F.lit(1)))).cast("int")
 
 
-def _hash(trial: str, repeat, seed) -> Column:
-    return F.xxhash64(F.col(trial), F.lit(repeat) if isinstance(repeat, int) else repeat, F.lit(seed or 0))
+def _hash(trial: str, repeat: int, seed) -> Column:
+    """A number in [0, 1) that trial, repeat and seed decide: 52 bits of an MD5, which other SQL engines have too."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(repeat)), F.lit(str(seed or 0)), F.coalesce(F.col(trial).cast("string"), F.lit(""))))
+    return F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 @dataclass
@@ -46,8 +39,10 @@ class KFold:
 
     def assign(self, df: DataFrame, trial: str = "trial") -> DataFrame:
         n = self._check(df)
-        order = [_hash(trial, 0, self.random_state), F.col(trial)] if self.shuffle else [F.col(trial)]
-        return positions(df, [], order, "__pos").withColumn("fold", contiguous(F.col("__pos"), F.lit(n), self.n_splits)).drop("__pos")
+        if self.shuffle:
+            df = df.withColumn("__hash", _hash(trial, 0, self.random_state))
+        order = [F.col("__hash"), F.col(trial)] if self.shuffle else [F.col(trial)]
+        return positions(df, [], order, "__pos").drop("__hash").withColumn("fold", contiguous(F.col("__pos"), F.lit(n), self.n_splits)).drop("__pos")
 
 
 @dataclass
@@ -81,18 +76,20 @@ class StratifiedKFold:
     def assign(self, df: DataFrame, trial: str = "trial") -> DataFrame:
         k = self.n_splits
         classes = df.groupBy(self.y).agg(F.min(trial).alias("__first"), F.count("*").alias("__m"))
-        # one row per class
-        w = Window.orderBy("__first")
-        classes = classes.withColumns({"__c": F.row_number().over(w) - 1, "__start": F.coalesce(F.sum("__m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
         top = classes.agg(F.max("__m")).first()[0]
         if top is None or top < k:
             raise ValueError("every class has fewer members than folds")
+        # one row per class; __start is the position of its first member once classes stand one after another
+        classes = positions(classes, [], [F.col("__first")], "__start", F.col("__m"))
         # positions start .. start + m - 1 of the sorted numbers: bucket f gets those that are f modulo k
         low = [F.floor((F.col("__start") + F.col("__m") - 1 - f) / F.lit(k)) - F.floor((F.col("__start") - 1 - f) / F.lit(k)) for f in range(k)]
-        classes = classes.withColumn("__alloc", F.array(*low)).select(F.col(self.y).alias("__y"), "__c", "__alloc")
-        rows = df.join(F.broadcast(classes), F.col(self.y).eqNullSafe(F.col("__y")))
-        order = [_hash(trial, 1, self.random_state), F.col(trial)] if self.shuffle else [F.col(trial)]
-        rows = positions(rows, ["__c"], order, "__pos")
+        classes = classes.withColumn("__alloc", F.array(*low)).select(F.col(self.y).alias("__y"), F.col("__start").alias("__c"), "__alloc")
+        # no forced broadcast: the planner knows the size of what it has aggregated
+        rows = df.join(classes, F.col(self.y).eqNullSafe(F.col("__y")))
+        if self.shuffle:
+            rows = rows.withColumn("__hash", _hash(trial, 1, self.random_state))
+        order = [F.col("__hash"), F.col(trial)] if self.shuffle else [F.col(trial)]
+        rows = positions(rows, ["__c"], order, "__pos").drop("__hash")
         upto = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda f: F.aggregate(F.slice("__alloc", F.lit(1), f), F.lit(0).cast("long"), lambda a, v: a + v))
         return rows.withColumn("fold", F.size(F.filter(upto, lambda u: u <= F.col("__pos"))).cast("int")).drop("__y", "__c", "__alloc", "__pos")
 

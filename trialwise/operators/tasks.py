@@ -1,5 +1,6 @@
-"""Fit tasks: Validator, cross_val_score, Sliding, Hierarchical and Shapley. A task is one (keys, fold, mask); its trials meet in one grouped
-function, sorted by trial, so a task's block must fit a worker. What varies is a table of tasks joined to trials, never a driver loop.
+"""Fit tasks: metrics, Validator, cross_val_score, Sliding, Hierarchical and Shapley. A task is one (keys, fold, mask); its trials meet in one grouped
+function, sorted by trial, so a task's block must fit a worker. Ridge models under r2 and pearsonr are validated by sums instead, without
+gathering trials. What varies is a table of tasks joined to trials, never a driver loop.
 """
 
 from __future__ import annotations
@@ -10,21 +11,24 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from . import gram
 from .gram import _matrix
+from .local import Pipeline, RidgeCV
 from .splits import KFold
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A score: f(truth, prediction[, training mean]) over a task's test block; request says what the model gives."""
+    """A score: f over what request names, each with the dimensions of reduce moved last and flattened. Names are X, y, metadata, or attributes and methods of the model."""
 
     name: str
-    request: str = "predict"
+    request: tuple = ("y", "predict")
     f: object = None
     reduce: tuple = (0,)
     metadata: dict = field(default_factory=dict)
@@ -39,92 +43,236 @@ class Metric:
         return replace(self, **changes)
 
 
+def reduce_(X, dims) -> np.ndarray:
+    """X with the dimensions moved to the end, in their order, and flattened into one."""
+    X = np.asarray(X)
+    dims = [d + X.ndim if d < 0 else d for d in ((dims,) if isinstance(dims, int) else dims)]
+    if len(set(dims)) != len(dims) or any(not 0 <= d < X.ndim for d in dims):
+        raise ValueError("dimensions must be different ones of the array")
+    rest = [d for d in range(X.ndim) if d not in dims]
+    return X.transpose(*rest, *sorted(dims)).reshape(*[X.shape[d] for d in rest], -1)
+
+
+def score(model, metric, X, y=None):
+    """The metric's value for a fitted model, or {name: value} for several. What metrics ask for is made once, and reduced once for each reduce."""
+    several = isinstance(metric, (tuple, list))
+    known, reduced, out = {"X": X, "y": y}, {}, {}
+    for m in metric if several else (metric,):
+        args = []
+        for r in m.request:
+            if r in m.metadata and r not in ("X", "y"):
+                value = m.metadata[r]
+            else:
+                if r not in known:
+                    found = getattr(model, r, None)
+                    known[r] = found(X) if callable(found) else found
+                if (m.reduce, r) not in reduced:
+                    v = known[r]
+                    reduced[m.reduce, r] = None if v is None else reduce_(np.asarray(v)[:, None] if np.ndim(v) == 1 else v, m.reduce)
+                value = reduced[m.reduce, r]
+            args.append(value)
+        out[m.name] = m.f(*args)
+    return out if several else out[metric.name]
+
+
 def _corr(y, p):
-    y, p = y - y.mean(0), p - p.mean(0)
+    y, p = y - y.mean(-1, keepdims=True), p - p.mean(-1, keepdims=True)
     with np.errstate(all="ignore"):
-        return (y * p).sum(0) / np.sqrt((y * y).sum(0) * (p * p).sum(0))
+        return (y * p).sum(-1) / np.sqrt((y * y).sum(-1) * (p * p).sum(-1))
 
 
 def _ranks(a):
     out = np.empty(a.shape)
-    for t in range(a.shape[1]):
-        _, at, n = np.unique(a[:, t], return_inverse=True, return_counts=True)
-        end = np.cumsum(n)
-        out[:, t] = (end - (n - 1) / 2)[at]
+    for i in np.ndindex(a.shape[:-1]):
+        _, at, n = np.unique(a[i], return_inverse=True, return_counts=True)
+        out[i] = (np.cumsum(n) - (n - 1) / 2)[at]
     return out
 
 
 def _r2(y, p, b=None):
-    base = ((y - (y.mean(0) if b is None else b)) ** 2).sum(0)
-    return np.where(base != 0, 1 - ((y - p) ** 2).sum(0) / np.where(base != 0, base, 1), 0.0)
+    """b is the baseline of each target, by default its mean."""
+    base = ((y - (y.mean(-1, keepdims=True) if b is None else np.asarray(b)[..., None])) ** 2).sum(-1)
+    return np.where(base != 0, 1 - ((y - p) ** 2).sum(-1) / np.where(base != 0, base, 1), 0.0)
 
 
 def _auc(y, s):
     """One value per label feature: decision columns are sliced by its number of labels; two labels use the last one, more are one against the rest."""
     out, at = [], 0
-    for t in range(y.shape[1]):
-        own = np.unique(y[:, t])
-        cols = s[:, at : at + len(own)]
+    for t in range(len(y)):
+        own = np.unique(y[t])
+        cols = s[at : at + len(own)]
         at += len(own)
         each = []
-        for c, k in enumerate(own) if len(own) > 2 else [(cols.shape[1] - 1, own[-1])]:
-            pos = y[:, t] == k
+        for c, k in enumerate(own) if len(own) > 2 else [(len(cols) - 1, own[-1])]:
+            pos = y[t] == k
             n1, n0 = pos.sum(), (~pos).sum()
-            each.append((_ranks(cols[:, [c]])[pos, 0].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else np.nan)
+            each.append((_ranks(cols[[c]])[0, pos].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else np.nan)
         out.append(np.nanmean(each) if not np.all(np.isnan(each)) else np.nan)
     return np.array(out)
 
 
-accuracy = Metric("accuracy", "predict", lambda y, p: (y == p).mean(0))
-pearsonr = Metric("pearsonr", "predict", _corr)
-spearmanr = Metric("spearmanr", "predict", lambda y, p: _corr(_ranks(y), _ranks(p)))
-#: Under cross-validation the baseline is the training mean.
-r2 = Metric("r2", "predict", _r2, metadata={"baseline": True})
-roc_auc = Metric("roc_auc", "decision_function", _auc)
+accuracy = Metric("accuracy", f=lambda y, p: (y == p).mean(-1))
+pearsonr = Metric("pearsonr", f=_corr)
+spearmanr = Metric("spearmanr", f=lambda y, p: _corr(_ranks(y), _ranks(p)))
+#: Under cross-validation the baseline y_b is the training mean.
+r2 = Metric("r2", ("y", "predict", "y_b"), _r2)
+roc_auc = Metric("roc_auc", ("y", "decision_function"), _auc)
 
 
 def run_tasks(df: DataFrame, keys: list[str], fn, schema: str, trial: str = "trial") -> DataFrame:
-    """fn(keys, trials, X, y, table) -> list of tuples of schema, for each key's block, sorted by trial."""
+    """fn(keys, trials, X, y, table) -> list of tuples of schema, for each key's block, sorted by trial. Tables without y have y None."""
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def work(key, t):
         t = t.sort_by(trial)
-        rows = fn(tuple(k.as_py() for k in key), t.column(trial).to_numpy(), _matrix(t.column("x")), _matrix(t.column("y")), t)
+        rows = fn(tuple(k.as_py() for k in key), t.column(trial).to_numpy(), _matrix(t.column("x")), _matrix(t.column("y")) if "y" in t.column_names else None, t)
         columns = list(zip(*rows)) or [[] for _ in arrow]
         return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], names=arrow.names)
 
     return df.groupBy(*keys).applyInArrow(work, schema)
 
 
-def _score(model, metrics, X, y, train_mean):
-    memo = {}
-    for m in metrics:
-        if m.request not in memo:
-            memo[m.request] = np.asarray(getattr(model, m.request)(X))
-        p = memo[m.request]
-        v = m.f(y, p, train_mean) if m.metadata.get("baseline") else m.f(y, p)
-        for d, s in enumerate(np.atleast_1d(v)):
-            yield m.name, d, float(s)
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def _scored(model, metrics, X, y):
+    """(metric, index, value) of each metric."""
+    for name, v in score(model, tuple(metrics), X, y).items():
+        for d, s in enumerate(np.atleast_1d(v).ravel()):
+            yield name, d, float(s)
+
+
+#: Bytes of fitted models that are sent to every task.
+MOST_MODELS = 256 << 20
+
+
+class Models:
+    """Fitted models, one per combination of names: a table (names, model binary), made once. The models are pickled blocks of numbers; they are
+    sent to every task, after a check of their size, so that trials stay where they are."""
+
+    def __init__(self, table: DataFrame, names: list[str], keys: list[str]):
+        self.table, self.names, self.keys = table.persist(), names, keys
+        self._sent = None
+
+    def sent(self):
+        if self._sent is None:
+            size = self.table.agg(F.sum(F.length("model"))).first()[0] or 0
+            if size > MOST_MODELS:
+                raise ValueError(f"{size} bytes of models are too many to send to every task")
+            found = {}
+            for r in self.table.collect():
+                found.setdefault(tuple(r[k] for k in self.keys), []).append((tuple(r[n] for n in self.names), bytes(r["model"])))
+            self._sent = self.table.sparkSession.sparkContext.broadcast(found)
+        return self._sent
+
+    def call(self, df: DataFrame, method: str, trial: str = "trial", from_step: int | None = None) -> DataFrame:
+        """(names, trial, value array<double>): the method of every model of a row's keys, on its x."""
+        keys, sent, names = self.keys, self.sent(), self.names
+        kinds = {f.name: f.dataType.simpleString() for f in [*df.schema, *self.table.schema]}
+        rows = gram.whole(df.select(*keys, F.col(trial).alias("__trial"), F.col("x").cast("array<double>").alias("x")), "x")
+
+        def work(batches):
+            loaded: dict = {}
+            for b in batches:
+                X, found, trials = _matrix(b.column("x")), list(zip(*[b.column(k).to_pylist() for k in keys])) if keys else [()] * b.num_rows, b.column("__trial")
+                for k in dict.fromkeys(found):
+                    at = np.array([f == k for f in found])
+                    for name, raw in sent.value.get(k, ()):
+                        model = loaded.get(name)
+                        if model is None:
+                            model = loaded[name] = cloudpickle.loads(raw)
+                        out = np.asarray(_step(model, from_step, method)(X[at]), float).reshape(int(at.sum()), -1)
+                        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+                        columns = [pa.array([v] * len(out), t) for v, t in zip(name, types)]
+                        yield pa.RecordBatch.from_arrays([*columns, trials.filter(pa.array(at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], [*names, "__trial", "value"])
+
+        schema = ", ".join([*[f"`{n}` {kinds[n]}" for n in names], f"__trial {kinds[trial]}", "value array<double>"])
+        types = [f.type for f in to_arrow_schema(_parse_datatype_string(schema))][: len(names)]
+        return rows.mapInArrow(work, schema).withColumnRenamed("__trial", trial)
+
+    def collect(self, attr, from_step: int | None = None) -> DataFrame:
+        """(names, name, shape, value): attributes of each model, or of a step of it."""
+        wanted, names = [attr] if isinstance(attr, str) else list(attr), self.names
+
+        def work(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    model = cloudpickle.loads(r["model"])
+                    for a in wanted:
+                        v = np.asarray(getattr(_step(model, from_step), a), float)
+                        yield pa.RecordBatch.from_arrays([*[pa.array([r[n]], t) for n, t in zip(names, types)], pa.array([a]), pa.array([list(v.shape)], pa.list_(pa.int32())), pa.array([v.ravel().tolist()], pa.list_(pa.float64()))], [*names, "name", "shape", "value"])
+
+        schema = _kinds(self.table, names) + "name string, shape array<int>, value array<double>"
+        types = [f.type for f in to_arrow_schema(_parse_datatype_string(schema))][: len(names)]
+        return self.table.mapInArrow(work, schema)
+
+    def score(self, df: DataFrame, metrics, trial: str = "trial") -> DataFrame:
+        """(names, metric, target, score) of every model of each key on all of the key's trials."""
+        sent, keys, names = self.sent(), self.keys, self.names
+
+        def fit(key, trials, X, y, t):
+            return [(*name, *s) for name, raw in sent.value.get(key, ()) for s in _scored(cloudpickle.loads(raw), metrics, X, y)]
+
+        return run_tasks(gram.whole(df, "x", "y"), keys, fit, _kinds(self.table, names) + "metric string, target int, score double", trial)
+
+
+def _step(model, from_step: int | None, method: str | None = None):
+    if from_step is not None and not isinstance(model, Pipeline):
+        raise ValueError("only a pipeline has steps")
+    own = model if from_step is None else model[from_step]
+    if method is None:
+        return own
+    found = getattr(own, method, None)
+    if found is None:
+        raise ValueError(f"{type(own).__name__} has no {method}")
+    return found
+
+
+def _several(metric, default=None) -> tuple:
+    m = metric or default or r2
+    return tuple(m) if isinstance(m, (tuple, list)) else (m,)
 
 
 @dataclass
 class Sliding:
-    """One estimator per combination of the keys."""
+    """One estimator per combination of the keys. The estimator has fit(); or it is a function of a key's (X, y), which is applied without fitting."""
 
     estimator: object
     keys: list[str]
 
+    def clone(self):
+        return replace(self)
+
+    def with_targets(self, df: DataFrame, targets: DataFrame, trial: str = "trial") -> DataFrame:
+        """df with y of targets, joined on trial and whatever keys targets have: a key that they lack is shared by all its values."""
+        on = [trial, *[k for k in self.keys if k in targets.columns]]
+        return df.drop("y").join(targets.select(*on, "y"), on)
+
+    def fit(self, df: DataFrame, trial: str = "trial") -> "FittedSliding":
+        if not hasattr(self.estimator, "fit"):
+            return FittedSliding(self, None)
+        est, keys = self.estimator, self.keys
+        table = run_tasks(gram.whole(df, "x", "y"), keys, lambda key, trials, X, y, t: [(*key, cloudpickle.dumps(est.clone().fit(X, y)))], _kinds(df, keys) + "model binary", trial)
+        return FittedSliding(self, Models(table, keys, keys))
+
     def collect(self, df: DataFrame, names: list[str], trial: str = "trial") -> DataFrame:
-        """(keys, name, shape, value): fitted parameters of each key's model."""
+        """(keys, name, shape, value): fitted parameters of each key's model, in one pass."""
         est, keys = self.estimator, self.keys
 
         def fit(key, trials, X, y, t):
-            p = est.clone().fit(X, y).params()
-            return [(*key, n, list(p[n].shape), p[n].ravel().tolist()) for n in names]
+            m = est.clone().fit(X, y)
+            return [(*key, n, list(np.shape(getattr(m, n))), np.asarray(getattr(m, n), float).ravel().tolist()) for n in names]
+
+        return run_tasks(df, keys, fit, _kinds(df, keys) + "name string, shape array<int>, value array<double>", trial)
 
-        kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        return run_tasks(df, keys, fit, f"{kinds}, name string, shape array<int>, value array<double>", trial)
+    def transform(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        """(keys, value): a bare function's result on each key's (X, y)."""
+        return FittedSliding(self, None).transform(df, trial)
+
+    def fit_transform(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        return self.fit(df, trial).transform(df, trial)
 
     def fit_apply(self, df: DataFrame, method: str = "predict", train: str = "train", trial: str = "trial") -> DataFrame:
         """(keys, trial, value): fitted on rows where train is true, applied to the others."""
@@ -135,8 +283,43 @@ class Sliding:
             out = np.asarray(getattr(est.clone().fit(X[m], y[m]), method)(X[~m]))
             return [(*key, int(i), np.atleast_1d(v).astype(float).tolist()) for i, v in zip(trials[~m], out)]
 
-        kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        return run_tasks(df, keys, fit, f"{kinds}, `{trial}` long, value array<double>", trial)
+        return run_tasks(df, keys, fit, _kinds(df, keys) + f"`{trial}` long, value array<double>", trial)
+
+
+@dataclass
+class FittedSliding:
+    sliding: Sliding
+    models: Models | None
+
+    def _call(self, df, method, trial):
+        if self.models is None:
+            raise ValueError("a bare function has no fitted models")
+        return self.models.call(df, method, trial)
+
+    def predict(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        """(keys, trial, value), as are predict_proba, decision_function and, of estimators, transform."""
+        return self._call(df, "predict", trial)
+
+    def predict_proba(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        return self._call(df, "predict_proba", trial)
+
+    def decision_function(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        return self._call(df, "decision_function", trial)
+
+    def transform(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        if self.models is not None:
+            return self._call(df, "transform", trial)
+        f, keys = self.sliding.estimator, self.sliding.keys
+        return run_tasks(df, keys, lambda key, trials, X, y, t: [(*key, np.asarray(f(X, y), float).ravel().tolist())], _kinds(df, keys) + "value array<double>", trial)
+
+    def score(self, df: DataFrame, metric=None, trial: str = "trial") -> DataFrame:
+        """(keys, metric, target, score)."""
+        if self.models is None:
+            raise ValueError("a bare function has no fitted models")
+        return self.models.score(df, _several(metric), trial)
+
+    def collect(self, attr) -> DataFrame:
+        return self.models.collect(attr)
 
 
 @dataclass
@@ -147,39 +330,112 @@ class Validator:
     cv: object = 5
     metric: object = None
 
-    def _metrics(self):
-        m = self.metric or r2
-        return m if isinstance(m, (tuple, list)) else (m,)
+    def clone(self):
+        return replace(self, model=self.model.clone())
 
-    def scores(self, df: DataFrame, keys: list[str] = (), trial: str = "trial", masks: list | None = None) -> DataFrame:
-        """(keys, [mask,] repeat, fold, metric, target, score). masks: feature masks to be fitted each."""
-        keys, cv = list(keys), KFold(self.cv) if isinstance(self.cv, int) else self.cv
+    def _dealt(self, df: DataFrame, trial: str) -> tuple[DataFrame, int]:
+        """df with repeat and __own, the fold that tests a row, and the number of folds."""
+        cv = KFold(self.cv) if isinstance(self.cv, int) else self.cv
         folds = cv.assign(df.select(trial, *[c for c in (getattr(cv, "y", None), getattr(cv, "groups", None)) if c]).distinct(), trial)
         if "repeat" not in folds.columns:
             folds = folds.withColumn("repeat", F.lit(0))
-        folds = folds.select(F.col(trial).alias("__t"), F.col("repeat"), F.col("fold").alias("__own"))
-        rows = df.join(folds, F.col(trial) == F.col("__t")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(cv.n_splits - 1))))
-        task = ["repeat", "fold"]
+        folds = folds.select(F.col(trial).alias("__t"), F.col("repeat").cast("int").alias("repeat"), F.col("fold").cast("int").alias("__own"))
+        return df.join(folds, F.col(trial) == F.col("__t")).drop("__t"), cv.n_splits
+
+    def _by_sums(self) -> bool:
+        return type(self.model) is RidgeCV and all(m in (r2, pearsonr) for m in _several(self.metric))
+
+    def scores(self, df: DataFrame, keys: list[str] = (), trial: str = "trial", masks: list | None = None) -> DataFrame:
+        """(keys, [mask,] repeat, fold, metric, target, score). masks: feature masks to be fitted each. Ridge models whose sums fit the driver are validated by sums."""
+        keys, (dealt, k) = list(keys), self._dealt(df, trial)
+        task, metrics, model = ["mask", "repeat", "fold"] if masks is not None else ["repeat", "fold"], _several(self.metric), self.model
+        schema = _kinds(df, keys) + ", ".join(f"{t} int" for t in task) + ", metric string, target int, score double"
+        if self._by_sums() and gram.fits_driver(dealt, [*keys, "repeat", "__own"], len(masks or [0])):
+            found = gram.validate(dealt, keys, "__own", model, [m.name for m in metrics], masks)
+            return df.sparkSession.createDataFrame([(*key, *((n,) if masks is not None else ()), *rest) for key, n, *rest in found], schema)
+        rows = dealt.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         if masks is not None:
-            rows, task = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1)))), ["mask", *task]
-        model, metrics, every = self.model, self._metrics(), [*keys, *task]
+            rows = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
         chosen = [np.asarray(m, bool) for m in masks] if masks is not None else None
 
         def fit(key, trials, X, y, t):
-            test = t.column("__own").to_numpy() == key[-1]
             if chosen is not None:
                 X = X[:, chosen[key[len(keys)]]]
-            if not test.any():
-                return []
-            m = model.clone().fit(X[~test], y[~test])
-            return [(*key, *s) for s in _score(m, metrics, X[test], y[test], y[~test].mean(0))]
+            return [(*key, *s) for s in _fold(model, metrics, X, y, t.column("__own").to_numpy() == key[-1])[1]]
+
+        return run_tasks(rows, [*keys, *task], fit, schema, trial)
+
+    def fit(self, df: DataFrame, keys: list[str] = (), trial: str = "trial") -> "FittedValidator":
+        """All fold models, with what tested them."""
+        keys, (dealt, k) = list(keys), self._dealt(df, trial)
+        names, model, metrics = [*keys, "repeat", "fold"], self.model, _several(self.metric)
+        rows = dealt.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+        def fit(key, trials, X, y, t):
+            test = t.column("__own").to_numpy() == key[-1]
+            m, found = _fold(model, metrics, X, y, test)
+            return [(*key, cloudpickle.dumps(m), trials[test].tolist(), *map(list, zip(*found)))] if m else []
+
+        kinds = _kinds(df, keys) + f"repeat int, fold int, model binary, test array<{df.schema[trial].dataType.simpleString()}>, metric array<string>, target array<int>, score array<double>"
+        return FittedValidator(self, Models(run_tasks(rows, names, fit, kinds, trial), names, keys))
+
+
+def _fold(model, metrics, X, y, test):
+    """A fold's model and its scores; none where the fold has no trials."""
+    if not test.any() or test.all():
+        return None, []
+    m = model.clone().fit(X[~test], y[~test])
+    base = y[~test].mean(0)
+    return m, list(_scored(m, [x.grant(y_b=base) if "y_b" in x.request else x for x in metrics], X[test], y[test]))
+
+
+@dataclass
+class FittedValidator:
+    """What a validator has fitted: a model per key, repeat and fold."""
+
+    validator: Validator
+    models: Models
+
+    def scores(self) -> DataFrame:
+        """(keys, repeat, fold, metric, target, score) on the folds."""
+        rows = self.models.table.select(*self.models.names, F.explode(F.arrays_zip("metric", "target", "score")).alias("e"))
+        return rows.select(*self.models.names, "e.metric", "e.target", "e.score")
+
+    def tests(self, trial: str = "trial") -> DataFrame:
+        """(keys, repeat, fold, trial): the trials that tested each model."""
+        return self.models.table.select(*self.models.names, F.explode("test").alias(trial))
+
+    def call(self, method: str, df: DataFrame, trial: str = "trial", from_step: int | None = None) -> DataFrame:
+        """(keys, repeat, fold, trial, value): the method of every fold's model, or of a step of it, on all rows."""
+        return self.models.call(df, method, trial, from_step)
+
+    def predict(self, df: DataFrame, trial: str = "trial", from_step: int | None = None) -> DataFrame:
+        return self.call("predict", df, trial, from_step)
+
+    def predict_proba(self, df: DataFrame, trial: str = "trial", from_step: int | None = None) -> DataFrame:
+        return self.call("predict_proba", df, trial, from_step)
+
+    def decision_function(self, df: DataFrame, trial: str = "trial", from_step: int | None = None) -> DataFrame:
+        return self.call("decision_function", df, trial, from_step)
 
-        kinds = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], *[f"{k} int" for k in task]])
-        return run_tasks(rows, every, fit, f"{kinds}, metric string, target int, score double", trial)
+    def transform(self, df: DataFrame, trial: str = "trial", from_step: int | None = None) -> DataFrame:
+        return self.call("transform", df, trial, from_step)
 
+    def score(self, df: DataFrame, trial: str = "trial") -> DataFrame:
+        """(keys, repeat, fold, metric, target, score) of every fold's model on other trials."""
+        return self.models.score(df, _several(self.validator.metric), trial)
 
-def cross_val_score(model, df: DataFrame, cv=5, metric=None, keys=(), trial: str = "trial") -> DataFrame:
-    return Validator(model, cv, metric).scores(df, keys, trial)
+    def collect(self, attr, from_step: int | None = None) -> DataFrame:
+        return self.models.collect(attr, from_step)
+
+
+def cross_val_score(model, df: DataFrame, cv=5, metric=None, keys=(), trial: str = "trial", return_validator: bool = False):
+    """Scores of each fold; with return_validator (fitted validator, scores)."""
+    v = Validator(model, cv, metric)
+    if not return_validator:
+        return v.scores(df, keys, trial)
+    fitted = v.fit(df, keys, trial)
+    return fitted, fitted.scores()
 
 
 def feature_sets(n_features: int, groups=None, on_underspecified: str = "raise"):
@@ -221,25 +477,33 @@ def hierarchical_score(model, df: DataFrame, n_features: int, groups=None, cv=5,
 
 @dataclass
 class Shapley:
-    """Mean marginal gain of each group over random orders that start with group 0; each distinct set is fitted once."""
+    """Mean marginal gain of each group over random orders that start with group 0; each distinct set is fitted once. With shuffle, folds are dealt
+    in an order of trials by chance, the same for all orders of groups, so that sets are still fitted once."""
 
     validator: Validator
     n_permutations: int = 10
     seed: int = 0
+    shuffle: bool = False
 
-    def scores(self, df: DataFrame, groups, keys=(), trial: str = "trial") -> DataFrame:
-        """(permutation, group, keys, repeat, fold, metric, target, score): group 0 has the baseline's score, others what they add."""
-        g, rng = np.asarray(groups, bool), random.Random(self.seed)
-        steps, masks = [], {}
+    def orders(self, groups) -> tuple[list, list]:
+        """Steps (permutation, group, mask, mask before or -1) and the distinct masks."""
+        g, rng, steps, masks = np.asarray(groups, bool), random.Random(self.seed), [], {}
         for p in range(self.n_permutations):
-            order = [0, *rng.sample(range(1, len(g)), len(g) - 1)]
-            last = -1
+            order, last = [0, *rng.sample(range(1, len(g)), len(g) - 1)], -1
             for n in range(len(order)):
                 m = g[order[: n + 1]].any(0)
                 at = masks.setdefault(m.tobytes(), (len(masks), m))[0]
                 steps.append((p, order[n], at, last))
                 last = at
-        s = self.validator.scores(df, keys, trial, [m for _, m in sorted(masks.values(), key=lambda v: v[0])])
+        return steps, [m for _, m in sorted(masks.values(), key=lambda v: v[0])]
+
+    def scores(self, df: DataFrame, groups, keys=(), trial: str = "trial") -> DataFrame:
+        """(permutation, group, keys, repeat, fold, metric, target, score): group 0 has the baseline's score, others what they add."""
+        steps, masks = self.orders(groups)
+        v = self.validator
+        if self.shuffle and isinstance(v.cv, int):
+            v = replace(v, cv=KFold(v.cv, True, self.seed))
+        s = v.scores(df, keys, trial, masks)
         plan = F.broadcast(df.sparkSession.createDataFrame(steps, "permutation int, group int, mask int, before int"))  # permutations x groups rows
         same = [*keys, "repeat", "fold", "metric", "target"]
         prior = s.select(*same, F.col("mask").alias("before"), F.col("score").alias("__s"))

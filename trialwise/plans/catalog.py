@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import windows
-from ..operators import gram, local, preprocessing, rsa, splits, tasks
+from ..operators import gram, local, preprocessing, rsa, series, splits, tasks
 from ..sources import generators
 
 
@@ -68,6 +68,9 @@ def query(sql: str | None = None):
     return add
 
 
+#: A precision matrix with neighbours: 2 on the diagonal, 0.5 beside it.
+BAND = (2 * np.eye(64) + 0.5 * np.eye(64, k=1) + 0.5 * np.eye(64, k=-1)).tolist()
+
 for _name, _f, _sql in (
     ("cosine", M.cosine, _pair_sql("sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))")),
     ("cosine_d", M.cosine_d, _pair_sql("1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)))")),
@@ -81,7 +84,7 @@ for _name, _f, _sql in (
     ("kernel_poly", lambda x, y: M.kernel_poly(x, y, 1.0, 0.5, 2.0), _pair_sql("(0.5 + sum(a * b)) ** 2")),
     ("kernel_rbf", lambda x, y: M.kernel_rbf(x, y, 0.5), _pair_sql("exp(-0.5 * greatest(0, sum(a * a) + sum(b * b) - 2 * sum(a * b)))")),
     ("kernel_sigmoid", lambda x, y: M.kernel_sigmoid(x, y, 1.0, 0.1), _pair_sql("(exp(2 * (0.1 + sum(a * b))) - 1) / (exp(2 * (0.1 + sum(a * b))) + 1)")),
-    ("mahalanobis", lambda x, y: M.mahalanobis(x, y, (2 * np.eye(64)).tolist()), _pair_sql("sqrt(2 * sum((a - b) ** 2))")),
+    ("mahalanobis", lambda x, y: M.mahalanobis(x, y, BAND), "WITH v AS (SELECT vec_id AS trial, embedding::DOUBLE[] AS x FROM embeddings), e AS (SELECT a.trial, generate_subscripts(a.x, 1) AS k, unnest(a.x) - unnest(b.x) AS d FROM v a JOIN v b ON b.trial = a.trial + 1), l AS (SELECT *, lag(d) OVER (PARTITION BY trial ORDER BY k) AS p FROM e) SELECT trial, round(sqrt(sum(2 * d * d + coalesce(d * p, 0))), 6) + 0.0::DOUBLE AS value FROM l GROUP BY trial"),
 ):
     QUERIES[_name], ORACLE_SQL[_name] = _pairwise(_f), _sql
 
@@ -120,12 +123,22 @@ def rsa_grouped_cv(spark, sf_dir):
     return rsa.grouped_rsa(_grouped_trials(spark, sf_dir)).withColumn("value", _r("value"))
 
 
-QUERIES["cv_euclidean"], ORACLE_SQL["cv_euclidean"] = rsa_grouped_cv, ORACLE_SQL["rsa_grouped_cv"]
+_NEXT = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+d AS (SELECT a.vec_id, a.label, generate_subscripts(a.x, 1) AS k, unnest(a.x) - unnest(b.x) AS d FROM v a JOIN v b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT label, k, sum(d) AS s, sum(d * d) AS q, count(*) AS n FROM d GROUP BY label, k) """
+
+
+@query(_NEXT + "SELECT label, round((sum(s * s) - sum(q)) / max(n) ** 2, 6) + 0.0::DOUBLE AS value FROM s GROUP BY label")
+def cv_euclidean(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    pairs = v.join(v.select((F.col("trial") - 1).alias("trial"), F.col("x").alias("y")), "trial")
+    return M.cross_validated(pairs, ["label"], "x", "y").withColumn("value", _r("value"))
 
 
-@query(_TWO + "SELECT i, j, round(2 * (sum(s * s) - sum(q)) / max(n) ** 2, 6) + 0.0::DOUBLE AS value FROM s GROUP BY i, j")
+@query(_TWO.replace("sum((a - b) ** 2) AS q, count(*) AS n FROM d GROUP BY i, j, k)", "sum((a - b) ** 2) AS q, sum((a - b) * p) AS r, count(*) AS n FROM (SELECT *, lag(a - b) OVER (PARTITION BY i, j, trial ORDER BY k) AS p FROM d) GROUP BY i, j, k)")
+    + ", t AS (SELECT *, lag(s) OVER (PARTITION BY i, j ORDER BY k) AS p FROM s) SELECT i, j, round((sum(2 * s * s + coalesce(s * p, 0)) - sum(2 * q + coalesce(r, 0))) / max(n) ** 2, 6) + 0.0::DOUBLE AS value FROM t GROUP BY i, j")
 def cv_mahalanobis(spark, sf_dir):
-    return rsa.grouped_rsa(_grouped_trials(spark, sf_dir), precision=(2 * np.eye(64)).tolist()).withColumn("value", _r("value"))
+    return rsa.grouped_rsa(_grouped_trials(spark, sf_dir), precision=BAND).withColumn("value", _r("value"))
 
 
 @query("""WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
@@ -138,8 +151,7 @@ def rsa_euclidean(spark, sf_dir):
 
 
 def _prices(spark, sf_dir):
-    key = F.monotonically_increasing_id()
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice").alias("x"), "l_returnflag").withColumn("__id", key).drop("__id")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice").alias("x"), "l_returnflag")
 
 
 _L = "WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS q, l_extendedprice AS p FROM lineitem), "
@@ -154,6 +166,12 @@ def scaler(spark, sf_dir):
     return _out(preprocessing.Scaler(by=["l_returnflag"]).fit_transform(_prices(spark, sf_dir)))
 
 
+@query(_L.replace("l_extendedprice AS p FROM", "l_extendedprice AS p, (l_linenumber - 1)::DOUBLE AS w FROM") + "m AS (SELECT l_returnflag, sum(w * q) / sum(w) AS mq, sum(w * p) / sum(w) AS mp, sum(w) AS w_all, sum((w <> 0)::INT)::DOUBLE AS n FROM l GROUP BY 1), s AS (SELECT l_returnflag, any_value(mq) AS mq, any_value(mp) AS mp, sqrt(sum(w * (q - mq) ** 2) / any_value((n - 1) / n * w_all)) AS sq, sqrt(sum(w * (p - mp) ** 2) / any_value((n - 1) / n * w_all)) AS sp FROM l JOIN m USING (l_returnflag) GROUP BY 1) SELECT l_orderkey, l_linenumber, round((q - mq) / sq, 6) + 0.0::DOUBLE AS q, round((p - mp) / sp, 6) + 0.0::DOUBLE AS p FROM l JOIN s USING (l_returnflag)")
+def scaler_weighted(spark, sf_dir):
+    df = _prices(spark, sf_dir).withColumn("w", F.col("l_linenumber") - 1)
+    return _out(preprocessing.Scaler(by=["l_returnflag"]).fit(df, weight="w").transform(df))
+
+
 def _robust(col):
     def q(x):
         return f"CASE WHEN count(*) % 2 = 1 THEN list_sort(list({col}))[1 + floor({x} * (count(*) - 1))::INT] ELSE quantile_cont({col}, {x}) END"
@@ -203,23 +221,53 @@ def stratified_kfold(spark, sf_dir):
     return splits.StratifiedKFold(5, y="label").assign(df, "vec_id").select("vec_id", "fold")
 
 
-@query()
+def _u(trial: str, repeat: str, seed: str) -> str:
+    """The splitters' number for a trial."""
+    return f"('0x' || substr(md5('{repeat}:' || {seed} || ':' || {trial}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
+
+
+_FOLD5 = "(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT"
+
+
+@query(f"""WITH u AS (SELECT o_orderkey, r::INT AS repeat, {_u("o_orderkey", "0", "(1000 + r)")} AS u FROM orders, range(2) t(r)),
+p AS (SELECT *, row_number() OVER (PARTITION BY repeat ORDER BY u, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY repeat) AS n FROM u)
+SELECT o_orderkey, repeat, {_FOLD5} AS fold FROM p""")
 def repeated_kfold(spark, sf_dir):
     return splits.RepeatedKFold(5, 2, 1).assign(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "repeat", "fold")
 
 
-@query()
+@query(f"""WITH c AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS c FROM embeddings GROUP BY label),
+g AS (SELECT vec_id, c, row_number() OVER (ORDER BY c, vec_id) - 1 AS g FROM embeddings JOIN c USING (label)),
+a AS (SELECT c, g % 5 AS f, count(*) AS n FROM g GROUP BY 1, 2),
+u AS (SELECT c, f, sum(n) OVER (PARTITION BY c ORDER BY f) AS upto FROM a),
+h AS (SELECT vec_id, c, r::INT AS repeat, {_u("vec_id", "1", "(1000 + r)")} AS h FROM g, range(2) t(r)),
+m AS (SELECT *, row_number() OVER (PARTITION BY repeat, c ORDER BY h, vec_id) - 1 AS m FROM h)
+SELECT vec_id, repeat, (SELECT min(f) FROM u WHERE u.c = m.c AND m.m < upto)::INT AS fold FROM m""")
 def repeated_stratified_kfold(spark, sf_dir):
     df = _t(spark, sf_dir, "embeddings").select("vec_id", "label")
     return splits.RepeatedStratifiedKFold(5, 2, 1, y="label").assign(df, "vec_id").select("vec_id", "repeat", "fold")
 
 
-@query()
+@query(f"""WITH u AS (SELECT o_custkey, {_u("o_custkey", "0", "0")} AS u FROM (SELECT DISTINCT o_custkey FROM orders)),
+p AS (SELECT *, row_number() OVER (ORDER BY u, o_custkey) - 1 AS i, count(*) OVER () AS n FROM u)
+SELECT o_orderkey, o_custkey, 0::INT AS repeat, {_FOLD5} AS fold FROM orders JOIN p USING (o_custkey)""")
 def leave_groups_out(spark, sf_dir):
     df = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return splits.LeaveGroupsOut(5, groups="o_custkey").assign(df, "o_orderkey").select("o_orderkey", "o_custkey", "repeat", "fold")
 
 
+@query("""WITH s AS (SELECT vec_id, label AS truth, c.c AS label, embedding[c.c + 1]::DOUBLE AS score FROM embeddings, (SELECT DISTINCT label AS c FROM embeddings) c),
+r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2.0::DOUBLE AS r FROM s),
+a AS (SELECT label, sum((truth = label)::INT)::DOUBLE AS p, count(*)::DOUBLE AS n, sum(CASE WHEN truth = label THEN r ELSE 0 END) AS s FROM r GROUP BY label)
+SELECT 1::INT AS one, round(avg((s - p * (p + 1) / 2) / (p * (n - p))), 6) + 0.0::DOUBLE AS value FROM a WHERE p > 0 AND p < n""")
+def roc_auc_multiclass(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    labels = v.select(F.col("label").alias("c")).distinct()
+    # a row per vector and label: the scores of a decision
+    rows = v.join(labels, how="cross").select(F.lit(1).alias("one"), F.col("label").alias("truth"), F.col("c").alias("label"), F.element_at("x", F.col("c") + 1).alias("score"))
+    return M.roc_auc_one_vs_rest(rows, ["one"], "truth", "label", "score").withColumn("value", _r("value"))
+
+
 @query("""WITH r AS (SELECT o_orderkey, o_totalprice AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
 f AS (SELECT *, (CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END)::INT AS fold, 100000.0::DOUBLE AS p FROM r),
 s AS (SELECT fold, sum(y) AS s, count(*) AS c FROM f GROUP BY 1), b AS (SELECT fold, ((SELECT sum(s) FROM s) - s) / ((SELECT sum(c) FROM s) - c) AS b FROM s)
@@ -261,10 +309,81 @@ def ridge_cv_1d(spark, sf_dir):
     return m.select("l_returnflag", F.col("alpha")[0].alias("alpha"), _r(F.col("coef")[0][0], 4).alias("coef"), _r(F.col("intercept")[0], 3).alias("intercept"))
 
 
-@query()
+def _ridge_sql(rows: str, groups: list[str], alphas: list[float], shared: list[str] | None = None, intercept: bool = True) -> str:
+    """CTEs of ridge models with three features by normal equations: from a table `rows` of groups, x1, x2, x3, y to `fit` (groups, al, w1, w2, w3,
+    b0, n, my). alpha has the least leave-one-out error in each of shared (by default, of groups)."""
+    g, h = ", ".join(groups), ", ".join(shared or groups)
+    mean = (lambda c: f"avg({c})") if intercept else (lambda c: "0.0::DOUBLE")
+    of = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    sums = ", ".join(f"sum(a{i} * a{j}) AS s{i}{j}" for i in (1, 2, 3) for j in range(i, 4)) + ", " + ", ".join(f"sum(a{i} * b) AS q{i}" for i in (1, 2, 3))
+    d = {i: f"({of(i, i)} + al)" for i in (1, 2, 3)}
+    cof = {(1, 1): f"{d[2]} * {d[3]} - s23 * s23", (1, 2): f"s13 * s23 - s12 * {d[3]}", (1, 3): f"s12 * s23 - s13 * {d[2]}", (2, 2): f"{d[1]} * {d[3]} - s13 * s13", (2, 3): f"s12 * s13 - {d[1]} * s23", (3, 3): f"{d[1]} * {d[2]} - s12 * s12"}
+    c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    same = " AND ".join(f"c.{x} IS NOT DISTINCT FROM k.{x}" for x in groups)
+    best = " AND ".join(f"k.{x} IS NOT DISTINCT FROM p.{x}" for x in (shared or groups))
+    return f"""mid AS (SELECT {g}, count(*)::DOUBLE AS n, {mean("y")} AS my, {", ".join(f"{mean(f'x{i}')} AS m{i}" for i in (1, 2, 3))} FROM {rows} GROUP BY {g}),
+cen AS (SELECT r.*, n, my, m1, m2, m3, x1 - m1 AS a1, x2 - m2 AS a2, x3 - m3 AS a3, y - my AS b FROM {rows} r JOIN mid ON {" AND ".join(f"r.{x} IS NOT DISTINCT FROM mid.{x}" for x in groups)}),
+pro AS (SELECT {g}, any_value(n) AS n, any_value(my) AS my, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3, {sums} FROM cen GROUP BY {g}),
+adj AS (SELECT *, {", ".join(f"{v} AS c{i}{j}" for (i, j), v in cof.items())} FROM pro, (SELECT unnest([{", ".join(f"{a!r}::DOUBLE" for a in alphas)}]) AS al)),
+det AS (SELECT *, (s11 + al) * c11 + s12 * c12 + s13 * c13 AS dt FROM adj),
+sol AS (SELECT *, {", ".join(f"({' + '.join(f'{c(i, j)} * q{j}' for j in (1, 2, 3))}) / dt AS w{i}" for i in (1, 2, 3))} FROM det),
+err AS (SELECT {", ".join(f"c.{x}" for x in groups)}, k.al, sum(((c.b - c.a1 * w1 - c.a2 * w2 - c.a3 * w3) / (1 - {"1.0::DOUBLE / c.n" if intercept else "0"} - ({" + ".join(f"c.a{i} * c.a{j} * {c(i, j)}" for i in (1, 2, 3) for j in (1, 2, 3))}) / dt)) ** 2) AS loss FROM cen c JOIN sol k ON {same} GROUP BY ALL),
+pick AS (SELECT {h}, arg_min(al, loss) AS al FROM (SELECT {h}, al, sum(loss) AS loss FROM err GROUP BY {h}, al) GROUP BY {h}),
+fit AS (SELECT {", ".join(f"k.{x}" for x in groups)}, k.al, w1, w2, w3, my - m1 * w1 - m2 * w2 - m3 * w3 AS b0, n, my FROM sol k JOIN pick p ON {best} AND k.al = p.al)"""
+
+
+_ALPHAS = np.logspace(-5, 5, 10).tolist()
+
+
+@query(f"""WITH rows_ AS (SELECT l_returnflag, l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice AS y FROM lineitem), {_ridge_sql("rows_", ["l_returnflag"], _ALPHAS)}
+SELECT l_returnflag, round(al, 6) AS alpha, round(w1, 3) + 0.0::DOUBLE AS quantity, round(w2, 2) + 0.0::DOUBLE AS discount, round(w3, 2) + 0.0::DOUBLE AS tax, round(b0, 2) + 0.0::DOUBLE AS intercept FROM fit""")
 def ridge_cv(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.array("l_extendedprice").alias("y"))
-    return gram.ridge_cv(df, ["l_returnflag"], np.logspace(-5, 5, 10).tolist())
+    m = gram.ridge_cv(df, ["l_returnflag"], _ALPHAS)
+    c = F.col("coef")[0]
+    return m.select("l_returnflag", F.round(F.col("alpha")[0], 6).alias("alpha"), _r(c[0], 3).alias("quantity"), _r(c[1], 2).alias("discount"), _r(c[2], 2).alias("tax"), _r(F.col("intercept")[0], 2).alias("intercept"))
+
+
+@query(f"""WITH rows_ AS (SELECT label, t.t, embedding[3]::DOUBLE AS x1, embedding[4]::DOUBLE AS x2, embedding[5]::DOUBLE AS x3, embedding[t.t + 1]::DOUBLE AS y FROM embeddings, range(2) t(t)), {_ridge_sql("rows_", ["label", "t"], [0.1, 1.0, 10.0])},
+w AS (SELECT label, t, unnest([1, 2, 3]) AS k, unnest([w1, w2, w3]) AS w FROM fit),
+e AS (SELECT label, vec_id, unnest([1, 2, 3]) AS k, unnest(embedding[3:5]::DOUBLE[]) AS v FROM embeddings),
+cx AS (SELECT a.label, a.k AS p, b.k, covar_samp(a.v, b.v) AS c FROM e a JOIN e b USING (label, vec_id) GROUP BY ALL),
+cy AS (SELECT label, var_samp(embedding[1]::DOUBLE) AS c00, var_samp(embedding[2]::DOUBLE) AS c11, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS c01 FROM embeddings GROUP BY label),
+v AS (SELECT label, p, t, sum(c * w) AS v FROM cx JOIN w USING (label, k) GROUP BY ALL),
+z AS (SELECT label, p, sum(CASE WHEN t = 0 THEN v ELSE 0 END) AS v0, sum(CASE WHEN t = 1 THEN v ELSE 0 END) AS v1 FROM v GROUP BY label, p)
+SELECT label, 'coef_' AS name, ((t * 3) + k - 1)::INT AS i, round(w, 6) + 0.0::DOUBLE AS value FROM w
+UNION ALL SELECT label, 'pattern_', (2 * (p - 1))::INT, round((v0 * c11 - v1 * c01) / (c00 * c11 - c01 * c01), 6) + 0.0::DOUBLE FROM z JOIN cy USING (label)
+UNION ALL SELECT label, 'pattern_', (2 * (p - 1) + 1)::INT, round((v1 * c00 - v0 * c01) / (c00 * c11 - c01 * c01), 6) + 0.0::DOUBLE FROM z JOIN cy USING (label)""")
+def ridge_decoder(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", "label", F.slice("x", 3, 3).alias("x"), F.slice("x", 1, 2).alias("y"))
+    out = tasks.Sliding(local.RidgeDecoder([0.1, 1.0, 10.0]), ["label"]).fit(df).collect(["coef_", "pattern_"])
+    return out.select("label", "name", F.posexplode("value").alias("i", "value")).select("label", "name", "i", _r("value").alias("value"))
+
+
+def _folds_sql(k: int, order: str) -> str:
+    """A row's fold among contiguous ones, from a window over the order."""
+    i, n = f"(row_number() OVER (ORDER BY {order}) - 1)", "(count(*) OVER ())"
+    return f"(CASE WHEN {i} < ({n} % {k}) * ({n} // {k} + 1) THEN {i} // ({n} // {k} + 1) ELSE {n} % {k} + ({i} - ({n} % {k}) * ({n} // {k} + 1)) // ({n} // {k}) END)::INT"
+
+
+@query(f"""WITH f AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3, {_folds_sql(5, "vec_id")} AS own FROM embeddings),
+rows_ AS (SELECT fold::INT AS fold, c, x1, x2, x3, CASE WHEN label = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM f, range(5) t(fold), (SELECT DISTINCT label AS c FROM embeddings) WHERE own <> fold),
+{_ridge_sql("rows_", ["fold", "c"], [0.01, 1.0, 100.0], ["fold"])},
+d AS (SELECT vec_id, fold, label, arg_max(c, x1 * w1 + x2 * w2 + x3 * w3 + b0) AS guess FROM f JOIN fit ON fit.fold = f.own GROUP BY ALL)
+SELECT 0::INT AS repeat, fold, 'accuracy' AS metric, 0::INT AS target, round(avg((label = guess)::INT), 6) + 0.0::DOUBLE AS score FROM d GROUP BY fold""")
+def ridge_classifier(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", F.slice("x", 1, 3).alias("x"), F.array(F.col("label").cast("double")).alias("y"))
+    return tasks.cross_val_score(local.RidgeClassifier([0.01, 1.0, 100.0]), df, 5, tasks.accuracy).withColumn("score", _r("score"))
+
+
+@query(f"""WITH f AS (SELECT label, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3, embedding[1]::DOUBLE AS y, {_folds_sql(3, "vec_id")} AS own FROM embeddings),
+rows_ AS (SELECT label, fold::INT AS fold, x1, x2, x3, y FROM f, range(3) t(fold) WHERE own <> fold), {_ridge_sql("rows_", ["label", "fold"], [0.1, 1.0, 10.0], intercept=False)},
+b AS (SELECT label, fold, avg(y) AS base FROM rows_ GROUP BY ALL),
+p AS (SELECT f.label, f.own AS fold, y, x1 * w1 + x2 * w2 + x3 * w3 AS p, base FROM f JOIN fit ON fit.label = f.label AND fit.fold = f.own JOIN b ON b.label = f.label AND b.fold = f.own)
+SELECT label, 0::INT AS repeat, fold, 'r2' AS metric, 0::INT AS target, round(1 - sum((y - p) ** 2) / sum((y - base) ** 2), 6) + 0.0::DOUBLE AS score FROM p GROUP BY label, fold""")
+def kernel_ridge_linear(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", "label", F.slice("x", 2, 3).alias("x"), F.slice("x", 1, 1).alias("y"))
+    return tasks.cross_val_score(local.KernelRidgeCV([0.1, 1.0, 10.0], "linear"), df, 3, tasks.r2, keys=["label"]).withColumn("score", _r("score"))
 
 
 _DAYS = "WITH s AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS t, sum(value) AS v FROM events GROUP BY 1, 2), "
@@ -292,6 +411,71 @@ def _labelled(spark, sf_dir):
     return _vectors(spark, sf_dir).select("trial", "x", F.array(F.col("label").cast("double")).alias("y"))
 
 
+_SERIES = _DAYS + """w AS (SELECT user_id, coalesce(lag(v, 1) OVER o, {edge}) AS x1, v AS x2, coalesce(lead(v, 1) OVER o, {late}) AS x3, t::DOUBLE AS y FROM s WINDOW o AS (PARTITION BY user_id ORDER BY t)), """
+
+
+def _daily(spark, sf_dir):
+    ev = _t(spark, sf_dir, "events").groupBy("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("t")).agg(F.sum("value").alias("v"))
+    return ev.select("user_id", "t", F.array("v").alias("x"), F.array(F.col("t").cast("double")).alias("y"))
+
+
+@query(_SERIES.format(edge="v", late="v") + f"rows_ AS (SELECT 1 AS one, x1, x2, x3, y FROM w), {_ridge_sql('rows_', ['one'], [0.1, 1000.0, 100000.0])} SELECT unnest([0, 1, 2])::INT AS lag, unnest([round(w3, 6), round(w2, 6), round(w1, 6)]) + 0.0::DOUBLE AS coef, round(b0, 5) + 0.0::DOUBLE AS intercept, al AS alpha FROM fit")
+def time_delayed(spark, sf_dir):
+    m = series.time_delayed(_daily(spark, sf_dir), ["user_id"], -1, 1, 1, [0.1, 1000.0, 100000.0])
+    return m.select(F.posexplode(F.col("coef")[0][0]).alias("lag", "coef"), _r(F.col("intercept")[0], 5).alias("intercept"), F.col("alpha")[0].alias("alpha")).withColumn("coef", _r("coef"))
+
+
+@query(_DAYS + """c AS (SELECT user_id, t, v - avg(v) OVER () AS v, avg(v) OVER () AS mx, t::DOUBLE - avg(t::DOUBLE) OVER () AS y, avg(t::DOUBLE) OVER () AS mt FROM s),
+rows_ AS (SELECT 1 AS one, coalesce(lead(v, 1) OVER o, 0) AS x1, v AS x2, coalesce(lag(v, 1) OVER o, 0) AS x3, y, mx, mt FROM c WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+""" + _ridge_sql("rows_", ["one"], [10.0], intercept=False) + " SELECT unnest([0, 1, 2])::INT AS lag, unnest([round(w1, 6), round(w2, 6), round(w3, 6)]) + 0.0::DOUBLE AS coef, round((SELECT any_value(mt) FROM rows_) - (w1 + w2 + w3) * (SELECT any_value(mx) FROM rows_), 5) + 0.0::DOUBLE AS intercept FROM fit")
+def receptive_field(spark, sf_dir):
+    m = series.receptive_field(_daily(spark, sf_dir), ["user_id"], -1, 1, 1, 10.0)
+    return m.select(F.posexplode(F.col("coef")[0][0]).alias("lag", "coef"), _r(F.col("intercept")[0], 5).alias("intercept")).withColumn("coef", _r("coef"))
+
+
+@query("""WITH e AS (SELECT unnest(range(64)) AS i) SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, (a.i = b.i)::INT::DOUBLE AS value FROM e a, e b""")
+def whitened_covariance(spark, sf_dir):
+    white = rsa.Covariance("empirical").fit_transform(_vectors(spark, sf_dir))
+    C = rsa.covariance_fit(white, "empirical")[0]
+    return spark.createDataFrame([(i, j, round(float(C[i, j]), 6) + 0.0) for i in range(len(C)) for j in range(len(C))], "i long, j long, value double")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN -1.0::DOUBLE ELSE round(1 - list_cosine_similarity(a.x, b.x), 6) + 0.0::DOUBLE END AS value FROM v a, v b""")
+def full_rdm(spark, sf_dir):
+    rdm = rsa.full_rdm(rsa.rsa(_vectors(spark, sf_dir), "cosine_d"))
+    return rdm.withColumn("value", F.when(F.isnan("value"), -1.0).otherwise(_r("value")))
+
+
+@query("""WITH f AS (SELECT s_suppkey, s_acctbal AS y, s_nationkey::DOUBLE AS a, (s_suppkey % 7)::DOUBLE AS b, (s_suppkey % 3)::DOUBLE AS c, """ + _folds_sql(5, "s_suppkey") + """ AS own FROM supplier),
+sets AS (SELECT (row_number() OVER (ORDER BY bit_count(m::INT), (m & 1) DESC, (m & 2) DESC) - 1)::INT AS mask, m FROM range(1, 8) t(m)),
+x AS (SELECT mask, own, y, a * (m & 1) AS x1, b * ((m >> 1) & 1) AS x2, c * ((m >> 2) & 1) AS x3 FROM f, sets),
+rows_ AS (SELECT mask, fold::INT AS fold, x1, x2, x3, y FROM x, range(5) t(fold) WHERE own <> fold), """ + _ridge_sql("rows_", ["mask", "fold"], [0.1, 10.0]) + """,
+p AS (SELECT x.mask, x.own AS fold, y, my, x1 * w1 + x2 * w2 + x3 * w3 + b0 AS p FROM x JOIN fit ON fit.mask = x.mask AND fit.fold = x.own)
+SELECT mask, 0::INT AS repeat, fold, 'r2' AS metric, 0::INT AS target, round(1 - sum((y - p) ** 2) / sum((y - my) ** 2), 6) + 0.0::DOUBLE AS score FROM p GROUP BY mask, fold""")
+def hierarchical(spark, sf_dir):
+    return tasks.hierarchical_score(local.RidgeCV([0.1, 10.0]), _supplied(spark, sf_dir), 3)[1].withColumn("score", _r("score"))
+
+
+def _supplied(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double"), (F.col("s_suppkey") % 3).cast("double")).alias("x"), F.array("s_acctbal").alias("y"))
+
+
+_STEPS, _MASKS = tasks.Shapley(None, 4).orders(np.eye(3))
+
+
+@query("WITH plan AS (SELECT * FROM (VALUES " + ", ".join(map(str, _STEPS)) + ") t(permutation, grp, mask, before)), sets AS (SELECT * FROM (VALUES " + ", ".join(str((i, *map(int, m))) for i, m in enumerate(_MASKS)) + ") t(mask, ma, mb, mc)), " + """
+f AS (SELECT s_suppkey, s_acctbal AS y, s_nationkey::DOUBLE AS a, (s_suppkey % 7)::DOUBLE AS b, (s_suppkey % 3)::DOUBLE AS c, """ + _folds_sql(5, "s_suppkey") + """ AS own FROM supplier),
+x AS (SELECT mask, own, y, a * ma AS x1, b * mb AS x2, c * mc AS x3 FROM f, sets),
+rows_ AS (SELECT mask, fold::INT AS fold, x1, x2, x3, y FROM x, range(5) t(fold) WHERE own <> fold), """ + _ridge_sql("rows_", ["mask", "fold"], [0.1, 10.0]) + """,
+p AS (SELECT x.mask, x.own AS fold, y, my, x1 * w1 + x2 * w2 + x3 * w3 + b0 AS p FROM x JOIN fit ON fit.mask = x.mask AND fit.fold = x.own),
+s AS (SELECT mask, fold, 1 - sum((y - p) ** 2) / sum((y - my) ** 2) AS score FROM p GROUP BY mask, fold)
+SELECT permutation::INT AS permutation, grp::INT AS "group", 0::INT AS repeat, s.fold, 'r2' AS metric, 0::INT AS target, round(s.score - coalesce(q.score, 0), 6) + 0.0::DOUBLE AS score
+FROM plan JOIN s USING (mask) LEFT JOIN s q ON q.mask = plan.before AND q.fold = s.fold""")
+def shapley(spark, sf_dir):
+    return tasks.shapley_score(local.RidgeCV([0.1, 10.0]), _supplied(spark, sf_dir), np.eye(3, dtype=bool), n_permutations=4).withColumn("score", _r("score"))
+
+
 @query()
 def cross_validated_classifier(spark, sf_dir):
     return tasks.cross_val_score(local.RidgeClassifier(np.logspace(-3, 3, 7)), _labelled(spark, sf_dir), 5, (tasks.accuracy, tasks.roc_auc))
@@ -305,19 +489,18 @@ def kernel_ridge(spark, sf_dir):
 
 @query()
 def svc(spark, sf_dir):
-    return tasks.cross_val_score(local.SVC(max_iter=200), _labelled(spark, sf_dir), 3, tasks.accuracy)
+    return tasks.cross_val_score(local.SVC(), _labelled(spark, sf_dir), 3, tasks.accuracy)
 
 
 @query()
-def hierarchical(spark, sf_dir):
-    df = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double"), (F.col("s_suppkey") % 3).cast("double")).alias("x"), F.array("s_acctbal").alias("y"))
-    return tasks.hierarchical_score(local.RidgeCV([0.1, 10.0]), df, 3)[1]
+def pairwise_classifier(spark, sf_dir):
+    return tasks.cross_val_score(local.RidgeClassifier(np.logspace(-3, 3, 7), method="OvO"), _labelled(spark, sf_dir), 3, tasks.accuracy)
 
 
 @query()
-def shapley(spark, sf_dir):
-    df = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("trial"), F.array(F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 7).cast("double"), (F.col("s_suppkey") % 3).cast("double")).alias("x"), F.array("s_acctbal").alias("y"))
-    return tasks.shapley_score(local.RidgeCV([0.1, 10.0]), df, np.eye(3, dtype=bool), n_permutations=4)
+def back_to_back(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", "label", F.slice("x", 5, 60).alias("x"), F.slice("x", 1, 4).alias("y"))
+    return tasks.Sliding(local.B2B(np.logspace(-3, 3, 7)), ["label"]).collect(df, ["causal_", "pattern_"])
 
 
 @query()
@@ -325,13 +508,29 @@ def sliding_patterns(spark, sf_dir):
     return tasks.Sliding(local.RidgeDecoder([0.1, 1.0, 10.0]), ["label"]).collect(_vectors(spark, sf_dir).select("trial", "label", F.slice("x", 3, 62).alias("x"), F.slice("x", 1, 2).alias("y")), ["coef_", "pattern_"])
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+k AS (SELECT a.vec_id AS row, exp(-0.5 * list_distance(a.x, b.x) ** 2) AS k FROM v a, v b)
+SELECT row, count(*) AS n, round(sum(k), 6) + 0.0::DOUBLE AS total, round(min(k), 6) + 0.0::DOUBLE AS least FROM k GROUP BY row""")
 def kernel_matrix(spark, sf_dir):
     v = _vectors(spark, sf_dir).select(F.col("trial").alias("row"), "x")
-    return rsa.kernel_blocks(v, v, "rbf", 0.5)
+    parts = rsa.kernel_blocks(v, v, "rbf", 0.5)
+    parts = parts.select("row", F.size("cols").alias("n"), M.total("values").alias("total"), F.array_min("values").alias("least"))
+    return parts.groupBy("row").agg(F.sum("n").alias("n"), _r(F.sum("total")).alias("total"), _r(F.min("least")).alias("least"))
 
 
 for _k in ("continuous", "discrete", "categorical"):
-    QUERIES[f"make_meeg_{_k}"] = lambda spark, sf_dir, k=_k: getattr(generators, f"make_meeg_{k}")(spark, n_trials=8, n_channels=16)
-QUERIES["make_meeg_layout"] = lambda spark, sf_dir: generators.make_layout(spark)
-QUERIES["make_meeg_colours"] = lambda spark, sf_dir: generators.make_colours(generators.make_layout(spark))
+    QUERIES[f"make_meeg_{_k}"] = lambda spark, sf_dir, k=_k: getattr(generators, f"make_meeg_{k}")(spark)
+
+_LAYOUT = """WITH g AS (SELECT i, (2 * (i % 8) + 1) / 8.0::DOUBLE - 1 AS a, (2 * (i // 8) + 1) / 8.0::DOUBLE - 1 AS b FROM range(64) t(i)),
+d AS (SELECT i, CASE WHEN abs(a) > abs(b) THEN a * cos(pi() / 4 * b / a) ELSE b * sin(pi() / 4 * a / b) END AS x, CASE WHEN abs(a) > abs(b) THEN a * sin(pi() / 4 * b / a) ELSE b * cos(pi() / 4 * a / b) END AS y FROM g),
+p AS (SELECT i, x, y, sqrt(greatest(0, 1 - x * x - y * y)) AS z FROM d) """
+
+
+@query(_LAYOUT + "SELECT i::INT AS channel, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z FROM p")
+def make_meeg_layout(spark, sf_dir):
+    return generators.make_layout(spark).select("channel", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query(_LAYOUT + "SELECT i::INT AS channel, " + ", ".join(f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) + 0.0::DOUBLE AS {o}" for c, o in zip("xyz", "rgb")) + " FROM p")
+def make_meeg_colours(spark, sf_dir):
+    return generators.make_colours(generators.make_layout(spark)).select("channel", *[_r(c).alias(c) for c in "rgb"])
