@@ -353,6 +353,21 @@ def test_edit_distance_and_probes():
             assert {(len(a), i, a[p : p + m]) for i, (p, m) in enumerate(line_dedup.segments(len(a), 2))} & set(line_dedup.probes(b, 2))
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_keys_are_hashes_of_their_probes(edits):
+    import random
+
+    rng, seen = random.Random(edits), {}
+    lines = ["".join(rng.choice("abé日\x00") for _ in range(rng.randrange(edits + 1, 40))) for _ in range(400)]
+    keys, counts = line_dedup.lines_keys(lines, edits)
+    for line, own in zip(lines, np.split(keys, np.cumsum(counts)[:-1])):
+        want = set(line_dedup.probes(line, edits))
+        assert len(own) == len(set(own.tolist())) == len(want)
+        seen.update({p: seen.get(p, set(own.tolist())) & set(own.tolist()) for p in want})
+    # equal probes of different lines have a hash in common
+    assert all(seen.values())
+
+
 def test_line_dedup(spark, docs, nothing):
     line = "this passage of several words repeats across documents é"
     extra = spark.createDataFrame([(100, f"first of all\n{line}", "c"), (101, f"{line[:-1]}e!\nsomething else entirely", "c"), (102, line, "c"), (102, line, "c"), (103, None, "c")], "doc_id long, text string, __lines string")

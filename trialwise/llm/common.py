@@ -128,7 +128,7 @@ class KeyFilter:
             return
         self.bits = 1 << bits
         at = F.col(keys.columns[0]).bitwiseAND(F.lit(self.bits - 1))
-        placed = keys.select(F.floor(at / self.CHUNK).alias("chunk"), at.bitwiseAND(F.lit(self.CHUNK - 1)).alias("at")).distinct()
+        placed = keys.select(F.floor(at / self.CHUNK).alias("chunk"), at.bitwiseAND(F.lit(self.CHUNK - 1)).alias("at"))
         chunk = self.CHUNK
 
         def pack(t: pa.Table) -> pa.Table:
@@ -177,6 +177,13 @@ def distinct_ids(classes: DataFrame, name: str) -> bool:
     return classes.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, of unsigned 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

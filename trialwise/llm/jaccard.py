@@ -17,20 +17,13 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import KeyFilter, Scratch, among, connected_components, distinct_ids, freed, table, text_of
+from .common import KeyFilter, Scratch, among, connected_components, freed, mix, table, text_of
 
 #: Coordinates of a point, and entries of a tree's node.
 GROUPS, FAN = 16, 16
 U = np.uint64
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
 def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles: A-Z lower-cased, words between ASCII white space; fewer words than size are one shingle."""
     import xxhash
@@ -237,13 +230,15 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     keyed = scratch.write(_shingled(rows, size, percent))
     same = ["n", "d1", "d2"]
     marked = scratch.write(keyed.select("k", *same))
-    classes = scratch.write(marked.where("n > 0").groupBy(*same).agg(F.min("k").alias("least")))
     # 64 bits stand for the 128 of a class in what follows: with a seed that keeps all classes apart
     for seed in range(8):
-        number = F.xxhash64("d1", "d2", "n", F.lit(seed)).alias("id")
-        if distinct_ids(classes.select(number), "id"):
+        number, whole = F.xxhash64(*same, F.lit(seed)).alias("id"), F.struct(*same)
+        classes = marked.where("n > 0").groupBy(number).agg(F.min("k").alias("least"), F.min(whole).alias("s"), (F.min(whole) != F.max(whole)).alias("two"))
+        classes = scratch.write(classes.select("id", "least", "s.*", "two"))
+        if classes.where("two").isEmpty():
             break
-    classes = classes.select(*same, "least", number)
+        scratch.drop(classes)
+    classes = classes.drop("two")
     # keys are long and stay where they are: a bitmap lets those of each class's least document through, and by chance a copy's
     first = KeyFilter(classes.select(F.xxhash64("least").alias("h")))
     firsts = among(keyed.where("n > 0").select("h", number, "keys", "mark"), "h", first).drop("h")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
-from .common import KeyFilter, Scratch, connected_components, distinct_ids, freed, table, text_of
+from .common import KeyFilter, Scratch, connected_components, freed, mix, table, text_of
 
 #: Edits between copies; characters, or words and bytes, a line must have for copies with edits: shorter ones are near each other by chance, and only equal ones count.
 EDITS, LEAST_WORDS, LEAST_CHARS = 2, 5, 20
@@ -49,11 +49,44 @@ def probes(line, edits: int):
                 yield length, i, line[p : p + m]
 
 
-def line_keys(line, edits: int) -> list[int]:
-    import xxhash
+#: An odd multiplier and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
-    hashed = xxhash.xxh3_64_intdigest
-    return list({hashed(s if isinstance(s, bytes) else s.encode(), length * 64 + i) for length, i, s in probes(line, edits)})
+
+def lines_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every line's probes, one line after another and each once in a line, and how many each line has.
+
+    Substrings' hashes are differences of running sums of characters times powers of an odd number, brought back to the substring's start
+    by powers of its inverse; so all lines' are made at once. Chance hits cost a comparison and no more.
+    """
+    U = np.uint64
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) + U(1)
+    up, down = np.full(len(chars) + 1, BASE, U), np.full(len(chars) + 1, INVERSE, U)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    upto, start = np.r_[U(0), np.cumsum(chars * up[:-1])], np.cumsum(n) - n
+    columns, there = [], []
+    for delta in range(edits + 1):
+        length = n - delta
+        base, more = np.divmod(length, edits + 1)
+        for i in range(edits + 1):
+            m, at = base + (i >= edits + 1 - more), i * base + np.maximum(0, i - (edits + 1 - more))
+            for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
+                p = at + shift
+                fits = (length > edits) & (p >= 0) & (p + m <= n)
+                a = np.where(fits, start + p, 0)
+                z = np.where(fits, a + m, 0)
+                h = (upto[z] - upto[a]) * down[a] + ((length * 64 + i).astype(U) + U(1)) * U(0xD6E8FEB86659FD93)
+                columns.append(mix(h))
+                there.append(fits)
+    keys, there = np.stack(columns, 1), np.stack(there, 1)
+    keys[~there] = U(2**64 - 1)
+    keys = np.sort(keys, 1)
+    keep = keys != U(2**64 - 1)
+    keep[:, 1:] &= keys[:, 1:] != keys[:, :-1]
+    return keys[keep].view(np.int64), keep.sum(1)
 
 
 def within(a, b, edits: int) -> bool:
@@ -115,11 +148,13 @@ def link_lines(edits: int):
     return link
 
 
-def judged(line: bytes, own, edits: int, least_words: int, least_chars: int) -> bool:
-    """Whether copies with edits of a line count; own is the line as text where it is not ASCII, else the line."""
+def judged(line: str, edits: int, least_words: int, least_chars: int) -> bool:
+    """Whether copies with edits of a line count."""
     least = max(least_chars, edits + 1)
-    # many scripts have no spaces, so words are not asked of a line that is long enough
-    return len(own) >= least or len(line) >= least and len(line.split(None, least_words)) >= least_words
+    if len(line) >= least:
+        return True  # many scripts have no spaces, so words are not asked of a line that is long enough
+    raw = line.encode("utf-8", "surrogateescape")
+    return len(line) > edits and len(raw) >= least and len(raw.split(None, least_words)) >= least_words
 
 
 def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int, seed: int = 0) -> DataFrame:
@@ -129,24 +164,24 @@ def _lines(rows: DataFrame, edits: int, least_words: int, least_chars: int, seed
     def work(batches):
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             column, marks = batch.column("t"), batch.column("c")
             for a, b in slices(pc.utf8_length(column).to_pylist()):
-                texts = column.slice(a, b - a).to_pylist()
-                of, number, h1, h2, length, keys = [], [], [], [], [], []
-                for d in range(a, b):
-                    for i, line in enumerate(texts[d - a].encode("utf-8", "surrogateescape").split(b"\n")):
-                        own = line if line.isascii() else line.decode("utf-8", "surrogateescape")
-                        if own.strip():
-                            h = xxhash.xxh3_128_intdigest(line, seed)
-                            near = judged(line, own, edits, least_words, least_chars)
-                            of.append(d), number.append(i), length.append(len(own)), keys.append(line_keys(own, edits) if near else [])
-                            h1.append(h >> 64), h2.append(h & (1 << 64) - 1)
-                flat = np.array([k for own in keys for k in own], np.uint64).view(np.int64)
-                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                of, number, lines = [], [], []
+                for d, text in enumerate(column.slice(a, b - a).to_pylist(), a):
+                    for i, line in enumerate(text.split("\n")):
+                        if line and not line.isspace():
+                            of.append(d), number.append(i), lines.append(line)
+                hashes = np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogateescape"), seed) for x in lines]), ">i8").reshape(-1, 2).astype(np.int64)
+                near = np.fromiter((judged(x, edits, least_words, least_chars) for x in lines), bool, len(lines))
+                keys, counts = lines_keys([x for x, ok in zip(lines, near) if ok], edits) if near.any() else (np.empty(0, np.int64), np.empty(0, np.int64))
+                sizes = np.zeros(len(lines), np.int64)
+                sizes[near] = counts
                 at = pa.array(of, pa.int32())
+                ends = pa.array(np.cumsum(np.r_[0, sizes]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").take(at), marks.take(at), pa.array(number, pa.int32()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.array(length, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))],
+                    [batch.column("k").take(at), marks.take(at), pa.array(number, pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(list(map(len, lines)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys, pa.int64()))],
                     ["k", "c", "i", "h1", "h2", "n", "keys"],
                 )
 
@@ -168,7 +203,7 @@ def _wanted_lines(rows: DataFrame, holders: KeyFilter, lines: KeyFilter, seed: i
             column = batch.column("t")
             for a, b in slices(pc.utf8_length(column).to_pylist()):
                 found = list({x for t in column.slice(a, b - a).to_pylist() for x in t.encode("utf-8", "surrogateescape").split(b"\n")})
-                ids = np.array([xxhash.xxh3_128_intdigest(x, seed) >> 64 for x in found], np.uint64).view(np.int64)
+                ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, seed) for x in found]), ">i8")[::2].astype(np.int64)
                 hit = line_may(ids) if line_may else np.ones(len(ids), bool)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([x for x, y in zip(found, hit) if y], pa.binary())], ["id", "payload"])
 
@@ -186,12 +221,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("c", F.xxhash64("t"))
-    mark, first = ["h1", "h2", "n"], F.min(F.struct("k", "c", "i")).alias("first")
+    first, rest = F.min(F.struct("k", "c", "i")).alias("first"), F.struct("h2", "n")
     # 64 of 128 bits stand for a line's class in what follows: with a seed that keeps all classes apart
     for seed in range(8):
         lines = scratch.write(_lines(rows, edits, least_words, least_chars, seed))
-        classes = scratch.write(lines.groupBy(*mark).agg(first, F.count("*").alias("copies")))
-        if distinct_ids(classes, "h1"):
+        classes = scratch.write(lines.groupBy("h1").agg(first, F.count("*").alias("copies"), F.max("n").alias("n"), (F.min(rest) != F.max(rest)).alias("two")))
+        if classes.where("two").isEmpty():
             break
         scratch.drop(lines, classes)
     near = scratch.write(clusters_by_keys(lines.select(F.col("h1").alias("id"), "keys"), scratch))
@@ -204,9 +239,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     edges = scratch.write(compare(dealt.join(texts, "id"), link_lines(edits), "a long, b long"))
     component = scratch.write(connected_components(edges, scratch))
     rooted = classes.join(component.select(F.col("node").alias("h1"), "component"), "h1", "left").where("copies > 1 or component is not null")
-    rooted = scratch.write(rooted.select(*mark, "first", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "h1").alias("root")))
+    rooted = scratch.write(rooted.select("h1", "first", F.coalesce("component", "h1").alias("root")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("keep"))
-    judged_lines = lines.drop("keys").join(rooted.join(kept, "root").select(*mark, "keep"), mark)
+    judged_lines = lines.select("k", "c", "i", "h1").join(rooted.join(kept, "root").select("h1", "keep"), "h1")
     gone = judged_lines.where(~F.struct("k", "c", "i").eqNullSafe(F.col("keep")))
     # a document's dropped lines are bounded by its lines
     out = gone.groupBy("k", "c").agg(F.array_sort(F.collect_set("i")).alias("dropped"), F.array_sort(F.collect_set("keep.k")).alias("kept_in")).withColumnRenamed("k", key)
