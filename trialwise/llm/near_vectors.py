@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +31,31 @@ ROWS = 16384
 
 
 def prepare(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(k, dim, unit array<double>): unit is null where a vector links with nothing."""
-    v = F.col("v")
-    good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    """(k, unit array<double>): unit is null where a vector links with nothing."""
     rows = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    rows = rows.select("k", F.when(good, F.col("v")).alias("v")).withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x))))
-    rows = rows.select("k", F.when(F.col("top") > 0, F.transform(v, lambda x: x / F.col("top"))).alias("v"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.select("k", F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm") + F.lit(0.0)).alias("unit"))
+    kind = dict(rows.dtypes)["k"]
+
+    def work(batches):
+        for batch in batches:
+            column = batch.column("v")
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            some = lengths > 0
+            starts, top = (np.cumsum(lengths) - lengths)[some], np.zeros(len(lengths))
+            if len(starts):
+                top[some] = np.maximum.reduceat(np.abs(flat), starts)
+            good = np.isfinite(top) & (top > 0)
+            # scaled by the largest component first, so that squares neither overflow nor vanish
+            with np.errstate(all="ignore"):
+                x = flat / top[of]
+                norm = np.sqrt(np.bincount(of, x * x, len(lengths)))
+                x = x / norm[of] + 0.0  # no minus zeros
+            ends = np.cumsum(np.r_[0, np.where(good, lengths, 0)]).astype(np.int32)
+            unit = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[good[of]]), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), unit], ["k", "unit"])
+
+    return rows.mapInArrow(freed(work), f"k {kind}, unit array<double>")
 
 
 def _half(classes: DataFrame) -> DataFrame:
@@ -292,7 +309,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         return _tree_leaves(vectors, centres, n, LEAF, trees, seed + step, scratch).select("g", "id", low.alias("worst"), F.lit(True).alias("new"))
 
     def close_ends(g: DataFrame) -> DataFrame:
-        return g.where((F.col("sim") >= threshold - MARGIN) | F.col("tie")).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        # whatever is within the threshold and has met in a block is joined by that block's ties
+        return g.where("tie").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
     pairs = scratch.write(_best(_meet(leaves(TREES, 0), vectors, threshold, neighbours, 0, scratch).withColumn("born", F.lit(0)), None, neighbours))
     # lists steer the search; what was linked in any round stays linked
