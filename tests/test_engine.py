@@ -407,6 +407,11 @@ def test_whitening_is_of_each_time_point(spark):
     np.testing.assert_allclose(got[7, 3], local.whitener(want) @ X[7, 3])
     with pytest.raises(ValueError):
         c.clone().transform(df)
+    own = rsa.Covariance(lambda S, n, phi: (2 * S, 0.5)).fit(df)
+    np.testing.assert_allclose(own.covariance_, 2 * rsa.Covariance("empirical").fit(df).covariance_)
+    A = np.random.default_rng(0).standard_normal((10, 3))
+    a, b = (local.KernelRidgeCV(1.0, k).fit(A, A[:, :1]).predict(A) for k in ("linear", lambda a, b: a @ b.T))
+    np.testing.assert_allclose(a, b)
 
 
 def test_generators(spark):
@@ -439,7 +444,47 @@ def test_utilities(spark, monkeypatch):
         for j, b in enumerate(ordered):
             assert utilities.compare(a, "<", b) == (i < j) and utilities.compare(a, ">=", b) == (i >= j)
     assert utilities.compare("1.0", "==", "1") and utilities.compare("2.4.0+cu12", ">", "2.3")
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 5.0],)], "x array<double>")
+    for flag in ("1", "0"):
+        monkeypatch.setenv("TRIALWISE_BATCHED", flag)
+        top = utilities.batched("double")(lambda x: np.max(np.asarray(x)))
+        assert [r["m"] for r in df.select(top("x").alias("m")).collect()] == [2.0, 5.0]
     out = io.StringIO()
     with utilities.Progress(spark, "counting", every=0.01, out=out):
         spark.range(10**6).repartition(8).count()
     assert "counting" in out.getvalue()
+
+
+@pytest.mark.parametrize("dims", [None, (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)])
+@pytest.mark.parametrize("mean,std", [(True, True), (True, False), (False, True), (False, False)])
+def test_scaler_over_any_axes(spark, dims, mean, std):
+    """Axes of (trials, features, times): trial and time are keys, features are positions."""
+    X = np.random.default_rng(42).standard_normal((12, 8, 4))
+    rows = [(i, t, X[i, :, t].tolist()) for i in range(12) for t in range(4)]
+    df = spark.createDataFrame(rows, "trial long, t long, x array<double>")
+    reduced = dims or (0,)
+    by = [k for k, d in (("trial", 0), ("t", 2)) if d not in reduced]
+    m = preprocessing.Scaler(mean, std, by=by, per_feature=1 not in reduced).fit(df)
+    out = m.transform(df)
+    n = np.prod([X.shape[d] for d in reduced])
+    mid = X.mean(reduced, keepdims=True)
+    s = X.std(reduced, ddof=1, keepdims=True) if n > 1 else np.ones_like(mid)
+    want = (X - mid * mean) / np.where((s == 0) | np.isnan(s), 1, s) if std else X - mid * mean
+    got = np.empty_like(X)
+    for r in out.collect():
+        got[r["trial"], :, r["t"]] = r["x"]
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    for r in m.inverse_transform(out).collect():
+        got[r["trial"], :, r["t"]] = r["x"]
+    np.testing.assert_allclose(got, X, atol=1e-12)
+
+
+def test_scaler_fits_some_rows_and_scales_others(spark):
+    X = np.random.default_rng(42).standard_normal((10, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "trial long, x array<double>")
+    m = preprocessing.Scaler().fit(df.where("trial < 5"))
+    got = np.array([r["x"] for r in m.transform(df.where("trial >= 5")).orderBy("trial").collect()])
+    np.testing.assert_allclose(got, (X[5:] - X[:5].mean(0)) / X[:5].std(0, ddof=1), atol=1e-12)
+    flat = df.select("trial", F.slice("x", 1, 1).alias("x"))
+    one = np.array([r["x"] for r in preprocessing.Scaler().fit_transform(flat).orderBy("trial").collect()])
+    np.testing.assert_allclose(one[:, 0], (X[:, 0] - X[:, 0].mean()) / X[:, 0].std(ddof=1), atol=1e-12)

@@ -203,7 +203,10 @@ class RidgeClassifier(OneOrPairs):
 KERNELS = ("linear", "poly", "rbf", "sigmoid")
 
 
-def gram(kind: str, a, b, gamma=1.0, coef0=0.0, degree=2.0):
+def gram(kind, a, b, gamma=1.0, coef0=0.0, degree=2.0):
+    """The kernel of all rows of a with all rows of b; kind is a name or a function of a and b."""
+    if callable(kind):
+        return kind(a, b)
     if kind not in KERNELS:
         raise ValueError(f"no kernel {kind}")
     k = a @ b.T
@@ -399,8 +402,10 @@ class B2B(Local):
         return self.encoder_.predict((self.decoder_.predict(X) - self.mean_) / self.scale_)
 
 
-def covariance(S: np.ndarray, n: int, method: str, phi: float | None = None):
-    """(covariance, shrinkage) from S = X'X / n of centred X; phi (for 'ledoitwolf') is the sum of (X^2)'(X^2) / n."""
+def covariance(S: np.ndarray, n: int, method, phi: float | None = None):
+    """(covariance, shrinkage) from S = X'X / n of centred X; phi (for 'ledoitwolf') is the sum of (X^2)'(X^2) / n. method is a name or a function of S, n and phi."""
+    if callable(method):
+        return method(S, n, phi)
     F = len(S)
     mu = np.trace(S) / F
     T = mu * np.eye(F)

@@ -135,7 +135,7 @@ def lagged_design(df: DataFrame, window: list[int], keys: list[str], t: str = "t
     return out.withColumn("design", F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform("__w", lambda v: F.element_at(v, i))))).drop("__w")
 
 
-def covariance_fit(df: DataFrame, method: str = "ledoitwolf", x: str = "x", s_min: int | None = None, s_max: int | None = None, t: str = "t"):
+def covariance_fit(df: DataFrame, method="ledoitwolf", x: str = "x", s_min: int | None = None, s_max: int | None = None, t: str = "t"):
     """(covariance, precision, whitener, shrinkage) in numpy from two passes of sums: means, then products of centred rows and of their squares. Rows with nulls are left out; no rows are an error."""
     from .gram import whole
     from .local import covariance, whitener
@@ -179,8 +179,8 @@ class Covariance:
 
     METHODS = ("empirical", "ledoitwolf", "oas")
 
-    def __init__(self, method: str = "ledoitwolf", s_min: int | None = None, s_max: int | None = None, x: str = "x", t: str = "t", center: bool = False):
-        if method not in self.METHODS:
+    def __init__(self, method="ledoitwolf", s_min: int | None = None, s_max: int | None = None, x: str = "x", t: str = "t", center: bool = False):
+        if not callable(method) and method not in self.METHODS:
             raise ValueError(f"no method {method}")
         self.method, self.s_min, self.s_max, self.x, self.t, self.center = method, s_min, s_max, x, t, center
 

@@ -1,7 +1,8 @@
-"""Flags of the environment, versions, and progress of Spark jobs."""
+"""Flags of the environment, versions, batched functions, and progress of Spark jobs."""
 
 from __future__ import annotations
 
+import functools
 import operator
 import os
 import re
@@ -9,6 +10,7 @@ import sys
 import threading
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 #: What counts as yes.
 YES = ("1", "true", "yes", "on")
@@ -48,6 +50,29 @@ def compare(a: str, op: str, b: str) -> bool:
     return _COMPARE[op](_parts(a), _parts(b))
 
 
+def batched(returns: str = "double", flag: str = "TRIALWISE_BATCHED"):
+    """Decorates a function of numbers or arrays for use on columns: it gets whole Arrow batches as numpy arrays. Where the flag says no, or batches can't be made,
+    it gets a row at a time, with the same result."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def row(*values):
+            out = f(*values)
+            return out.item() if hasattr(out, "item") else out
+
+        if not is_enabled(flag, True):
+            return F.udf(row, returns)
+        import pandas as pd
+
+        def batch(*columns):
+            return pd.Series([row(*v) for v in zip(*columns)])
+
+        batch.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+        return F.pandas_udf(batch, returns)
+
+    return wrap
+
+
 class Progress:
     """Shows, while its block runs, how many tasks of the active stages are done; with enabled False nothing."""
 
