@@ -2,7 +2,8 @@
 
 Shingles hash into groups. A document's group counts are a point; an R-tree over points bounds the overlap of a query
 with whatever lies in a node's box by the sum of coordinate minima, and pairs that survive are verified on the shingle
-sets. So that trees need not hold the corpus, they stand in cells: two sets within the threshold differ in at most d
+sets. One tree over the corpus would prune next to nothing (the upper corners of boxes over texts of like length hold almost any point:
+README), so trees stand in cells: two sets within the threshold differ in at most d
 shingles, so of any d + 1 non-empty hash groups of one, one at least has the same content in the other, and
 documents that share a group's content are in one cell. Cells' surviving pairs form clusters, verified in tiles by trees again.
 """
@@ -19,8 +20,8 @@ from .bpe import slices
 from .clusters import Sets, clusters_by_keys, compare, deal_tiles
 from .common import KeyFilter, Scratch, among, connected_components, freed, mix, table, text_of
 
-#: Coordinates of a point, and entries of a tree's node.
-GROUPS, FAN = 16, 16
+#: Coordinates of a point, and entries of a tree's node. A mark is the set's size and its point, in 16 bits a coordinate: FULL, and so any count, where one does not fit.
+GROUPS, FAN, FULL = 32, 16, 65535
 U = np.uint64
 
 
@@ -127,6 +128,19 @@ def count_vector(h: np.ndarray) -> np.ndarray:
     return np.bincount(((h >> U(8)) & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
 
 
+def mark_of(h: np.ndarray) -> bytes:
+    """Size and point of a set. A point that does not fit is FULL throughout, which is read as more than any count: its minima are the other's counts, so it bounds nothing it should not."""
+    point = count_vector(h)
+    return len(h).to_bytes(8, "little") + (point if point.max() < FULL else np.full(GROUPS, FULL)).astype(np.uint16).tobytes()
+
+
+def read_marks(marks) -> tuple[np.ndarray, np.ndarray]:
+    """Points and sizes."""
+    raw = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, 8 + 2 * GROUPS)
+    points = np.ascontiguousarray(raw[:, 8:]).view(np.uint16).astype(np.int64)
+    return np.where(points == FULL, 1 << 40, points), np.ascontiguousarray(raw[:, :8]).view(np.int64)[:, 0]
+
+
 def spanning(m: int, joined: Sets):
     """Positions to search from, of 0 to m - 1, so that whatever is linked gets joined.
 
@@ -146,8 +160,7 @@ def meet_points(percent: int):
     """Ties members of a key whose count vectors allow a link, in a tree per key; of pairs joined over others already, none."""
 
     def meet(keys, ids, marks):
-        points = np.array([np.frombuffer(x, np.int32) for x in marks.to_pylist()], np.int64).reshape(len(ids), GROUPS)
-        sizes = points.sum(1)
+        points, sizes = read_marks(marks)
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         n = np.diff(np.r_[cut, len(keys)])
         two = cut[n == 2]  # by far the most: a tree of one leaf each, searched all at once
@@ -206,7 +219,7 @@ def _shingled(rows: DataFrame, size: int, percent: int, wanted: KeyFilter | None
                 marks = [digest(h) for h in sets]
                 lists = [h.view(np.int64) if sets_only else group_keys(h, percent) for h in sets]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-                vectors = [] if sets_only else [pa.array([count_vector(h).astype(np.int32).tobytes() for h in sets], pa.binary())]
+                vectors = [] if sets_only else [pa.array(list(map(mark_of, sets)), pa.binary())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("k").slice(a, b - a), batch.column("h").slice(a, b - a), pa.array([len(h) for h in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), pa.int64())), *vectors],
                     ["k", "h", "n", "d1", "d2", *(["sets"] if sets_only else ["keys", "mark"])],
