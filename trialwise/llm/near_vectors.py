@@ -119,18 +119,22 @@ def _tree_leaves(vectors: DataFrame, centres: dict[int, np.ndarray], n: int, lea
                     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), ids, p, pa.array(np.full(len(at), t == 0))], ["g", "id", "p", "first"])
 
     rows = scratch.write(vectors.mapInArrow(freed(work), "g long, id long, p array<float>, first boolean"))
+    todo, done = rows.where("not first").select("g", "id", "p"), [rows.where("first").select("g", "id")]
     for _ in range(SPLITS):
-        means = F.array(*[F.avg(F.get("p", F.lit(j))) for j in range(PLANES)])
-        large = scratch.write(rows.where("not first").groupBy("g").agg(F.count("*").alias("m"), means.alias("mean")).where(F.col("m") > BLOCK))
+        large = scratch.write(todo.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK))
         if large.isEmpty():
             break
+        # leaves that are small enough take no further part
+        tagged = todo.join(large, "g", "left")
+        done.append(tagged.where("m is null").select("g", "id"))
+        big = scratch.write(tagged.where("m is not null"))
+        means = big.groupBy("g").agg(F.array(*[F.avg(F.get("p", F.lit(j))) for j in range(PLANES)]).alias("mean"))
         need = F.ceil(F.log2(F.col("m") / leaf))
-        side = F.transform("p", lambda x, j: (j < F.col("need")) & (x > F.get("mean", j)))
-        split = rows.join(large.withColumn("need", need), "g", "left")
-        after = scratch.write(split.select(F.when(F.col("m").isNotNull(), F.xxhash64("g", side)).otherwise(F.col("g")).alias("g"), "id", "p", "first"))
-        scratch.drop(rows)
-        rows = after
-    return rows.select("g", "id")
+        side = F.transform("p", lambda x, j: (j < need) & (x > F.get("mean", j)))
+        todo = scratch.write(big.join(means, "g").select(F.xxhash64("g", side).alias("g"), "id", "p"))
+    for part in [*done, todo.select("g", "id")][1:]:
+        done[0] = done[0].union(part)
+    return done[0]
 
 
 def _joined(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +316,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         # whatever is within the threshold and has met in a block is joined by that block's ties
         return g.where("tie").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
-    pairs = scratch.write(_best(_meet(leaves(TREES, 0), vectors, threshold, neighbours, 0, scratch).withColumn("born", F.lit(0)), None, neighbours))
+    # many trees: half of a list from each is enough to start with
+    pairs = scratch.write(_best(_meet(leaves(TREES, 0), vectors, threshold, max(1, neighbours // 2), 0, scratch).withColumn("born", F.lit(0)), None, neighbours))
     # lists steer the search; what was linked in any round stays linked
     edges, before, short, share, seen = close_ends(pairs), -1, False, 0.0, 0
     for step in range(1, rounds + 2):
