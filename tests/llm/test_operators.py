@@ -219,6 +219,28 @@ def test_linked_sets_share_a_key(percent):
                 assert set(jaccard.group_keys(a, percent)) & set(jaccard.group_keys(b, percent))
 
 
+def test_count_trees_find_all_that_is_linked(monkeypatch):
+    import pyarrow as pa
+
+    rng, percent = np.random.default_rng(7), 80
+    for full in (65535, 6):  # with the second, points do not fit
+        monkeypatch.setattr(jaccard, "FULL", full)
+        base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in rng.integers(3, 400, 60)]
+        sets = base + [np.unique(np.r_[b[rng.random(len(b)) > 0.1], rng.integers(0, 2**63, len(b) // 15).astype(np.uint64)]) for b in base]
+        sets = [s for s in sets if len(s)]
+        points, sizes = jaccard.read_marks(pa.array([jaccard.mark_of(s) for s in sets]))
+        assert sizes.tolist() == list(map(len, sets))
+        tree, linked = jaccard.CountTree(points, sizes), 0
+        for i, s in enumerate(sets):
+            found = set(tree.search(points[i], sizes[i], percent).tolist())
+            for j, t in enumerate(sets):
+                same = len(np.intersect1d(s, t))
+                if 100 * same >= percent * (len(s) + len(t) - same):
+                    assert j in found
+                    linked += i != j
+        assert linked > 20
+
+
 def test_mixing(docs, nothing):
     out = mixing.mix(docs).collect()
     assert len(out) == len(TEXTS) and {r["doc_id"]: r["size"] for r in out} == {i: len(WORD.findall(t or "")) for i, t in enumerate(TEXTS)}
@@ -229,6 +251,38 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def reshared(sizes, weights=(5.0, 2.0, 1.0), budget=1.5, most=2.0):
+    """Targets by stopping the sources that are above their cap and sharing the rest anew, again and again."""
+    w = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    rest, open_, out = budget * sum(sizes.values()), set(sizes), {}
+    while open_:
+        share = rest / sum(w[s] for s in open_)
+        above = {s for s in open_ if share * w[s] > most * sizes[s]}
+        if not above:
+            return out | {s: share * w[s] for s in open_}
+        out |= {s: most * sizes[s] for s in above}
+        rest, open_ = rest - sum(most * sizes[s] for s in above), open_ - above
+    return out
+
+
+def test_mixing_targets_and_what_is_taken(spark):
+    rng = np.random.default_rng(14)
+    for trial in range(4):
+        names = ["b", "B", "é", "a", None, "zz", ""][: 3 + trial]
+        data = [(i, " ".join(["w"] * int(rng.integers(0, 30))), names[int(len(names) * rng.random() ** 2)]) for i in range(3000)]
+        out = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+        sizes, taken = collections.Counter(), collections.Counter()
+        for r in out:
+            sizes[r["source"]] += r["size"]
+            taken[r["source"]] += r["size"] * r["copies"]
+        want = reshared(sizes)
+        for r in out:
+            assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) and r["copies"] <= 2
+        assert all(abs(taken[s] - want[s]) < 0.1 * want[s] + 200 for s in sizes)
+        again = mixing.mix(spark.createDataFrame(data[::-1], "doc_id long, text string, source string")).collect()
+        assert {(r["doc_id"], r["copies"]) for r in again} == {(r["doc_id"], r["copies"]) for r in out}
+
+
 def test_quality(docs, nothing):
     got = rows(quality.assess(docs))
     for i, t in enumerate(TEXTS):
