@@ -368,4 +368,4 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings")).drop("audited")

@@ -103,4 +103,62 @@ SELECT page_id, host, path, rule, coalesce(verdict_of_rule, CASE WHEN coalesce(b
 FROM given LEFT JOIN known ON strpos(given.url, '://') > 0 AND regexp_extract(given.url, '^([^#]*)', 1) = known.u
 """
 
-ORACLE_SQL = {"op5_mixing": _MIX, "op9_url_filters": _URLS}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'" + x + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def _licences() -> str:
+    """Every template at every place, and base phrases word by word: from the operator's fixed values alone."""
+    places, needs = [], []
+    for n, (label, notice, phrase) in enumerate(license_scan.TEMPLATES):
+        words, need = notice.split(), phrase.split()
+        start = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
+        must = range(start, start + len(need))
+        indexed = [(n, i, w, int(i in must)) for i, w in enumerate(words) if w not in license_scan.FUNCTION_WORDS or i in must]
+        places += indexed
+        needs.append((n, label, len(indexed), len(need)))
+    base = [(n, i, w, len(phrase.split()), label) for n, (phrase, label) in enumerate(license_scan.BASE) for i, w in enumerate(phrase.split())]
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM d),
+t AS (SELECT * FROM (VALUES {_values(places)}) t(template, spot, w, must)), needed AS (SELECT * FROM (VALUES {_values(needs)}) t(template, label, indexed, musts)),
+b AS (SELECT * FROM (VALUES {_values(base)}) t(phrase, spot, w, words, label)),
+lines AS (SELECT doc_id, template, count(*) AS hits, sum(must) AS musts FROM x JOIN t USING (w) GROUP BY doc_id, template, i - spot),
+found AS (SELECT doc_id, label, l.hits / indexed::DOUBLE AS share FROM lines l JOIN needed n USING (template) WHERE l.musts = n.musts AND l.hits >= {license_scan.ALIGNED} * indexed),
+based AS (SELECT doc_id, label, i - spot AS start FROM x JOIN b USING (w) GROUP BY doc_id, label, phrase, words, i - spot HAVING count(*) = words),
+s AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM based GROUP BY doc_id),
+every AS (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM based),
+e AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id), f AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(s.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+
+_JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+m AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), '  ')) END AS mark, s FROM s),
+c AS (SELECT mark, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM m WHERE mark IS NOT NULL GROUP BY mark),
+x AS (SELECT id, n, unnest(s) AS x FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT a AS u, a AS v FROM edges UNION SELECT r.u, e.b FROM reach r JOIN edges e ON r.v = e.a),
+k AS (SELECT u, min(v) AS least FROM reach GROUP BY u)
+SELECT doc_id, m.n::BIGINT AS n_shingles, coalesce(least, c.id, doc_id) AS component_id, coalesce(c.id, doc_id) AS class_id FROM m LEFT JOIN c USING (mark) LEFT JOIN k ON k.u = c.id
+"""
+
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e))) AND list_bool_or(list_transform(embedding, lambda e: e <> 0))),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT a AS u, a AS v FROM edges UNION SELECT r.u, e.b FROM reach r JOIN edges e ON r.v = e.a),
+k AS (SELECT u, min(v) AS least FROM reach GROUP BY u), n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept, 1.0::DOUBLE AS recall
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN k ON k.u = vec_id
+"""
+
+#: SQL finds every pair, so its recall is 1; on tables of up to half an audit's vectors the search is audited on all, and finds every pair as well.
+ORACLE_SQL = {"op3_license_scan": _licences(), "op4_ngram_jaccard": _JACCARD, "op5_mixing": _MIX, "op8_embedding_near_dedup": _VECTORS, "op9_url_filters": _URLS}
