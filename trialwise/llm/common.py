@@ -76,6 +76,11 @@ class Scratch:
             if path := self.paths.get(id(df)):
                 _delete(self.spark, path)
 
+    def remove(self) -> None:
+        """Deletes all its tables: no later step reads any."""
+        _delete(self.spark, self.root)
+        Scratch.made.pop(self.root, None)
+
     @classmethod
     def clear(cls, keep: tuple[str, ...] = ()) -> None:
         """Deletes all tables of all operators so far, but those below the folders to keep. For callers that have written what they need:

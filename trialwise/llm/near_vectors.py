@@ -309,15 +309,17 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     audited = min(audited, max(64, AUDIT_FLOATS // max(centres, default=1)))
     low = F.lit(-2.0).cast("float")
 
-    def leaves(trees: int, step: int) -> DataFrame:
-        return _tree_leaves(vectors, centres, n, LEAF, trees, seed + step, scratch).select("g", "id", low.alias("worst"), F.lit(True).alias("new"))
+    def leaves(trees: int, step: int, own: Scratch) -> DataFrame:
+        return _tree_leaves(vectors, centres, n, LEAF, trees, seed + step, own).select("g", "id", low.alias("worst"), F.lit(True).alias("new"))
 
     def close_ends(g: DataFrame) -> DataFrame:
         # whatever is within the threshold and has met in a block is joined by that block's ties
         return g.where("tie").select(F.col("id").alias("a"), F.col("other").alias("b"))
 
-    # many trees: half of a list from each is enough to start with
-    pairs = scratch.write(_best(_meet(leaves(TREES, 0), vectors, threshold, max(1, neighbours // 2), 0, scratch).withColumn("born", F.lit(0)), None, neighbours))
+    # many trees: half of a list from each is enough to start with. What a round makes on its way goes with it
+    own = Scratch(rows.sparkSession, "round")
+    pairs = scratch.write(_best(_meet(leaves(TREES, 0, own), vectors, threshold, max(1, neighbours // 2), 0, own).withColumn("born", F.lit(0)), None, neighbours))
+    own.remove()
     # lists steer the search; what was linked in any round stays linked
     edges, before, short, share, seen = close_ends(pairs), -1, False, 0.0, 0
     for step in range(1, rounds + 2):
@@ -336,23 +338,24 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
                 # recall stays short: all pairs are compared
                 component, share = vectors.select("id", F.lit(0).cast("long")), 1.0
                 break
-        before = links
+        before, own = links, Scratch(rows.sparkSession, "round")
         worst = graph.groupBy("id").agg(F.count("*").alias("m"), F.max("k").alias("k"), F.min("sim").alias("worst"))
         # a list is saturated when it is full and all in it are within the threshold: it may then hold twice as many
         saturated = (F.col("m") >= F.col("k")) & (F.col("worst") >= threshold)
-        worst = scratch.write(worst.select("id", F.when(saturated, 2 * F.col("k")).otherwise(F.col("k")).alias("k"), F.when(saturated | (F.col("m") < F.col("k")), low).otherwise(F.col("worst")).cast("float").alias("worst"), saturated.alias("grown")))
+        worst = own.write(worst.select("id", F.when(saturated, 2 * F.col("k")).otherwise(F.col("k")).alias("k"), F.when(saturated | (F.col("m") < F.col("k")), low).otherwise(F.col("worst")).cast("float").alias("worst"), saturated.alias("grown")))
         # a vertex's group: itself, its neighbours, and those whose neighbour it is; a pair of which neither is new has met before
         new = F.col("born") == step - 1
         ends = F.array(F.struct(F.col("id").alias("g"), F.col("other").alias("id"), new.alias("new")), F.struct(F.col("other").alias("g"), F.col("id").alias("id"), new.alias("new")), F.struct(F.col("id").alias("g"), F.col("id").alias("id"), F.lit(False).alias("new")))
         ties = graph.select(F.explode(ends).alias("e")).groupBy("e.g", "e.id").agg(F.max("e.new").alias("new"))
         groups = ties.join(worst.select("id", "worst", "grown"), "id", "left").select("g", "id", F.coalesce("worst", low).alias("worst"), (F.col("new") | F.coalesce("grown", F.lit(False))).alias("new"))
         if short:
-            groups = groups.union(leaves(FRESH, step).drop("worst").join(worst.select("id", "worst"), "id", "left").select("g", "id", F.coalesce("worst", low), "new"))
-        found = _meet(groups, vectors, threshold, neighbours, step, scratch).withColumn("born", F.lit(step)).union(graph.select("id", "other", "sim", F.lit(False), "born"))
+            groups = groups.union(leaves(FRESH, step, own).drop("worst").join(worst.select("id", "worst"), "id", "left").select("g", "id", F.coalesce("worst", low), "new"))
+        found = _meet(groups, vectors, threshold, neighbours, step, own).withColumn("born", F.lit(step)).union(graph.select("id", "other", "sim", F.lit(False), "born"))
         after = scratch.write(_best(found, worst.select("id", "k"), neighbours))
-        edges = scratch.write(edges.union(close_ends(after)).distinct())
-        scratch.drop(pairs)
-        pairs = after
+        more = scratch.write(edges.union(close_ends(after)).distinct())
+        scratch.drop(pairs, edges)
+        own.remove()
+        pairs, edges = after, more
     members = component.toDF("id", "cluster").join(classes.select("id", "unit", "w", "dim"), "id")
     dealt = scratch.write(deal_tiles(members.select("cluster", "id", F.col("dim").cast("long").alias("size")), scratch))
     payload = members.select("id", F.concat(F.array(F.col("w").cast("double")), "unit").alias("payload"))
