@@ -19,9 +19,7 @@ TILE = 256
 def _ready(X: np.ndarray, name: str) -> np.ndarray:
     """Rows whose products are the named similarity: centred, ranked and scaled as it asks."""
     if name.startswith("spearmanr"):
-        from .tasks import _ranks
-
-        X = _ranks(X)
+        X = M.rank_rows(X)
     if name[0] in "ps":
         X = X - X.mean(1, keepdims=True)
     with np.errstate(all="ignore"):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.math import rank_rows
 from . import gram
 from .gram import _matrix
 from .local import Pipeline, RidgeCV
@@ -81,14 +82,6 @@ def _corr(y, p):
         return (y * p).sum(-1) / np.sqrt((y * y).sum(-1) * (p * p).sum(-1))
 
 
-def _ranks(a):
-    out = np.empty(a.shape)
-    for i in np.ndindex(a.shape[:-1]):
-        _, at, n = np.unique(a[i], return_inverse=True, return_counts=True)
-        out[i] = (np.cumsum(n) - (n - 1) / 2)[at]
-    return out
-
-
 def _r2(y, p, b=None):
     """b is the baseline of each target, by default its mean."""
     base = ((y - (y.mean(-1, keepdims=True) if b is None else np.asarray(b)[..., None])) ** 2).sum(-1)
@@ -106,14 +99,14 @@ def _auc(y, s):
         for c, k in enumerate(own) if len(own) > 2 else [(len(cols) - 1, own[-1])]:
             pos = y[t] == k
             n1, n0 = pos.sum(), (~pos).sum()
-            each.append((_ranks(cols[[c]])[0, pos].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else np.nan)
+            each.append((rank_rows(cols[[c]])[0, pos].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else np.nan)
         out.append(np.nanmean(each) if not np.all(np.isnan(each)) else np.nan)
     return np.array(out)
 
 
 accuracy = Metric("accuracy", f=lambda y, p: (y == p).mean(-1))
 pearsonr = Metric("pearsonr", f=_corr)
-spearmanr = Metric("spearmanr", f=lambda y, p: _corr(_ranks(y), _ranks(p)))
+spearmanr = Metric("spearmanr", f=lambda y, p: _corr(rank_rows(y), rank_rows(p)))
 #: Under cross-validation the baseline y_b is the training mean.
 r2 = Metric("r2", ("y", "predict", "y_b"), _r2)
 roc_auc = Metric("roc_auc", ("y", "decision_function"), _auc)
