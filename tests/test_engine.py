@@ -342,15 +342,16 @@ def test_lagged_models(spark):
     np.testing.assert_allclose((d.T @ d)[0], [x @ x, x[1:] @ x[:-1], x[2:] @ x[:-2]])
 
 
-def test_positions_ranks_and_quantiles_over_ranges(spark):
+@pytest.mark.parametrize("slack,few", [(0.002, 2000), (0.05, 10)])
+def test_positions_ranks_and_quantiles_over_ranges(spark, slack, few):
     rng = np.random.default_rng(10)
     rows = [(i, [None, 1, 1, 1, 2][i % 5], float(rng.integers(0, 40)) if i % 7 else 5.0) for i in range(700)]
     df = spark.createDataFrame(rows, "id long, g long, v double")
     got = {r["id"]: r["p"] for r in order.before(df, [], [F.col("v"), F.col("id")], "p", rows=50).collect()}
     assert got == {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
     ranks = {r["id"]: r["rank"] for r in order.ranked(df, ["g"], "v", rows=20).collect()}
-    q = {r["g"]: r for r in order.quantiles(df, ["g"], "v", [0.1, 0.5, 0.77], rows=20).collect()}
-    odd = {r["g"]: r for r in order.quantiles(df.where("id < 695"), ["g"], "v", [0.1, 0.5, 0.77], odd_lower=True, rows=20).collect()}
+    q = {r["g"]: r for r in order.quantiles(df, ["g"], "v", [0.1, 0.5, 0.77], slack=slack, few=few).collect()}
+    odd = {r["g"]: r for r in order.quantiles(df.where("id < 695"), ["g"], "v", [0.1, 0.5, 0.77], odd_lower=True, slack=slack, few=few).collect()}
     for g in (None, 1, 2):
         own = [r for r in rows if r[1] == g]
         v = np.array([r[2] for r in own])
@@ -361,6 +362,10 @@ def test_positions_ranks_and_quantiles_over_ranges(spark):
         assert odd[g]["n"] == len(w)
         np.testing.assert_allclose(odd[g]["q"], np.quantile(w, [0.1, 0.5, 0.77], method="lower" if len(w) % 2 else "linear"))
     assert order.quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0
+    many = np.round(rng.standard_normal(30000), 3)
+    wide = spark.createDataFrame([(float(x),) for x in many], "v double").repartition(7)
+    for qs in ([0.0, 0.25, 0.5, 0.999, 1.0], [0.05, 0.95]):
+        np.testing.assert_allclose(order.quantiles(wide, [], "v", qs).first()["q"], np.quantile(many, qs))
 
 
 def test_dissimilarities_in_small_tiles(spark):

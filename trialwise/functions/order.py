@@ -13,13 +13,26 @@ from pyspark.sql import functions as F
 ROWS, RANGES, SAMPLED = 1 << 16, 256, 64
 
 
+def _on(keys: list[str], mark: str):
+    on = None
+    for k in keys:
+        eq = F.col(k).eqNullSafe(F.col(f"{mark}{k}"))
+        on = eq if on is None else on & eq
+    return on
+
+
 def bounds(df: DataFrame, value: Column, rows: int | None = None, ranges: int = RANGES) -> list:
     """Values that cut a column into ranges of about so many rows: from a bounded sample by hash. They decide who does the work, not what comes out."""
     sized = df.select(value.alias("v")).where("v is not null")
-    n = min(ranges, math.ceil(sized.count() / (rows or ROWS)))
+    count = sized.count()
+    n = min(ranges, math.ceil(count / (rows or ROWS)))
     if n < 2:
         return []
-    sample = sorted({r["v"] for r in sized.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLED * n).collect()})
+    # by the hash of a value, so that one that many rows have counts once
+    some = F.pmod(F.xxhash64("v"), F.lit(max(1, count // (16 * SAMPLED * n)))) == 0
+    sample = sorted({r["v"] for r in sized.where(some).distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLED * n).collect()})
+    if len(sample) < n:
+        return sample
     return sorted({sample[len(sample) * i // n] for i in range(1, n)})
 
 
@@ -37,9 +50,9 @@ def range_of(value: Column, cuts: list) -> Column:
     return tree(0, len(cuts))
 
 
-def before(df: DataFrame, keys: list[str], order: list[Column], out: str, weight: Column | None = None, rows: int | None = None) -> DataFrame:
+def before(df: DataFrame, keys: list[str], order: list[Column], out: str, weight: Column | None = None, rows: int | None = None, cuts: list | None = None) -> DataFrame:
     """Adds the sum of weight (1 each by default, so the 0-based position) of the rows before each, within keys. Null keys are keys; rows equal in order come in any order."""
-    weight, cuts = F.lit(1) if weight is None else weight, bounds(df, order[0], rows)
+    weight, cuts = F.lit(1) if weight is None else weight, bounds(df, order[0], rows) if cuts is None else cuts
     ranged = df.withColumn("__range", range_of(order[0], cuts)).withColumn("__weight", weight.cast("long"))
     upto = Window.unboundedPreceding, -1
     inside = F.coalesce(F.sum("__weight").over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(*upto)), F.lit(0))
@@ -50,52 +63,53 @@ def before(df: DataFrame, keys: list[str], order: list[Column], out: str, weight
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(*upto)), F.lit(0)))
     sizes = sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"), "__before")
     on = F.col("__range") == F.col("__r")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    on = on & _on(keys, "__k_") if keys else on
     return ranged.withColumn("__i", inside).join(sizes, on).withColumn(out, F.col("__before") + F.col("__i")).drop("__range", "__weight", "__i", "__r", "__before", *[f"__k_{k}" for k in keys])
 
 
 def counted(df: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
     """(keys, value, n, before): each distinct value of a key, how many rows have it, and how many come before."""
     each = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return before(each, keys, [F.col(value)], "before", F.col("n"), rows)
+    return before(each, keys, [F.col(value)], "before", F.col("n"), rows, bounds(df, F.col(value), rows))
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, out: str = "rank", rows: int | None = None) -> DataFrame:
     """Adds 1-based ranks within keys; ties get their average. Nulls are first, and equal."""
     each = counted(df.select(*keys, value), keys, value, rows)
     each = each.select(*[F.col(c).alias(f"__c_{c}") for c in [*keys, value]], (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
-    on = None
-    for c in [*keys, value]:
-        eq = F.col(c).eqNullSafe(F.col(f"__c_{c}"))
-        on = eq if on is None else on & eq
-    return df.join(each, on).drop(*[f"__c_{c}" for c in [*keys, value]])
+    return df.join(each, _on([*keys, value], "__c_")).drop(*[f"__c_{c}" for c in [*keys, value]])
+
+
+#: A quantile is looked for among the rows within SLACK of its share, by a sketch whose error is a quarter of that; keys of up to FEW rows are searched whole.
+SLACK, FEW = 0.002, 2000
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], odd_lower: bool = False, rows: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], odd_lower: bool = False, slack: float = SLACK, few: int = FEW) -> DataFrame:
     """(keys, n, q array<double>): exact quantiles of a key's values, interpolated between neighbours; with odd_lower an odd count takes the lower
-    neighbour alone. Nulls are left out. Without keys and rows: one row of nulls."""
-    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
-    each = counted(df, keys, value, rows)
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all")).select(*[F.col(k).alias(f"__t_{k}") for k in keys], "__all")
-    if keys:
-        on = None
-        for k in keys:
-            eq = F.col(k).eqNullSafe(F.col(f"__t_{k}"))
-            on = eq if on is None else on & eq
-        each = each.join(total, on).drop(*[f"__t_{k}" for k in keys])
-    else:
-        each = each.join(F.broadcast(total))  # one row
-    picks = []
-    for i, q in enumerate(qs):
-        at = F.lit(q) * (F.col("__all") - 1)
-        for name, k in (("low", F.floor(at)), ("high", F.ceil(at))):
-            picks.append(F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value))).alias(f"__{name}{i}"))
-    found = each.groupBy(*keys).agg(F.max("__all").alias("n"), *picks)
-
-    def value_of(i: int, q: float) -> Column:
-        at, low = F.lit(q) * (F.col("n") - 1), F.col(f"__low{i}")
-        between = low + (F.col(f"__high{i}") - low) * (at - F.floor(at))
-        return F.when(F.col("n") % 2 == 1, low).otherwise(between) if odd_lower else between
-
-    return found.select(*keys, "n", F.array(*[value_of(i, q) for i, q in enumerate(qs)]).alias("q"))
+    neighbour alone. Nulls are left out; no values, no row.
+
+    A sketch brackets each quantile; rows below the bracket are counted, and only the few values inside it are sorted. The values are not dealt out.
+    """
+    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ends = [e for q in qs for e in (max(0.0, q - slack), min(1.0, q + slack))]
+    sketch = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", F.array(*map(F.lit, ends)), int(4 / slack)).alias("__m")).where("__n > 0")
+    inf = F.lit(float("inf"))
+    bracket = F.array(*[F.struct(F.when(F.col("__n") <= few, -inf).otherwise(F.col("__m")[2 * i]).alias("lo"), F.when(F.col("__n") <= few, inf).otherwise(F.col("__m")[2 * i + 1]).alias("hi")) for i in range(len(qs))])
+    sketch = sketch.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "__n", bracket.alias("__b"))
+    rows = df.join(sketch, _on(keys, "__s_")).drop(*[f"__s_{k}" for k in keys]) if keys else df.join(F.broadcast(sketch))  # without keys one row
+    v, b = F.col("__v"), F.col("__b")
+    below = rows.groupBy(*keys).agg(F.max("__n").alias("__all"), *[F.sum((v < b[i]["lo"]).cast("long")).alias(f"__below{i}") for i in range(len(qs))])
+    below = below.select(*[F.col(k).alias(f"__s_{k}") for k in keys], "__all", F.array(*[f"__below{i}" for i in range(len(qs))]).alias("__below"))
+    # NaN is beyond all, and inside the bracket that ends at infinity
+    hits = F.array_compact(F.array(*[F.when((v >= b[i]["lo"]) & ((v <= b[i]["hi"]) | (b[i]["hi"] == inf)), F.lit(i)) for i in range(len(qs))]))
+    inside = rows.select(*keys, "__v", F.explode(hits).alias("__i")).groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("__before", F.coalesce(F.sum("__c").over(upto), F.lit(0)))
+    inside = inside.join(below, _on(keys, "__s_")).drop(*[f"__s_{k}" for k in keys]) if keys else inside.join(F.broadcast(below))  # one row
+    first = F.col("__before") + F.get("__below", F.col("__i"))
+    at = F.get(F.array(*map(F.lit, map(float, qs))), F.col("__i")) * (F.col("__all") - 1)
+    there = lambda k: F.max(F.when((first <= k) & (k < first + F.col("__c")), v))
+    found = inside.groupBy(*keys, "__i").agg(F.max("__all").alias("n"), there(F.floor(at)).alias("low"), there(F.ceil(at)).alias("high"), F.max(at - F.floor(at)).alias("part"))
+    between = F.when(F.col("part") == 0, F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
+    found = found.withColumn("q", F.when(F.col("n") % 2 == 1, F.col("low")).otherwise(between) if odd_lower else between)
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*[F.max(F.when(F.col("__i") == i, F.col("q"))) for i in range(len(qs))]).alias("q"))
