@@ -52,7 +52,7 @@ def clusters_by_keys(keyed: DataFrame, scratch: Scratch, meet=None) -> DataFrame
 
         flat = keyed.select("id", "keys", *more).mapInArrow(freed(work), "id long, key long" + ", mark binary" * bool(more))
     else:
-        flat = wanted.joined(keyed.select("id", F.explode("keys").alias("key")).withColumn("__short", F.col("key").bitwiseAND(low)), "__short").select("id", "key").distinct()
+        flat = wanted.joined(keyed.select("id", F.explode("keys").alias("key")).withColumn("__short", F.col("key").bitwiseAND(low)), "__short").select("id", "key")
     flat = scratch.write(flat)
     shared = flat.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).where("a <> z")
     if meet:

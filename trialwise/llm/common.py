@@ -119,10 +119,10 @@ class KeyFilter:
     """A bitmap of 64-bit hashes for workers to pass over rows that cannot match. It lets through some rows too many, never too few.
 
     It has BITS_A_KEY bits for each counted key, so that about one in so many other rows gets through, and is broadcast: 2^MOST_BITS bits,
-    32 MB, are the bound. With more keys there is none (fits is False), and callers join by key instead.
+    128 MB, are the bound, for 134 million keys. With more keys there is none (fits is False), and callers join by key instead.
     """
 
-    BITS_A_KEY, LEAST_BITS, MOST_BITS, CHUNK = 8, 20, 28, 1 << 16
+    BITS_A_KEY, LEAST_BITS, MOST_BITS, CHUNK = 8, 20, 30, 1 << 16
 
     def __init__(self, keys: DataFrame):
         """keys: one long column, of a written table, as it is read twice."""
@@ -144,7 +144,7 @@ class KeyFilter:
         bitmap = np.zeros(self.bits // 8, np.uint8)
         with tidy(keys.sparkSession):
             packed = placed.groupBy("chunk").applyInArrow(pack, "chunk long, bits binary").collect()
-        # at most bits / CHUNK rows of CHUNK bits: 32 MB
+        # at most bits / CHUNK rows of CHUNK bits: 128 MB
         for r in packed:
             bitmap[r["chunk"] * self.CHUNK // 8 :][: self.CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(bitmap.tobytes())
