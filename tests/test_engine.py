@@ -175,7 +175,10 @@ def test_validation_by_sums_is_validation_by_blocks(spark, intercept, masks):
     assert tasks.Validator(local.RidgeCV(), 3).scores(df.where("g = 0 or trial < 40"), ["g"]).count() == 2 * 3 * 2
 
 
-def test_fitted_validator(spark):
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_fitted_validator(spark, monkeypatch, most):
+    # with 0 bytes allowed, models are not sent: they meet the trials by key
+    monkeypatch.setattr(tasks, "MOST_MODELS", most)
     rng = np.random.default_rng(2)
     X, y = rng.standard_normal((40, 3)), rng.integers(0, 2, (40, 1)).astype(float)
     X[:, :1] += 2 * y
@@ -202,7 +205,9 @@ def test_fitted_validator(spark):
         fitted.call("nothing", df).collect()
 
 
-def test_sliding_over_keys(spark):
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_sliding_over_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(tasks, "MOST_MODELS", most)
     rng = np.random.default_rng(3)
     X, Y = rng.standard_normal((60, 3)), rng.standard_normal((60, 1))
     df = blocks(spark, X, Y, g=np.repeat([0, 1], 30).tolist())

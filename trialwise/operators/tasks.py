@@ -137,34 +137,54 @@ def _scored(model, metrics, X, y):
             yield name, d, float(s)
 
 
-#: Bytes of fitted models that are sent to every task.
+#: Bytes of fitted models that are sent to every task; beyond, models and trials of a key meet in one task.
 MOST_MODELS = 256 << 20
 
 
 class Models:
-    """Fitted models, one per combination of names: a table (names, model binary), made once. The models are pickled blocks of numbers; they are
-    sent to every task, after a check of their size, so that trials stay where they are."""
+    """Fitted models, one per combination of names: a table (names, model binary), made once. The models are pickled blocks of numbers. Up to
+    MOST_MODELS bytes they are sent to every task, so that trials stay where they are."""
 
     def __init__(self, table: DataFrame, names: list[str], keys: list[str]):
         self.table, self.names, self.keys = table.persist(), names, keys
         self._sent = None
 
     def sent(self):
+        """{key: [(name, model)]} on every worker; None if that is too much to send."""
         if self._sent is None:
-            size = self.table.agg(F.sum(F.length("model"))).first()[0] or 0
-            if size > MOST_MODELS:
-                raise ValueError(f"{size} bytes of models are too many to send to every task")
+            if (self.table.agg(F.sum(F.length("model"))).first()[0] or 0) > MOST_MODELS:
+                return None
             found = {}
             for r in self.table.collect():
                 found.setdefault(tuple(r[k] for k in self.keys), []).append((tuple(r[n] for n in self.names), bytes(r["model"])))
             self._sent = self.table.sparkSession.sparkContext.broadcast(found)
         return self._sent
 
+    def _beside(self, df: DataFrame, fn, schema: str) -> DataFrame:
+        """fn(key, table, [(name, model)]) of each key's rows and models, which meet in one task."""
+        keys, names = self.keys, self.names
+        left, right = (d if keys else d.withColumn("__all", F.lit(0)) for d in (df, self.table.select(*names, "model")))
+        by = keys or ["__all"]
+
+        def work(key, rows, models):
+            own = [(tuple(r[n] for n in names), r["model"]) for r in models.to_pylist()]
+            return fn(tuple(k.as_py() for k in key) if keys else (), rows, own)
+
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(work, schema)
+
     def call(self, df: DataFrame, method: str, trial: str = "trial", from_step: int | None = None) -> DataFrame:
         """(names, trial, value array<double>): the method of every model of a row's keys, on its x."""
         keys, sent, names = self.keys, self.sent(), self.names
         kinds = {f.name: f.dataType.simpleString() for f in [*df.schema, *self.table.schema]}
         rows = gram.whole(df.select(*keys, F.col(trial).alias("__trial"), F.col("x").cast("array<double>").alias("x")), "x")
+        schema = ", ".join([*[f"`{n}` {kinds[n]}" for n in names], f"__trial {kinds[trial]}", "value array<double>"])
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+        def answer(name, model, X, trials):
+            out = np.asarray(_step(model, from_step, method)(X), float).reshape(len(X), -1)
+            ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+            columns = [pa.array([v] * len(out), f.type) for v, f in zip(name, arrow)]
+            return [*columns, trials, pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))]
 
         def work(batches):
             loaded: dict = {}
@@ -173,17 +193,17 @@ class Models:
                 for k in dict.fromkeys(found):
                     at = np.array([f == k for f in found])
                     for name, raw in sent.value.get(k, ()):
-                        model = loaded.get(name)
-                        if model is None:
-                            model = loaded[name] = cloudpickle.loads(raw)
-                        out = np.asarray(_step(model, from_step, method)(X[at]), float).reshape(int(at.sum()), -1)
-                        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
-                        columns = [pa.array([v] * len(out), t) for v, t in zip(name, types)]
-                        yield pa.RecordBatch.from_arrays([*columns, trials.filter(pa.array(at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], [*names, "__trial", "value"])
+                        if name not in loaded:
+                            loaded[name] = cloudpickle.loads(raw)
+                        yield pa.RecordBatch.from_arrays(answer(name, loaded[name], X[at], trials.filter(pa.array(at))), arrow.names)
 
-        schema = ", ".join([*[f"`{n}` {kinds[n]}" for n in names], f"__trial {kinds[trial]}", "value array<double>"])
-        types = [f.type for f in to_arrow_schema(_parse_datatype_string(schema))][: len(names)]
-        return rows.mapInArrow(work, schema).withColumnRenamed("__trial", trial)
+        def beside(key, t, models):
+            trials, X = t.column("__trial").combine_chunks(), _matrix(t.column("x"))
+            parts = [pa.table(answer(name, cloudpickle.loads(raw), X, trials), arrow.names) for name, raw in models if len(X)]
+            return pa.concat_tables([p.cast(arrow) for p in parts]) if parts else arrow.empty_table()
+
+        out = rows.mapInArrow(work, schema) if sent else self._beside(rows, beside, schema)
+        return out.withColumnRenamed("__trial", trial)
 
     def collect(self, attr, from_step: int | None = None) -> DataFrame:
         """(names, name, shape, value): attributes of each model, or of a step of it."""
@@ -204,11 +224,21 @@ class Models:
     def score(self, df: DataFrame, metrics, trial: str = "trial") -> DataFrame:
         """(names, metric, target, score) of every model of each key on all of the key's trials."""
         sent, keys, names = self.sent(), self.keys, self.names
+        schema = _kinds(self.table, names) + "metric string, target int, score double"
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-        def fit(key, trials, X, y, t):
-            return [(*name, *s) for name, raw in sent.value.get(key, ()) for s in _scored(cloudpickle.loads(raw), metrics, X, y)]
+        def rows_of(models, X, y):
+            return [(*name, *s) for name, raw in models for s in _scored(cloudpickle.loads(raw), metrics, X, y)]
+
+        def beside(key, t, models):
+            t = t.sort_by(trial)
+            columns = list(zip(*rows_of(models, _matrix(t.column("x")), _matrix(t.column("y"))))) if t.num_rows else []
+            return pa.table([pa.array(list(c), f.type) for c, f in zip(columns or [[] for _ in arrow], arrow)], names=arrow.names)
 
-        return run_tasks(gram.whole(df, "x", "y"), keys, fit, _kinds(self.table, names) + "metric string, target int, score double", trial)
+        df = gram.whole(df, "x", "y")
+        if not sent:
+            return self._beside(df, beside, schema)
+        return run_tasks(df, keys, lambda key, trials, X, y, t: rows_of(sent.value.get(key, ()), X, y), schema, trial)
 
 
 def _step(model, from_step: int | None, method: str | None = None):

@@ -262,9 +262,9 @@ a AS (SELECT label, sum((truth = label)::INT)::DOUBLE AS p, count(*)::DOUBLE AS
 SELECT 1::INT AS one, round(avg((s - p * (p + 1) / 2) / (p * (n - p))), 6) + 0.0::DOUBLE AS value FROM a WHERE p > 0 AND p < n""")
 def roc_auc_multiclass(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    labels = v.select(F.col("label").alias("c")).distinct()
+    labels = v.agg(F.collect_set("label").alias("labels"))
     # a row per vector and label: the scores of a decision
-    rows = v.join(labels, how="cross").select(F.lit(1).alias("one"), F.col("label").alias("truth"), F.col("c").alias("label"), F.element_at("x", F.col("c") + 1).alias("score"))
+    rows = v.join(F.broadcast(labels)).withColumn("c", F.explode("labels")).select(F.lit(1).alias("one"), F.col("label").alias("truth"), F.col("c").alias("label"), F.element_at("x", F.col("c") + 1).alias("score"))
     return M.roc_auc_one_vs_rest(rows, ["one"], "truth", "label", "score").withColumn("value", _r("value"))
 
 
