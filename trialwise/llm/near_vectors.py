@@ -208,8 +208,8 @@ def _sample(own: DataFrame, audited: int, seed: int) -> DataFrame:
     return own.orderBy(by).limit(audited // 2).union(own.where("linked").orderBy(by).limit(audited - audited // 2)).dropDuplicates(["id"])
 
 
-def _audit(vectors: DataFrame, component: DataFrame, threshold: float, audited: int, seed: int, scratch: Scratch) -> tuple[float, int, DataFrame]:
-    """Of sampled vectors that have links, compared with all others: the mean share of links whose ends the edges join (1 if none has any); how many have links; and what the edges do not join."""
+def _audit(vectors: DataFrame, component: DataFrame, threshold: float, audited: int, seed: int, scratch: Scratch) -> tuple[float | None, int, DataFrame]:
+    """Of sampled vectors that have links, compared with all others: the mean share of links whose ends the edges join (None if none has any); how many have links; and what the edges do not join."""
     own = vectors.join(component.toDF("id", "c"), "id", "left").select("id", F.col("c").isNotNull().alias("linked"), F.coalesce("c", "id").alias("c"), "dim", "v")
     asked = _sample(own, audited, seed).toArrow().combine_chunks()
     asked = asked.to_batches()[0] if asked.num_rows else None
@@ -238,7 +238,7 @@ def _audit(vectors: DataFrame, component: DataFrame, threshold: float, audited:
     found = scratch.write(own.mapInArrow(freed(work), "a long, b long, n long, ok long"))
     each = found.where("n > 0").groupBy("a").agg((F.sum("ok") / F.sum("n")).alias("share"))
     seen = each.agg(F.count("*").alias("n"), F.avg("share").alias("share")).first()
-    return 1.0 if seen["share"] is None else seen["share"], seen["n"], found.where("n = 0").select("a", "b")
+    return seen["share"], seen["n"], found.where("n = 0").select("a", "b")
 
 
 def count_links(threshold: float):
@@ -290,7 +290,7 @@ def _classes(units: DataFrame, seed: int) -> DataFrame:
 
 
 def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, recall: float = RECALL, seed: int = 8, audited: int = AUDITED) -> DataFrame:
-    """(key, n_links, component_id, kept, recall, audited): one row per row of rows. recall is the last audit's, of so many audited vectors that have links.
+    """(key, n_links, component_id, kept, recall, audited): one row per row of rows. recall is the last audit's, of so many audited vectors that have links; null if none has.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors
     of different lengths. Equal directions are compared once, with their number as weight; each of n equal rows has the n - 1
@@ -321,7 +321,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     pairs = scratch.write(_best(_meet(leaves(TREES, 0, own), vectors, threshold, max(1, neighbours // 2), 0, own).withColumn("born", F.lit(0)), None, neighbours))
     own.remove()
     # lists steer the search; what was linked in any round stays linked
-    edges, before, short, share, seen = close_ends(pairs), -1, False, 0.0, 0
+    edges, before, short, share, seen = close_ends(pairs), -1, False, None, 0
     for step in range(1, rounds + 2):
         graph = pairs.where("r <= k")
         links = graph.where(F.col("sim") >= threshold - MARGIN).count()
@@ -329,7 +329,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         if step > 1 and (links <= 1.01 * before or step > rounds or short):
             component = scratch.write(connected_components(edges, scratch))
             share, seen, missed = _audit(vectors, component, threshold, audited, step, scratch)
-            short = share < recall
+            # where neither the found links nor the sample hold a link, there is nothing to look for
+            short = share is not None and share < recall
             edges = component.toDF("a", "b").union(missed)
             if not short:
                 component = scratch.write(connected_components(edges, scratch)) if not missed.isEmpty() else component
@@ -367,7 +368,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     out = units.select("k", F.when(F.col("unit").isNotNull(), _number(F.col("unit"), mark)).alias("id")).join(known.join(least, "root").select("id", "n_links", "component_id"), "id", "left")
     component_id = F.when(F.col("id").isNull(), F.col("k")).otherwise(F.col("component_id"))
-    return out.select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("k") == component_id, F.lit(True)).alias("kept"), F.lit(float(share)).alias("recall"), F.lit(int(seen)).cast("long").alias("audited"))
+    return out.select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("k") == component_id, F.lit(True)).alias("kept"), F.lit(share).cast("double").alias("recall"), F.lit(int(seen)).cast("long").alias("audited"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
