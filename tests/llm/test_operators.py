@@ -670,3 +670,27 @@ def test_queries_over_a_whole_table(spark):
             for r in got:
                 load[r["shard"]] += r["size"]
             assert len(load) == 16 and max(load.values()) - min(load.values()) <= max(r["size"] for r in got)
+
+
+#: Names that operators use inside, as columns of the input.
+CLASHES = ("k", "t", "h", "c", "w", "n", "e", "id", "row", "key", "keys", "runs", "tokens", "ids", "hits", "share", "size", "source_size", "target", "copies", "vslot", "shard", "slot", "version", "crc", "kept", "d2", "g", "start", "lines", "gone", "component_id", "__k", "__id", "edits_", "labels")
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda d: token_counts.count_edited(d.withColumn("edits", token_counts.standard_edits())), bpe.digest, license_scan.scan, jaccard.link_documents, mixing.mix, mixing.mix_documents, quality.assess, sharding.shard, line_dedup.dedup_lines,
+    ],
+    ids=["op1", "op2", "op3", "op4", "op5", "op5 rows", "op6", "op7", "op10"],
+)
+def test_odd_rows_and_clashing_names(spark, operator):
+    long = " ".join(f"word{i % 997}" for i in range(60_000))
+    data = [(None, None, None, None), (None, "", "en", None), (None, BASE, None, "s"), (None, BASE, None, "s"), (1, BASE, "en", "s"), (1, BASE, "en", "s"), (1, BASE + " more", "en", None), (2, long, "de", "t"), (3, "x" * 60_000, "de", "t"), (4, "\n" * 5000, "", ""), (5, "é日本\x00 \x0b\n" * 40, "en", "s")]
+    kind = "doc_id long, text string, lang string, source string"
+    plain = spark.createDataFrame(data, kind)
+    wide = spark.createDataFrame([(*r, *["clash"] * len(CLASHES)) for r in data], kind + "".join(f", `{c}` string" for c in CLASHES))
+    own = operator(plain)
+    names = [c for c in own.columns if c not in CLASHES] if own.columns[: len(plain.columns)] == plain.columns else own.columns
+    a, b = (sorted(repr(tuple(r)) for r in x.select(*[x[c] for c in names]).collect()) for x in (own, operator(wide)))
+    assert a == b and (len(a) == len(data) or operator is mixing.mix_documents)
+    assert operator(wide.where("false")).count() == 0 and operator(plain.where("doc_id is null and text is null")).count() in (0, 1)
