@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and SQL for those that SQL can express over whole tables."""
 
-from . import bpe, jaccard, license_scan, line_dedup, mixing, near_vectors, quality, sharding, token_counts, url_filter
+from . import bpe, fill_middle, jaccard, license_scan, line_dedup, mixing, near_vectors, posting_lists, quality, runs, sharding, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_embedding_near_dedup": near_vectors.op8,
     "op9_url_filters": url_filter.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_periodic_runs": runs.op11,
+    "op12_fill_middle": fill_middle.op12,
+    "op13_posting_lists": posting_lists.op13,
 }
 
 _MIX = r"""
@@ -160,5 +163,15 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS com
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN k ON k.u = vec_id
 """
 
+_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
 #: SQL finds every pair, so its recall is 1 if there are links; on tables of up to half an audit's vectors the search is audited on all, and finds every pair as well.
-ORACLE_SQL = {"op3_license_scan": _licences(), "op4_ngram_jaccard": _JACCARD, "op5_mixing": _MIX, "op8_embedding_near_dedup": _VECTORS, "op9_url_filters": _URLS}
+ORACLE_SQL = {"op3_license_scan": _licences(), "op4_ngram_jaccard": _JACCARD, "op5_mixing": _MIX, "op8_embedding_near_dedup": _VECTORS, "op9_url_filters": _URLS, "op12_fill_middle": _MIDDLE}
