@@ -181,7 +181,7 @@ def test_nearest_of_odd_vectors(spark):
     rng = np.random.default_rng(2)
     spread = [(i, rng.standard_normal(6).round(1).tolist()) for i in range(300)]
     ties = [(400 + i, [float(i % 3), 1.0, 0.0]) for i in range(60)]
-    odd = [(None, [1.0] * 6), (500, None), (501, []), (502, [0.0] * 6), (503, [float("nan")] * 6), (504, [None] * 6), (505, [float("inf"), 0, 0, 0, 0, 0]), (700, [1.0] * 9), (800, [2.0] * 4), (801, [2.0] * 4), (100, [5.0] * 6), (200, spread[200][1]), (-0, [-0.0, 1, 1, 1, 1, 1])]
+    odd = [(None, [1.0] * 6), (500, None), (501, []), (502, [0.0] * 6), (503, [float("nan")] * 6), (504, [None] * 6), (505, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (700, [1.0] * 9), (800, [2.0] * 4), (801, [2.0] * 4), (100, [5.0] * 6), (200, spread[200][1]), (0, [-0.0, 1.0, 1.0, 1.0, 1.0, 1.0])]
     data = [*spread, *ties, *odd]
     df = spark.createDataFrame([(k, v, *["clash"] * len(CLASHES)) for k, v in data], "vec_id long, embedding array<double>" + "".join(f", `{c}` string" for c in CLASHES))
     got = answers_of(posting_lists.nearest(df, F.col("vec_id") % 20 == 0, size=24))
