@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import math as M
 from ..functions import windows
-from ..operators import gram, local, preprocessing, rsa, series, splits, tasks
+from ..operators import gram, local, preprocessing, rsa, series, splits, tasks, tiles
 from ..sources import generators
 
 
@@ -386,6 +386,32 @@ def kernel_ridge_linear(spark, sf_dir):
     return tasks.cross_val_score(local.KernelRidgeCV([0.1, 1.0, 10.0], "linear"), df, 3, tasks.r2, keys=["label"]).withColumn("score", _r("score"))
 
 
+@query(f"""WITH f AS (SELECT vec_id, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3, embedding[1]::DOUBLE AS y, {_folds_sql(3, "vec_id")} AS own FROM embeddings),
+rows_ AS (SELECT fold::INT AS fold, x1, x2, x3, y FROM f, range(3) t(fold) WHERE own <> fold), {_ridge_sql("rows_", ["fold"], [0.1, 1.0, 10.0], intercept=False)},
+b AS (SELECT fold, avg(y) AS base FROM rows_ GROUP BY ALL)
+SELECT vec_id, own AS fold, round(x1 * w1 + x2 * w2 + x3 * w3, 6) + 0.0::DOUBLE AS predict, round(base, 6) + 0.0::DOUBLE AS base FROM f JOIN fit ON fit.fold = f.own JOIN b ON b.fold = f.own""")
+def kernel_ridge_tiles(spark, sf_dir):
+    df = splits.KFold(3).assign(_vectors(spark, sf_dir).select("trial", F.slice("x", 2, 3).alias("x"), F.slice("x", 1, 1).alias("y")), "trial").withColumnRenamed("fold", "own")
+    out = tiles.KernelRidge([0.1, 1.0, 10.0], "linear").predictions(df)
+    return out.select(F.col("trial").alias("vec_id"), F.col("own").alias("fold"), _r(F.col("predict")[0]).alias("predict"), _r(F.col("base")[0]).alias("base"))
+
+
+@query("SELECT vec_id, c.label, FALSE AS violated FROM embeddings, (SELECT DISTINCT label FROM embeddings) c")
+def svc_tiles(spark, sf_dir):
+    """Whether a trial's dual variable violates its optimality condition for a label: the gradient by a kernel of all trials that is made anew, pair by pair of blocks."""
+    df, C, tol = _vectors(spark, sf_dir), 1.0, 1e-2
+    m = tiles.SupportVectors(C, "rbf", tol=tol).fit(df)
+    z = tiles.scaled(df, m.mean_, m.scale_).select(F.col("trial").alias("row"), "x", "label")
+    dual = m.dual().select(F.col("trial").alias("col"), "dual")
+    cells = rsa.kernel_blocks(z, z, "rbf", m.gamma_).select("row", F.explode(F.arrays_zip("cols", "values")).alias("e")).select("row", F.col("e.cols").alias("col"), F.col("e.values").alias("k"))
+    sums = cells.join(dual, "col").groupBy("row").agg(*[F.sum(F.col("k") * F.col("dual")[i]).alias(f"f{i}") for i in range(len(m.labels_))])
+    own = sums.join(z.select("row", "label"), "row").join(dual.withColumnRenamed("col", "row"), "row")
+    each = own.select("row", F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.when(F.col("label") == k, 1.0).otherwise(-1.0).alias("l"), F.col(f"f{i}").alias("f"), F.col("dual")[i].alias("a")) for i, k in enumerate(m.labels_)])).alias("e"))
+    a, g = F.col("e.a") * F.col("e.l"), 1 - F.col("e.l") * F.col("e.f")
+    moved = F.abs(F.greatest(F.lit(0.0), F.least(F.lit(C), a + g)) - a)
+    return each.select(F.col("row").alias("vec_id"), "e.label", ((moved > tol + 1e-6) | (a < 0) | (a > C)).alias("violated"))
+
+
 _DAYS = "WITH s AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS t, sum(value) AS v FROM events GROUP BY 1, 2), "
 
 
