@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trialwise.operators import local, tiles
+from trialwise.operators import gram, keyed, local, tiles
 
 
 def frame(spark, X, y=None, **more):
@@ -85,3 +85,61 @@ def test_support_vectors_of_many_tiles(spark):
     assert (by_trial(got.predict(frame(spark, X)), "label") == decision.argmax(1)).all() and (decision.argmax(1) == label).mean() > 0.7
     with pytest.raises(ValueError):
         tiles.SupportVectors().fit(frame(spark, X, label=label * 0))
+
+
+@pytest.mark.parametrize("n,p", [(10, 20), (20, 10)])
+@pytest.mark.parametrize("intercept,per_target", [(True, False), (False, True)])
+def test_wide_ridge_is_ridge(spark, n, p, intercept, per_target):
+    rng = np.random.default_rng(42)
+    X, Y, alphas = rng.standard_normal((n, p)) + 3, rng.standard_normal((n, 3)) - 5, np.logspace(-2, 3, 6)
+    want = local.RidgeCV(alphas, intercept, per_target).fit(X, Y)
+    got = tiles.wide_ridge(frame(spark, X, Y), alphas, intercept, per_target, tile=6).first()
+    np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-7)
+    np.testing.assert_allclose(got["intercept"], np.broadcast_to(want.intercept_, 3), atol=1e-6)
+    np.testing.assert_allclose(got["alpha"], np.broadcast_to(want.alpha_, 3))
+
+
+def test_more_features_than_a_matrix_holds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    X, Y = rng.standard_normal((12, 40)), rng.standard_normal((12, 1))
+    monkeypatch.setattr(gram, "MOST_FEATURES", 32)
+    got = gram.ridge_cv(frame(spark, X, Y), [], [0.1, 10.0]).first()
+    np.testing.assert_allclose(got["coef"], local.RidgeCV([0.1, 10.0]).fit(X, Y).coef_, atol=1e-7)
+    assert gram.ridge_cv(frame(spark, X, Y).where("false"), [], [0.1, 10.0]).count() == 0
+
+
+@pytest.mark.parametrize("alphas", [[1.0], [0.01, 1.0, 100.0]])
+def test_ridge_of_keys_on_executors(spark, monkeypatch, alphas):
+    rng = np.random.default_rng(5)
+    g = rng.integers(0, 7, 400)
+    X, Y = rng.standard_normal((400, 3)), rng.standard_normal((400, 2))
+    monkeypatch.setattr(keyed, "PART", 5)  # sums in several parts
+    monkeypatch.setattr(keyed, "ROWS", 16)  # keys in several pieces
+    df = frame(spark, X, Y, g=g).withColumn("h", F.when(F.col("g") > 0, F.col("g").cast("string"))).repartition(5)
+    got = {(r["g"], r["h"]): r for r in gram.ridge_cv(df, ["g", "h"], alphas).collect()}
+    assert len(got) == 7 and (0, None) in got
+    for (k, _), r in got.items():
+        m = local.RidgeCV(alphas).fit(X[g == k], Y[g == k])
+        np.testing.assert_allclose(r["coef"], m.coef_, atol=1e-8)
+        np.testing.assert_allclose(r["intercept"], m.intercept_, atol=1e-8)
+        assert np.allclose(r["alpha"], m.alpha_)
+    assert gram.ridge_cv(df.where("false"), ["g"], alphas).count() == 0
+
+
+def test_ridge_of_many_keys_never_meets_the_driver(spark, monkeypatch):
+    """100,000 keys of four trials: nothing is collected but one number."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = spark.range(400_000).select((F.col("id") % 100_000).alias("k"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("x"), F.array(F.sin(F.col("id") * 7)).alias("y"))
+    collect, seen = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, None)
+    m = gram.ridge_cv(rows, ["k"], [0.1, 1.0])
+    monkeypatch.undo()
+    assert sum(map(len, seen)) <= 1 and m.count() == 100_000
+    own = np.array([[k + 100_000 * i for i in range(4)] for k in (3, 77_777)], float)
+    for k, ids in zip((3, 77_777), own):
+        want = local.RidgeCV([0.1, 1.0]).fit(np.stack([np.sin(ids), np.cos(ids * 3)], 1), np.sin(ids * 7))
+        got = m.where(F.col("k") == k).first()
+        np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-8)

@@ -76,62 +76,16 @@ def subset(m: tuple, mask: np.ndarray) -> tuple:
     return n, sx[mask], sy, xx[np.ix_(mask, mask)], xy[mask]
 
 
-def loo_losses(df: DataFrame, tasks: dict[tuple, tuple], keys: list[str], alphas, fit_intercept: bool = True, x: str = "x", y: str = "y", masks: dict | None = None) -> dict[tuple, np.ndarray]:
-    """Summed squared leave-one-out errors (alphas, targets) of every task over its rows, from its sums: one pass.
-
-    tasks maps a key (df's keys) to sums; e = (y - fit) / (1 - 1/n - h), without 1/n if there is no intercept.
-    """
-    al, solved = np.atleast_1d(np.asarray(alphas, float)), {}
-    for k, (n, sx, sy, xx, xy) in tasks.items():
-        mx, my = (sx / n, sy / n) if fit_intercept else (np.zeros_like(sx), np.zeros_like(sy))
-        w, q = np.linalg.eigh(xx - n * np.outer(mx, mx))
-        solved[k] = (n, mx, my, np.maximum(w, 0), q, q.T @ (xy - n * np.outer(mx, my)))
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(solved)
-    rows = whole(df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
-
-    def part(batches):
-        sums: dict = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            X, Y = _matrix(b.column("x")), _matrix(b.column("y"))
-            names = list(zip(*[b.column(k).to_pylist() for k in keys])) if keys else [()] * len(X)
-            for k in dict.fromkeys(names):
-                if k not in shared.value:
-                    continue
-                own = np.array([z == k for z in names])
-                n, mx, my, w, q, z = shared.value[k]
-                A, B = (X[own] - mx) @ q, Y[own] - my
-                for i, a in enumerate(al):
-                    g = 1 / np.where(w + a > 0, w + a, np.inf)
-                    e = (B - A @ (g[:, None] * z)) / (1 - (1 / n if fit_intercept else 0) - (A * A) @ g)[:, None]
-                    s = sums.setdefault((k, i), np.zeros(B.shape[1]))
-                    s += (e * e).sum(0)
-        for (k, i), v in sums.items():
-            yield pa.RecordBatch.from_pydict({"k": pa.array([repr(k)]), "a": pa.array([i], pa.int32()), "t": pa.array([list(range(len(v)))], pa.list_(pa.int32())), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
-
-    parts = rows.mapInArrow(part, "k string, a int, t array<int>, v array<double>")
-    total = parts.select("k", "a", F.explode(F.arrays_zip("t", "v")).alias("e")).groupBy("k", "a", F.col("e.t").alias("t")).agg(F.sum("e.v").alias("v"))
-    names, out = {repr(k): k for k in tasks}, {}
-    for r in total.collect():
-        k = names[r["k"]]
-        out.setdefault(k, np.zeros((len(al), len(tasks[k][2]))))[r["a"], r["t"]] = r["v"]
-    return out
-
-
 def ridge_cv(df: DataFrame, keys: list[str] = (), alphas=1.0, fit_intercept: bool = True, alpha_per_target: bool = False, x: str = "x", y: str = "y") -> DataFrame:
-    """(keys, coef array<array<double>>, intercept, alpha): a ridge model per key, alpha by leave-one-out error, without gathering trials. Rows with
-    nulls are left out; a key of which none is left has no model, so an empty table gives no rows."""
-    keys, al = list(keys), np.atleast_1d(np.asarray(alphas, float))
-    sums = moments(df, keys, x, y)
-    loss = loo_losses(df, sums, keys, al, fit_intercept, x, y) if len(al) > 1 else {k: np.zeros((1, len(m[2]))) for k, m in sums.items()}
-    rows = []
-    for k, m in sums.items():
-        coef, icpt, alpha = ridge_from_moments(*m, al, loss[k], fit_intercept, alpha_per_target)
-        rows.append((*k, coef.tolist(), icpt.tolist(), np.broadcast_to(alpha, len(coef)).tolist()))
-    kinds = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], "coef array<array<double>>, intercept array<double>, alpha array<double>"])
-    return df.sparkSession.createDataFrame(rows, kinds)
+    """(keys, coef array<array<double>>, intercept, alpha): a ridge model per key, alpha by leave-one-out error, without gathering trials. Sums are
+    solved by key on executors. Without keys, more than MOST_FEATURES features are solved by the products of trials instead. Rows with nulls are left out; a key of
+    which none is left has no model, so an empty table gives no rows."""
+    from . import keyed, tiles
+
+    keys = list(keys)
+    if not keys and (df.agg(F.max(F.size(x))).first()[0] or 0) > MOST_FEATURES:
+        return tiles.wide_ridge(df, alphas, fit_intercept, alpha_per_target, x, y)
+    return keyed.ridge_cv(df, keys, alphas, fit_intercept, alpha_per_target, x, y)
 
 
 def _summed(rows: DataFrame, work) -> dict[int, np.ndarray]:

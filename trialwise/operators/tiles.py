@@ -27,15 +27,16 @@ def _numbers(raw: bytes, n: int, kind=float) -> np.ndarray:
     return np.frombuffer(raw, kind).reshape(n, -1)
 
 
-def pack(df: DataFrame, arrays: list[str], tile: int, trial: str = "trial") -> DataFrame:
-    """(block, n, trials, arrays as the bytes of doubles): the rows of df in blocks of about tile rows, by a hash of the trial; in a block they are sorted by trial."""
+def pack(df: DataFrame, arrays: list[str], tile: int, trial: str = "trial", less: dict | None = None) -> DataFrame:
+    """(block, n, trials, arrays as the bytes of doubles): the rows of df in blocks of about tile rows, by a hash of the trial; in a block they are sorted by trial. less is taken off arrays."""
+    less = less or {}
     blocks = max(1, -(-df.count() // tile))
     rows = df.select(F.pmod(F.xxhash64(trial), F.lit(blocks)).cast("int").alias("block"), F.col(trial).alias("trial"), *[F.col(c).cast("array<double>").alias(c) for c in arrays])
     kind = df.schema[trial].dataType.simpleString()
 
     def work(t: pa.Table) -> pa.Table:
         t = t.sort_by("trial").combine_chunks()
-        flat = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).tobytes() for c in arrays]
+        flat = [(t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1) - less.get(c, 0)).tobytes() for c in arrays]
         return pa.table([t.column("block").slice(0, 1), pa.array([t.num_rows], pa.int32()), pa.array([t.column("trial").to_pylist()], pa.list_(t.schema.field("trial").type)), *[pa.array([b], pa.binary()) for b in flat]], ["block", "n", "trials", *arrays])
 
     return rows.groupBy("block").applyInArrow(work, f"block int, n int, trials array<{kind}>" + "".join(f", {c} binary" for c in arrays))
@@ -44,9 +45,9 @@ def pack(df: DataFrame, arrays: list[str], tile: int, trial: str = "trial") -> D
 class Tiles:
     """The kernel of all trials with each other. df has trial, x and further array columns, which are packed beside. Trials with nulls in them are left out."""
 
-    def __init__(self, df: DataFrame, kernel="linear", gamma: float = 1.0, coef0: float = 0.0, degree: float = 2.0, tile: int = TILE, trial: str = "trial", more: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, kernel="linear", gamma: float = 1.0, coef0: float = 0.0, degree: float = 2.0, tile: int = TILE, trial: str = "trial", more: tuple[str, ...] = (), less: dict | None = None):
         self.spark, self.steps, self.kernel = df.sparkSession, Steps(df.sparkSession, "tiles"), (kernel, gamma, coef0, degree)
-        self.blocks = self.steps.write(pack(whole(df, "x", *more), ["x", *more], tile, trial))
+        self.blocks = self.steps.write(pack(whole(df, "x", *more), ["x", *more], tile, trial, less))
         self.sizes = {r["block"]: r["n"] for r in self.blocks.select("block", "n").collect()}  # one number a block
         self.n = sum(self.sizes.values())
         own, name = self.kernel, list(self.sizes)
@@ -286,6 +287,7 @@ class KernelRidge:
     probes: int | None = None
     tol: float = 1e-10
     seed: int = 0
+    share = 0.0
 
     def _tiles(self, df: DataFrame, trial: str, more: tuple[str, ...]) -> Tiles:
         return Tiles(df, self.kernel, self.gamma_, self.coef0, self.degree, self.tile, trial, more)
@@ -306,7 +308,9 @@ class KernelRidge:
 
         def errors(r, n):
             a, g, m = _numbers(r["a"], n).reshape(n, F_, S, d), _numbers(r["g"], n).reshape(n, F_, S, 1), trains(r, n)[:, :, None, None]
-            return [{"block": r["block"], "e": (np.where(m > 0, a / np.where(m > 0, g, 1), 0) ** 2).sum(0).ravel().tolist()}]
+            # an intercept takes one in n of a trial more
+            rest = g - self.share / al[:, None] if self.share else g
+            return [{"block": r["block"], "e": (np.where(m > 0, a / np.where(m > 0, rest, 1), 0) ** 2).sum(0).ravel().tolist()}]
 
         told = tiles.each(both, errors, "block int, e array<double>").toArrow()  # folds x alphas x targets numbers a block
         loss = np.array(told.column("e").to_pylist()).sum(0).reshape(F_, S, d)
@@ -467,6 +471,46 @@ def _decide(blocks: DataFrame, tiles: Tiles, df: DataFrame, trial: str, shift: n
     return sums.groupBy(trial).agg(add.alias("predict"))
 
 
+def _mean(rows: DataFrame, name: str) -> np.ndarray:
+    """The mean of each array position, from a row of sums a task: as many numbers as the model has."""
+
+    def part(batches):
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(0)
+                total, n = own if total is None else total + own, n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+    total, n = 0.0, 0
+    for r in rows.select(F.col(name).cast("array<double>").alias("v")).mapInArrow(part, "v binary, n long").toLocalIterator():
+        total, n = total + np.frombuffer(r["v"]), n + r["n"]
+    return total / n
+
+
+def wide_ridge(df: DataFrame, alphas=1.0, fit_intercept: bool = True, alpha_per_target: bool = False, x: str = "x", y: str = "y", tile: int = TILE) -> DataFrame:
+    """(coef array<array<double>>, intercept, alpha): ridge with more features than a task's matrix holds, or than there are trials, by leave-one-out error.
+
+    The dual of centred trials: their products in tiles, inverted for all alphas by sweeps; the coefficients are sums over blocks. Rows with nulls are left out. Empty table: no rows.
+    """
+    al = np.atleast_1d(np.asarray(alphas, float))
+    rows = whole(df.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y").withColumn("own", F.array(F.lit(0.0)))
+    rows = rows.withColumn("trial", F.xxhash64("x", "y"))
+    kind = "coef array<array<double>>, intercept array<double>, alpha array<double>"
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([], kind)
+    mx, my = (_mean(rows, "x"), _mean(rows, "y")) if fit_intercept else (0.0, 0.0)
+    model = KernelRidge(al, "linear", 1.0, alpha_per_target=alpha_per_target, tile=tile)
+    tiles = Tiles(rows, "linear", tile=tile, more=("y", "own"), less={"x": mx, "y": my})
+    model.share = 1 / tiles.n if fit_intercept else 0.0
+    dual, alpha = model._dual(tiles, [-1])
+    coef = _weights(dual.join(tiles.blocks.select("block", "n", "x"), "block"), tiles)
+    icpt = my - coef @ mx if fit_intercept else np.zeros(len(coef))
+    tiles.remove()
+    return df.sparkSession.createDataFrame([(coef.tolist(), icpt.tolist(), alpha[0].tolist())], kind)
+
+
 @dataclass
 class SupportVectors:
     """One-versus-rest support vectors over tables: the box-constrained dual of local.SVC, whose trials meet in one task.

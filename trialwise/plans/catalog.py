@@ -344,6 +344,13 @@ def ridge_cv(spark, sf_dir):
     return m.select("l_returnflag", F.round(F.col("alpha")[0], 6).alias("alpha"), _r(c[0], 3).alias("quantity"), _r(c[1], 2).alias("discount"), _r(c[2], 2).alias("tax"), _r(F.col("intercept")[0], 2).alias("intercept"))
 
 
+@query(f"""WITH rows_ AS (SELECT 1 AS one, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3, embedding[1]::DOUBLE AS y FROM embeddings), {_ridge_sql("rows_", ["one"], [0.1, 10.0, 1000.0])}
+SELECT al AS alpha, round(w1, 6) + 0.0::DOUBLE AS w1, round(w2, 6) + 0.0::DOUBLE AS w2, round(w3, 6) + 0.0::DOUBLE AS w3, round(b0, 6) + 0.0::DOUBLE AS intercept FROM fit""")
+def ridge_wide(spark, sf_dir):
+    m = tiles.wide_ridge(_vectors(spark, sf_dir).select(F.slice("x", 2, 3).alias("x"), F.slice("x", 1, 1).alias("y")), [0.1, 10.0, 1000.0])
+    return m.select(F.col("alpha")[0].alias("alpha"), *[_r(F.col("coef")[0][i]).alias(f"w{i + 1}") for i in range(3)], _r(F.col("intercept")[0]).alias("intercept"))
+
+
 @query(f"""WITH rows_ AS (SELECT label, t.t, embedding[3]::DOUBLE AS x1, embedding[4]::DOUBLE AS x2, embedding[5]::DOUBLE AS x3, embedding[t.t + 1]::DOUBLE AS y FROM embeddings, range(2) t(t)), {_ridge_sql("rows_", ["label", "t"], [0.1, 1.0, 10.0])},
 w AS (SELECT label, t, unnest([1, 2, 3]) AS k, unnest([w1, w2, w3]) AS w FROM fit),
 e AS (SELECT label, vec_id, unnest([1, 2, 3]) AS k, unnest(embedding[3:5]::DOUBLE[]) AS v FROM embeddings),
