@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trialwise.operators import gram, keyed, local, tiles
+from trialwise.operators import classes, gram, keyed, local, splits, tasks, tiles
 
 
 def frame(spark, X, y=None, **more):
@@ -143,3 +143,48 @@ def test_ridge_of_many_keys_never_meets_the_driver(spark, monkeypatch):
         want = local.RidgeCV([0.1, 1.0]).fit(np.stack([np.sin(ids), np.cos(ids * 3)], 1), np.sin(ids * 7))
         got = m.where(F.col("k") == k).first()
         np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-8)
+
+
+def labelled(spark, n=120, seed=6):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 4, n).astype(float) * 2
+    X = rng.standard_normal((n, 5)) + np.eye(5)[(y / 2).astype(int)]
+    return X, y, frame(spark, X, y)
+
+
+@pytest.mark.parametrize("method", ["OvR", "OvO"])
+@pytest.mark.parametrize("alphas", [[1.0], [0.01, 1.0, 100.0]])
+def test_classifiers_by_class_sums(spark, monkeypatch, method, alphas):
+    X, y, df = labelled(spark)
+    model = local.RidgeClassifier(alphas, method=method)
+    metrics = (tasks.accuracy,) if method == "OvO" else (tasks.accuracy, tasks.roc_auc)
+    got = sorted(map(tuple, tasks.cross_val_score(model, df, 3, metrics).collect()))
+    monkeypatch.setattr(tasks.Validator, "class_models", lambda *a: None)
+    want = sorted(map(tuple, tasks.cross_val_score(model, df, 3, metrics).collect()))
+    assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) == 3 * len(metrics)
+    np.testing.assert_allclose([r[4] for r in got], [r[4] for r in want], atol=1e-9)
+    # decisions and probabilities of every trial by the models that have not seen it
+    dealt = splits.KFold(3).assign(df, "trial").withColumns({"repeat": F.lit(0), "c": F.col("y")[0]})
+    m = classes.ClassModels(dealt, [], "fold", "c", alphas, True, False, method)
+    for proba in (False, True):
+        rows = {r["trial"]: r for r in m.decide(dealt, proba=proba).collect()}
+        for f in range(3):
+            at = [i for i, r in rows.items() if r["fold"] == f]
+            own = model.clone().fit(np.delete(X, at, 0), np.delete(y, at))
+            assert (own.predict(X[at])[:, 0] == [rows[i]["predict"] for i in at]).all() or proba
+            if proba or method == "OvR":
+                np.testing.assert_allclose([rows[i]["decision"] for i in at], own.predict_proba(X[at]) if proba else own.decision_function(X[at]), atol=1e-8)
+
+
+def test_keys_in_one_fold_have_no_scores(spark, monkeypatch):
+    X, y, df = labelled(spark, 40)
+    keyed_ = df.withColumn("g", F.when(F.col("trial") == 7, "b").otherwise("a"))
+    nulls = spark.createDataFrame([(900, None, [2.0], "a"), (901, [1.0] * 5, None, "a"), (902, [1.0] * 5, [None], "a")], "trial long, x array<double>, y array<double>, g string")
+    for model, metric, name in ((local.RidgeClassifier([0.1, 1.0]), tasks.accuracy, "class_models"), (local.RidgeCV([0.1, 1.0]), tasks.r2, "_by_sums")):
+        sums = sorted(map(tuple, tasks.cross_val_score(model, keyed_, 4, metric, keys=["g"]).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(tasks.Validator, name, lambda *a: None)
+            block = sorted(map(tuple, tasks.cross_val_score(model, keyed_, 4, metric, keys=["g"]).collect()))
+        assert len(sums) == 4 and [r[:5] for r in sums] == [r[:5] for r in block] and {r[0] for r in sums} == {"a"}
+        np.testing.assert_allclose([r[5] for r in sums], [r[5] for r in block], atol=1e-9)
+    assert tasks.cross_val_score(local.RidgeClassifier([0.1]), df.union(nulls.drop("g")), 4, tasks.accuracy).count() == 4

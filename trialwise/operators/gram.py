@@ -136,7 +136,7 @@ def validate(rows: DataFrame, keys: list[str], own: str, model, names: list[str]
         everything[k[:-1]] = tuple(a + b for a, b in zip(everything[k[:-1]], m)) if k[:-1] in everything else m
     p, d = next(iter(sums.values()))[4].shape if sums else (0, 0)
     chosen = [np.ones(p, bool)] if masks is None else [np.asarray(m, bool) for m in masks]
-    tasks = [(k, n, minus(everything[k[:-1]], m)) for k, m in sums.items() for n in range(len(chosen))]
+    tasks = [(k, n, minus(everything[k[:-1]], m)) for k, m in sums.items() if everything[k[:-1]][0] > m[0] for n in range(len(chosen))]  # a fold that holds all has no model
     by_set: dict = {}
     for i, (k, _, _) in enumerate(tasks):
         by_set.setdefault(k[:-1], []).append(i)
@@ -153,7 +153,7 @@ def validate(rows: DataFrame, keys: list[str], own: str, model, names: list[str]
         def errors(batches):
             (of, sets, models, mask), out = shared.value, {}
             for k, X, Y in _blocks(batches, groups):
-                for i in sets[k[:-1]]:
+                for i in sets.get(k[:-1], ()):
                     fold, n = of[i]
                     if fold != k[-1]:
                         count, mx, my, w, q, z = models[i]
@@ -182,7 +182,7 @@ def validate(rows: DataFrame, keys: list[str], own: str, model, names: list[str]
     def squares(batches):
         (of, models), out = sent.value, {}
         for k, X, Y in _blocks(batches, groups):
-            for i in of[k]:
+            for i in of.get(k, ()):
                 coef, icpt, mean = models[i]
                 b, q = Y - mean, X @ coef.T + icpt - mean
                 out[i] = out.get(i, 0) + np.stack([np.full(d, len(X)), b.sum(0), q.sum(0), (b * b).sum(0), (q * q).sum(0), (b * q).sum(0), ((b - q) ** 2).sum(0)])

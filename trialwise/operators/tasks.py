@@ -1,5 +1,5 @@
 """Fit tasks: metrics, Validator, cross_val_score, Sliding, Hierarchical and Shapley. A task is one (keys, fold, mask); its trials meet in one grouped
-function, sorted by trial, so a task's block must fit a worker. Ridge models under r2 and pearsonr are validated by sums instead, without
+function, sorted by trial, so a task's block must fit a worker. Ridge models under r2 and pearsonr, and ridge classifiers under accuracy and roc_auc, are validated by sums instead, without
 gathering trials. What varies is a table of tasks joined to trials, never a driver loop.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.math import rank_rows
-from . import gram
+from . import classes, gram
 from .gram import _matrix
-from .local import Pipeline, RidgeCV
+from .local import Pipeline, RidgeClassifier, RidgeCV
 from .splits import KFold
 
 
@@ -368,6 +368,16 @@ class Validator:
     def _by_sums(self) -> bool:
         return type(self.model) is RidgeCV and all(m in (r2, pearsonr) for m in _several(self.metric))
 
+    def class_models(self, dealt: DataFrame, keys: list[str]) -> classes.ClassModels | None:
+        """A ridge classifier's models of all folds by sums per class, if it is one of a single label and its sums fit the driver; and if the metrics are of such."""
+        m, pairs = self.model, getattr(self.model, "method", "") == "OvO"
+        if type(m) is not RidgeClassifier or m.normalise or any(x not in ((accuracy,) if pairs else (accuracy, roc_auc)) for x in _several(self.metric, accuracy)):
+            return None
+        rows = dealt.withColumn("__label", F.col("y")[0])
+        if (dealt.agg(F.max(F.size("y"))).first()[0] or 0) != 1 or not classes.fits_driver(rows, [*keys, "repeat", "__own"], "__label", pairs):
+            return None
+        return classes.ClassModels(rows, keys, "__own", "__label", m.alphas, m.fit_intercept, m.alpha_per_target, m.method)
+
     def scores(self, df: DataFrame, keys: list[str] = (), trial: str = "trial", masks: list | None = None) -> DataFrame:
         """(keys, [mask,] repeat, fold, metric, target, score). masks: feature masks to be fitted each. Ridge models whose sums fit the driver are validated by sums."""
         keys, (dealt, k) = list(keys), self._dealt(df, trial)
@@ -376,6 +386,8 @@ class Validator:
         if self._by_sums() and gram.fits_driver(dealt, [*keys, "repeat", "__own"], len(masks or [0])):
             found = gram.validate(dealt, keys, "__own", model, [m.name for m in metrics], masks)
             return df.sparkSession.createDataFrame([(*key, *((n,) if masks is not None else ()), *rest) for key, n, *rest in found], schema)
+        if masks is None and (found := self.class_models(dealt, keys)):
+            return classes.scores(found.decide(dealt.withColumn("__label", F.col("y")[0]), trial), keys, [m.name for m in metrics])
         rows = dealt.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         if masks is not None:
             rows = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))

@@ -509,6 +509,31 @@ def shapley(spark, sf_dir):
     return tasks.shapley_score(local.RidgeCV([0.1, 10.0]), _supplied(spark, sf_dir), np.eye(3, dtype=bool), n_permutations=4).withColumn("score", _r("score"))
 
 
+@query(f"""WITH f AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3, {_folds_sql(3, "vec_id")} AS own FROM embeddings),
+c AS (SELECT DISTINCT label AS c FROM embeddings), p AS (SELECT a.c AS j, b.c AS k FROM c a JOIN c b ON a.c < b.c),
+rows_ AS (SELECT fold::INT AS fold, j, k, x1, x2, x3, CASE WHEN label = j THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM f JOIN p ON label = j OR label = k, range(3) t(fold) WHERE own <> fold),
+{_ridge_sql("rows_", ["fold", "j", "k"], [0.01, 1.0, 100.0])},
+v AS (SELECT vec_id, own, label, CASE WHEN x1 * w1 + x2 * w2 + x3 * w3 + b0 >= 0 THEN j ELSE k END AS vote FROM f JOIN fit ON fit.fold = f.own),
+n AS (SELECT vec_id, own, label, vote, count(*) AS n FROM v GROUP BY ALL),
+g AS (SELECT vec_id, own, label, arg_max(vote, n * 1000 - vote) AS guess FROM n GROUP BY ALL)
+SELECT 0::INT AS repeat, own AS fold, 'accuracy' AS metric, 0::INT AS target, round(avg((label = guess)::INT), 6) + 0.0::DOUBLE AS score FROM g GROUP BY own""")
+def ridge_classifier_pairs(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", F.slice("x", 1, 3).alias("x"), F.array(F.col("label").cast("double")).alias("y"))
+    return tasks.cross_val_score(local.RidgeClassifier([0.01, 1.0, 100.0], method="OvO"), df, 3, tasks.accuracy).withColumn("score", _r("score"))
+
+
+@query(f"""WITH f AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3, {_folds_sql(5, "vec_id")} AS own FROM embeddings),
+rows_ AS (SELECT fold::INT AS fold, c, x1, x2, x3, CASE WHEN label = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM f, range(5) t(fold), (SELECT DISTINCT label AS c FROM embeddings) WHERE own <> fold),
+{_ridge_sql("rows_", ["fold", "c"], [0.01, 1.0, 100.0], ["fold"])},
+s AS (SELECT fold, c, (label = c)::INT AS hit, x1 * w1 + x2 * w2 + x3 * w3 + b0 AS s FROM f JOIN fit ON fit.fold = f.own),
+r AS (SELECT *, rank() OVER (PARTITION BY fold, c ORDER BY s) + (count(*) OVER (PARTITION BY fold, c, s) - 1) / 2.0::DOUBLE AS r FROM s),
+a AS (SELECT fold, c, sum(hit)::DOUBLE AS p, count(*)::DOUBLE AS n, sum(hit * r) AS h FROM r GROUP BY fold, c)
+SELECT 0::INT AS repeat, fold, 'roc_auc' AS metric, 0::INT AS target, round(avg((h - p * (p + 1) / 2) / (p * (n - p))), 6) + 0.0::DOUBLE AS score FROM a WHERE p > 0 AND p < n GROUP BY fold""")
+def ridge_classifier_auc(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", F.slice("x", 1, 3).alias("x"), F.array(F.col("label").cast("double")).alias("y"))
+    return tasks.cross_val_score(local.RidgeClassifier([0.01, 1.0, 100.0]), df, 5, tasks.roc_auc).withColumn("score", _r("score"))
+
+
 @query()
 def cross_validated_classifier(spark, sf_dir):
     return tasks.cross_val_score(local.RidgeClassifier(np.logspace(-3, 3, 7)), _labelled(spark, sf_dir), 5, (tasks.accuracy, tasks.roc_auc))
