@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trialwise.operators import classes, gram, keyed, local, splits, tasks, tiles
+from trialwise.operators import classes, gram, keyed, local, rsa, series, splits, tasks, tiles
 
 
 def frame(spark, X, y=None, **more):
@@ -188,3 +188,77 @@ def test_keys_in_one_fold_have_no_scores(spark, monkeypatch):
         assert len(sums) == 4 and [r[:5] for r in sums] == [r[:5] for r in block] and {r[0] for r in sums} == {"a"}
         np.testing.assert_allclose([r[5] for r in sums], [r[5] for r in block], atol=1e-9)
     assert tasks.cross_val_score(local.RidgeClassifier([0.1]), df.union(nulls.drop("g")), 4, tasks.accuracy).count() == 4
+
+
+def test_rank_metrics_of_all_folds_and_masks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    X = rng.standard_normal((80, 3))
+    Y = np.round(X @ rng.standard_normal((3, 2)) + 0.5 * rng.standard_normal((80, 2)), 1)
+    df, masks = frame(spark, X, Y), [np.array(m, bool) for m in ([1, 0, 1], [1, 1, 1])]
+    v = tasks.Validator(local.RidgeCV([0.1, 10.0]), 4, (tasks.r2, tasks.spearmanr))
+    got = {tuple(r)[:-1]: r["score"] for r in v.scores(df, masks=masks).collect()}
+    monkeypatch.setattr(tasks.Validator, "_by_sums", lambda self: False)
+    want = {tuple(r)[:-1]: r["score"] for r in v.scores(df, masks=masks).collect()}
+    assert got.keys() == want.keys() and len(got) == 2 * 4 * 2 * 2
+    np.testing.assert_allclose([got[k] for k in want], [*want.values()], atol=1e-9)
+
+
+def test_shapley_orders_have_folds_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    X = rng.standard_normal((40, 3))
+    y = X @ [[2.0], [1.0], [0.0]] + rng.standard_normal((40, 1))
+    df, groups = frame(spark, X, y), np.eye(3, dtype=bool)
+    s = tasks.Shapley(tasks.Validator(local.RidgeCV([0.1, 10.0]), 4), 3, seed=5, shuffle=True)
+    got = {(r["permutation"], r["group"], r["fold"]): r["score"] for r in s.scores(df, groups).collect()}
+    steps, masks = s.orders(groups)
+    folds = [{r["trial"]: r["fold"] for r in splits.KFold(4, True, 5000 + p).assign(df.select("trial")).collect()} for p in range(3)]
+    assert len(got) == 3 * 3 * 4 and folds[0] != folds[1] != folds[2]
+
+    def score(p, mask, f):
+        test = np.array([folds[p][i] == f for i in range(40)])
+        m = local.RidgeCV([0.1, 10.0]).fit(X[~test][:, masks[mask]], y[~test])
+        return 1 - ((y[test] - m.predict(X[test][:, masks[mask]])) ** 2).sum() / ((y[test] - y[~test].mean()) ** 2).sum()
+
+    for p, g, mask, last in steps:
+        for f in range(4):
+            assert np.isclose(got[p, g, f], score(p, mask, f) - (score(p, last, f) if last >= 0 else 0))
+
+
+@pytest.mark.parametrize("precise", [False, True])
+def test_grouped_distances_with_holes(spark, monkeypatch, precise):
+    rng = np.random.default_rng(10)
+    monkeypatch.setattr(rsa, "GROUPS", 2)
+    monkeypatch.setattr(rsa, "CHUNK", 9)
+    X, there = rng.standard_normal((2, 12, 5, 3)), rng.random((2, 12, 5)) < 0.7
+    there[0, :, 4] = [True] + [False] * 11
+    P = np.eye(3) * 2 + 0.3 if precise else None
+    rows = [("kx"[k], t, f"g{g}", X[k, t, g].tolist()) for k, t, g in np.argwhere(there).tolist()] + [("k", None, "g1", [1.0] * 3), ("k", 1, None, [1.0] * 3), ("k", 1, "g2", None)]
+    df = spark.createDataFrame(rows, "k string, trial long, g string, x array<double>")
+    got = {tuple(r)[:3]: r["value"] for r in rsa.grouped_rsa(df, ["k"], precision=None if P is None else P.tolist()).collect()}
+    want = {}
+    for k in range(2):
+        for i in range(5):
+            for j in range(i + 1, 5):
+                at = there[k, :, i] & there[k, :, j]
+                if at.any():
+                    d, n = X[k, at, i] - X[k, at, j], at.sum()
+                    M = d @ (np.eye(3) if P is None else P) @ d.T
+                    want["kx"[k], f"g{i}", f"g{j}"] = (M.sum() - np.trace(M)) / n**2
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in want], [*want.values()], atol=1e-10)
+    assert rsa.grouped_rsa(df.where("false"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("edge", ["replicate", "zero"])
+def test_lagged_designs_of_long_series(spark, edge):
+    rng = np.random.default_rng(11)
+    rows = [(s, int(t), rng.standard_normal(2).tolist(), rng.standard_normal(2).tolist()) for s, n in ((0, 100), (1, 7), (2, 1), (None, 23)) for t in rng.permutation(n) * 3]
+    df, window = spark.createDataFrame(rows, "s long, t long, x array<double>, y array<double>"), [-3, -1, 0, 2]
+    a, b = (sorted(map(repr, map(tuple, d.collect()))) for d in (rsa.lagged_design(df, window, ["s"], edge=edge), rsa.lagged_ranges(df, window, ["s"], edge=edge, span=4)))
+    assert a == b and len(a) == len(rows)
+    # one series in fifty ranges is one block
+    X, Y = (np.array([r[i] for r in sorted(rows[:100], key=lambda r: r[1])]).T[None] for i in (2, 3))
+    want = local.TimeDelayed(-2, 1, 1, [0.1, 10.0], edge, True).fit(X, Y)
+    got = series.time_delayed(df.where("s = 0"), ["s"], -2, 1, 1, [0.1, 10.0], edge=edge, patterns=True, span=2).first()
+    np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-8)
+    np.testing.assert_allclose(got["pattern"], want.pattern_, atol=1e-8)

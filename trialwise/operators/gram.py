@@ -28,41 +28,19 @@ def whole(df: DataFrame, *names: str) -> DataFrame:
 
 
 def moments(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> dict[tuple, tuple]:
-    """{key: (n, sum x, sum y, x'x, x'y)} by partial sums in each task; one row per key and task is shuffled. Rows with nulls are left out."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = whole(df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
+    """{key: (n, sum x, sum y, x'x, x'y)} of few keys, by partial sums in each task, which are added up in parts of bounded size. Rows with nulls are left out."""
+    from .keyed import Keyed, opened, sums
 
-    def part(batches):
-        sums: dict = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            X, Y = _matrix(b.column("x")), _matrix(b.column("y"))
-            names = list(zip(*[b.column(k).to_pylist() for k in keys])) if keys else [()] * len(X)
-            number = {k: i for i, k in enumerate(dict.fromkeys(names))}
-            at = np.array([number[k] for k in names])
-            for k, i in number.items():
-                A, B = X[at == i], Y[at == i]
-                own = np.concatenate([[len(A)], A.sum(0), B.sum(0), (A.T @ A).ravel(), (A.T @ B).ravel()])
-                sums[k] = sums[k] + own if k in sums else own
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({**{c: pa.array([e], out_types[c]) for c, e in zip(keys, k)}, "i": pa.array([list(range(len(v)))], pa.list_(pa.int32())), "v": pa.array([v.tolist()], pa.list_(pa.float64())), "p": pa.array([X.shape[1]], pa.int32()), "d": pa.array([Y.shape[1]], pa.int32())})
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out_types = {k: to_arrow_type(df.schema[k].dataType) for k in keys}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "i array<int>, v array<double>, p int, d int"])
-    parts = rows.mapInArrow(part, schema)
-    summed = parts.select(*keys, "p", "d", F.explode(F.arrays_zip("i", "v")).alias("e")).groupBy(*keys, "p", "d", F.col("e.i").alias("i")).agg(F.sum("e.v").alias("v"))
-    gathered = summed.groupBy(*keys, "p", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
-    out = {}
-    for r in gathered.collect():
-        p, d, v = r["p"], r["d"], np.array(r["v"])
-        if p > MOST_FEATURES:
-            raise ValueError("too many features for a driver's matrix")
-        cut = np.cumsum([1, p, d, p * p])
-        out[tuple(r[k] for k in keys)] = (v[0], v[1 : cut[1]], v[cut[1] : cut[2]], v[cut[2] : cut[3]].reshape(p, p), v[cut[3] :].reshape(p, d))
-    return out
+    keys = list(keys)
+    rows = whole(df.select(*keys, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
+    found: dict = {}
+    for r in sums(rows, Keyed(df, keys)).toArrow().to_pylist():
+        found.setdefault((tuple(r[k] for k in keys), r["p"], r["d"]), []).append((r["part"], r["v"]))
+    if any(p > MOST_FEATURES for _, p, _ in found):
+        raise ValueError("too many features for a driver's matrix")
+    if len(found) != len({k for k, _, _ in found}):
+        raise ValueError("a key's trials have different numbers of features or targets")
+    return {k: opened(b"".join(v for _, v in sorted(parts)), p, d) for (k, p, d), parts in found.items()}
 
 
 def minus(a: tuple, b: tuple) -> tuple:
@@ -93,11 +71,16 @@ def _summed(rows: DataFrame, work) -> dict[int, np.ndarray]:
 
     def part(batches):
         for k, v in work(batches).items():
-            yield pa.RecordBatch.from_pydict({"id": pa.array([k], pa.int64()), "v": pa.array([np.asarray(v, float).ravel().tolist()], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"id": pa.array([k], pa.int64()), "v": pa.array([np.asarray(v, float).tobytes()], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        out: dict = {}
+        for k, v in zip(t.column("id").to_pylist(), t.column("v").to_pylist()):
+            out[k] = out[k] + np.frombuffer(v) if k in out else np.frombuffer(v)
+        return pa.table({"id": pa.array([*out], pa.int64()), "v": pa.array([v.tobytes() for v in out.values()], pa.binary())})
 
-    parts = rows.mapInArrow(part, "id long, v array<double>").select("id", F.posexplode("v").alias("i", "v")).groupBy("id", "i").agg(F.sum("v").alias("v"))
-    gathered = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
-    return {r["id"]: np.array([e["v"] for e in r["v"]]) for r in gathered.collect()}
+    parts = rows.mapInArrow(part, "id long, v binary").groupBy(F.pmod("id", F.lit(64))).applyInArrow(add, "id long, v binary")
+    return {r["id"]: np.frombuffer(r["v"]) for r in parts.toArrow().to_pylist()}
 
 
 def _blocks(batches, names: list[str]):
@@ -122,80 +105,110 @@ def fits_driver(df: DataFrame, names: list[str], n_masks: int, x: str = "x") ->
     return p <= MOST_FEATURES and groups * p * p * (1 + n_masks) <= MOST_NUMBERS
 
 
-def validate(rows: DataFrame, keys: list[str], own: str, model, names: list[str], masks: list | None = None, x: str = "x", y: str = "y") -> list[tuple]:
-    """[(key, mask, repeat, fold, metric, target, score)] of a ridge model, by sums: no trial is gathered.
+class FoldModels:
+    """Ridge models of every fold and mask, by sums: no trial is gathered.
 
     rows have keys, repeat and own, the fold that tests them. One pass sums moments per fold: training sums are all folds' less one's,
-    a mask's are submatrices. With several alphas a second pass adds up leave-one-out errors, and the last adds up what r2 (against the training mean) and pearsonr need.
+    a mask's are submatrices. With several alphas a second pass adds up leave-one-out errors. wanted(repeat, mask) says which masks a repeat is for.
     """
-    groups = [*keys, "repeat", own]
-    rows = whole(rows.select(*groups, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
-    sums, al = moments(rows, groups), np.atleast_1d(np.asarray(model.alphas, float))
-    everything: dict = {}
-    for k, m in sums.items():
-        everything[k[:-1]] = tuple(a + b for a, b in zip(everything[k[:-1]], m)) if k[:-1] in everything else m
-    p, d = next(iter(sums.values()))[4].shape if sums else (0, 0)
-    chosen = [np.ones(p, bool)] if masks is None else [np.asarray(m, bool) for m in masks]
-    tasks = [(k, n, minus(everything[k[:-1]], m)) for k, m in sums.items() if everything[k[:-1]][0] > m[0] for n in range(len(chosen))]  # a fold that holds all has no model
-    by_set: dict = {}
-    for i, (k, _, _) in enumerate(tasks):
-        by_set.setdefault(k[:-1], []).append(i)
-    solved, intercept = [], model.fit_intercept
-    for _, n, train in tasks:
-        count, sx, sy, xx, xy = subset(train, chosen[n])
-        mx, my = (sx / count, sy / count) if intercept else (np.zeros_like(sx), np.zeros_like(sy))
-        w, q = np.linalg.eigh(xx - count * np.outer(mx, mx))
-        solved.append((count, mx, my, np.maximum(w, 0), q, q.T @ (xy - count * np.outer(mx, my))))
-    losses = {i: np.zeros(len(al) * d) for i in range(len(tasks))}
-    if len(al) > 1 and tasks:
-        shared = rows.sparkSession.sparkContext.broadcast(([(k[-1], n) for k, n, _ in tasks], by_set, solved, chosen))
-
-        def errors(batches):
-            (of, sets, models, mask), out = shared.value, {}
+
+    def __init__(self, rows: DataFrame, keys: list[str], own: str, model, masks: list | None = None, x: str = "x", y: str = "y", wanted=None):
+        self.groups = groups = [*keys, "repeat", own]
+        self.own, self.masked = own, masks is not None
+        rows = whole(rows.select(*groups, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
+        sums, al = moments(rows, groups), np.atleast_1d(np.asarray(model.alphas, float))
+        everything: dict = {}
+        for k, m in sums.items():
+            everything[k[:-1]] = tuple(a + b for a, b in zip(everything[k[:-1]], m)) if k[:-1] in everything else m
+        p, d = next(iter(sums.values()))[4].shape if sums else (0, 0)
+        chosen = [np.ones(p, bool)] if masks is None else [np.asarray(m, bool) for m in masks]
+        tasks = [(k, n, minus(everything[k[:-1]], m)) for k, m in sums.items() if everything[k[:-1]][0] > m[0] for n in range(len(chosen)) if wanted is None or wanted(k[-2], n)]  # a fold that holds all has no model
+        by_set: dict = {}
+        for i, (k, _, _) in enumerate(tasks):
+            by_set.setdefault(k[:-1], []).append(i)
+        solved, intercept = [], model.fit_intercept
+        for _, n, train in tasks:
+            count, sx, sy, xx, xy = subset(train, chosen[n])
+            mx, my = (sx / count, sy / count) if intercept else (np.zeros_like(sx), np.zeros_like(sy))
+            w, q = np.linalg.eigh(xx - count * np.outer(mx, mx))
+            solved.append((count, mx, my, np.maximum(w, 0), q, q.T @ (xy - count * np.outer(mx, my))))
+        losses = {i: np.zeros(len(al) * d) for i in range(len(tasks))}
+        if len(al) > 1 and tasks:
+            shared = rows.sparkSession.sparkContext.broadcast(([(k[-1], n) for k, n, _ in tasks], by_set, solved, chosen))
+
+            def errors(batches):
+                (of, sets, models, mask), out = shared.value, {}
+                for k, X, Y in _blocks(batches, groups):
+                    for i in sets.get(k[:-1], ()):
+                        fold, n = of[i]
+                        if fold != k[-1]:
+                            count, mx, my, w, q, z = models[i]
+                            A, B = (X[:, mask[n]] - mx) @ q, Y - my
+                            own_ = out.setdefault(i, np.zeros((len(al), d)))
+                            for j, a in enumerate(al):
+                                g = 1 / np.where(w + a > 0, w + a, np.inf)
+                                e = (B - A @ (g[:, None] * z)) / (1 - (1 / count if intercept else 0) - (A * A) @ g)[:, None]
+                                own_[j] += (e * e).sum(0)
+                return out
+
+            losses |= _summed(rows, errors)
+        fitted = []
+        for i, (_, n, train) in enumerate(tasks):
+            coef, icpt, _ = ridge_from_moments(*subset(train, chosen[n]), al, losses[i].reshape(len(al), d), intercept, model.alpha_per_target)
+            full = np.zeros((d, p))
+            full[:, chosen[n]] = coef
+            fitted.append((full, icpt, train[2] / train[0]))
+        self.rows, self.tasks, self.d, self.models_of = rows, tasks, d, {}
+        for i, (k, _, _) in enumerate(tasks):
+            self.models_of.setdefault(k, []).append(i)
+        self.sent = rows.sparkSession.sparkContext.broadcast((self.models_of, fitted))
+
+    def scores(self, names: list[str]) -> list[tuple]:
+        """[(key, mask, repeat, fold, metric, target, score)] of r2 (against the training mean) and pearsonr, by one pass of sums."""
+        sent, groups, d, tasks = self.sent, self.groups, self.d, self.tasks
+
+        def squares(batches):
+            (of, models), out = sent.value, {}
             for k, X, Y in _blocks(batches, groups):
-                for i in sets.get(k[:-1], ()):
-                    fold, n = of[i]
-                    if fold != k[-1]:
-                        count, mx, my, w, q, z = models[i]
-                        A, B = (X[:, mask[n]] - mx) @ q, Y - my
-                        own_ = out.setdefault(i, np.zeros((len(al), d)))
-                        for j, a in enumerate(al):
-                            g = 1 / np.where(w + a > 0, w + a, np.inf)
-                            e = (B - A @ (g[:, None] * z)) / (1 - (1 / count if intercept else 0) - (A * A) @ g)[:, None]
-                            own_[j] += (e * e).sum(0)
+                for i in of.get(k, ()):
+                    coef, icpt, mean = models[i]
+                    b, q = Y - mean, X @ coef.T + icpt - mean
+                    out[i] = out.get(i, 0) + np.stack([np.full(d, len(X)), b.sum(0), q.sum(0), (b * b).sum(0), (q * q).sum(0), (b * q).sum(0), ((b - q) ** 2).sum(0)])
             return out
 
-        losses |= _summed(rows, errors)
-    fitted = []
-    for i, (_, n, train) in enumerate(tasks):
-        coef, icpt, _ = ridge_from_moments(*subset(train, chosen[n]), al, losses[i].reshape(len(al), d), intercept, model.alpha_per_target)
-        full = np.zeros((d, p))
-        full[:, chosen[n]] = coef
-        fitted.append((full, icpt, train[2] / train[0]))
-    if not tasks:
-        return []
-    models_of = {}
-    for i, (k, _, _) in enumerate(tasks):
-        models_of.setdefault(k, []).append(i)
-    sent = rows.sparkSession.sparkContext.broadcast((models_of, fitted))
-
-    def squares(batches):
-        (of, models), out = sent.value, {}
-        for k, X, Y in _blocks(batches, groups):
-            for i in of.get(k, ()):
-                coef, icpt, mean = models[i]
-                b, q = Y - mean, X @ coef.T + icpt - mean
-                out[i] = out.get(i, 0) + np.stack([np.full(d, len(X)), b.sum(0), q.sum(0), (b * b).sum(0), (q * q).sum(0), (b * q).sum(0), ((b - q) ** 2).sum(0)])
+        out = []
+        for i, v in sorted(_summed(self.rows, squares).items()) if tasks else ():
+            k, n, _ = tasks[i]
+            count, b, q, bb, qq, bq, rest = v.reshape(7, d)
+            with np.errstate(all="ignore"):
+                scores = {"r2": np.where(bb != 0, 1 - rest / np.where(bb != 0, bb, 1), 0.0), "pearsonr": (bq - b * q / count) / np.sqrt((bb - b * b / count) * (qq - q * q / count))}
+            out += [(k[:-2], n, k[-2], k[-1], name, t, float(scores[name][t])) for name in names for t in range(d)]
         return out
 
-    out = []
-    for i, v in sorted(_summed(rows, squares).items()):
-        k, n, _ = tasks[i]
-        count, b, q, bb, qq, bq, rest = v.reshape(7, d)
-        with np.errstate(all="ignore"):
-            scores = {"r2": np.where(bb != 0, 1 - rest / np.where(bb != 0, bb, 1), 0.0), "pearsonr": (bq - b * q / count) / np.sqrt((bb - b * b / count) * (qq - q * q / count))}
-        out += [(k[:-2], n, k[-2], k[-1], name, t, float(scores[name][t])) for name in names for t in range(d)]
-    return out
+    def predictions(self) -> DataFrame:
+        """(keys, mask, repeat, fold, target, y, p): every trial's targets and what the models that have not seen it say, of all folds and masks in one pass. Rank measures are taken from these rows."""
+        sent, groups, of_task = self.sent, self.groups, [n for _, n, _ in self.tasks]
+        kinds = ", ".join(f"`{c}` {self.rows.schema[c].dataType.simpleString()}" for c in groups)
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(self.rows.schema[c].dataType) for c in groups]
+
+        def work(batches):
+            of, models = sent.value
+            for k, X, Y in _blocks(batches, groups):
+                for i in of.get(k, ()):
+                    coef, icpt, _ = models[i]
+                    P = X @ coef.T + icpt
+                    columns = [pa.array([v] * P.size, t) for v, t in zip(k, types)]
+                    columns += [pa.array(np.full(P.size, of_task[i], np.int32)), pa.array(np.tile(np.arange(P.shape[1], dtype=np.int32), len(P))), pa.array(Y.ravel()), pa.array(P.ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, [*groups, "mask", "target", "y", "p"])
+
+        return self.rows.mapInArrow(work, kinds + ", mask int, target int, y double, p double").withColumnRenamed(self.own, "fold")
+
+
+def validate(rows: DataFrame, keys: list[str], own: str, model, names: list[str], masks: list | None = None) -> list[tuple]:
+    """[(key, mask, repeat, fold, metric, target, score)] of a ridge model: see FoldModels."""
+    return FoldModels(rows, keys, own, model, masks).scores(names)
 
 
 def ridge_encoder(df: DataFrame, time: str = "t", alphas=1.0, fit_intercept: bool = True, alpha_per_target: bool = False, x: str = "x", y: str = "y") -> DataFrame:

@@ -100,7 +100,7 @@ def sums(rows: DataFrame, keyed: Keyed) -> DataFrame:
     return parts.withColumn("__bin", _bin(keyed.bins, *keys, "part")).groupBy("__bin").applyInArrow(add, kind)
 
 
-def _opened(raw: bytes, p: int, d: int) -> tuple:
+def opened(raw: bytes, p: int, d: int) -> tuple:
     v, cut = np.frombuffer(raw), np.cumsum([1, p, d, p * p])
     return v[0], v[1 : cut[1]], v[cut[1] : cut[2]], v[cut[2] : cut[3]].reshape(p, p), v[cut[3] :].reshape(p, d)
 
@@ -148,7 +148,7 @@ def losses(rows: DataFrame, solved: DataFrame, keyed: Keyed, al: np.ndarray, fit
         for at, first in groups(a, keys):
             k = keyed.of(a, first)
             r = known[k]
-            n, sx, sy, xx, xy = _opened(b.column("v")[r].as_py(), b.column("p")[r].as_py(), b.column("d")[r].as_py())
+            n, sx, sy, xx, xy = opened(b.column("v")[r].as_py(), b.column("p")[r].as_py(), b.column("d")[r].as_py())
             own = a.take(pa.array(at))
             X, Y = _matrix(own.column("x")), _matrix(own.column("y"))
             mx, my = (sx / n, sy / n) if fit_intercept else (np.zeros_like(sx), np.zeros_like(sy))
@@ -183,7 +183,7 @@ def ridge_cv(df: DataFrame, keys: list[str], alphas=1.0, fit_intercept: bool = T
             raw, _, r = next(o for o in own if o[0] is not None)
             p, d = t.column("p")[r].as_py(), t.column("d")[r].as_py()
             loss = sum((np.frombuffer(e).reshape(len(al), d) for _, e, _ in own if e is not None), np.zeros((len(al), d)))
-            coef, icpt, alpha = ridge_from_moments(*_opened(raw, p, d), al, loss, fit_intercept, alpha_per_target)
+            coef, icpt, alpha = ridge_from_moments(*opened(raw, p, d), al, loss, fit_intercept, alpha_per_target)
             out.append((*keyed.of(t, first), coef.tolist(), icpt.tolist(), np.broadcast_to(alpha, len(coef)).tolist()))
         return keyed.table(out, ["coef", "intercept", "alpha"], [pa.list_(pa.list_(pa.float64())), pa.list_(pa.float64()), pa.list_(pa.float64())])
 

@@ -85,13 +85,74 @@ def full_rdm(rdm: DataFrame, keys: list[str] = ()) -> DataFrame:
     return rdm.select(*keys, "i", "j", "value").union(other).union(ids.select(*keys, "i", F.col("i").alias("j"), F.lit(float("nan"))))
 
 
+#: Groups of a tile's side, and rows of a chunk of trials.
+GROUPS, CHUNK = 32, 8192
+
+
 def grouped_rsa(df: DataFrame, keys: list[str] = (), trial: str = "trial", group: str = "g", x: str = "x", precision=None) -> DataFrame:
-    """(keys, i, j, value): cross-validated squared distance of groups i < j over the trials that both have."""
-    keys = list(keys)
-    a = df.select(*keys, trial, F.col(group).alias("i"), F.col(x).alias("__a"))
-    b = df.select(*keys, trial, F.col(group).alias("j"), F.col(x).alias("__b"))
-    pairs = a.join(b, [*keys, trial]).where("i < j")
-    return M.cross_validated(pairs, [*keys, "i", "j"], "__a", "__b", precision)
+    """(keys, i, j, value): cross-validated squared distance of groups i < j over the trials that both have; pairs that share no trial have no row.
+
+    With d = x_i - x_j of a trial and s its sum, (s P s' - sum d P d') / N^2: N, s and the sum of squares follow from products of trials' presence and values, so
+    a row is sent to the tiles of its group and no pairs of rows are made. P must be symmetric (None: identity). Rows of one trial and group are averaged; rows with nulls are left out.
+    """
+    from .gram import whole
+    from .keyed import Keyed
+
+    keyed = Keyed(df, keys)
+    keys = keyed.keys
+    P = None if precision is None else np.asarray(precision, float)
+    if P is not None and not np.allclose(P, P.T, rtol=1e-9, atol=1e-12):
+        raise ValueError("the matrix must be symmetric")
+    rows = whole(df.where(F.col(group).isNotNull() & F.col(trial).isNotNull()).select(*keys, F.col(trial).alias("__t"), F.col(group).alias("__g"), F.col(x).cast("array<double>").alias("x")), "x")
+    first = rows.agg(F.count_distinct("__g").alias("g"), F.count("*").alias("n")).first()
+    tiles, chunks = max(1, -(-first["g"] // GROUPS)), max(1, -(-first["n"] // CHUNK))
+    own = F.pmod(F.xxhash64("__g"), F.lit(tiles)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    rows = rows.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other"), "chunk": F.pmod(F.xxhash64("__t"), F.lit(chunks))}).drop("other")
+    kind = df.schema[group].dataType.simpleString()
+
+    def part(key, t):
+        a, b = (k.as_py() for k in key[-3:-1])
+        X, mine = _matrix(t.column("x")), t.column("own").to_numpy()
+        names, trials = t.column("__g").combine_chunks().dictionary_encode(), t.column("__t").combine_chunks().dictionary_encode()
+        g, u = names.indices.to_numpy(zero_copy_only=False), trials.indices.to_numpy(zero_copy_only=False)
+        n, T, p = len(names.dictionary), len(trials.dictionary), X.shape[1]
+        Z, W = np.zeros((T, n, p)), np.zeros((T, n))
+        np.add.at(Z, (u, g), X)
+        np.add.at(W, (u, g), 1)
+        Z, W = Z / np.maximum(W, 1)[:, :, None], (W > 0).astype(float)
+        side = np.zeros(n, int)
+        side[g] = mine
+        left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
+        ZP = Z if P is None else Z @ P
+        square = (Z * ZP).sum(2)
+        N = W[:, left].T @ W[:, right]
+        S = np.einsum("tj,tip->ijp", W[:, right], Z[:, left], optimize=True) - np.einsum("ti,tjp->ijp", W[:, left], Z[:, right], optimize=True)
+        Q = square[:, left].T @ W[:, right] + W[:, left].T @ square[:, right] - 2 * np.tensordot(ZP[:, left], Z[:, right], ((0, 2), (0, 2)))
+        # a tile with itself has each pair twice
+        i, j = np.nonzero((N > 0) & (left[:, None] < right)) if a == b else np.nonzero(N > 0)
+        names = names.dictionary
+        one, two = names.take(pa.array(left[i])), names.take(pa.array(right[j]))
+        v = np.concatenate([N[i, j][:, None], Q[i, j][:, None], S[i, j]], 1)
+        ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
+        return pa.table([*[pa.array([k.as_py()] * len(v), k.type) for k in key[: len(keys)]], one, two, pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], [*keys, "i", "j", "v"])
+
+    parts = rows.groupBy(*keys, "a", "b", "chunk").applyInArrow(part, keyed.kinds + f"i {kind}, j {kind}, v array<double>")
+    # pairs come in any order
+    turned = F.col("i") > F.col("j")
+    parts = parts.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.transform("v", lambda v, k: F.when(turned & (k > 1), -v).otherwise(v)).alias("v"))
+
+    def add(t: pa.Table) -> pa.Table:
+        from .keyed import groups
+
+        V, out = _matrix(t.column("v")), []
+        for at, r in groups(t, [*keys, "i", "j"]):
+            v = V[at].sum(0)
+            N, q, s = v[0], v[1], v[2:]
+            out.append((*keyed.of(t, r), t.column("i")[r].as_py(), t.column("j")[r].as_py(), ((s @ (s if P is None else P @ s)) - q) / N**2))
+        return keyed.table(out, ["i", "j", "value"], [t.schema.field("i").type, t.schema.field("j").type, pa.float64()])
+
+    return parts.withColumn("__bin", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(max(keyed.bins, tiles * tiles)))).groupBy("__bin").applyInArrow(add, keyed.kinds + f"i {kind}, j {kind}, value double")
 
 
 def kernel_blocks(left: DataFrame, right: DataFrame, kind: str = "linear", gamma: float = 1.0, coef0: float = 0.0, degree: float = 2.0, block: int = 512, row: str = "row", x: str = "x") -> DataFrame:
@@ -117,8 +178,25 @@ def kernel_blocks(left: DataFrame, right: DataFrame, kind: str = "linear", gamma
     return a.unionByName(b).groupBy("a", F.col("b").cast("long").alias("b")).applyInArrow(work, "row long, part long, cols array<long>, values array<double>")
 
 
+def lagged_ranges(df: DataFrame, window: list[int], keys: list[str], t: str = "t", x: str = "x", edge: str = "replicate", span: int = 1 << 16) -> DataFrame:
+    """lagged_design() of series of any length: each is cut into ranges of span rows, and the rows that a range needs of its neighbours are sent to it as well. No task holds a series.
+
+    Rows of equal time come in any order, as they do in a window. span is raised to the longest lag.
+    """
+    from ..functions.order import before
+
+    back, ahead = max(0, -min(window)), max(0, max(window))
+    span = max(span, back, ahead, 1)
+    placed = before(df, list(keys), [F.col(t)], "__pos")
+    at, own = F.col("__pos") % span, F.floor(F.col("__pos") / span)
+    into = F.array_compact(F.array(own, F.when(at >= span - back, own + 1), F.when((at < ahead) & (own > 0), own - 1)))
+    near = placed.withColumn("__own", own).withColumn("__range", F.explode(into))
+    out = lagged_design(near, window, [*keys, "__range"], "__pos", x, edge)
+    return out.where(F.col("__own") == F.col("__range")).drop("__pos", "__own", "__range")
+
+
 def lagged_design(df: DataFrame, window: list[int], keys: list[str], t: str = "t", x: str = "x", edge: str = "replicate") -> DataFrame:
-    """Adds design: features by lags (features first) of x(t + w), edges replicated or zero, by lag windows over each series."""
+    """Adds design: features by lags (features first) of x(t + w), edges replicated or zero, by lag windows over each series. A series is one window: longer ones are for lagged_ranges()."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(t)

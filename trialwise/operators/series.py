@@ -1,4 +1,4 @@
-"""Lagged regression over long tables of series: designs by lag windows, models from sums. No series meets others in one task."""
+"""Lagged regression over long tables of series: designs by lag windows over ranges of series, models from sums. No series meets others in one task."""
 
 from __future__ import annotations
 
@@ -10,14 +10,27 @@ from . import gram, rsa
 from .local import ReceptiveField, lag_window
 
 
-def time_delayed(df: DataFrame, keys: list[str], t_min: float, t_max: float, fs: float, alphas=1.0, t: str = "t", x: str = "x", y: str = "y", edge: str = "replicate") -> DataFrame:
-    """(coef array<array<array<double>>>, intercept, alpha): ridge of y on lagged copies of x, from (keys, t, x, y). coef is by target, feature and lag, flipped along lags."""
+def time_delayed(df: DataFrame, keys: list[str], t_min: float, t_max: float, fs: float, alphas=1.0, t: str = "t", x: str = "x", y: str = "y", edge: str = "replicate", patterns: bool = False, span: int = 1 << 16) -> DataFrame:
+    """(coef array<array<array<double>>>, intercept, alpha[, pattern]): ridge of y on lagged copies of x, from (keys, t, x, y), by ranges of series. coef is by target, feature and lag, flipped
+    along lags; so is pattern, the covariance of the lagged copies times coef' times the inverse covariance of y (with one target, over n - 1)."""
     window = lag_window(t_min, t_max, fs).tolist()
-    design = rsa.lagged_design(df, window, keys, t, x, edge).select(F.col("design").alias("x"), F.col(y).alias("y"))
+    design = rsa.lagged_ranges(df, window, keys, t, x, edge, span).select(F.col("design").alias("x"), F.col(y).cast("array<double>").alias("y"))
     m = gram.ridge_cv(design, [], alphas)
     n = len(window)
     lags = F.transform("coef", lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / n - 1).cast("int")), lambda f: F.reverse(F.slice(c, f * n + 1, n))))
-    return m.select(lags.alias("coef"), "intercept", "alpha")
+    if not patterns:
+        return m.select(lags.alias("coef"), "intercept", "alpha")
+    model = m.first()
+    if model is None:
+        return m.select(lags.alias("coef"), "intercept", "alpha", F.lit(None).cast("array<array<array<double>>>").alias("pattern"))
+    both = gram.moments(gram.whole(design, "x", "y").select(F.concat("x", "y").alias("x"), F.array(F.lit(1.0)).alias("y")), [])[()]
+    p, N = len(both[1]) - len(model["coef"]), both[0]
+    C = (both[3] - np.outer(both[1], both[1]) / N) / (N - 1)
+    B = C[:p, :p] @ np.array(model["coef"]).T
+    B = B @ np.linalg.pinv(C[p:, p:]) if len(model["coef"]) > 1 else B / (N - 1)
+    shown = B.T.reshape(len(model["coef"]), -1, n)[:, :, ::-1].tolist()
+    kind = "coef array<array<double>>, intercept array<double>, alpha array<double>, pattern array<array<array<double>>>"
+    return df.sparkSession.createDataFrame([(model["coef"], model["intercept"], model["alpha"], shown)], kind).select(lags.alias("coef"), "intercept", "alpha", "pattern")
 
 
 def _means(df: DataFrame, name: str) -> np.ndarray:
@@ -26,14 +39,14 @@ def _means(df: DataFrame, name: str) -> np.ndarray:
     return np.array([r["m"] for r in rows])
 
 
-def receptive_field(df: DataFrame, keys: list[str], t_min: float, t_max: float, fs: float, alpha: float = 1.0, reg_type: str = "ridge", fit_intercept: bool = True, t: str = "t", x: str = "x", y: str = "y") -> DataFrame:
+def receptive_field(df: DataFrame, keys: list[str], t_min: float, t_max: float, fs: float, alpha: float = 1.0, reg_type: str = "ridge", fit_intercept: bool = True, t: str = "t", x: str = "x", y: str = "y", span: int = 1 << 16) -> DataFrame:
     """(coef array<array<array<double>>>, intercept, alpha): y(t) from x(t - lag), lags int(t_min fs) to int(t_max fs), zeros beyond a series' ends; ridge or
     Laplacian penalty. coef is by target, feature and lag. Sums of the lagged design's products are additive over series."""
     window = list(range(int(t_min * fs), int(t_max * fs) + 1))
     mx, my = (_means(df, x), _means(df, y)) if fit_intercept else (None, None)
     off = lambda c, m: c if m is None else F.zip_with(c, F.array(*map(F.lit, map(float, m))), lambda a, b: a - b)
     rows = df.select(*keys, t, off(F.col(x).cast("array<double>"), mx).alias("x"), off(F.col(y).cast("array<double>"), my).alias("y"))
-    sums = gram.moments(rsa.lagged_design(rows, [-w for w in window], keys, t, "x", "zero").select(F.col("design").alias("x"), "y"), [])
+    sums = gram.moments(rsa.lagged_ranges(rows, [-w for w in window], keys, t, "x", "zero", span).select(F.col("design").alias("x"), "y"), [])
     kind = "coef array<array<array<double>>>, intercept array<double>, alpha double"
     if not sums:
         return df.sparkSession.createDataFrame([], kind)

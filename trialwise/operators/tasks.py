@@ -1,5 +1,5 @@
 """Fit tasks: metrics, Validator, cross_val_score, Sliding, Hierarchical and Shapley. A task is one (keys, fold, mask); its trials meet in one grouped
-function, sorted by trial, so a task's block must fit a worker. Ridge models under r2 and pearsonr, and ridge classifiers under accuracy and roc_auc, are validated by sums instead, without
+function, sorted by trial, so a task's block must fit a worker. Ridge models under r2, pearsonr and spearmanr, and ridge classifiers under accuracy and roc_auc, are validated by sums instead, without
 gathering trials. What varies is a table of tasks joined to trials, never a driver loop.
 """
 
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..functions import math as M
 from ..functions.math import rank_rows
 from . import classes, gram
 from .gram import _matrix
 from .local import Pipeline, RidgeClassifier, RidgeCV
-from .splits import KFold
+from .splits import KFold, RepeatedKFold
 
 
 @dataclass(frozen=True)
@@ -366,7 +367,7 @@ class Validator:
         return df.join(folds, F.col(trial) == F.col("__t")).drop("__t"), cv.n_splits
 
     def _by_sums(self) -> bool:
-        return type(self.model) is RidgeCV and all(m in (r2, pearsonr) for m in _several(self.metric))
+        return type(self.model) is RidgeCV and all(m in (r2, pearsonr, spearmanr) for m in _several(self.metric))
 
     def class_models(self, dealt: DataFrame, keys: list[str]) -> classes.ClassModels | None:
         """A ridge classifier's models of all folds by sums per class, if it is one of a single label and its sums fit the driver; and if the metrics are of such."""
@@ -378,14 +379,20 @@ class Validator:
             return None
         return classes.ClassModels(rows, keys, "__own", "__label", m.alphas, m.fit_intercept, m.alpha_per_target, m.method)
 
-    def scores(self, df: DataFrame, keys: list[str] = (), trial: str = "trial", masks: list | None = None) -> DataFrame:
+    def scores(self, df: DataFrame, keys: list[str] = (), trial: str = "trial", masks: list | None = None, wanted=None) -> DataFrame:
         """(keys, [mask,] repeat, fold, metric, target, score). masks: feature masks to be fitted each. Ridge models whose sums fit the driver are validated by sums."""
         keys, (dealt, k) = list(keys), self._dealt(df, trial)
         task, metrics, model = ["mask", "repeat", "fold"] if masks is not None else ["repeat", "fold"], _several(self.metric), self.model
         schema = _kinds(df, keys) + ", ".join(f"{t} int" for t in task) + ", metric string, target int, score double"
         if self._by_sums() and gram.fits_driver(dealt, [*keys, "repeat", "__own"], len(masks or [0])):
-            found = gram.validate(dealt, keys, "__own", model, [m.name for m in metrics], masks)
-            return df.sparkSession.createDataFrame([(*key, *((n,) if masks is not None else ()), *rest) for key, n, *rest in found], schema)
+            fitted = gram.FoldModels(dealt, keys, "__own", model, masks, wanted=wanted)
+            found = fitted.scores([m.name for m in metrics if m is not spearmanr])
+            out = df.sparkSession.createDataFrame([(*key, *((n,) if masks is not None else ()), *rest) for key, n, *rest in found], schema)
+            if spearmanr not in metrics:
+                return out
+            by = [*keys, "mask", "repeat", "fold", "target"]
+            ranks = M.grouped(fitted.predictions(), by, "y", "p", "spearmanr", "score").withColumn("metric", F.lit("spearmanr"))
+            return out.unionByName(ranks.select(*out.columns))
         if masks is None and (found := self.class_models(dealt, keys)):
             return classes.scores(found.decide(dealt.withColumn("__label", F.col("y")[0]), trial), keys, [m.name for m in metrics])
         rows = dealt.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -512,8 +519,8 @@ def hierarchical_score(model, df: DataFrame, n_features: int, groups=None, cv=5,
 
 @dataclass
 class Shapley:
-    """Mean marginal gain of each group over random orders that start with group 0; each distinct set is fitted once. With shuffle, folds are dealt
-    in an order of trials by chance, the same for all orders of groups, so that sets are still fitted once."""
+    """Mean marginal gain of each group over random orders that start with group 0; each distinct set is fitted once. With shuffle, every order of groups
+    has folds of its own, by an order of trials by chance; the sums of all orders are made in one pass, and an order's sets are fitted on its own folds."""
 
     validator: Validator
     n_permutations: int = 10
@@ -536,13 +543,21 @@ class Shapley:
         """(permutation, group, keys, repeat, fold, metric, target, score): group 0 has the baseline's score, others what they add."""
         steps, masks = self.orders(groups)
         v = self.validator
-        if self.shuffle and isinstance(v.cv, int):
-            v = replace(v, cv=KFold(v.cv, True, self.seed))
-        s = v.scores(df, keys, trial, masks)
+        own = self.shuffle and isinstance(v.cv, int)
+        if own:
+            # a repeat for each order, of the sets that it steps through
+            v, sets = replace(v, cv=RepeatedKFold(v.cv, self.n_permutations, self.seed)), {(p, n) for p, _, n, _ in steps}
+            s = v.scores(df, keys, trial, masks, lambda repeat, n: (repeat, n) in sets)
+        else:
+            s = v.scores(df, keys, trial, masks)
         plan = F.broadcast(df.sparkSession.createDataFrame(steps, "permutation int, group int, mask int, before int"))  # permutations x groups rows
         same = [*keys, "repeat", "fold", "metric", "target"]
         prior = s.select(*same, F.col("mask").alias("before"), F.col("score").alias("__s"))
-        return s.join(plan, "mask").join(prior, [*same, "before"], "left").select("permutation", "group", *same, (F.col("score") - F.coalesce("__s", F.lit(0.0))).alias("score"))
+        stepped = s.join(plan, "mask")
+        if own:
+            stepped = stepped.where(F.col("repeat") == F.col("permutation"))
+        out = stepped.join(prior, [*same, "before"], "left").select("permutation", "group", *same, (F.col("score") - F.coalesce("__s", F.lit(0.0))).alias("score"))
+        return out.withColumn("repeat", F.lit(0)) if own else out
 
 
 def shapley_score(model, df: DataFrame, groups, cv=5, metric=None, n_permutations: int = 10, **kw) -> DataFrame:
