@@ -262,3 +262,19 @@ def test_lagged_designs_of_long_series(spark, edge):
     got = series.time_delayed(df.where("s = 0"), ["s"], -2, 1, 1, [0.1, 10.0], edge=edge, patterns=True, span=2).first()
     np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-8)
     np.testing.assert_allclose(got["pattern"], want.pattern_, atol=1e-8)
+
+
+def test_back_to_back_from_sums(spark):
+    rng = np.random.default_rng(12)
+    X, g = rng.standard_normal((90, 4)) + 1, np.repeat([0, 1, 2], [60, 29, 1])
+    Y = X @ rng.standard_normal((4, 2)) + rng.standard_normal((90, 2))
+    order = rng.permutation(90)
+    df = spark.createDataFrame([(int(g[i]), int(order[i]), X[i].tolist(), Y[i].tolist()) for i in range(90)] + [(0, 999, None, [1.0, 1.0])], "g long, trial long, x array<double>, y array<double>")
+    got = {r["g"]: r for r in gram.back_to_back(df, ["g"], [0.1, 1.0, 10.0]).collect()}
+    assert got.keys() == {0, 1}
+    for k in (0, 1):
+        at = [i for i in np.argsort(order) if g[i] == k]
+        want = local.B2B([0.1, 1.0, 10.0]).fit(X[at], Y[at])
+        np.testing.assert_allclose(got[k]["causal"], want.causal_, atol=1e-8)
+        np.testing.assert_allclose(got[k]["pattern"], want.pattern_, atol=1e-8)
+    assert gram.back_to_back(df.where("false"), ["g"], [0.1]).count() == 0 and gram.back_to_back(df, [], 1.0).count() == 1

@@ -264,3 +264,84 @@ def predict(df: DataFrame, model: DataFrame, keys: list[str] = (), x: str = "x",
     joined = df.join(m, [F.col(k) == F.col(f"__k_{k}") for k in keys]) if keys else df.join(F.broadcast(m))
     value = F.zip_with(F.transform("__coef", lambda c: dot(c, x)), "__icpt", lambda a, b: a + b)
     return joined.withColumn(out, value).drop("__coef", "__icpt", *[f"__k_{k}" for k in keys])
+
+
+def back_to_back(df: DataFrame, keys: list[str] = (), alphas=1.0, trial: str = "trial", x: str = "x", y: str = "y") -> DataFrame:
+    """(keys, causal array<double>, pattern array<array<double>>): back-to-back regression from sums, without gathering trials.
+
+    On the first half of a key's trials, in their order, y is decoded from x (an alpha for each target); on the second half, y is encoded from the decoder's scaled answers z. Sums of z and of its products with y
+    follow from those of x and the decoder; each half is read once more for its leave-one-out errors. causal is the diagonal of the encoder, pattern (features, targets) that of the
+    decoder. Keys and their matrices must fit a driver: else an error. Rows with nulls are left out; keys with fewer than two trials have no row. Empty table: no rows.
+    """
+    from ..functions.order import before
+
+    keys, al = list(keys), np.atleast_1d(np.asarray(alphas, float))
+    rows = whole(df.select(*keys, F.col(trial).alias("__t"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "x", "y")
+    n = rows.groupBy(*keys).agg(F.floor(F.count("*") / 2).alias("__h")).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__h")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    placed = before(rows, keys, [F.col("__t")], "__pos")
+    placed = placed.join(n, same) if keys else placed.join(F.broadcast(n))  # without keys one row
+    groups = [*keys, "__half"]
+    halves = placed.withColumn("__half", (F.col("__pos") >= F.col("__h")).cast("int")).select(*groups, "x", "y")
+    kind = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + "causal array<double>, pattern array<array<double>>"
+    if not fits_driver(halves, groups, 2):
+        raise ValueError("too many keys or features for a driver: see tasks.Sliding with local.B2B")
+    both = moments(halves.select(*groups, F.concat("x", "y").alias("x"), "y"), groups)
+    ready = sorted({k[:-1] for k in both if (*k[:-1], 0) in both and (*k[:-1], 1) in both}, key=repr)
+
+    def parts(k):
+        m, sx, sy, xx, _ = both[k]
+        p = len(sx) - len(sy)
+        return m, sx[:p], sy, xx[:p, :p], xx[:p, p:], xx[p:, p:]
+
+    def errors_of(half: int, models: dict):
+        """Leave-one-out errors (alphas, targets) of models {key: (n, mean, mean y, w, q, z, map of x)} on a half of the trials."""
+        number = {k: i for i, k in enumerate(models)}
+        sent = rows.sparkSession.sparkContext.broadcast((number, models))
+
+        def work(batches):
+            (at, own), out = sent.value, {}
+            for k, X, Y in _blocks(batches, groups):
+                if k[-1] != half or k[:-1] not in at:
+                    continue
+                m, mx, my, w, q, z, through = own[k[:-1]]
+                A, B = ((X if through is None else X @ through) - mx) @ q, Y - my
+                e = out.setdefault(at[k[:-1]], np.zeros((len(al), Y.shape[1])))
+                for j, a in enumerate(al):
+                    g = 1 / np.where(w + a > 0, w + a, np.inf)
+                    with np.errstate(all="ignore"):
+                        e[j] += (((B - A @ (g[:, None] * z)) / (1 - 1 / m - (A * A) @ g)[:, None]) ** 2).sum(0)
+            return out
+
+        found = _summed(halves, work)
+        return {k: found[i].reshape(len(al), -1) for k, i in number.items()}
+
+    def opened_(m, sx, sy, xx, xy, through=None):
+        w, q = np.linalg.eigh(xx - m * np.outer(sx / m, sx / m))
+        return m, sx / m, sy / m, np.maximum(w, 0), q, q.T @ (xy - m * np.outer(sx / m, sy / m)), through
+
+    first = {k: parts((*k, 0)) for k in ready}
+    loss = errors_of(0, {k: opened_(*v[:5]) for k, v in first.items()})
+    decoders = {k: ridge_from_moments(*first[k][:5], al, loss[k], True, True) for k in ready}
+    second = {}
+    for k in ready:
+        m, sx, sy, xx, xy, _ = parts((*k, 1))
+        W, mx, my = decoders[k][0], sx / m, sy / m
+        # of the decoder's answers, less their mean and scaled
+        C = W @ (xx - m * np.outer(mx, mx)) @ W.T
+        s = np.sqrt(np.maximum(np.diag(C), 0) / (m - 1)) if m > 1 else np.zeros(len(W))
+        s = np.where((s == 0) | np.isnan(s), 1.0, s)
+        T = W.T / s
+        second[k] = (m, np.zeros(len(W)), sy, C / np.outer(s, s), T.T @ (xy - np.outer(sx, my)), T, mx @ T)
+    loss = errors_of(1, {k: (lambda o, shift: (*o[:1], shift, *o[2:]))(opened_(*v[:5], v[5]), v[6]) for k, v in second.items()})
+    out = []
+    for k in ready:
+        coef = ridge_from_moments(*second[k][:5], al, loss[k], True, False)[0]
+        m, sx, sy, xx, xy, yy = first[k]
+        cx = (xx - np.outer(sx, sx) / m) / (m - 1) if m > 1 else xx * np.nan
+        W = decoders[k][0]
+        p = cx @ W.T @ np.linalg.pinv((yy - np.outer(sy, sy) / m) / (m - 1)) if len(W) > 1 and m > 1 else cx @ W.T / max(m - 1, 1)
+        out.append((*k, np.diag(coef).tolist(), p.tolist()))
+    return df.sparkSession.createDataFrame(out, kind)

@@ -534,6 +534,20 @@ def ridge_classifier_auc(spark, sf_dir):
     return tasks.cross_val_score(local.RidgeClassifier([0.01, 1.0, 100.0]), df, 5, tasks.roc_auc).withColumn("score", _r("score"))
 
 
+@query("WITH plan AS (SELECT * FROM (VALUES " + ", ".join(map(str, _STEPS)) + ") t(permutation, grp, mask, before)), sets AS (SELECT * FROM (VALUES " + ", ".join(str((i, *map(int, m))) for i, m in enumerate(_MASKS)) + ") t(mask, ma, mb, mc)), " + f"""
+h AS (SELECT s_suppkey, s_acctbal AS y, s_nationkey::DOUBLE AS a, (s_suppkey % 7)::DOUBLE AS b, (s_suppkey % 3)::DOUBLE AS c, r::INT AS perm, {_u("s_suppkey", "0", "r")} AS u FROM supplier, range(4) t(r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY perm ORDER BY u, s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY perm) AS n FROM h), f AS (SELECT *, {_FOLD5} AS own FROM o),
+x AS (SELECT perm, mask, own, y, a * ma AS x1, b * mb AS x2, c * mc AS x3 FROM f, sets),
+rows_ AS (SELECT perm, mask, fold::INT AS fold, x1, x2, x3, y FROM x, range(5) t(fold) WHERE own <> fold), """ + _ridge_sql("rows_", ["perm", "mask", "fold"], [0.1, 10.0]) + """,
+p AS (SELECT x.perm, x.mask, x.own AS fold, y, my, x1 * w1 + x2 * w2 + x3 * w3 + b0 AS p FROM x JOIN fit ON fit.perm = x.perm AND fit.mask = x.mask AND fit.fold = x.own),
+s AS (SELECT perm, mask, fold, 1 - sum((y - p) ** 2) / sum((y - my) ** 2) AS score FROM p GROUP BY perm, mask, fold)
+SELECT permutation::INT AS permutation, grp::INT AS "group", 0::INT AS repeat, s.fold, 'r2' AS metric, 0::INT AS target, round(s.score - coalesce(q.score, 0), 6) + 0.0::DOUBLE AS score
+FROM plan JOIN s ON s.mask = plan.mask AND s.perm = plan.permutation LEFT JOIN s q ON q.mask = plan.before AND q.fold = s.fold AND q.perm = s.perm""")
+def shapley_shuffled(spark, sf_dir):
+    s = tasks.Shapley(tasks.Validator(local.RidgeCV([0.1, 10.0])), 4, shuffle=True)
+    return s.scores(_supplied(spark, sf_dir), np.eye(3, dtype=bool)).withColumn("score", _r("score"))
+
+
 @query()
 def cross_validated_classifier(spark, sf_dir):
     return tasks.cross_val_score(local.RidgeClassifier(np.logspace(-3, 3, 7)), _labelled(spark, sf_dir), 5, (tasks.accuracy, tasks.roc_auc))
@@ -561,6 +575,27 @@ def back_to_back(spark, sf_dir):
     return tasks.Sliding(local.B2B(np.logspace(-3, 3, 7)), ["label"]).collect(df, ["causal_", "pattern_"])
 
 
+@query(f"""WITH f AS (SELECT vec_id, label, embedding[3]::DOUBLE AS x1, embedding[4]::DOUBLE AS x2, embedding[5]::DOUBLE AS x3, embedding[1]::DOUBLE AS y0, embedding[2]::DOUBLE AS y1, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 >= count(*) OVER (PARTITION BY label) // 2) AS late FROM embeddings),
+d AS (WITH rows_ AS (SELECT label, t.t, x1, x2, x3, CASE t.t WHEN 0 THEN y0 ELSE y1 END AS y FROM f, range(2) t(t) WHERE NOT late), {_ridge_sql("rows_", ["label", "t"], [0.1, 1.0, 10.0])} SELECT label, t, w1, w2, w3, b0 FROM fit),
+z AS (SELECT f.label, vec_id, y0, y1, a.w1 * x1 + a.w2 * x2 + a.w3 * x3 + a.b0 AS z0, b.w1 * x1 + b.w2 * x2 + b.w3 * x3 + b.b0 AS z1 FROM f JOIN d a ON a.label = f.label AND a.t = 0 JOIN d b ON b.label = f.label AND b.t = 1 WHERE late),
+s AS (SELECT label, avg(z0) AS m0, avg(z1) AS m1, stddev_samp(z0) AS s0, stddev_samp(z1) AS s1 FROM z GROUP BY label),
+rows_ AS (SELECT z.label, t.t, (z0 - m0) / s0 AS x1, (z1 - m1) / s1 AS x2, 0.0::DOUBLE AS x3, CASE t.t WHEN 0 THEN y0 ELSE y1 END AS y FROM z JOIN s USING (label), range(2) t(t)), {_ridge_sql("rows_", ["label", "t"], [0.1, 1.0, 10.0], ["label"])}
+SELECT label, t::INT AS i, round(CASE t WHEN 0 THEN w1 ELSE w2 END, 6) + 0.0::DOUBLE AS causal FROM fit""")
+def back_to_back_sums(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", "label", F.slice("x", 3, 3).alias("x"), F.slice("x", 1, 2).alias("y"))
+    return gram.back_to_back(df, ["label"], [0.1, 1.0, 10.0]).select("label", F.posexplode("causal").alias("i", "causal")).withColumn("causal", _r("causal"))
+
+
+@query(f"""WITH f AS (SELECT vec_id, embedding[2]::DOUBLE AS x1, embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3, embedding[1]::DOUBLE AS y, {_folds_sql(5, "vec_id")} AS own FROM embeddings),
+rows_ AS (SELECT fold::INT AS fold, x1, x2, x3, y FROM f, range(5) t(fold) WHERE own <> fold), {_ridge_sql("rows_", ["fold"], [0.1, 10.0])},
+p AS (SELECT own AS fold, y, x1 * w1 + x2 * w2 + x3 * w3 + b0 AS p FROM f JOIN fit ON fit.fold = f.own),
+k AS (SELECT fold, rank() OVER (PARTITION BY fold ORDER BY y) AS a, rank() OVER (PARTITION BY fold ORDER BY p) AS b FROM p)
+SELECT 0::INT AS repeat, fold, 'spearmanr' AS metric, 0::INT AS target, round(corr(a, b), 6) + 0.0::DOUBLE AS score FROM k GROUP BY fold""")
+def ridge_spearman(spark, sf_dir):
+    df = _vectors(spark, sf_dir).select("trial", F.slice("x", 2, 3).alias("x"), F.slice("x", 1, 1).alias("y"))
+    return tasks.cross_val_score(local.RidgeCV([0.1, 10.0]), df, 5, tasks.spearmanr).withColumn("score", _r("score"))
+
+
 @query()
 def sliding_patterns(spark, sf_dir):
     return tasks.Sliding(local.RidgeDecoder([0.1, 1.0, 10.0]), ["label"]).collect(_vectors(spark, sf_dir).select("trial", "label", F.slice("x", 3, 62).alias("x"), F.slice("x", 1, 2).alias("y")), ["coef_", "pattern_"])
