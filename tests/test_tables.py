@@ -278,3 +278,21 @@ def test_back_to_back_from_sums(spark):
         np.testing.assert_allclose(got[k]["causal"], want.causal_, atol=1e-8)
         np.testing.assert_allclose(got[k]["pattern"], want.pattern_, atol=1e-8)
     assert gram.back_to_back(df.where("false"), ["g"], [0.1]).count() == 0 and gram.back_to_back(df, [], 1.0).count() == 1
+
+
+@pytest.mark.parametrize("alpha,reg_cv,reg_type,edge", [(2.0, 5, "ridge", True), ([0.1, 100.0, 1e4], 3, "laplacian", True), ([0.1, 100.0, 1e4], "LOO", "ridge", True), ([0.1, 10.0], 3, "ridge", False)])
+def test_receptive_fields_of_long_series(spark, alpha, reg_cv, reg_type, edge):
+    rng = np.random.default_rng(13)
+    n, f, d, T = 7, 2, 2, 50
+    X = rng.standard_normal((n, f, T)) + 1
+    Y = 3 * rng.standard_normal((n, d, T))
+    Y[:, 0, 1:] += X[:, 0, :-1]
+    rows = [(i, 3 * t, X[i, :, t].tolist(), Y[i, :, t].tolist()) for i in range(n) for t in range(T)] + [(0, 1, None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "s long, t long, x array<double>, y array<double>")
+    want = local.ReceptiveField(-2, 3, 1, alpha, reg_type, reg_cv, patterns=True, edge_correction=edge).fit(X, Y)
+    got = series.receptive_field(df, ["s"], -2, 3, 1, alpha, reg_type, reg_cv=reg_cv, patterns=True, edge_correction=edge, span=1).first()
+    assert got["alpha"] == want.alpha_
+    np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-8)
+    np.testing.assert_allclose(got["intercept"], want.intercept_, atol=1e-8)
+    np.testing.assert_allclose(got["pattern"], want.pattern_, atol=1e-8)
+    assert series.receptive_field(df.where("false"), ["s"], -1, 1, 1).count() == 0
