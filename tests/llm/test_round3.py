@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trialwise.llm import fill_middle, posting_lists, queries, runs
+from trialwise.llm import fill_middle, near_vectors, posting_lists, queries, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 KIND = "doc_id long, text string, lang string, source string"
@@ -238,3 +238,22 @@ def test_graph_finds_the_nearest_centroids():
     want = posting_lists._squares(q, own.x).argsort(1)[:, :10]
     assert own.graph is not None and np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, want)]) > 0.95
     assert (np.diff(far, axis=1) >= 0).all() and all(len(set(r)) == 32 for r in ids)
+
+
+def test_links_at_the_threshold_and_of_odd_lengths(spark):
+    """Pairs just above the threshold are audited like any other; lengths that differ by 4,096 do not share a group."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((600, 32))
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    pairs = 0.9505 * x + np.sqrt(1 - 0.9505**2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, pairs]))]
+    odd = [(5000 + i, [1.0 + 0.01 * i, 1.0]) for i in range(3)] + [(6000 + i, [1.0] * 4097 + [1.0 + i]) for i in range(3)]
+    frame = lambda data: spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("unit", "dim", "n", "k", "id")})
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(frame(rows)).collect()}
+    assert all(got[i]["component_id"] == i and got[600 + i]["component_id"] == i and got[i]["n_links"] == 1 for i in range(600))
+    assert got[0]["recall"] == 1.0 and got[0]["audited"] > 500
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(frame(odd)).collect()}
+    assert all(got[i]["component_id"] == i // 1000 * 1000 and got[i]["n_links"] == 2 for i, _ in odd)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .clusters import Sets, bins_for, compare, deal_tiles
-from .common import Scratch, connected_components, distinct_ids, freed, give_back, table
+from .common import Scratch, connected_components, distinct_ids, freed, give_back, mix, table
 
 #: Neighbours kept; trees at the start, and fresh ones after a short audit; aimed-at leaf size and largest block compared at once; rounds before all pairs are compared; recall aimed at.
 NEIGHBOURS, TREES, FRESH, LEAF, BLOCK, ROUNDS, RECALL = 8, 8, 4, 48, 128, 6, 0.99
@@ -113,8 +113,8 @@ def _tree_leaves(vectors: DataFrame, centres: dict[int, np.ndarray], n: int, lea
                 for t in range(trees):
                     along = x @ np.random.default_rng(seed * 1000 + t).standard_normal((d, bits + PLANES)).astype(np.float32)
                     code = ((along[:, :bits] > 0) * (1 << np.arange(bits))).sum(1) if bits else np.zeros(len(at), np.int64)
-                    # the leaf's signs, the tree and the length, mixed into one number
-                    g = (code * trees + t) * 4096 + d % 4096
+                    # the leaf's signs, the tree and the whole length, mixed into one number
+                    g = mix(mix(np.array([d], np.uint64)) + (code * trees + t).astype(np.uint64)).view(np.int64)
                     p = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * PLANES, pa.int32()), pa.array(along[:, bits:].ravel(), pa.float32()))
                     yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), ids, p, pa.array(np.full(len(at), t == 0))], ["g", "id", "p", "first"])
 
@@ -208,32 +208,43 @@ def _sample(own: DataFrame, audited: int, seed: int) -> DataFrame:
     return own.orderBy(by).limit(audited // 2).union(own.where("linked").orderBy(by).limit(audited - audited // 2)).dropDuplicates(["id"])
 
 
-def _audit(vectors: DataFrame, component: DataFrame, threshold: float, audited: int, seed: int, scratch: Scratch) -> tuple[float | None, int, DataFrame]:
-    """Of sampled vectors that have links, compared with all others: the mean share of links whose ends the edges join (None if none has any); how many have links; and what the edges do not join."""
-    own = vectors.join(component.toDF("id", "c"), "id", "left").select("id", F.col("c").isNotNull().alias("linked"), F.coalesce("c", "id").alias("c"), "dim", "v")
+def _units(batch: pa.RecordBatch):
+    """(length, rows of it, their unit vectors in double precision)."""
+    dims = batch.column("dim").to_numpy()
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        yield int(d), at, batch.column("unit").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _audit(classes: DataFrame, component: DataFrame, threshold: float, audited: int, seed: int, scratch: Scratch) -> tuple[float | None, int, DataFrame]:
+    """Of sampled vectors that have links, compared with all others: the mean share of links whose ends the edges join (None if none has any); how many have links; and what the edges do not join.
+
+    Single precision finds what may be a link, and double precision says whether it is one: links at the very threshold count as well.
+    """
+    own = classes.join(component.toDF("id", "c"), "id", "left").select("id", F.col("c").isNotNull().alias("linked"), F.coalesce("c", "id").alias("c"), "dim", "unit")
     asked = _sample(own, audited, seed).toArrow().combine_chunks()
     asked = asked.to_batches()[0] if asked.num_rows else None
-    blocks = {d: (asked.column("id").to_numpy()[at], asked.column("c").to_numpy()[at], x) for d, at, x in _by_dim(asked)} if asked else {}
+    blocks = {d: (asked.column("id").to_numpy()[at], asked.column("c").to_numpy()[at], x) for d, at, x in _units(asked)} if asked else {}
 
     def work(batches):
         for batch in batches:
             ids, c = batch.column("id").to_numpy(), batch.column("c").to_numpy()
-            for d, at, y in _by_dim(batch):
+            for d, at, y in _units(batch):
                 if d not in blocks:
                     continue
                 own, own_c, x = blocks[d]
                 for p in range(0, len(x), 1024):
-                    s = x[p : p + 1024] @ y.T
-                    i, j = np.nonzero(s >= threshold - MARGIN)
-                    sure, i, j = s[i, j] >= threshold + MARGIN, i + p, at[j]
+                    i, j = np.nonzero(x[p : p + 1024].astype(np.float32) @ y.T.astype(np.float32) >= threshold - 1e-5)
+                    linked = np.concatenate([(x[i[q : q + 16384] + p] * y[j[q : q + 16384]]).sum(1) >= threshold for q in range(0, len(i), 16384)]) if len(i) else np.zeros(0, bool)
+                    i, j = i[linked] + p, at[j[linked]]
                     other = own[i] != ids[j]
-                    sure, i, j = sure[other], i[other], j[other]
+                    i, j = i[other], j[other]
                     joined = own_c[i] == c[j]
-                    n, ok = np.bincount(i[sure], minlength=len(x)), np.bincount(i[sure & joined], minlength=len(x))
+                    n, ok = np.bincount(i, minlength=len(x)), np.bincount(i[joined], minlength=len(x))
                     some, missed = np.flatnonzero(n), np.unique(np.stack([own_c[i], c[j]], 1)[~joined], axis=0)
                     zero = np.zeros(len(missed), np.int64)
                     cols = (own[some], missed[:, 0]), (own[some], missed[:, 1]), (n[some], zero), (ok[some], zero)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in cols], ["a", "b", "n", "ok"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x_).astype(np.int64)) for x_ in cols], ["a", "b", "n", "ok"])
 
     found = scratch.write(own.mapInArrow(freed(work), "a long, b long, n long, ok long"))
     each = found.where("n > 0").groupBy("a").agg((F.sum("ok") / F.sum("n")).alias("share"))
@@ -328,7 +339,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
         # the forest's graph is refined once at least, so nothing is to be audited before that
         if step > 1 and (links <= 1.01 * before or step > rounds or short):
             component = scratch.write(connected_components(edges, scratch))
-            share, seen, missed = _audit(vectors, component, threshold, audited, step, scratch)
+            share, seen, missed = _audit(classes, component, threshold, audited, step, scratch)
             # where neither the found links nor the sample hold a link, there is nothing to look for
             short = share is not None and share < recall
             edges = component.toDF("a", "b").union(missed)
@@ -372,4 +383,4 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings")).drop("audited")
+    return near_vectors(table(spark, sf_dir, "embeddings")).drop("recall", "audited")

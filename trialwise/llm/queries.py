@@ -159,7 +159,7 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHE
 edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
 reach AS (SELECT a AS u, a AS v FROM edges UNION SELECT r.u, e.b FROM reach r JOIN edges e ON r.v = e.a),
 k AS (SELECT u, min(v) AS least FROM reach GROUP BY u), n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept, (SELECT CASE WHEN count(*) > 0 THEN 1.0::DOUBLE END FROM edges) AS recall
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN k ON k.u = vec_id
 """
 
@@ -173,5 +173,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """
 
-#: SQL finds every pair, so its recall is 1 if there are links; on tables of up to half an audit's vectors the search is audited on all, and finds every pair as well.
+#: SQL finds every pair of vectors; on tables of up to half an audit's vectors the search is audited on all, and finds every pair as well.
 ORACLE_SQL = {"op3_license_scan": _licences(), "op4_ngram_jaccard": _JACCARD, "op5_mixing": _MIX, "op8_embedding_near_dedup": _VECTORS, "op9_url_filters": _URLS, "op12_fill_middle": _MIDDLE}
