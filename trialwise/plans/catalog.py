@@ -466,6 +466,14 @@ def receptive_field(spark, sf_dir):
     return m.select(F.posexplode(F.col("coef")[0][0]).alias("lag", "coef"), _r(F.col("intercept")[0], 5).alias("intercept")).withColumn("coef", _r("coef"))
 
 
+@query(_DAYS + """c AS (SELECT user_id, t, v - avg(v) OVER () AS v, t::DOUBLE - avg(t::DOUBLE) OVER () AS y FROM s),
+rows_ AS (SELECT 1 AS one, coalesce(lead(v, 1) OVER o, 0) AS x1, v AS x2, coalesce(lag(v, 1) OVER o, 0) AS x3, y FROM c WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+""" + _ridge_sql("rows_", ["one"], [10.0, 1e4, 1e7], intercept=False) + " SELECT unnest([0, 1, 2])::INT AS lag, unnest([round(w1, 6), round(w2, 6), round(w3, 6)]) + 0.0::DOUBLE AS coef, al AS alpha FROM fit")
+def receptive_field_loo(spark, sf_dir):
+    m = series.receptive_field(_daily(spark, sf_dir), ["user_id"], -1, 1, 1, [10.0, 1e4, 1e7], reg_cv="LOO")
+    return m.select(F.posexplode(F.col("coef")[0][0]).alias("lag", "coef"), "alpha").withColumn("coef", _r("coef"))
+
+
 @query("""WITH e AS (SELECT unnest(range(64)) AS i) SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, (a.i = b.i)::INT::DOUBLE AS value FROM e a, e b""")
 def whitened_covariance(spark, sf_dir):
     white = rsa.Covariance("empirical").fit_transform(_vectors(spark, sf_dir))
