@@ -649,7 +649,7 @@ def test_queries_over_a_whole_table(spark):
     for name in ("documents", "pages", "embeddings"):
         con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
     texts = dict(con.sql("select doc_id, text from documents").fetchall())
-    n = {"op8_embedding_near_dedup": con.sql("select count(*) from embeddings").fetchall()[0][0], "op9_url_filters": con.sql("select count(*) from pages").fetchall()[0][0]}
+    n = {"op8_embedding_near_dedup": con.sql("select count(*) from embeddings").fetchall()[0][0], "op9_url_filters": con.sql("select count(*) from pages").fetchall()[0][0], "op13_posting_lists": con.sql("select 10 * count(*) from embeddings where vec_id % 100 = 0").fetchall()[0][0]}
     tok = coder()
     for name, query in queries.QUERIES.items():
         got = query(spark, sf).collect()
