@@ -1,8 +1,8 @@
 """Operator 3, licence scans. DataFrame functions only.
 
-A positional index of rare licence words: of each template's mandatory words those with the highest inverse document
-frequency over the corpus are looked up; postings that agree on the relative position of file
-and template are intersected, and an alignment counts once the template's mandatory phrase stands in place.
+A positional index of rare licence words: of each template's mandatory words the one with the highest inverse document
+frequency over the corpus is looked up; where the next rarest stand at the same relative position, the file's words around
+are compared with the template, and an alignment counts once the mandatory phrase stands in place.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ TEMPLATES = (
 )
 #: Words of the notices that carry no evidence and are not indexed unless a phrase needs them.
 FUNCTION_WORDS = frozenset("a and any are in is of or that the this to under use with".split())
-#: Mandatory words looked up per template (the rarest alone is enough to miss nothing), and the share of a template's indexed words that must stand in place.
-LOOKED_UP, ALIGNED = 8, 0.5
+#: Mandatory words looked up per template: the rarest leads to a place, the others must agree on it (an accepted alignment has all, so none is missed). Share of a template's indexed words that must stand in place.
+LOOKED_UP, ALIGNED = 2, 0.5
 
 
 def _index(templates):
@@ -48,6 +48,32 @@ def _index(templates):
     return out
 
 
+def postings(index, idf: dict[str, float], looked_up: int = LOOKED_UP) -> list[tuple]:
+    """(lead, template, label, rare, must, words) of each template: the word that leads to it, and which words stand how far from that one:
+    the looked up, the mandatory and all indexed ones."""
+    out = []
+    for n, label, indexed, must in index:
+        rarest = sorted({indexed[i] for i in must}, key=lambda w: (-idf[w], w))
+        first = {w: next(i for i in must if indexed[i] == w) for w in rarest}
+        lead = first[rarest[0]]
+        out.append((rarest[0], n, label, [(w, first[w] - lead) for w in rarest[: max(looked_up, 1)]], [(indexed[i], i - lead) for i in must], [(w, i - lead) for i, w in indexed.items()]))
+    return out
+
+
+def probes(files: DataFrame, leads: list[str], reach: int) -> DataFrame:
+    """(row, w, near) of every place of a leading word in files (row, hits): near has the vocabulary's words within reach of it, and how far off they stand.
+
+    Hits are in order of place, so what is within reach is among as many neighbours.
+    """
+    hits = F.col("hits")
+
+    def near(x, j):
+        own = F.slice(hits, F.greatest(j - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+        return F.when(x["w"].isin(leads), F.struct(x["w"].alias("w"), F.transform(own, lambda y: F.struct(y["w"].alias("w"), (y["i"] - x["i"]).alias("at"))).alias("near")))
+
+    return files.select("row", F.explode(F.filter(F.transform(hits, near), lambda x: x.isNotNull())).alias("p")).select("row", "p.w", "p.near")
+
+
 def _places(hits: Column, parts: list[str]) -> Column:
     """Where the words of a phrase stand one after another."""
 
@@ -82,28 +108,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     frequency = {r["w"]: r["count"] for r in present.collect()}
     total = max(files.count(), 1)
     idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) for w in vocabulary}
-    by_rank = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    postings: dict[str, list] = {}
-    for n, _, indexed, must in index:
-        # an accepted alignment has all mandatory words, so the rarest of them finds it
-        top = set(sorted({indexed[i] for i in must}, key=by_rank.index)[: max(looked_up, 1)])
-        for i, w in indexed.items():
-            postings.setdefault(w, []).append((n, i, w in top))
-    post = spark.createDataFrame([(w, *x) for w, v in postings.items() for x in v], "w string, template int, at int, rare boolean")
-
-    # every template's rarest mandatory words say which files and offsets to look at ...
-    probe = files.where(F.size("hits") >= 2).select("row", F.explode("hits").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.i").alias("i"))
-    # one row per indexed word of the fixed templates: a proven bound
-    met = probe.join(F.broadcast(post), "w").select("row", "template", (F.col("i") - F.col("at")).alias("offset"), "at", "rare")
-    # ... and at such a place all indexed words count; a set of template positions is bounded by the template
-    lines = met.groupBy("row", "template", "offset").agg(F.collect_set("at").alias("at"), F.max("rare").alias("rare"))
-    accept, share, label = F.lit(False), F.lit(0.0), F.lit("")
-    for n, name, indexed, must in index:
-        own = F.col("template") == n
-        whole = F.size(F.array_except(F.array(*map(F.lit, must)), F.col("at"))) == 0
-        accept = F.when(own, whole & (F.size("at") >= aligned * len(indexed))).otherwise(accept)
-        share, label = F.when(own, F.size("at") / F.lit(float(len(indexed)))).otherwise(share), F.when(own, F.lit(name)).otherwise(label)
-    found = lines.where("rare").where(accept).select("row", share.alias("share"), label.alias("label")).groupBy("row").agg(F.max("share").alias("share"), F.collect_set("label").alias("found"))
+    shape = "array<struct<w:string,at:int>>"
+    post = spark.createDataFrame(postings(index, idf, looked_up), f"w string, template int, label string, rare {shape}, must {shape}, words {shape}")
+    # each template's rarest mandatory word says where to look; one row per template is broadcast: a proven bound
+    reach = max((len(notice.split()) for _, notice, _ in templates), default=0)
+    met = probes(files, sorted({r[0] for r in postings(index, idf, looked_up)}), reach).join(F.broadcast(post), "w")
+    # rows whose rare words agree on the place are verified, on the words around it
+    met = met.where(F.size(F.array_except("rare", "near")) == 0).where(F.size(F.array_except("must", "near")) == 0)
+    found = met.select("row", "label", (F.size(F.array_intersect("words", "near")) / F.size("words").cast("double")).alias("share")).where(F.col("share") >= aligned)
+    found = found.groupBy("row").agg(F.max("share").alias("share"), F.collect_set("label").alias("found"))
 
     names = [name for _, name in BASE]
     starts = [_places(F.col("hits"), phrase.split()).alias(name) for phrase, name in BASE]
