@@ -18,8 +18,8 @@ from .common import SPACE, WORD, Scratch, table, text_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Concentration steps at most, and the fall of a log determinant below which a group counts as settled; share of rows in the core; squared distance beyond which a row is an outlier (chi-square, 4 degrees, at about 1 - 1e-9); rows a group needs for estimates of its own.
-STEPS, SETTLED, CORE, CUTOFF, LEAST = 8, 1e-3, 0.75, 46.0, 50
+#: The fall of a log determinant below which a group counts as settled; share of rows in the core; squared distance beyond which a row is an outlier (chi-square, 4 degrees, at about 1 - 1e-9); rows a group needs for estimates of its own.
+SETTLED, CORE, CUTOFF, LEAST = 1e-3, 0.75, 46.0, 50
 #: Features and the least standard deviation each is given, so that a core of equal values does not make every other value an outlier.
 FLOORS = {"z_len": 0.12, "z_sym": 0.5, "z_dup": 0.6, "z_rep": 0.6}
 
@@ -153,30 +153,29 @@ def _starts(rows: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
     return scratch.write(first.withColumn("logdet", _logdet(names)).unionByName(others))
 
 
-def least_determinant(rows: DataFrame, scratch: Scratch, names: list[str], core: float = CORE, steps: int = STEPS) -> DataFrame:
+def least_determinant(rows: DataFrame, scratch: Scratch, names: list[str], core: float = CORE, settled: float = SETTLED) -> DataFrame:
     """(g, start, mu_, l_, logdet): each group's estimate of least determinant, of rows (g, names).
 
     A concentration step refits mean and covariance on the core nearest to the last fit; it can't raise the determinant (but for the
-    histogram's bins). Steps go on until no start of any group falls by more than SETTLED, or steps are done; then each group takes its start of least determinant,
-    the first of equals.
+    histogram's bins). Steps go on until no start of any group falls by more than settled below the least it came by so far; as determinants have a floor, that
+    comes to an end whatever the rows. Each group takes the least of all, the first start of equals.
     """
-    scale, fits = consistency(core, len(names)), _starts(rows, names, scratch)
-    for step in range(steps):
+    scale, fits, best = consistency(core, len(names)), _starts(rows, names, scratch), None
+    of = lambda *by: F.min_by(F.struct(*[c for c in fits.columns if c not in by]), F.struct("logdet", "start")).alias("e")
+    while True:
         far = _with_distance(rows, fits, names)
         near = far.join(scratch.write(_levels(far, core)), ["g", "start"]).where(_bin(F.col("d2")) <= F.col("edge"))
-        after = scratch.write(_factor(near.groupBy("g", "start").agg(*_moments(names)), names, scale))
-        if step:
-            fall = fits.select("g", "start", F.col("logdet").alias("was")).join(after, ["g", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        else:
-            fall = math.inf  # starts are no cores
-        fits = after
-        if fall is None or fall <= SETTLED:
-            break
-    best = fits.groupBy("g").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "g"]), F.struct("logdet", "start")).alias("e"))
-    return scratch.write(best.select("g", "e.*"))
-
-
-def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int = STEPS, core: float = CORE, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
+        fits = scratch.write(_factor(near.groupBy("g", "start").agg(*_moments(names)), names, scale))
+        if best is None:
+            best = fits  # the starts are no cores, so they do not count
+            continue
+        fall = best.select("g", "start", F.col("logdet").alias("was")).join(fits, ["g", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        best = scratch.write(best.unionByName(fits).groupBy("g", "start").agg(of("g", "start")).select("g", "start", "e.*").select(fits.columns))
+        if fall is None or fall <= settled:
+            return scratch.write(best.groupBy("g").agg(of("g")).select("g", "e.*"))
+
+
+def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", core: float = CORE, cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
     """stats with d2, the squared robust distance, and outlier. Groups are languages in sources (nulls are values).
 
     Groups below least rows are judged by the estimate of their language, and that by the whole table's where it is too
@@ -198,7 +197,7 @@ def outliers(stats: DataFrame, scratch: Scratch, key: str = "doc_id", steps: int
     groups = scratch.write(sizes.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), group.alias("g"), F.array_compact(asked).alias("into")))
     rows = judged.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")))
     own = scratch.write(rows.select(key, "g", "into", *names))
-    fits = least_determinant(own.select(F.explode("into").alias("g"), *names), scratch, names, core, steps)
+    fits = least_determinant(own.select(F.explode("into").alias("g"), *names), scratch, names, core)
     return _with_distance(own, fits, names).select(key, "d2", (F.col("d2") > cutoff).alias("outlier"))
 
 
