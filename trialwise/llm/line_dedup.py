@@ -236,7 +236,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edi
     # lines are fetched from the documents that hold their first copies; other texts are passed over where they are read
     holders = KeyFilter(members.select(F.xxhash64("first.k", "first.c").alias("h")))
     texts = _wanted_lines(rows.withColumn("h", F.xxhash64("k", "c")), holders, KeyFilter(members.select("id")), seed)
-    edges = scratch.write(compare(dealt.join(texts, "id"), link_lines(edits), "a long, b long"))
+    # a common line is found in many texts: one of each goes on, dealt by id as the join asks, so there is no shuffle more
+    edges = scratch.write(compare(dealt.join(texts.dropDuplicates(["id"]), "id"), link_lines(edits), "a long, b long"))
     component = scratch.write(connected_components(edges, scratch))
     rooted = classes.join(component.select(F.col("node").alias("h1"), "component"), "h1", "left").where("copies > 1 or component is not null")
     rooted = scratch.write(rooted.select("h1", "first", F.coalesce("component", "h1").alias("root")))
@@ -264,7 +265,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", names:
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(text_of(text)).alias("h"), F.col(key).alias("key"))
     out = out.join(gone, F.col("key").eqNullSafe(F.col("k")) & (F.col("h") == F.col("c")), "left")
     own = F.col("row").getField(text)
-    rest = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("gone.dropped", i)), "\n")
+    split = F.split(own, "\n")
+    # by set difference, whose work is the sum of lines and dropped ones
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone.dropped"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     return out.select(
         *[F.when(F.col("gone").isNull(), own).otherwise(rest).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns],
         (F.regexp_count(F.coalesce(own, F.lit("")), F.lit("\n")) + 1).cast("long").alias(names[0]), F.col("gone.dropped").alias(names[1]), F.col("gone.kept_in").alias(names[2]),
