@@ -25,10 +25,21 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(mark().alias("id"), *[c for c in docs.columns if c in ("text", "lang", "source")])
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose key and hash are those of an id (a struct column id)."""
-    keys = ids.select(F.col(f"id.{KEY}").alias("__key"), F.col("id.h").alias("__hash")).distinct()
-    return docs.join(keys, F.col(KEY).eqNullSafe(F.col("__key")) & text_hash().eqNullSafe(F.col("__hash")), "left_semi")
+    """Rows of docs whose key and hash are those of an id (a struct column id). Columns of docs may have any names."""
+    key, h = free_names(docs, "picked_key", "picked_hash")
+    keys = ids.select(F.col(f"id.{KEY}").alias(key), F.col("id.h").alias(h)).distinct()
+    return docs.join(keys, F.col(KEY).eqNullSafe(F.col(key)) & text_hash().eqNullSafe(F.col(h)), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +50,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that repeat an earlier one of the corpus, and n_chars follows; every document stays, null texts as they are. Empty table: no rows."""
-    free, names = {c.lower() for c in docs.columns}, []
-    for name in ("lines", "dropped", "kept_in"):
-        while name in free:
-            name += "_"
-        names.append(name)
+    names = free_names(docs, "lines", "dropped", "kept_in")
     out = line_dedup.dedup_lines(docs, names=tuple(names))
     return out.select(*[F.when(F.col(names[1]).isNull(), F.col(c)).otherwise(F.length("text")).cast("long").alias(c) if c == "n_chars" else out[c] for c in docs.columns])
 
