@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from trialwise.llm import bpe, clusters, common, jaccard, license_scan, line_dedup, mixing, near_vectors, quality, queries, sharding, token_counts, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -162,6 +163,31 @@ def test_licence_labels_are_those_of_brute_force(spark):
     assert sorted(r["labels"] for r in license_scan.scan(again).collect()) == sorted(brute_licences(texts[i])[0] for i in (2, 3, 2))
 
 
+def test_rarest_licence_words_lead(spark):
+    """Which words are rare decides where is looked, not what is found."""
+    index, reach = license_scan._index(license_scan.TEMPLATES), max(len(n.split()) for _, n, _ in license_scan.TEMPLATES)
+    words = {w for _, _, own, _ in index for w in own.values()}
+    texts = ["version license general public binary forms hereby " * 20, *["source granted kind of apache"] * 3, *[n for _, n, _ in license_scan.TEMPLATES]]
+    hits = [(i, [(w, k) for k, w in enumerate(t.split()) if w in words]) for i, t in enumerate(texts)]
+    files = spark.createDataFrame(hits, "row long, hits array<struct<w:string,i:int>>")
+    times = collections.Counter(w for _, h in hits for w, _ in h)
+    looked = []
+    for sign in (-1, 1):
+        post = license_scan.postings(index, {w: sign * times[w] for w in words})
+        assert all(r[0] == r[3][0][0] and len(r[3]) == 2 for r in post)
+        got = license_scan.probes(files, sorted({r[0] for r in post}), reach).collect()
+        assert len(got) == sum(times[w] for w in {r[0] for r in post})
+        assert all(len(r["near"]) <= 2 * reach + 1 and r["near"].count((r["w"], 0)) == 1 for r in got)
+        looked.append(len(got))
+    assert looked[0] * 2 < looked[1]
+
+
+@pytest.mark.parametrize("looked_up", [1, 8])
+def test_licence_words_looked_up_do_not_change_what_is_found(spark, looked_up):
+    df = spark.createDataFrame([(i, f"{n} {m}") for i, (n, m) in enumerate((a[1], b[1]) for a in license_scan.TEMPLATES for b in license_scan.TEMPLATES)], "doc_id long, text string")
+    assert rows(license_scan.scan(df, looked_up=looked_up)) == rows(license_scan.scan(df))
+
+
 def test_license_scan(docs, nothing):
     got = rows(license_scan.scan(docs))
     for i, t in enumerate(TEXTS):
@@ -541,6 +567,18 @@ def test_least_determinant(spark):
     assert quality.consistency(0.75, 4) == pytest.approx(1.487, abs=0.01) and quality.consistency(1, 4) == 1
 
 
+def test_concentration_goes_on_until_it_settles(spark):
+    """Two like clusters, so that the core moves from one to the other over many steps; whatever is taken, another step from it gains nothing."""
+    rng, names = np.random.default_rng(17), list(quality.FLOORS)
+    x = np.concatenate([rng.standard_normal((900, 4)) * 3, rng.standard_normal((700, 4)) * 2.5 + [7, 0, 7, 0]])
+    df = spark.createDataFrame([(1, *map(float, r)) for r in x], "g long, " + ", ".join(f"{n} double" for n in names))
+    tight = quality.least_determinant(df, common.Scratch(spark, "test"), names, settled=1e-9)
+    far = quality._with_distance(df, tight, names)
+    near = far.join(quality._levels(far, quality.CORE), ["g", "start"]).where(quality._bin(far["d2"]) <= F.col("edge"))
+    after = quality._factor(near.groupBy("g", "start").agg(*quality._moments(names)), names, quality.consistency(quality.CORE, 4)).first()["logdet"]
+    assert after >= tight.first()["logdet"] - 1e-9
+
+
 def test_quality_of_small_groups(spark):
     rng = np.random.default_rng(9)
 

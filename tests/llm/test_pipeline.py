@@ -119,3 +119,14 @@ def test_nothing(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     assert now.count() == 0
+
+
+def test_clashing_names(docs):
+    """Columns named as the helper's own change nothing in which rows are picked."""
+    clashing = docs
+    for name in ("__key", "__hash", "picked_key", "Picked_Hash", "id", "h"):
+        clashing = clashing.withColumn(name, docs["doc_id"] * 2)
+    ids = corpus_pipeline.marked(docs).where("id.doc_id % 2 = 0").select("id")
+    got = corpus_pipeline.picked(clashing, ids)
+    assert got.columns == clashing.columns and pairs(got) == pairs(docs.where("doc_id % 2 = 0"))
+    assert all(r["__key"] == r["picked_key"] == r["id"] == 2 * r["doc_id"] for r in got.collect())

@@ -169,7 +169,7 @@ def least_determinant(rows: DataFrame, scratch: Scratch, names: list[str], core:
         if best is None:
             best = fits  # the starts are no cores, so they do not count
             continue
-        fall = best.select("g", "start", F.col("logdet").alias("was")).join(fits, ["g", "start"]).agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        fall = best.select("g", "start", F.col("logdet").alias("was")).join(fits, ["g", "start"]).agg(F.max(F.nanvl(F.col("was") - F.col("logdet"), F.lit(0.0)))).first()[0]
         best = scratch.write(best.unionByName(fits).groupBy("g", "start").agg(of("g", "start")).select("g", "start", "e.*").select(fits.columns))
         if fall is None or fall <= settled:
             return scratch.write(best.groupBy("g").agg(of("g")).select("g", "e.*"))
