@@ -572,11 +572,11 @@ def test_concentration_goes_on_until_it_settles(spark):
     rng, names = np.random.default_rng(17), list(quality.FLOORS)
     x = np.concatenate([rng.standard_normal((900, 4)) * 3, rng.standard_normal((700, 4)) * 2.5 + [7, 0, 7, 0]])
     df = spark.createDataFrame([(1, *map(float, r)) for r in x], "g long, " + ", ".join(f"{n} double" for n in names))
-    tight = quality.least_determinant(df, common.Scratch(spark, "test"), names, settled=1e-9)
+    tight = quality.least_determinant(df, common.Scratch(spark, "test"), names)
     far = quality._with_distance(df, tight, names)
     near = far.join(quality._levels(far, quality.CORE), ["g", "start"]).where(quality._bin(far["d2"]) <= F.col("edge"))
     after = quality._factor(near.groupBy("g", "start").agg(*quality._moments(names)), names, quality.consistency(quality.CORE, 4)).first()["logdet"]
-    assert after >= tight.first()["logdet"] - 1e-9
+    assert after >= tight.first()["logdet"] - quality.SETTLED
 
 
 def test_quality_of_small_groups(spark):
