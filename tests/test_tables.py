@@ -296,3 +296,28 @@ def test_receptive_fields_of_long_series(spark, alpha, reg_cv, reg_type, edge):
     np.testing.assert_allclose(got["intercept"], want.intercept_, atol=1e-8)
     np.testing.assert_allclose(got["pattern"], want.pattern_, atol=1e-8)
     assert series.receptive_field(df.where("false"), ["s"], -1, 1, 1).count() == 0
+
+
+def test_linear_support_vectors_of_all_folds_by_sums(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, p = 150, 4
+    X, y = rng.standard_normal((n, p)), rng.integers(0, 3, n).astype(float)
+    X[:, 0] += y
+    df = frame(spark, X, y)
+    monkeypatch.setattr(tasks, "MOST_TRIALS", 50)
+    monkeypatch.setattr(tasks.margins, "LAST", 1e-5)
+    made = []
+    monkeypatch.setattr(tasks.margins.LinearMargins, "remove", lambda self: made.append(self))
+    got = {r["fold"]: r["score"] for r in tasks.cross_val_score(local.SVC(), df, 3, tasks.accuracy).collect()}
+    for s, (_, fold) in enumerate(made[0].systems):
+        test = np.arange(n) // 50 == fold
+        m, sd = X[~test].mean(0), X[~test].std(0, ddof=1)
+        Z, L = (X - m) / sd, np.where(y[:, None] == np.unique(y), 1.0, -1.0)
+        a, K = np.zeros((100, 3)), Z[~test] @ Z[~test].T
+        for _ in range(5000):  # the box dual, by short steps
+            a = np.clip(a + (1 - L[~test] * (K @ (a * L[~test]))) / np.linalg.norm(K, 2), 0, 1)
+        lost = lambda w: (w * w).sum(1) / 2 + np.maximum(0, 1 - L[~test] * (Z[~test] @ w.T)).sum(0)
+        w = made[0].W[s]
+        bound = a.sum(0) - (((a * L[~test]).T @ Z[~test]) ** 2).sum(1) / 2  # no weights lose less than any dual is worth
+        assert (lost(w) >= bound).all() and np.allclose(lost(w), bound, rtol=2e-3)
+        assert got[fold] == pytest.approx(((Z[test] @ w.T).argmax(1) == y[test]).mean())
