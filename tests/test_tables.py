@@ -321,3 +321,36 @@ def test_linear_support_vectors_of_all_folds_by_sums(spark, monkeypatch):
         bound = a.sum(0) - (((a * L[~test]).T @ Z[~test]) ** 2).sum(1) / 2  # no weights lose less than any dual is worth
         assert (lost(w) >= bound).all() and np.allclose(lost(w), bound, rtol=2e-3)
         assert got[fold] == pytest.approx(((Z[test] @ w.T).argmax(1) == y[test]).mean())
+
+
+def test_narrow_ridge_makes_no_products_of_trials(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    X, Y, alphas = rng.standard_normal((40, 5)) + 2, rng.standard_normal((40, 2)), [0.1, 1.0, 10.0]
+    monkeypatch.setattr(tiles, "Tiles", None)
+    want, got = local.RidgeCV(alphas).fit(X, Y), tiles.wide_ridge(frame(spark, X, Y), alphas).first()
+    np.testing.assert_allclose(got["coef"], want.coef_, atol=1e-8)
+    np.testing.assert_allclose(got["intercept"], want.intercept_, atol=1e-8)
+
+
+def test_linear_kernel_ridge_of_folds_makes_no_products_of_trials(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    X, Y, own = rng.standard_normal((40, 5)) + 2, rng.standard_normal((40, 2)), np.arange(40) % 3
+    monkeypatch.setattr(tiles, "Tiles", None)
+    got = tiles.KernelRidge([0.1, 1.0, 10.0]).predictions(frame(spark, X, Y, own=own))
+    want, base = np.zeros((40, 2)), np.zeros((40, 2))
+    for f in range(3):
+        want[own == f] = local.KernelRidgeCV([0.1, 1.0, 10.0]).fit(X[own != f], Y[own != f]).predict(X[own == f])
+        base[own == f] = Y[own != f].mean(0)
+    np.testing.assert_allclose(by_trial(got, "predict"), want, atol=1e-8)
+    np.testing.assert_allclose(by_trial(got, "base"), base)
+    np.testing.assert_allclose(by_trial(got, "y"), Y)
+
+
+def test_linear_kernel_ridge_is_validated_by_sums(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    X, Y, key = rng.standard_normal((60, 4)) + 1, rng.standard_normal((60, 2)), np.arange(60) % 2
+    df, model = frame(spark, X, Y, g=key), local.KernelRidgeCV([0.1, 1.0, 10.0])
+    blocks = {(r["g"], r["fold"], r["metric"], r["target"]): r["score"] for r in tasks.Validator(model, 3, (tasks.r2, tasks.pearsonr)).fit(df, ["g"]).scores().collect()}
+    monkeypatch.setattr(tasks, "run_tasks", None)
+    got = {(r["g"], r["fold"], r["metric"], r["target"]): r["score"] for r in tasks.cross_val_score(model, df, 3, (tasks.r2, tasks.pearsonr), keys=["g"]).collect()}
+    assert got.keys() == blocks.keys() and all(np.isclose(got[k], v) for k, v in blocks.items())
