@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trialwise.operators import classes, gram, keyed, local, rsa, series, splits, tasks, tiles
+from trialwise.functions import order
+from trialwise.operators import classes, gram, keyed, local, preprocessing, rsa, series, splits, tasks, tiles
 
 
 def frame(spark, X, y=None, **more):
@@ -354,3 +355,20 @@ def test_linear_kernel_ridge_is_validated_by_sums(spark, monkeypatch):
     monkeypatch.setattr(tasks, "run_tasks", None)
     got = {(r["g"], r["fold"], r["metric"], r["target"]): r["score"] for r in tasks.cross_val_score(model, df, 3, (tasks.r2, tasks.pearsonr), keys=["g"]).collect()}
     assert got.keys() == blocks.keys() and all(np.isclose(got[k], v) for k, v in blocks.items())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("model", [preprocessing.Scaler(by=["g"]), preprocessing.RobustScaler(by=["g"]), *[preprocessing.Clamp(method=m) for m in ("iqr", "quantile", "mad")]])
+def test_few_keys_gather_no_rows(spark, monkeypatch, model):
+    rng = np.random.default_rng(9)
+    df = frame(spark, rng.standard_normal((90, 2)), g=np.arange(90) % 3)
+    monkeypatch.setattr(order, "SENT", 1 << 14)
+    few = model.fit(df)
+    assert "SortMergeJoin" not in _plan(few.table) + _plan(few.transform(df))
+    weighed = preprocessing.Scaler(by=["g"]).fit(df, weight="g")
+    assert "SortMergeJoin" not in _plan(weighed.table)
+    monkeypatch.setattr(order, "SENT", 2 if model.by else 1 << 14)
+    np.testing.assert_allclose(by_trial(few.transform(df), "x"), by_trial(model.fit_transform(df), "x"))
