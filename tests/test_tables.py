@@ -1,6 +1,7 @@
 """Methods over tables against the same methods on one block."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from trialwise.functions import order
@@ -372,3 +373,34 @@ def test_few_keys_gather_no_rows(spark, monkeypatch, model):
     assert "SortMergeJoin" not in _plan(weighed.table)
     monkeypatch.setattr(order, "SENT", 2 if model.by else 1 << 14)
     np.testing.assert_allclose(by_trial(few.transform(df), "x"), by_trial(model.fit_transform(df), "x"))
+
+
+def test_short_series_are_not_padded_to_a_range(spark, monkeypatch):
+    rng, sizes, transform = np.random.default_rng(10), [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda a, n, axis: sizes.append(n) or transform(a, n, axis=axis))
+    t = pa.table({"__range": [0] * 9, "__n": [9] * 9, "__fold": pa.array([0] * 9, pa.int32()), "__pos": list(range(9)), "x": rng.standard_normal((9, 1)).tolist(), "y": rng.standard_normal((9, 1)).tolist()})
+
+    class Rows:
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+        def applyInArrow(self, work, kind):
+            work(t)
+            return self
+
+        def toLocalIterator(self):
+            return iter(())
+
+    series.Lags(Rows(), ["k"], [-1, 0, 1], True, 1 << 14)
+    assert sizes and max(sizes) <= 64
+
+
+def test_kernel_rows_of_pairs_of_blocks(spark):
+    rng = np.random.default_rng(11)
+    A, B = rng.standard_normal((50, 3)), rng.standard_normal((30, 3))
+    got = rsa.kernel_rows(frame(spark, A).withColumnRenamed("trial", "row"), frame(spark, B).withColumnRenamed("trial", "row"), "rbf", 0.5, block=8)
+    assert "Exchange" not in _plan(got).split("MapInArrow")[1]  # from blocks to kernels nothing is shuffled
+    K, rows = local.gram("rbf", A, B, 0.5), sorted(got.collect())
+    assert [r["n"] for r in rows] == [30] * 50
+    np.testing.assert_allclose([r["total"] for r in rows], K.sum(1))
+    np.testing.assert_allclose([r["least"] for r in rows], K.min(1))
