@@ -61,10 +61,12 @@ class Lags:
             r, n = t.column("__range")[0].as_py(), t.column("__n")[0].as_py()
             start, x, y = r * span - halo, gram._matrix(t.column("x")), gram._matrix(t.column("y"))
             place = t.column("__pos").to_numpy() - start
-            X, Y = np.zeros((span + 2 * halo, x.shape[1])), np.zeros((span + 2 * halo, y.shape[1]))
+            # a short series is not padded to a whole range
+            held = max(min(span, n - r * span), 0)
+            X, Y = np.zeros((held + 2 * halo, x.shape[1])), np.zeros((held + 2 * halo, y.shape[1]))
             X[place], Y[place] = x, y
             mine = np.zeros(len(X), bool)
-            mine[halo : halo + span] = True
+            mine[halo : halo + held] = True
             mine[max(0, n - start) :] = False
             size, f = 1 << int(np.ceil(np.log2(2 * len(X)))), x.shape[1]
             wide, inner, target = np.fft.rfft(X, size, axis=0), np.fft.rfft(X * mine[:, None], size, axis=0), np.fft.rfft(Y * mine[:, None], size, axis=0)
