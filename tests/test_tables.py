@@ -404,3 +404,14 @@ def test_kernel_rows_of_pairs_of_blocks(spark):
     assert [r["n"] for r in rows] == [30] * 50
     np.testing.assert_allclose([r["total"] for r in rows], K.sum(1))
     np.testing.assert_allclose([r["least"] for r in rows], K.min(1))
+
+
+def test_both_orientations_read_the_pairs_once(spark):
+    rng = np.random.default_rng(12)
+    X = rng.standard_normal((7, 3))
+    pairs = rsa.rsa(frame(spark, X), "euclidean")
+    full = rsa.full_rdm(pairs)
+    assert full._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 2  # and once for the trials
+    D = np.sqrt(((X[:, None] - X) ** 2).sum(2))
+    got = {(r["i"], r["j"]): r["value"] for r in full.collect()}
+    assert len(got) == 49 and all(np.isnan(v) if i == j else np.isclose(v, D[i, j]) for (i, j), v in got.items())
