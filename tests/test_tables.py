@@ -415,3 +415,15 @@ def test_both_orientations_read_the_pairs_once(spark):
     D = np.sqrt(((X[:, None] - X) ** 2).sum(2))
     got = {(r["i"], r["j"]): r["value"] for r in full.collect()}
     assert len(got) == 49 and all(np.isnan(v) if i == j else np.isclose(v, D[i, j]) for (i, j), v in got.items())
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_quantiles_evaluate_their_sketch_once(spark, keys):
+    rng = np.random.default_rng(13)
+    v, g = rng.standard_normal(9000), np.arange(9000) % 2
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "g long, v double")
+    found = order.quantiles(df, keys, "v", [0.25, 0.5, 0.9], few=100)
+    # brackets may differ between evaluations: one must serve both the rows below them and those inside
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("percentile_approx") == 1
+    for r in found.collect():
+        np.testing.assert_allclose(r["q"], np.quantile(v[g == r["g"]] if keys else v, [0.25, 0.5, 0.9]))
