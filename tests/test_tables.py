@@ -427,3 +427,16 @@ def test_quantiles_evaluate_their_sketch_once(spark, keys):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("percentile_approx") == 1
     for r in found.collect():
         np.testing.assert_allclose(r["q"], np.quantile(v[g == r["g"]] if keys else v, [0.25, 0.5, 0.9]))
+
+
+def test_support_vectors_store_no_kernel(spark, monkeypatch):
+    """Blocks that meet in pairs, with near copies of other labels, on which steps along the gradient settle slowly; the other way is that of the test above."""
+    rng = np.random.default_rng(14)
+    X, label = np.repeat(rng.standard_normal((20, 3)), 2, 0) + 0.01 * rng.standard_normal((40, 3)), rng.integers(0, 2, 40)
+    monkeypatch.setattr(tiles.interior, "SENT", 0)
+    got = tiles.SupportVectors(kernel="rbf", tile=20, tol=1e-2, max_iter=150).fit(frame(spark, X, label=label))
+    assert "k" not in got.tiles.tiles.columns
+    Z = (X - X.mean(0)) / X.std(0, ddof=1)
+    L, A = np.where(label[:, None] == np.arange(2), 1.0, -1.0), by_trial(got.dual(), "dual")
+    a, g = A * L, 1 - L * (local.gram("rbf", Z, Z, got.gamma_) @ A)
+    assert (a >= 0).all() and (a <= 1).all() and np.abs(np.clip(a + g, 0, 1) - a).max() <= 1e-2 + 1e-6
