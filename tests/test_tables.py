@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from trialwise.functions import order
-from trialwise.operators import classes, gram, keyed, local, preprocessing, rsa, series, splits, tasks, tiles
+from trialwise.operators import classes, duals, gram, keyed, local, preprocessing, rsa, series, splits, tasks, tiles
 
 
 def frame(spark, X, y=None, **more):
@@ -440,3 +440,34 @@ def test_support_vectors_store_no_kernel(spark, monkeypatch):
     L, A = np.where(label[:, None] == np.arange(2), 1.0, -1.0), by_trial(got.dual(), "dual")
     a, g = A * L, 1 - L * (local.gram("rbf", Z, Z, got.gamma_) @ A)
     assert (a >= 0).all() and (a <= 1).all() and np.abs(np.clip(a + g, 0, 1) - a).max() <= 1e-2 + 1e-6
+
+
+@pytest.mark.parametrize("model,swept", [(local.KernelRidgeCV([0.1, 10.0], "rbf", "scale", alpha_per_target=True), False), (local.KernelRidgeCV([0.5, 5.0], "sigmoid", 0.1), True)])
+def test_kernel_ridge_of_many_trials_meets_no_task(spark, monkeypatch, model, swept):
+    rng = np.random.default_rng(11)
+    X, key = rng.standard_normal((150, 3)), np.r_[np.zeros(120, int), np.ones(30, int)]
+    Y = np.stack([np.sin(X[:, 0]) + 0.1 * rng.standard_normal(150), rng.standard_normal(150)], 1)
+    df, metrics = frame(spark, X, Y, g=key), (tasks.r2, tasks.pearsonr, tasks.spearmanr)
+
+    def scores():
+        return {(r["g"], r["fold"], r["metric"], r["target"]): r["score"] for r in tasks.cross_val_score(model, df, 3, metrics, keys=["g"]).collect()}
+
+    want, made, most, fallen = scores(), tasks.run_tasks, [], []
+    monkeypatch.setattr(tasks, "MOST_TRIALS", 40)
+    for name, value in (("TILE", 16), ("BLOCKS", 2), ("RANKS", (80, 120))):
+        monkeypatch.setattr(duals, name, value)
+    monkeypatch.setattr(tasks, "run_tasks", lambda rows, keys, *rest: most.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0]) or made(rows, keys, *rest))
+    sweeps = duals._swept
+    monkeypatch.setattr(duals, "_swept", lambda *a: fallen.append(a[1:3]) or sweeps(*a))
+    got = scores()
+    # blocks of the larger key meet in no task; only the smaller key's trials do
+    assert most == [30] and bool(fallen) == swept
+    assert got.keys() == want.keys() and all(np.isclose(got[k], v, atol=1e-7) for k, v in want.items())
+
+
+def test_kernel_ridge_leaves_close_alphas_open():
+    own = duals.DualRidge.__new__(duals.DualRidge)
+    own.model, own.alphas, own.d = local.KernelRidgeCV([0.1, 1.0]), np.array([0.1, 1.0]), 1
+    far = np.array([[0.0, 0.0], [1e-3, 1e-3]])
+    assert own._pick(np.array([[1.0], [1.001]]), far) is None
+    assert own._pick(np.array([[1.0], [1.1]]), far).tolist() == [0] and own._pick(np.array([[1.0], [1.001]]), far * 1e-3).tolist() == [0]
