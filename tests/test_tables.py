@@ -471,3 +471,23 @@ def test_kernel_ridge_leaves_close_alphas_open():
     far = np.array([[0.0, 0.0], [1e-3, 1e-3]])
     assert own._pick(np.array([[1.0], [1.001]]), far) is None
     assert own._pick(np.array([[1.0], [1.1]]), far).tolist() == [0] and own._pick(np.array([[1.0], [1.001]]), far * 1e-3).tolist() == [0]
+
+
+@pytest.mark.parametrize("held", [64 << 20, 0])
+def test_support_vectors_that_settle_apart(spark, monkeypatch, held):
+    """Classes of very unlike sizes: the first that settles must not be led on until its variables round to their bounds. Few trials settle in few products, and are at their bounds exactly."""
+    rng = np.random.default_rng(21)
+    X, label = rng.standard_normal((120, 8)), np.r_[np.zeros(3, int), np.ones(60, int), np.full(57, 2)]
+    made, product = [], tiles.interior.Near.product
+    monkeypatch.setattr(tiles.interior, "HELD", held)
+    monkeypatch.setattr(tiles.interior.Near, "product", lambda self, v: made.append(1) or product(self, v))
+    with np.errstate(all="raise"):
+        got = tiles.SupportVectors(kernel="rbf", tile=64, tol=1e-2, max_iter=150).fit(frame(spark, X, label=label))
+    Z = (X - X.mean(0)) / X.std(0, ddof=1)
+    L, A = np.where(label[:, None] == np.arange(3), 1.0, -1.0), by_trial(got.dual(), "dual")
+    K = local.gram("rbf", Z, Z, got.gamma_)
+    a, g = A * L, 1 - L * (K @ A)
+    assert (a >= 0).all() and (a <= 1).all() and np.abs(np.clip(a + g, 0, 1) - a).max() <= 1e-2 + 1e-6
+    assert (a == 0).any() or (a == 1).any()
+    np.testing.assert_allclose(by_trial(got.own_sums(), "sums"), K @ A, atol=1e-9)
+    assert len(made) <= 30 and bool(made) == bool(held)
