@@ -491,3 +491,24 @@ def test_support_vectors_that_settle_apart(spark, monkeypatch, held):
     assert (a == 0).any() or (a == 1).any()
     np.testing.assert_allclose(by_trial(got.own_sums(), "sums"), K @ A, atol=1e-9)
     assert len(made) <= 30 and bool(made) == bool(held)
+
+
+def test_dissimilarities_copy_no_trial_to_its_tiles(spark):
+    rng = np.random.default_rng(22)
+    X = rng.standard_normal((45, 3))
+    rows = [(f"t{i:02}", x.tolist()) for i, x in enumerate(X)]
+    df = spark.createDataFrame([*rows, (None, [1.0, 2.0, 3.0])], "trial string, x array<double>")
+    D, name = np.sqrt(((X[:, None] - X) ** 2).sum(2)), [r[0] for r in rows]
+    pairs = rsa.rsa(df, "euclidean", tile=8)
+    # from blocks to pairs nothing is shuffled, nor are trials repeated
+    assert not {"Exchange", "Generate"} & set(_plan(pairs).replace("(", " ").split())
+    got = {(r["i"], r["j"]): r["value"] for r in pairs.collect()}
+    assert got.keys() == {(a, b) for a in name for b in name if a < b} and pairs.count() == len(got)
+    assert all(np.isclose(v, D[name.index(i), name.index(j)]) for (i, j), v in got.items())
+    full = rsa.whole_rdm(df, "euclidean", tile=8).collect()
+    assert len(full) == 45 * 45 == len({(r["i"], r["j"]) for r in full})
+    assert all(np.isnan(r["value"]) if r["i"] == r["j"] else np.isclose(r["value"], D[name.index(r["i"]), name.index(r["j"])]) for r in full)
+    # rows that repeat an id are in pairs with others, not with each other, as in SQL
+    twice = df.where("trial is not null").union(df.where("trial = 't03'"))
+    assert rsa.rsa(twice, "euclidean", tile=8).count() == 45 * 44 // 2 + 44
+    assert rsa.whole_rdm(df.where("false"), "euclidean").count() == 0 and rsa.whole_rdm(df.where("trial = 't01'"), "euclidean").count() == 1
