@@ -130,3 +130,15 @@ def test_clashing_names(docs):
     got = corpus_pipeline.picked(clashing, ids)
     assert got.columns == clashing.columns and pairs(got) == pairs(docs.where("doc_id % 2 = 0"))
     assert all(r["__key"] == r["picked_key"] == r["id"] == 2 * r["doc_id"] for r in got.collect())
+
+
+def test_single_documents_are_not_shuffled(spark, docs, monkeypatch):
+    """Of the near-duplicate stage, texts of documents that are alone in their component are in no join; beyond the bitmap's bound all are, with the same rows."""
+    kept = corpus_pipeline.picked
+    joined = []
+    monkeypatch.setattr(corpus_pipeline, "picked", lambda some, ids: joined.append(some.count()) or kept(some, ids))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert joined[0] < docs.count() and got.columns == docs.columns
+    want = pairs(got)
+    monkeypatch.setattr(corpus_pipeline, "parted", lambda some, ids: (None, some))
+    assert pairs(corpus_pipeline.near_duplicates(spark, docs, "")) == want and joined[1] == docs.count()
